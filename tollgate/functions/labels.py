@@ -61,20 +61,29 @@ def speed_band(speed: Column | str) -> Column:
     return F.when(s >= 25, 5).when(s >= 15, 4).when(s >= 10, 3).when(s >= 5, 2).otherwise(1)
 
 
+def _two(n: Column) -> Column:
+    """At least two digits (padStart: pads, never truncates)."""
+    return F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+
+
 def countdown(secs: Column | str) -> Column:
     """Hh:mm:ss, '00:00:00' once nothing is left."""
     s = as_col(secs)
-    hh = floor_div(s, 3600)
-    mm = floor_div(s % 3600, 60)
-    ss = s % 60
-    txt = F.concat_ws(":", F.lpad(hh.cast("string"), 2, "0"), F.lpad(mm.cast("string"), 2, "0"),
-                      F.lpad(ss.cast("string"), 2, "0"))
+    txt = F.concat_ws(":", _two(floor_div(s, 3600)), _two(floor_div(s % 3600, 60)), _two(s % 60))
     return F.when(s <= 0, F.lit("00:00:00")).otherwise(txt)
 
 
+def time_label(secs: Column | str) -> Column:
+    """C6: 'Xh Ym remaining' above an hour, else 'Ym remaining'."""
+    s = as_col(secs)
+    return (F.when(s > 3600, F.concat(floor_div(s, 3600).cast("string"), F.lit("h "),
+                                      floor_div(s % 3600, 60).cast("string"), F.lit("m remaining")))
+            .otherwise(F.concat(floor_div(s, 60).cast("string"), F.lit("m remaining"))))
+
+
 def kes_label(amount: Column | str) -> Column:
     """C7: 'KES 1,234.5' (grouped, up to 3 decimals, none forced)."""
-    return F.concat(F.lit("KES "), F.format_number(as_col(amount), "#,##0.###"))
+    return F.concat(F.lit("KES "), F.call_function("format_number", as_col(amount), F.lit("#,##0.###")))
 
 
 def date_label(ts: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import browse, reports  # noqa: F401
+from . import browse, jobs, reports  # noqa: F401
 from .registry import REGISTRY
 
 

@@ -98,10 +98,26 @@ from events where event_type in ('click', 'view')""", ()),
 select ts as polled_at,
   case when event_id % 17 = 0 then null else '2547' || lpad(cast(user_id as string), 8, '0') end as "user",
   '10.5.' || cast(user_id % 256 as string) || '.' || cast(event_id % 256 as string) as address,
-  case when event_id % 7 = 0 then '' else cast(cast(value * 1000 as bigint) as string) end as bytes_in,
+  case when event_id % 7 = 0 then '' else cast(cast(floor(value * 1000) as bigint) as string) end as bytes_in,
   case when event_id % 11 = 0 then null else cast(event_id * 13 as string) end as bytes_out,
   lpad(cast(event_id % 24 as string), 2, '0') || ':00:00' as uptime
 from events where event_type = 'view'""", ()),
+    "disconnect_requests": (f"""
+select user_id, ts as requested_at from events
+where event_type = 'click' and ts <= {LIVE_SQL} and ts > {LIVE_SQL} - interval 6 hour""", ()),
+    "package_patches": ("""
+select p_partkey as package_id, cast(null as varchar) as package_name, cast(null as integer) as duration_hours,
+  cast(p_retailprice + 1 as decimal(10,2)) as price_kes, case when p_size % 2 = 1 then p_size end as speed_mbps,
+  case when p_partkey % 14 = 0 then false end as is_active, case when p_partkey % 3 = 0 then 99 end as sort_order
+from part where p_partkey % 7 = 0""", ()),
+    "payments_pending": ("""
+select * replace (case when payment_id % 4 <> 0 and status in ('completed', 'failed') then 'pending'
+                       else status end as status)
+from payments_live""", ("payments_live",)),
+    "purchase_requests": ("""
+select event_id as request_id, user_id, event_id % 250 as package_id,
+  '2547' || lpad(cast(user_id as string), 8, '0') as phone_number, ts as requested_at
+from events where event_type = 'click'""", ()),
 }
 
 

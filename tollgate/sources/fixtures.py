@@ -178,13 +178,47 @@ def activity_feed_from(events: DataFrame) -> DataFrame:
         F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(_phone(F.col("user_id"))).alias("user"),
         F.concat(F.lit("10.5."), (F.col("user_id") % 256).cast("string"), F.lit("."),
                  (k % 256).cast("string")).alias("address"),
-        F.when(k % 7 == 0, F.lit("")).otherwise((F.col("value") * 1000).cast("bigint").cast("string"))
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.floor(F.col("value") * 1000).cast("bigint").cast("string"))
          .alias("bytes_in"),
         F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise((k * 13).cast("string")).alias("bytes_out"),
         F.concat(F.lpad((k % 24).cast("string"), 2, "0"), F.lit(":00:00")).alias("uptime"),
     )
 
 
+def disconnect_requests_from(events: DataFrame, at: str, hours: int = 6) -> DataFrame:
+    """Disconnect requests: users clicking in the hours before the clock."""
+    e = events.where((F.col("event_type") == "click") & (F.col("ts") <= clock.at(at))
+                     & (F.col("ts") > clock.minus(at, hours=hours)))
+    return e.select("user_id", F.col("ts").alias("requested_at"))
+
+
+def package_patches_from(part: DataFrame) -> DataFrame:
+    """Admin edits to the catalogue: a price change and some other fields, NULL = keep."""
+    k = F.col("p_partkey")
+    p = part.where(k % 7 == 0)
+    return p.select(
+        k.alias("package_id"), F.lit(None).cast("string").alias("package_name"),
+        F.lit(None).cast("int").alias("duration_hours"),
+        (F.col("p_retailprice") + 1).cast("decimal(10,2)").alias("price_kes"),
+        F.when(F.col("p_size") % 2 == 1, F.col("p_size")).alias("speed_mbps"),
+        F.when(k % 14 == 0, F.lit(False)).alias("is_active"),
+        F.when(k % 3 == 0, F.lit(99).cast("bigint")).alias("sort_order"))
+
+
+def payments_pending_from(payments_live: DataFrame) -> DataFrame:
+    """Payments before their callbacks arrive: three in four settled ones still pending."""
+    k = F.col("payment_id")
+    unsettled = (k % 4 != 0) & F.col("status").isin("completed", "failed")
+    return payments_live.withColumn("status", F.when(unsettled, F.lit("pending")).otherwise(F.col("status")))
+
+
+def purchase_requests_from(events: DataFrame) -> DataFrame:
+    """Purchase requests: (user, package, phone) per click event."""
+    e = events.where(F.col("event_type") == "click")
+    return e.select(F.col("event_id").alias("request_id"), "user_id", (F.col("event_id") % 250).alias("package_id"),
+                    _phone(F.col("user_id")).alias("phone_number"), F.col("ts").alias("requested_at"))
+
+
 class Tables:
     """Lazily built business tables over one scale-factor folder."""
 
@@ -239,6 +273,22 @@ class Tables:
     def activity_feed(self) -> DataFrame:
         return activity_feed_from(self.raw("events"))
 
+    @cached_property
+    def disconnect_requests(self) -> DataFrame:
+        return disconnect_requests_from(self.raw("events"), clock.LIVE)
+
+    @cached_property
+    def package_patches(self) -> DataFrame:
+        return package_patches_from(self.raw("part"))
+
+    @cached_property
+    def payments_pending(self) -> DataFrame:
+        return payments_pending_from(self.payments_live)
+
+    @cached_property
+    def purchase_requests(self) -> DataFrame:
+        return purchase_requests_from(self.raw("events"))
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.raw("documents")
