@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.callbacks import parse_callbacks
 from ..operators import transitions as U
@@ -19,32 +17,31 @@ OUT_SCHEMA = ("event_id bigint, received_at timestamp, checkout_request_id strin
               "phone_number string")
 
 
-def _first_terminal(hold_ms: int):
-    """State per checkout id: emit its first callback (received_at, event_id), drop later ones.
+def dedup_stream(parsed: DataFrame, gap: str = "10 minutes") -> DataFrame:
+    """First-terminal-wins dedup by checkout id, JVM-only.
 
-    The key is forgotten ``hold_ms`` after its last callback in event time, once
-    the watermark says no more duplicates can arrive."""
-
-    def fn(key, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        last_ms = int(pd.to_datetime(pdf["received_at"]).max().value // 1_000_000)
-        if not state.exists:
-            first = pdf.sort_values(["received_at", "event_id"], kind="mergesort").head(1)
-            state.update((True,))
-            yield first[PARSED_COLS]
-        state.setTimeoutTimestamp(max(last_ms + hold_ms, state.getCurrentWatermarkMs()))
+    Deliveries of one checkout that follow each other within ``gap`` form one
+    session window; ``min_by`` over (received_at, event_id) keeps the first.
+    The aggregate is partial per partition and its state is bounded: a
+    checkout is finalised (emitted once, append mode) and forgotten when the
+    watermark passes its last delivery + gap.  A retry after a longer silence
+    starts a new window; the settlement step's terminal-status check ignores it.
+    """
+    s = runner.to_event_time(parsed.select(*PARSED_COLS), "received_at").withWatermark("received_at", gap)
+    cols = [c for c in PARSED_COLS if c != "checkout_request_id"]
+    g = s.groupBy("checkout_request_id", F.session_window("received_at", gap)).agg(
+        F.min_by(F.struct(*cols), F.struct("received_at", "event_id")).alias("f"))
+    return g.select(*[F.col("f")[c].alias(c) if c != "checkout_request_id" else F.col(c) for c in PARSED_COLS])
 
-    return fn
 
+def _with_end_tick(callbacks: DataFrame, days: int = 1) -> DataFrame:
+    """Append one clock tick a day after the last callback, so every window closes.
 
-def dedup_stream(parsed: DataFrame, delay: str = "10 minutes", hold_ms: int = 600_000) -> DataFrame:
-    """Streaming first-terminal-wins dedup by checkout id (bounded state via watermark)."""
-    s = runner.to_event_time(parsed.select(*PARSED_COLS), "received_at").withWatermark("received_at", delay)
-    return s.groupBy("checkout_request_id").applyInPandasWithState(
-        _first_terminal(hold_ms), OUT_SCHEMA, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    The tick carries an empty checkout id and is removed when the sink is read."""
+    tick = callbacks.agg(F.max("received_at").alias("m")).select(
+        F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_add("DAY", F.lit(days), F.col("m")).alias("received_at"),
+        F.lit('{"Body":{"stkCallback":{"CheckoutRequestID":"","ResultCode":-1}}}').alias("body"))
+    return callbacks.select("event_id", "received_at", "body").unionByName(tick)
 
 
 def callback_stream(spark: SparkSession, callbacks: DataFrame, base: str, slices: int = 4) -> DataFrame:
@@ -57,9 +54,9 @@ def callback_stream(spark: SparkSession, callbacks: DataFrame, base: str, slices
 def run_dedup(spark: SparkSession, callbacks: DataFrame) -> DataFrame:
     """T1 end to end: stage, stream, dedup into a file sink; returns the sink (NTZ times)."""
     base = runner.run_folder(spark, "callback_dedup")
-    out = runner.run_to_parquet(dedup_stream(callback_stream(spark, callbacks, base)), base)
-    return spark.read.schema(OUT_SCHEMA).parquet(out).withColumn("received_at",
-                                                                F.col("received_at").cast("timestamp_ntz"))
+    out = runner.run_to_parquet(dedup_stream(callback_stream(spark, _with_end_tick(callbacks), base)), base)
+    return (spark.read.schema(OUT_SCHEMA).parquet(out).where(F.col("checkout_request_id") != "")
+            .withColumn("received_at", F.col("received_at").cast("timestamp_ntz")))
 
 
 def run_settle(spark: SparkSession, callbacks: DataFrame, payments: DataFrame, packages: DataFrame) -> DataFrame:
@@ -71,7 +68,7 @@ def run_settle(spark: SparkSession, callbacks: DataFrame, payments: DataFrame, p
     same rows, so the at-least-once sink is effectively exactly-once.
     """
     base = runner.run_folder(spark, "settle_stream")
-    first = dedup_stream(callback_stream(spark, callbacks, base))
+    first = dedup_stream(callback_stream(spark, _with_end_tick(callbacks), base))
 
     def settle(batch: DataFrame, batch_id: int) -> None:
         cb = batch.withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
