@@ -37,7 +37,7 @@ def history_pages(history: DataFrame, totals: DataFrame, page_no=1, limit=10, ma
     p, lim = clamp_page(page_no, limit, max_limit, default_limit=10)
     w = Window.partitionBy("user_id").orderBy(F.col("started_at").desc(), F.col("session_id"))
     lo, hi = (p - 1) * lim + 1, p * lim
-    r = history.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= hi).where(F.col("rn") >= lo)
+    r = history.withColumn("rn", F.row_number().over(w).cast("bigint")).where(F.col("rn") <= hi).where(F.col("rn") >= lo)
     return r.join(totals, "user_id").withColumn("pages", F.ceil(F.col("total") / F.lit(lim)).cast("bigint"))
 
 

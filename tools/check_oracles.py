@@ -43,6 +43,40 @@ def norm(v):
     return str(v)
 
 
+def spark_family(dt) -> str:
+    name = dt.simpleString()
+    if name in ("tinyint", "smallint", "int"):
+        return "int32"
+    if name == "bigint":
+        return "int64"
+    if name.startswith("decimal"):
+        return name.replace(" ", "")
+    if name in ("double", "float"):
+        return "float"
+    if name.startswith("timestamp"):
+        return "timestamp"
+    return name
+
+
+def duck_family(t: str) -> str:
+    t = str(t).lower()
+    if t in ("integer", "smallint", "tinyint", "int32"):
+        return "int32"
+    if t in ("bigint", "hugeint", "int64"):
+        return "int64"
+    if t.startswith("decimal"):
+        return t.replace(" ", "")
+    if t in ("double", "float"):
+        return "float"
+    if t.startswith("timestamp"):
+        return "timestamp"
+    if t == "varchar":
+        return "string"
+    if t == "boolean":
+        return "boolean"
+    return t
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -66,6 +100,9 @@ def compare(spark, sf_dir: str, key: str, fn, sql: str | None, con) -> tuple[boo
     if sorted(cols) != sorted(ocols):
         return False, f"columns differ: spark={cols} oracle={ocols}"
     idx = [ocols.index(c) for c in cols]
+    otypes = {d[0]: duck_family(d[1]) for d in res.description}
+    tdiff = [(f.name, spark_family(f.dataType), otypes[f.name]) for f in df.schema.fields
+             if spark_family(f.dataType) != otypes[f.name]]
     a = sorted((tuple(norm(v) for v in r) for r in rows), key=repr)
     b = sorted((tuple(norm(r[i]) for i in idx) for r in orows), key=repr)
     if len(a) != len(b):
@@ -73,7 +110,8 @@ def compare(spark, sf_dir: str, key: str, fn, sql: str | None, con) -> tuple[boo
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
         return False, f"values differ, e.g. {diff}"
-    return True, f"rows={len(a)} {t1 - t0:.1f}s"
+    note = f" TYPES {tdiff}" if tdiff else ""
+    return True, f"rows={len(a)} {t1 - t0:.1f}s{note}"
 
 
 def main(argv):
