@@ -70,15 +70,14 @@ PACKAGE_FIELDS = ["package_name", "duration_hours", "price_kes", "speed_mbps", "
 
 
 def patch_packages(packages: DataFrame, patches: DataFrame, at: str) -> DataFrame:
-    """U4: non-null patch fields overwrite; patched rows get updated_at = now."""
-    p = patches.select("package_id", *[F.col(c).alias("_p_" + c) for c in PACKAGE_FIELDS])
+    """U4: non-null patch fields overwrite; every patched row gets updated_at = now
+    (the UPDATE matches the row and its trigger fires even when all fields are NULL)."""
+    p = patches.select("package_id", F.lit(True).alias("_hit"), *[F.col(c).alias("_p_" + c) for c in PACKAGE_FIELDS])
     j = packages.join(p, "package_id", "left")
     cols = [F.coalesce(F.col("_p_" + c), F.col(c)).alias(c) for c in PACKAGE_FIELDS]
-    any_patch = F.lit(False)
-    for c in PACKAGE_FIELDS:
-        any_patch = any_patch | F.col("_p_" + c).isNotNull()
     return j.select("package_id", *cols,
-                    F.when(any_patch, clock.at(at)).otherwise(F.lit(None).cast("timestamp_ntz")).alias("updated_at"))
+                    F.when(F.col("_hit"), clock.at(at)).otherwise(F.lit(None).cast("timestamp_ntz"))
+                    .alias("updated_at"))
 
 
 def settle_payments(payments: DataFrame, first: DataFrame) -> DataFrame:

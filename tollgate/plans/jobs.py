@@ -327,8 +327,7 @@ def u3(t):
 
 _PF = U.PACKAGE_FIELDS
 _U4 = (f"select k.package_id, " + ", ".join(f"coalesce(x.{c}, k.{c}) as {c}" for c in _PF) +
-       f", case when " + " or ".join(f"x.{c} is not null" for c in _PF) +
-       f" then {LIVE_SQL} end as updated_at from packages k left join package_patches x on x.package_id = k.package_id")
+       f", case when x.package_id is not null then {LIVE_SQL} end as updated_at from packages k left join package_patches x on x.package_id = k.package_id")
 
 
 @register("u4_patch_packages", _U4)
