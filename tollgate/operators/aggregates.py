@@ -210,14 +210,12 @@ def system_stats(sessions: DataFrame, at: str, users: DataFrame | None = None, f
         return row.select(*cols, clock.at(at).alias("recorded_at"))
     hist = (sessions.where(F.col("ended_at").isNotNull())
             .groupBy(seconds_between("started_at", "ended_at").alias("secs")).agg(F.count(F.lit(1)).alias("n")))
-    med = hist.agg(F.percentile(F.col("secs"), F.lit(0.5), F.col("n")).alias("med"))
+    # one-value results enter as scalar subqueries: no join at all
+    med = hist.agg(F.percentile(F.col("secs"), F.lit(0.5), F.col("n"))).scalar()
     new_users = users.where((F.col("created_at") >= today) & (F.col("created_at") < tomorrow)) \
-        .agg(F.count(F.lit(1)).alias("new_users_today"))
-    one = F.lit(1)
-    out = (row.withColumn("k", one).join(F.broadcast(med.withColumn("k", one)), "k")
-           .join(F.broadcast(new_users.withColumn("k", one)), "k"))
-    return out.select(*cols, "total_bytes_today", "total_bytes_minute", "new_users_today",
-                      F.floor("med").cast("bigint").alias("median_session_duration_seconds"),
+        .agg(F.count(F.lit(1))).scalar()
+    return row.select(*cols, "total_bytes_today", "total_bytes_minute", new_users.alias("new_users_today"),
+                      F.floor(med).cast("bigint").alias("median_session_duration_seconds"),
                       clock.at(at).alias("recorded_at"))
 
 
@@ -356,16 +354,14 @@ def revenue_series(spark: SparkSession, payments: DataFrame, at: str, days: int
 def package_breakdown(payments: DataFrame, packages: DataFrame) -> DataFrame:
     """Share of completed sales per package, in basis points of revenue.
 
-    The grand total is a one-row aggregate joined on a constant key (a proven
-    one-row broadcast), not a window over everything.
+    The grand total is a scalar subquery (one value), not a window over everything.
     """
     per = (payments.where(F.col("status") == "completed").groupBy("package_id")
            .agg(F.count(F.lit(1)).alias("n_sales"), F.sum("amount_kes").alias("revenue")))
-    total = per.agg(F.sum("revenue").alias("total")).withColumn("k", F.lit(1))
-    j = per.withColumn("k", F.lit(1)).join(F.broadcast(total), "k")
-    j = j.join(packages.select("package_id", "package_name"), "package_id", "left")
+    total = per.agg(F.sum("revenue")).scalar()
+    j = per.join(packages.select("package_id", "package_name"), "package_id", "left")
     cents = (F.col("revenue") * 100).cast("decimal(38,0)")
-    tot = (F.col("total") * 100).cast("decimal(38,0)")
+    tot = (total * 100).cast("decimal(38,0)")
     return j.select("package_id", "package_name", "n_sales", money("revenue").alias("revenue_kes"),
                     floor_div(cents * 10000, tot).alias("share_bp"))
 

@@ -34,15 +34,14 @@ def transactions(payments: DataFrame, users: DataFrame, packages: DataFrame, sta
 def session_list(sessions: DataFrame, users: DataFrame, packages: DataFrame, payments: DataFrame,
                  status: str | None = None) -> DataFrame:
     """Sessions with user, package and payment (inner joins: manual sessions drop),
-    plus the unjoined row total for the same filter (a one-row aggregate)."""
+    plus the unjoined row total for the same filter (a scalar subquery)."""
     s = sessions if status is None else sessions.where(F.col("status") == status)
     j = (s.join(users.select("user_id", "phone_number", "name"), "user_id")
          .join(packages.select("package_id", "package_name", "speed_mbps"), "package_id")
          .join(payments.select("payment_id", "amount_kes"), "payment_id"))
-    total = s.agg(F.count(F.lit(1)).alias("total_sessions")).withColumn("k", F.lit(1))
-    j = j.withColumn("k", F.lit(1)).join(F.broadcast(total), "k")
+    total = s.agg(F.count(F.lit(1))).scalar()
     return j.select("session_id", "status", "started_at", "expires_at", "data_used_mb", "phone_number", "name",
-                    "package_name", "speed_mbps", "amount_kes", "total_sessions")
+                    "package_name", "speed_mbps", "amount_kes", total.alias("total_sessions"))
 
 
 def active_with_hotspot(sessions: DataFrame, hotspot_users: DataFrame, at: str) -> DataFrame:
@@ -182,19 +181,19 @@ def metadata_table(spark: SparkSession) -> DataFrame:
 def metadata_lookup(spark: SparkSession, packages: DataFrame) -> DataFrame:
     """Package display metadata by name; unknown names get the default entry.
 
-    The lookup is a constant 10-row table, so broadcasting it is size-safe."""
+    The lookup is a constant 10-row table, so broadcasting it is size-safe; the
+    default entry is a fixed value and enters as literals."""
     meta = F.broadcast(metadata_table(spark))
-    default = meta.where(F.col("meta_key") == DEFAULT_METADATA_KEY).select(
-        *[F.col(c).alias("d_" + c) for c in ("meta_key", "type", "badge", "icon", "data_gb")])
-    j = (packages.join(meta, packages.package_name == meta.name, "left")
-         .withColumn("_k", F.lit(1)).join(F.broadcast(default.withColumn("_k", F.lit(1))), "_k"))
+    default = next(r for r in PACKAGE_METADATA if r[1] == DEFAULT_METADATA_KEY)
+    j = packages.join(meta, packages.package_name == meta.name, "left")
     known = F.col("meta_key").isNotNull()
-    return j.select("package_id", "package_name",
-                    F.coalesce("meta_key", "d_meta_key").alias("meta_key"),
-                    F.when(known, F.col("type")).otherwise(F.col("d_type")).alias("type"),
-                    F.when(known, F.col("badge")).otherwise(F.col("d_badge")).alias("badge"),
-                    F.when(known, F.col("icon")).otherwise(F.col("d_icon")).alias("icon"),
-                    F.when(known, F.col("data_gb")).otherwise(F.col("d_data_gb")).alias("data_gb"))
+
+    def pick(col: str, value, typ: str):
+        return F.when(known, F.col(col)).otherwise(F.lit(value).cast(typ)).alias(col)
+
+    return j.select("package_id", "package_name", pick("meta_key", default[1], "string"),
+                    pick("type", default[2], "string"), pick("badge", default[3], "string"),
+                    pick("icon", default[4], "string"), pick("data_gb", default[5], "int"))
 
 
 def concurrent_sessions(sessions: DataFrame) -> DataFrame:

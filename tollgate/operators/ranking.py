@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def numbered(df: DataFrame, group_cols: list[str], order_cols: list, n_partitions: int | None = None,
              name: str = "rn", count_name: str | None = "n_in_group") -> DataFrame:
@@ -23,6 +25,7 @@ def numbered(df: DataFrame, group_cols: list[str], order_cols: list, n_partition
     group size as ``count_name`` when given.
     """
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)

@@ -119,7 +119,13 @@ def main(argv):
     from tollgate.session import build_session
     sf_dir = argv[1] if len(argv) > 1 and os.path.isdir(argv[1]) else "/root/testdata/sf0.01"
     prefixes = [a for a in argv[1:] if not os.path.isdir(a)]
-    spark = build_session("local[8]")
+    if os.environ.get("ORACLE_BARE"):  # a session without tollgate's settings, as a driver may pass one
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false")
+                 .config("spark.sql.ansi.enabled", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = build_session("local[8]")
     con = duck(sf_dir)
     qs, orc = catalog.queries(), catalog.oracles()
     bad = 0
