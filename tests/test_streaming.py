@@ -41,3 +41,60 @@ def test_ticks_one_row_per_batch(spark, sf_small):
     all_ticks = ticks.run_ticks(spark, t.sessions_live, "2024-01-20 12:00:00", slices=3)
     assert all_ticks.count() == all_ticks.select("batch_id").distinct().count() >= 3
     assert ticks.latest_tick(all_ticks).count() == 1
+
+
+def _events(spark, rows):
+    from tollgate.streaming.expiry import EVENT_SCHEMA
+    return spark.createDataFrame(rows, EVENT_SCHEMA)
+
+
+def test_expiry_timers_cancel_and_survive_restart(spark):
+    from tollgate.streaming import expiry
+    d = dt.datetime(2024, 1, 20, 8, 0)
+    h = dt.timedelta(hours=1)
+    part1 = _events(spark, [
+        (1, 10, "start", d, d + h),                          # expires at 09:00
+        (2, 10, "start", d + dt.timedelta(minutes=5), d + 3 * h),  # disconnected at 09:30: never expires
+        (3, 11, "start", d + dt.timedelta(minutes=10), d + 2 * h),  # expires at 10:00
+    ])
+    part2 = _events(spark, [
+        (2, 10, "disconnect", d + dt.timedelta(minutes=90), None),
+        (None, None, "tick", d + 5 * h, None),
+    ])
+    # one run over everything
+    base = runner.run_folder(spark, "test-expiry-once")
+    part1.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    part2.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    out = runner.run_to_parquet(expiry.expiry_stream(runner.read_files(spark, f"{base}/in", expiry.EVENT_SCHEMA)),
+                                base)
+    once = sorted((r.session_id, r.expired_at) for r in spark.read.parquet(out).collect())
+    # the same input in two runs, the second resuming from the first one's checkpoint
+    base2 = runner.run_folder(spark, "test-expiry-restart")
+    part1.coalesce(1).write.mode("append").parquet(f"{base2}/in")
+    runner.run_to_parquet(expiry.expiry_stream(runner.read_files(spark, f"{base2}/in", expiry.EVENT_SCHEMA)), base2)
+    part2.coalesce(1).write.mode("append").parquet(f"{base2}/in")
+    out2 = runner.run_to_parquet(
+        expiry.expiry_stream(runner.read_files(spark, f"{base2}/in", expiry.EVENT_SCHEMA)), base2)
+    twice = sorted((r.session_id, r.expired_at) for r in spark.read.parquet(out2).collect())
+    want = [(1, dt.datetime(2024, 1, 20, 9, 0)), (3, dt.datetime(2024, 1, 20, 10, 0))]
+    assert [(s, e.replace(tzinfo=None)) for s, e in once] == want
+    assert [(s, e.replace(tzinfo=None)) for s, e in twice] == want
+
+
+def test_poll_deadline_only_unanswered(spark):
+    from tollgate.streaming import deadline
+    base = runner.run_folder(spark, "test-deadline")
+    d = dt.datetime(2024, 1, 20, 8, 0)
+    pay = spark.createDataFrame([("c1", 1, d), ("c2", 2, d), ("c3", 3, d + dt.timedelta(minutes=1)),
+                                 ("", -1, d + dt.timedelta(hours=1))], deadline.PAY_SCHEMA)
+    body = '{"Body":{"stkCallback":{"CheckoutRequestID":"%s","ResultCode":0}}}'
+    cbs = spark.createDataFrame([(1, d + dt.timedelta(minutes=2), body % "c1"),          # in time
+                                 (2, d + dt.timedelta(minutes=9), body % "c2"),          # too late
+                                 (3, d + dt.timedelta(hours=1), body % "")], deadline.CB_SCHEMA)
+    pay.coalesce(1).write.parquet(f"{base}/p")
+    cbs.coalesce(1).write.parquet(f"{base}/c")
+    stream = deadline.timeouts(runner.read_files(spark, f"{base}/p", deadline.PAY_SCHEMA),
+                               runner.read_files(spark, f"{base}/c", deadline.CB_SCHEMA))
+    got = sorted(r.checkout_request_id for r in spark.read.parquet(runner.run_to_parquet(stream, base)).collect()
+                 if r.payment_id >= 0)
+    assert got == ["c2", "c3"]
