@@ -43,42 +43,41 @@ def test_ticks_one_row_per_batch(spark, sf_small):
     assert ticks.latest_tick(all_ticks).count() == 1
 
 
-def _events(spark, rows):
-    from tollgate.streaming.expiry import EVENT_SCHEMA
-    return spark.createDataFrame(rows, EVENT_SCHEMA)
-
-
 def test_expiry_timers_cancel_and_survive_restart(spark):
     from tollgate.streaming import expiry
     d = dt.datetime(2024, 1, 20, 8, 0)
     h = dt.timedelta(hours=1)
-    part1 = _events(spark, [
-        (1, 10, "start", d, d + h),                          # expires at 09:00
-        (2, 10, "start", d + dt.timedelta(minutes=5), d + 3 * h),  # disconnected at 09:30: never expires
-        (3, 11, "start", d + dt.timedelta(minutes=10), d + 2 * h),  # expires at 10:00
-    ])
-    part2 = _events(spark, [
-        (2, 10, "disconnect", d + dt.timedelta(minutes=90), None),
-        (None, None, "tick", d + 5 * h, None),
-    ])
-    # one run over everything
-    base = runner.run_folder(spark, "test-expiry-once")
-    part1.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    part2.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    out = runner.run_to_parquet(expiry.expiry_stream(runner.read_files(spark, f"{base}/in", expiry.EVENT_SCHEMA)),
-                                base)
-    once = sorted((r.session_id, r.expired_at) for r in spark.read.parquet(out).collect())
-    # the same input in two runs, the second resuming from the first one's checkpoint
-    base2 = runner.run_folder(spark, "test-expiry-restart")
-    part1.coalesce(1).write.mode("append").parquet(f"{base2}/in")
-    runner.run_to_parquet(expiry.expiry_stream(runner.read_files(spark, f"{base2}/in", expiry.EVENT_SCHEMA)), base2)
-    part2.coalesce(1).write.mode("append").parquet(f"{base2}/in")
-    out2 = runner.run_to_parquet(
-        expiry.expiry_stream(runner.read_files(spark, f"{base2}/in", expiry.EVENT_SCHEMA)), base2)
-    twice = sorted((r.session_id, r.expired_at) for r in spark.read.parquet(out2).collect())
+    starts1 = spark.createDataFrame([
+        (1, 10, d, d + h),                                    # expires at 09:00
+        (2, 10, d + dt.timedelta(minutes=5), d + 3 * h),      # disconnected at 09:30: never expires
+        (3, 11, d + dt.timedelta(minutes=10), d + 2 * h),     # expires at 10:00
+    ], expiry.START_SCHEMA)
+    stops1 = spark.createDataFrame([(-1, d + dt.timedelta(minutes=10))], expiry.STOP_SCHEMA)
+    starts2 = spark.createDataFrame([(4, 12, d + dt.timedelta(minutes=95), d + 9 * h)], expiry.START_SCHEMA)
+    stops2 = spark.createDataFrame([(2, d + dt.timedelta(minutes=90)), (-1, d + 5 * h)], expiry.STOP_SCHEMA)
+
+    def run(base):
+        s = runner.read_files(spark, f"{base}/s", expiry.START_SCHEMA)
+        p = runner.read_files(spark, f"{base}/p", expiry.STOP_SCHEMA)
+        return runner.run_to_parquet(expiry.expiry_stream(s, p, max_hours=24), base)
+
+    def got(out):
+        return sorted((r.session_id, r.expired_at.replace(tzinfo=None)) for r in spark.read.parquet(out).collect()
+                      if r.session_id >= 0)
+
+    once = runner.run_folder(spark, "test-expiry-once")
+    for part in ((starts1, stops1), (starts2, stops2)):
+        part[0].coalesce(1).write.mode("append").parquet(f"{once}/s")
+        part[1].coalesce(1).write.mode("append").parquet(f"{once}/p")
+    restart = runner.run_folder(spark, "test-expiry-restart")
+    starts1.coalesce(1).write.mode("append").parquet(f"{restart}/s")
+    stops1.coalesce(1).write.mode("append").parquet(f"{restart}/p")
+    run(restart)
+    starts2.coalesce(1).write.mode("append").parquet(f"{restart}/s")
+    stops2.coalesce(1).write.mode("append").parquet(f"{restart}/p")
     want = [(1, dt.datetime(2024, 1, 20, 9, 0)), (3, dt.datetime(2024, 1, 20, 10, 0))]
-    assert [(s, e.replace(tzinfo=None)) for s, e in once] == want
-    assert [(s, e.replace(tzinfo=None)) for s, e in twice] == want
+    assert got(run(once)) == want
+    assert got(run(restart)) == want
 
 
 def test_poll_deadline_only_unanswered(spark):

@@ -52,8 +52,8 @@ def t2(t):
 select session_id, user_id, expires_at as expired_at from sessions_live
 where status <> 'disconnected' and expires_at < {LIVE_SQL} and started_at <= {LIVE_SQL}""")
 def t3(t):
-    """Event-time expiry timers per session; disconnects cancel them (twin: U1)."""
-    return SE.run_expiry(t.spark, t.sessions_live, LIVE)
+    """Sessions expire when event time passes expires_at unless disconnected first (twin: U1)."""
+    return SE.run_expiry(t.spark, t.sessions_live, t.packages, LIVE)
 
 
 _NORM = phone_normalised("raw_phone")

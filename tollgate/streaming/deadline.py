@@ -41,9 +41,13 @@ def run_deadline(spark: SparkSession, payments: DataFrame, callbacks: DataFrame,
     tick_c = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), now.alias("received_at"),
                                    F.lit('{"Body":{"stkCallback":{"CheckoutRequestID":""}}}').alias("body"))
     cbs = callbacks.where(F.col("received_at") <= now).select("event_id", "received_at", "body")
-    src_p = runner.stage_ordered(pay.unionByName(tick_p), "created_at", f"{base}/in_pay", slices)
-    src_c = runner.stage_ordered(cbs.unionByName(tick_c), "received_at", f"{base}/in_cb", slices)
+    src_p, src_c = runner.stage_aligned(
+        [(pay.unionByName(tick_p), "created_at", None),
+         (cbs.unionByName(tick_c), "received_at",
+          {"body": F.lit('{"Body":{"stkCallback":{"CheckoutRequestID":""}}}')})],
+        [f"{base}/in_pay", f"{base}/in_cb"], slices)
     stream = timeouts(runner.read_files(spark, src_p, PAY_SCHEMA), runner.read_files(spark, src_c, CB_SCHEMA))
     # the tick rows are removed only here, after the stream: inside it a filter
     # could be pushed below the watermark and keep event time from advancing
-    return spark.read.parquet(runner.run_to_parquet(stream, base)).where(F.col("payment_id") >= 0)
+    return (spark.read.parquet(runner.run_to_parquet(stream, base))
+            .where(F.col("payment_id").isNotNull() & (F.col("payment_id") >= 0)))

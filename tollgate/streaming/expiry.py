@@ -1,83 +1,57 @@
-"""T3 expiry_stream: a session emits ``expired`` once event time passes its expires_at.
-
-State per session holds its expiry and an event-time timer; a disconnect event
-removes the state, which cancels the timer.  Timers fire when the watermark
-passes them, so the last sessions close when later events (here a clock tick
-at the end of the input) move event time forward.
+"""T3 expiry_stream: a session emits ``expired`` once event time passes its expires_at;
+a disconnect before that cancels it.
+
+Built from Spark's own stream-stream join, no custom state code: each session
+start is an event stamped at its ``expires_at``; it is left-outer-joined to the
+disconnect events of the same session with ``disconnect.ts <= expires_at``.  A
+start that no disconnect can match any more -- the watermark has passed its
+expires_at -- comes out unmatched, i.e. expired, at that moment.  Both join
+states are bounded by the watermarks (a start is dropped at its expiry, a
+disconnect after the longest package).  The global watermark is the minimum of
+the two streams, so it follows the disconnect/clock stream.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import clock
 from . import runner
 
-EVENT_SCHEMA = "session_id bigint, user_id bigint, kind string, ts timestamp_ntz, expires_at timestamp_ntz"
+START_SCHEMA = "session_id bigint, user_id bigint, started_at timestamp_ntz, expires_at timestamp_ntz"
+STOP_SCHEMA = "session_id bigint, ts timestamp_ntz"
 OUT_SCHEMA = "session_id bigint, user_id bigint, expired_at timestamp"
 
 
-def session_events(sessions: DataFrame, at: str) -> DataFrame:
-    """Start and disconnect events up to the clock, plus one clock tick to carry event time to ``at``."""
-    now = clock.at(at)
-    starts = sessions.where(F.col("started_at") <= now).select(
-        "session_id", "user_id", F.lit("start").alias("kind"), F.col("started_at").alias("ts"), "expires_at")
-    stops = sessions.where((F.col("status") == "disconnected") & (F.col("ended_at") <= now)).select(
-        "session_id", "user_id", F.lit("disconnect").alias("kind"), F.col("ended_at").alias("ts"),
-        F.lit(None).cast("timestamp_ntz").alias("expires_at"))
-    tick = sessions.sparkSession.range(1).select(
-        F.lit(None).cast("bigint").alias("session_id"), F.lit(None).cast("bigint").alias("user_id"),
-        F.lit("tick").alias("kind"), now.alias("ts"), F.lit(None).cast("timestamp_ntz").alias("expires_at"))
-    return starts.unionByName(stops).unionByName(tick)
-
-
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
-
+def expiry_stream(starts: DataFrame, stops: DataFrame, max_hours: int) -> DataFrame:
+    """Expired sessions; ``max_hours`` bounds a session's length (the longest package)."""
+    s = runner.to_event_time(starts, "expires_at", "s_exp").withWatermark("s_exp", "0 seconds")
+    d = (runner.to_event_time(stops, "ts", "d_ts").withWatermark("d_ts", "0 seconds")
+         .select(F.col("session_id").alias("d_id"), "d_ts"))
+    cond = ((F.col("session_id") == F.col("d_id")) & (F.col("d_ts") <= F.col("s_exp"))
+            & (F.col("d_ts") >= F.col("s_exp") - F.expr(f"INTERVAL {int(max_hours) + 1} HOURS")))
+    j = s.join(d, cond, "leftOuter")
+    return j.where(F.col("d_id").isNull()).select("session_id", "user_id", F.col("s_exp").alias("expired_at"))
 
-def _expiry(key, pdfs, state):
-    if state.hasTimedOut:
-        if not state.exists:  # cancelled by a disconnect; the timer outlived the state
-            return
-        user_id, exp_us = state.get
-        state.remove()
-        yield pd.DataFrame({"session_id": [key[0]], "user_id": [user_id],
-                            "expired_at": [pd.Timestamp(exp_us, unit="us")]})
-        return
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "kind"], kind="mergesort")
-    pdf = pdf[pdf["kind"] != "tick"]
-    out = []
-    for row in pdf.itertuples(index=False):
-        if row.kind == "start":
-            exp = pd.Timestamp(row.expires_at)
-            exp_ms = _ms(exp)
-            if exp_ms < state.getCurrentWatermarkMs():
-                out.append((key[0], row.user_id, exp))
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((int(row.user_id), int(exp.value // 1000)))
-                state.setTimeoutTimestamp(exp_ms)
-        elif row.kind == "disconnect" and state.exists:
-            state.remove()
-    if out:
-        yield pd.DataFrame(out, columns=["session_id", "user_id", "expired_at"])
 
-
-def expiry_stream(events: DataFrame) -> DataFrame:
-    # The tick row must reach the watermark: no filter here (Catalyst would push
-    # it below the watermark); the state function ignores it instead.
-    s = runner.to_event_time(events, "ts").withWatermark("ts", "0 seconds")
-    return s.groupBy("session_id").applyInPandasWithState(
-        _expiry, OUT_SCHEMA, "user_id bigint, exp_us bigint", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def run_expiry(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 4) -> DataFrame:
+def run_expiry(spark: SparkSession, sessions: DataFrame, packages: DataFrame, at: str, slices: int = 4) -> DataFrame:
+    """Starts and disconnects up to the clock, replayed in time order, plus a clock tick at ``at``."""
     base = runner.run_folder(spark, "expiry_stream")
-    src = runner.stage_ordered(session_events(sessions, at), "ts", f"{base}/in", slices)
-    out = runner.run_to_parquet(expiry_stream(runner.read_files(spark, src, EVENT_SCHEMA)), base)
-    return spark.read.schema(OUT_SCHEMA).parquet(out).withColumn("expired_at",
-                                                                F.col("expired_at").cast("timestamp_ntz"))
+    now = clock.at(at)
+    starts = sessions.where(F.col("started_at") <= now).select("session_id", "user_id", "started_at", "expires_at")
+    stops = sessions.where((F.col("status") == "disconnected") & (F.col("ended_at") <= now)).select(
+        "session_id", F.col("ended_at").alias("ts"))
+    # the clock tick needs a non-NULL key: the join infers IS NOT NULL on the key,
+    # and that filter would run below the watermark and swallow a NULL-keyed tick
+    stops = stops.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("session_id"), now.alias("ts")))
+    max_hours = packages.agg(F.max("duration_hours")).first()[0] or 0  # one number from the catalogue
+    marker = {"session_id": F.lit(-1)}
+    p_s, p_d = runner.stage_aligned([(starts, "started_at", marker), (stops, "ts", marker)],
+                                    [f"{base}/in_start", f"{base}/in_stop"], slices)
+    stream = expiry_stream(runner.read_files(spark, p_s, START_SCHEMA), runner.read_files(spark, p_d, STOP_SCHEMA),
+                           max_hours)
+    out = runner.run_to_parquet(stream, base)
+    # marker rows (session -1) are dropped here, after the stream
+    return (spark.read.schema(OUT_SCHEMA).parquet(out).where(F.col("session_id") >= 0)
+            .withColumn("expired_at", F.col("expired_at").cast("timestamp_ntz")))

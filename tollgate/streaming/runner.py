@@ -42,6 +42,51 @@ def stage_ordered(df: DataFrame, ts_col: str, path: str, slices: int = 4) -> str
     return path
 
 
+def _tick(df: DataFrame, ts_col: str, at_us: int, overrides: dict | None) -> DataFrame:
+    """One marker row at ``at_us``: NULL everywhere except the event time (and ``overrides``)."""
+    at = F.timestamp_add("MICROSECOND", F.lit(at_us), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
+    cols = []
+    for f in df.schema.fields:
+        if f.name == ts_col:
+            cols.append(at.alias(f.name))
+        elif overrides and f.name in overrides:
+            cols.append(overrides[f.name].cast(f.dataType).alias(f.name))
+        else:
+            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
+    return df.sparkSession.range(1).select(*cols)
+
+
+def stage_aligned(streams: list[tuple[DataFrame, str, dict | None]], paths: list[str], slices: int = 4) -> list[str]:
+    """Stage several streams on shared time cuts: slice i of every stream is written before
+    slice i+1 of any, each slice as one file, so file sources read one file per trigger
+    advance together and no stream's rows arrive behind the other's watermark.
+
+    Every slice but the last also gets a marker row at its upper cut (NULL columns apart
+    from the event time and ``overrides``; callers drop them from the sink), so no stream
+    skips a trigger when it has no rows in a slice.  Join keys of markers must be
+    overridden with a non-NULL value that matches nothing: a join infers IS NOT NULL on
+    its keys, and that filter would sit below the watermark.
+    """
+    keyed = [(df.withColumn("_us", epoch_micros(ts)), ts, ov) for df, ts, ov in streams]
+    times = keyed[0][0].select("_us")
+    for k, _, _ in keyed[1:]:
+        times = times.unionByName(k.select("_us"))
+    cuts = times.approxQuantile("_us", [i / slices for i in range(1, slices)], 0.001) if slices > 1 else []
+    bounds = [None] + sorted(set(int(c) for c in cuts)) + [None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        for (k, ts, ov), path in zip(keyed, paths):
+            cond = F.lit(True)
+            if lo is not None:
+                cond = cond & (F.col("_us") > F.lit(lo))
+            if hi is not None:
+                cond = cond & (F.col("_us") <= F.lit(hi))
+            part = k.where(cond).drop("_us")
+            if hi is not None:
+                part = part.unionByName(_tick(part, ts, hi, ov))
+            part.coalesce(1).write.mode("append").parquet(path)
+    return paths
+
+
 def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
