@@ -64,6 +64,13 @@ def test_daily_stats_null_ended_and_fanout(spark):
     assert safe.unique_users == written.unique_users == 1
 
 
+def test_daily_stats_null_keys_never_match(spark):
+    s = sessions(spark, [(1, None, 1, 1, None, "2024-01-20 08:00:00", "2024-01-20 09:00:00", "active", None, 1, 1)])
+    p = payments(spark, [(1, None, 1, 10, "completed", "c1", "2024-01-20 07:00:00", "2024-01-20 07:59:00")])
+    r = A.daily_stats(s, p).collect()[0]
+    assert (r.total_sessions, r.revenue_kes, r.unique_users) == (1, 0, 0)
+
+
 def test_current_session_ties_break_on_id(spark, pk):
     s = sessions(spark, [(5, 1, 1, 5, None, "2024-01-20 11:00:00", "2024-01-20 13:00:00", "active", None, 0, 0),
                          (4, 1, 2, 4, None, "2024-01-20 11:00:00", "2024-01-20 14:00:00", "active", None, 0, 0)])

@@ -92,7 +92,8 @@ def _user_day_facts(sessions: DataFrame, payments: DataFrame) -> DataFrame:
     s = sessions.where(F.col("status").isin(*LIVE_STATUSES)).select(
         "user_id", F.to_date("started_at").alias("day"), F.lit(1).alias("n_sess"),
         seconds_between("started_at", "ended_at").alias("dur_s"), _bytes(sessions).alias("bytes"))
-    p = payments.select(
+    # an equi-join never matches NULL keys, so payments without user or day match no session
+    p = payments.where(F.col("user_id").isNotNull() & F.col("updated_at").isNotNull()).select(
         "user_id", F.to_date("updated_at").alias("day"), F.lit(1).alias("n_pay"),
         F.when(F.col("status") == "completed", F.col("amount_kes")).alias("paid"))
     facts = s.unionByName(p, allowMissingColumns=True)
@@ -108,7 +109,7 @@ def _user_day_facts(sessions: DataFrame, payments: DataFrame) -> DataFrame:
 def _daily(ud: DataFrame, weight) -> DataFrame:
     w = weight
     agg = ud.groupBy("day").agg(
-        F.count(F.lit(1)).alias("unique_users"),
+        F.count("user_id").alias("unique_users"),  # COUNT(DISTINCT) skips a NULL user
         F.sum(F.col("n_sess") * w).alias("total_sessions"),
         F.sum(F.col("dur_s") * w).alias("dur_sum"), F.sum(F.col("n_dur") * w).alias("dur_n"),
         F.sum(F.col("bytes") * w).alias("bytes"),
@@ -141,7 +142,7 @@ def daily_stats_safe(sessions: DataFrame, payments: DataFrame) -> DataFrame:
 
 def _daily_safe(ud: DataFrame) -> DataFrame:
     agg = ud.groupBy("day").agg(
-        F.count(F.lit(1)).alias("unique_users"), F.sum("n_sess").alias("total_sessions"),
+        F.count("user_id").alias("unique_users"),  # COUNT(DISTINCT) skips a NULL user F.sum("n_sess").alias("total_sessions"),
         F.sum("dur_s").alias("dur_sum"), F.sum("n_dur").alias("dur_n"), F.sum("bytes").alias("bytes"),
         F.sum("paid").alias("revenue"))
     return agg.select(
