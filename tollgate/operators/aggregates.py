@@ -109,7 +109,7 @@ def _user_day_facts(sessions: DataFrame, payments: DataFrame) -> DataFrame:
 def _daily(ud: DataFrame, weight) -> DataFrame:
     w = weight
     agg = ud.groupBy("day").agg(
-        F.count("user_id").alias("unique_users"),  # COUNT(DISTINCT) skips a NULL user
+        F.count("user_id").alias("unique_users"),  # like COUNT(DISTINCT), skips a NULL user
         F.sum(F.col("n_sess") * w).alias("total_sessions"),
         F.sum(F.col("dur_s") * w).alias("dur_sum"), F.sum(F.col("n_dur") * w).alias("dur_n"),
         F.sum(F.col("bytes") * w).alias("bytes"),
@@ -142,7 +142,7 @@ def daily_stats_safe(sessions: DataFrame, payments: DataFrame) -> DataFrame:
 
 def _daily_safe(ud: DataFrame) -> DataFrame:
     agg = ud.groupBy("day").agg(
-        F.count("user_id").alias("unique_users"),  # COUNT(DISTINCT) skips a NULL user F.sum("n_sess").alias("total_sessions"),
+        F.count("user_id").alias("unique_users"), F.sum("n_sess").alias("total_sessions"),
         F.sum("dur_s").alias("dur_sum"), F.sum("n_dur").alias("dur_n"), F.sum("bytes").alias("bytes"),
         F.sum("paid").alias("revenue"))
     return agg.select(
