@@ -1,18 +1,22 @@
 """Benchmark: headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-Each query is run once to warm up, then three times; the median wall time is
-reported.  Results are materialised with the ``noop`` sink (full execution,
-nothing collected to the driver).  Prints one JSON line.
+Each query is run once to warm up, then ``$BENCH_RUNS`` (3) times; the median
+wall time is reported.  Results are materialised with the ``noop`` sink (full
+execution, nothing collected to the driver).  Shuffle bytes written and the
+largest task's peak execution memory of the last run come from Spark's event
+log (written to a fresh scratch folder; the UI stays off).  Prints one JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [--all] [key-prefix ...]
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,6 +31,36 @@ HEADLINE = [
 STREAMING = ["t1_callback_dedup", "t3_expiry_stream"]
 
 
+def _event_metrics(log_dir: str) -> dict[str, dict]:
+    """Per job group: shuffle bytes written and the largest task peak execution memory."""
+    stage_group: dict[int, str] = {}
+    out: dict[str, dict] = {}
+    files = [p for p in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True) if os.path.isfile(p)]
+    for path in sorted(files):
+        with open(path) as f:
+            for line in f:
+                try:
+                    ev = json.loads(line)
+                except ValueError:
+                    continue
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    group = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                    if group:
+                        for sid in ev.get("Stage IDs", []):
+                            stage_group[sid] = group
+                elif kind == "SparkListenerTaskEnd":
+                    group = stage_group.get(ev.get("Stage ID"))
+                    m = ev.get("Task Metrics") or {}
+                    if not group or not m:
+                        continue
+                    rec = out.setdefault(group, {"shuffle_bytes": 0, "max_task_peak_mem": 0, "tasks": 0})
+                    rec["shuffle_bytes"] += (m.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
+                    rec["max_task_peak_mem"] = max(rec["max_task_peak_mem"], m.get("Peak Execution Memory", 0))
+                    rec["tasks"] += 1
+    return out
+
+
 def main(argv: list[str]) -> None:
     from tollgate.plans import catalog
     from tollgate.session import build_session
@@ -42,24 +76,35 @@ def main(argv: list[str]) -> None:
         keys = [k for k in qs if any(k.startswith(a) for a in args)]
     else:
         keys = HEADLINE + STREAMING
+    log_dir = tempfile.mkdtemp(prefix="tollgate-bench-events-")
     spark = build_session(f"local[{cpus}]", app="tollgate-bench", shuffle_partitions=int(cpus) * 2,
-                          extra={"spark.driver.memory": "16g"})
+                          extra={"spark.driver.memory": "16g", "spark.eventLog.enabled": "true",
+                                 "spark.eventLog.dir": log_dir, "spark.eventLog.compress": "false"})
+    sc = spark.sparkContext
     times: dict[str, float] = {}
+    rows: dict[str, int] = {}
     for key in keys:
         fn = qs[key]
         samples = []
         for i in range(runs + 1):
+            sc.setJobGroup(f"{key}#{i}", key)
             t0 = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             dt = time.perf_counter() - t0
             if i > 0 or runs == 0:
                 samples.append(dt)
         times[key] = round(statistics.median(samples), 3)
+        sc.setJobGroup(f"{key}#rows", key)
+        if not key.startswith(("t", "s3", "s5")):  # streams already ran; counting would run them again
+            rows[key] = fn(spark, sf_dir).count()
         print(f"# {key}: {times[key]}s", file=sys.stderr, flush=True)
+    spark.stop()
+    metrics = _event_metrics(log_dir)
+    detail = {k: {"rows": rows.get(k), **metrics.get(f"{k}#{runs}", {})} for k in keys}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus), "runs": runs}))
-    spark.stop()
+                      "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus), "runs": runs,
+                      "detail": detail}))
 
 
 if __name__ == "__main__":
