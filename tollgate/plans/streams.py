@@ -7,8 +7,6 @@ checked value by value.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..clock import LIVE
 from ..operators import limits as LM
 from ..streaming import callbacks as SC
@@ -17,7 +15,7 @@ from ..streaming import expiry as SE
 from ..streaming import limits as SL
 from ..streaming import runner
 from ..streaming import ticks as ST
-from .jobs import u5 as _u5_doc  # noqa: F401  (U5 is T2's batch twin)
+from . import jobs, reports  # noqa: F401  (the batch twins U5 and A8 must be registered first)
 from .oracle import LIVE_SQL
 from .registry import REGISTRY, register
 from .sqlparts import FIRST_CALLBACKS, PARSED_CALLBACKS, phone_normalised
@@ -108,4 +106,3 @@ def _attach_twin_oracles() -> None:
 
 
 _attach_twin_oracles()
-del F
