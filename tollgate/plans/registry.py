@@ -33,6 +33,7 @@ def register(key: str, oracle: str | None = None):
 
         run.__name__ = f"q_{key}"
         run.__doc__ = fn.__doc__
+        run.__wrapped__ = fn  # the plan over a Tables object (e.g. a written layout)
         if key in REGISTRY:
             raise ValueError(f"duplicate query key {key}")
         REGISTRY[key] = Query(key, run, with_fixtures(oracle) if oracle else None, (fn.__doc__ or "").strip())
