@@ -217,6 +217,11 @@ def test_disconnect_first_open_session(spark):
     req = spark.createDataFrame([(1, dt.datetime(2024, 1, 20, 11, 0))], "user_id long, requested_at timestamp_ntz")
     got = {r.session_id: r.status for r in U.disconnect(s, req).collect()}
     assert got == {1: "active", 2: "disconnected"}
+    admin = spark.createDataFrame([(1, dt.datetime(2024, 1, 20, 10, 0)), (2, dt.datetime(2024, 1, 20, 12, 0))],
+                                  "session_id long, requested_at timestamp_ntz")
+    both = {r.session_id: (r.status, r.ended_at) for r in U.disconnect(s, req, admin).collect()}
+    assert both == {1: ("disconnected", dt.datetime(2024, 1, 20, 10, 0)),
+                    2: ("disconnected", dt.datetime(2024, 1, 20, 12, 0))}
 
 
 def test_concurrent_sessions_needs_two(spark):

@@ -31,13 +31,23 @@ def expire_sessions(sessions: DataFrame, at: str) -> DataFrame:
                            due.alias("changed")).select(*SESSION_COLS, "changed")
 
 
-def disconnect(sessions: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each (user_id, requested_at) request, the user's first open session
-    (oldest start, then id) becomes disconnected with ended_at = request time."""
+def disconnect(sessions: DataFrame, requests: DataFrame, admin_requests: DataFrame | None = None) -> DataFrame:
+    """Disconnect requests applied as one batch.
+
+    * ``requests`` (user_id, requested_at): the user's first open session (oldest
+      start, then id) becomes disconnected at the user's latest request time;
+    * ``admin_requests`` (session_id, requested_at): that session becomes
+      disconnected whatever its status, as the admin UPDATE has no status test.
+
+    When several requests touch one session the latest one's time is kept, as the
+    last UPDATE would."""
     req = requests.groupBy("user_id").agg(F.max("requested_at").alias("requested_at"))
     first_open = (sessions.where(F.col("status") == "active").groupBy("user_id")
                   .agg(F.min_by("session_id", F.struct("started_at", "session_id")).alias("target")))
     targets = first_open.join(req, "user_id").select(F.col("target").alias("session_id"), "requested_at")
+    if admin_requests is not None:
+        targets = targets.unionByName(admin_requests.select("session_id", "requested_at"))
+    targets = targets.groupBy("session_id").agg(F.max("requested_at").alias("requested_at"))
     j = sessions.join(targets, "session_id", "left")
     hit = F.col("requested_at").isNotNull()
     return j.select(*[c for c in SESSION_COLS if c not in ("status", "ended_at")],

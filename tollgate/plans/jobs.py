@@ -299,15 +299,17 @@ def u1(t):
 with req as (select user_id, max(requested_at) as requested_at from disconnect_requests group by 1),
 fo as (select user_id, session_id from (select *, row_number() over (partition by user_id order by started_at,
   session_id) as rn from sessions_live where status = 'active') where rn = 1),
-tg as (select fo.session_id, req.requested_at from fo join req on req.user_id = fo.user_id)
+tg as (select session_id, max(requested_at) as requested_at from (
+  select fo.session_id, req.requested_at from fo join req on req.user_id = fo.user_id
+  union all select session_id, requested_at from admin_disconnects) group by 1)
 select s.session_id, s.user_id, s.package_id, s.payment_id, s.hotspot_user_id, s.started_at, s.expires_at,
   case when tg.requested_at is not null then 'disconnected' else s.status end as status,
   case when tg.requested_at is not null then tg.requested_at else s.ended_at end as ended_at,
   s.bytes_downloaded, s.bytes_uploaded, s.data_used_mb, tg.requested_at is not null as changed
 from sessions_live s left join tg on tg.session_id = s.session_id""")
 def u2(t):
-    """Disconnect requests close each requesting user's first open session."""
-    return U.disconnect(t.sessions_live, t.disconnect_requests)
+    """Disconnect requests: each requesting user's first open session, and sessions named by admins."""
+    return U.disconnect(t.sessions_live, t.disconnect_requests, t.admin_disconnects)
 
 
 @register("u3_open_sessions", f"""

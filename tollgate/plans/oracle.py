@@ -105,6 +105,10 @@ from events where event_type = 'view'""", ()),
     "disconnect_requests": (f"""
 select user_id, ts as requested_at from events
 where event_type = 'click' and ts <= {LIVE_SQL} and ts > {LIVE_SQL} - interval 6 hour""", ()),
+    "admin_disconnects": (f"""
+select event_id as session_id, ts + interval 30 minute as requested_at from events
+where event_type = 'purchase' and ts > {LIVE_SQL} - interval 6 hour and ts <= {LIVE_SQL} - interval 30 minute""",
+                          ()),
     "package_patches": ("""
 select p_partkey as package_id, cast(null as varchar) as package_name, cast(null as integer) as duration_hours,
   cast(p_retailprice + 1 as decimal(10,2)) as price_kes, case when p_size % 2 = 1 then p_size end as speed_mbps,

@@ -192,6 +192,15 @@ def disconnect_requests_from(events: DataFrame, at: str, hours: int = 6) -> Data
     return e.select("user_id", F.col("ts").alias("requested_at"))
 
 
+def admin_disconnects_from(events: DataFrame, at: str, hours: int = 6) -> DataFrame:
+    """Admin disconnects by session id: sessions bought in the hours before the clock,
+    cut off 30 minutes after purchase."""
+    e = events.where((F.col("event_type") == "purchase") & (F.col("ts") > clock.minus(at, hours=hours))
+                     & (F.col("ts") <= clock.minus(at, minutes=30)))
+    return e.select(F.col("event_id").alias("session_id"),
+                    F.timestamp_add("MINUTE", F.lit(30), F.col("ts")).alias("requested_at"))
+
+
 def package_patches_from(part: DataFrame) -> DataFrame:
     """Admin edits to the catalogue: a price change and some other fields, NULL = keep."""
     k = F.col("p_partkey")
@@ -277,6 +286,10 @@ class Tables:
     def disconnect_requests(self) -> DataFrame:
         return disconnect_requests_from(self.raw("events"), clock.LIVE)
 
+    @cached_property
+    def admin_disconnects(self) -> DataFrame:
+        return admin_disconnects_from(self.raw("events"), clock.LIVE)
+
     @cached_property
     def package_patches(self) -> DataFrame:
         return package_patches_from(self.raw("part"))
