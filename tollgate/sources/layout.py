@@ -58,9 +58,12 @@ class LaidOutTables(Tables):
     def __init__(self, spark: SparkSession, sf_dir: str, layout_path: str):
         super().__init__(spark, sf_dir)
         self.layout_path = layout_path
+        derived = Tables(spark, sf_dir)
         for name in LAYOUT:
+            # declared schema (from the derivation's analysed plan, no job): no footer inference;
             # instance attributes shadow the derived (cached) properties of Tables
-            self.__dict__[name] = spark.read.parquet(f"{layout_path}/{name}")
+            schema = getattr(derived, name).schema
+            self.__dict__[name] = spark.read.schema(schema).parquet(f"{layout_path}/{name}")
 
 
 def time_range_files(df: DataFrame, time_col: str) -> DataFrame:
