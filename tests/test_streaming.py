@@ -97,3 +97,17 @@ def test_poll_deadline_only_unanswered(spark):
     got = sorted(r.checkout_request_id for r in spark.read.parquet(runner.run_to_parquet(stream, base)).collect()
                  if r.payment_id >= 0)
     assert got == ["c2", "c3"]
+
+
+def test_ticks_deployment_trigger_starts_and_stops(spark, sf_small):
+    from tollgate.sources.fixtures import Tables
+    from tollgate.streaming import ticks
+    t = Tables(spark, sf_small)
+    base = runner.run_folder(spark, "test-ticks-deploy")
+    t.sessions_live.coalesce(1).write.parquet(f"{base}/in")
+    q = ticks.start_ticks(spark, f"{base}/in", t.sessions_live.schema, base, every="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert spark.read.parquet(f"{base}/stats").count() >= 1

@@ -105,8 +105,15 @@ def run_to_parquet(stream: DataFrame, base: str, mode: str = "append") -> str:
     return out
 
 
-def run_foreach_batch(stream: DataFrame, base: str, fn) -> None:
-    """Run ``stream`` over everything available with ``fn(batch_df, batch_id)``."""
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", f"{base}/checkpoint")
-         .trigger(availableNow=True).start())
+def run_foreach_batch(stream: DataFrame, base: str, fn, processing_time: str | None = None):
+    """Run ``stream`` with ``fn(batch_df, batch_id)``.
+
+    Without ``processing_time``: drain everything available, then return.  With it
+    (e.g. ``"60 seconds"``): start a long-running query on that trigger and return
+    its handle."""
+    w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", f"{base}/checkpoint")
+    if processing_time:
+        return w.trigger(processingTime=processing_time).start()
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
+    return q

@@ -2,12 +2,14 @@
 
 Each micro-batch adds its sessions to the session store and appends the
 snapshot row computed over the store, both into the batch's own folder, so a
-replayed batch overwrites rather than duplicates.  On a cluster the trigger is
-``processingTime='60 seconds'``; tests drain the input with ``availableNow``.
+replayed batch overwrites rather than duplicates.  ``start_ticks`` runs it on a
+``processingTime='60 seconds'`` trigger; tests drain the input with ``availableNow``.
 """
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +17,28 @@ from ..operators.aggregates import system_stats
 from . import runner
 
 
+def _tick_fn(spark: SparkSession, base: str, schema, at: str | None):
+    def tick(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/store/batch_id={batch_id}")
+        store = spark.read.schema(schema).parquet(f"{base}/store")
+        # a fixed clock in tests; a deployment stamps each tick with its own trigger time
+        now = at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        system_stats(store, now).write.mode("overwrite").parquet(f"{base}/stats/batch_id={batch_id}")
+    return tick
+
+
+def start_ticks(spark: SparkSession, source_path: str, schema, base: str, every: str = "60 seconds"):
+    """Deployment form: a long-running query appending one stats row per ``every`` trigger."""
+    stream = runner.read_files(spark, source_path, schema, files_per_batch=1000)
+    return runner.run_foreach_batch(stream, base, _tick_fn(spark, base, schema, None), processing_time=every)
+
+
 def run_ticks(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 4) -> DataFrame:
-    """All tick rows, with the batch id of each."""
+    """Test form: replay ``sessions`` in time order, one tick per micro-batch; all tick rows with batch ids."""
     base = runner.run_folder(spark, "stats_tick")
     src = runner.stage_ordered(sessions, "started_at", f"{base}/in", slices)
     stream = runner.read_files(spark, src, sessions.schema)
-
-    def tick(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/store/batch_id={batch_id}")
-        store = spark.read.schema(sessions.schema).parquet(f"{base}/store")
-        system_stats(store, at).write.mode("overwrite").parquet(f"{base}/stats/batch_id={batch_id}")
-
-    runner.run_foreach_batch(stream, base, tick)
+    runner.run_foreach_batch(stream, base, _tick_fn(spark, base, sessions.schema, at))
     return spark.read.parquet(f"{base}/stats")
 
 
