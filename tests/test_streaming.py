@@ -111,3 +111,23 @@ def test_ticks_deployment_trigger_starts_and_stops(spark, sf_small):
     finally:
         q.stop()
     assert spark.read.parquet(f"{base}/stats").count() >= 1
+
+
+def test_callback_documents_from_json_files(spark):
+    import os
+    base = runner.run_folder(spark, "test-cb-docs")
+    os.makedirs(f"{base}/in", exist_ok=True) if "://" not in base else None
+    docs = ['{"Body":{"stkCallback":{"CheckoutRequestID":"ws_CO_1","ResultCode":0,"ResultDesc":"ok",'
+            '"CallbackMetadata":{"Item":[{"Name":"Amount","Value":20},{"Name":"MpesaReceiptNumber","Value":"R1"},'
+            '{"Name":"TransactionDate","Value":20240120110000}]}}}}',
+            '{"Body":{"stkCallback":{"CheckoutRequestID":"ws_CO_2","ResultCode":1032,"ResultDesc":"cancelled"}}}',
+            '{"unexpected": true}']
+    for i, d in enumerate(docs):
+        with open(f"{base}/in/cb-{i}.json", "w") as f:
+            f.write(d)
+    out = runner.run_to_parquet(SC.callback_documents(spark, f"{base}/in"), base)
+    got = sorted((r.checkout_request_id, r.result_code, r.amount_kes, r.receipt_number, r.transaction_date)
+                 for r in spark.read.parquet(out).collect())
+    import decimal
+    assert got == [("ws_CO_1", 0, decimal.Decimal("20.00"), "R1", "20240120110000"),
+                   ("ws_CO_2", 1032, None, None, None)]

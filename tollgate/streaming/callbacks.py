@@ -44,6 +44,19 @@ def _with_end_tick(callbacks: DataFrame, days: int = 1) -> DataFrame:
     return callbacks.select("event_id", "received_at", "body").unionByName(tick)
 
 
+def callback_documents(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """S3 for raw deliveries: one JSON document per file, as the webhook stores them.
+
+    The whole file is the body; it is received when the file was written (file
+    metadata), and the delivery id is derived from the file path.  Parsed with
+    the same schema as every other callback (C8)."""
+    raw = (spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(path)
+           .select(F.xxhash64(F.col("_metadata.file_path")).alias("event_id"),
+                   F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
+                   F.col("value").alias("body")))
+    return parse_callbacks(raw)
+
+
 def callback_stream(spark: SparkSession, callbacks: DataFrame, base: str, slices: int = 4) -> DataFrame:
     """S3: callback documents as a file stream, parsed."""
     src = runner.stage_ordered(callbacks.select("event_id", "received_at", "body"), "received_at", f"{base}/in",
