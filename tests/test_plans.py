@@ -56,3 +56,20 @@ def test_columns_pruned(plans):
 
 def test_history_page_limits_before_shuffle(plans):
     assert re.search(r"WindowGroupLimit\n(?:.*\n)*?Arguments: .*row_number\(\), 10, Partial", plans["l2_history_page"])
+
+
+@pytest.mark.parametrize("key,fn", [("w1_current_session", "max_by"), ("w3_latest_plan", "max_by"),
+                                    ("j5_unused_payment", "max_by"), ("j8_latest_payment", "max_by"),
+                                    ("a12_favourite_package", "min"), ("w4_first_terminal", "min_by")])
+def test_group_picks_are_partial_aggregates(plans, key, fn):
+    p = plans[key]
+    assert f"partial_{fn}(" in p, key
+    assert "\n(1) Window" not in p and " Window (" not in p, key
+
+
+def test_daily_stats_has_no_user_day_join(plans):
+    """A6 as written joins sessions to payments on (user, day); ours never does: the
+    only joins left are the single-key joins of the fixture mapping."""
+    for key in ("a6_daily_stats", "a6s_daily_stats_safe"):
+        assert "Left keys [2]" not in plans[key], key
+        assert "Union" in plans[key], key
