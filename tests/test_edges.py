@@ -138,11 +138,13 @@ def test_masks(spark):
 def test_labels(spark):
     df = spark.createDataFrame([(h,) for h in (1, 2, 12, 24, 36, 168, 336, 720)], "h int")
     got = df.select(labels.duration_label_server("h").alias("s"), labels.duration_label_catalogue("h").alias("c"),
-                    labels.duration_label_card("h").alias("k"), labels.category("h").alias("g")).collect()
+                    labels.duration_label_card("h").alias("k"), labels.category("h").alias("g"),
+                    labels.duration_label_history("h").alias("y")).collect()
     assert [r.s for r in got] == ["1 Hour", "2 Hours", "12 Hours", "1 Day", "1 Day", "1 Week", "2 Weeks", "4 Weeks"]
     assert [r.c for r in got] == ["1h", "2h", "12h", "24h", "2 days", "7 days", "14 days", "30 days"]
     assert [r.k for r in got] == ["1h", "2h", "12h", "24 Hours", "2d", "7d", "14d", "30d"]
     assert [r.g for r in got] == ["short", "short", "weekly", "daily", "weekly", "weekly", "weekly", "weekly"]
+    assert [r.y for r in got] == ["1 Hour", "2 Hours", "12 Hours", "1 Day", "1.5 Days", "7 Days", "14 Days", "30 Days"]
     c = spark.createDataFrame([(0,), (59,), (3661,), (360000,)], "s long").select(
         labels.countdown("s").alias("c"), labels.time_label("s").alias("t")).collect()
     assert [r.c for r in c] == ["00:00:00", "00:00:59", "01:01:01", "100:00:00"]

@@ -44,6 +44,17 @@ def duration_label_card(h: Column | str) -> Column:
             .otherwise(F.concat(_round_div(h, 24).cast("string"), F.lit("d"))))
 
 
+def duration_label_history(h: Column | str) -> Column:
+    """Session history: 'N Hour(s)' below a day, else h/24 'Day' ('Days' above 24 h).
+
+    h/24 prints like a JS number: whole days without a decimal point, others in
+    the shortest form that reads back the same double (e.g. 1.5)."""
+    h = as_col(h)
+    days = F.when(h % 24 == 0, floor_div(h, 24).cast("string")).otherwise((h / F.lit(24.0)).cast("string"))
+    return (F.when(h < 24, _plural(h, "Hour"))
+            .otherwise(F.concat(days, F.lit(" Day"), F.when(h > 24, F.lit("s")).otherwise(F.lit("")))))
+
+
 def duration_tier(h: Column | str) -> Column:
     h = as_col(h)
     return F.when(h < 1, "min").when(h < 24, "h").when(h < 168, "days").otherwise("weeks")

@@ -96,14 +96,18 @@ select package_id, {_H},
        else cast(({_H} * 2 + 24) // 48 as varchar) || ' days' end as label_catalogue,
   case when {_H} < 1 then cast(cast(round({_H} * 60) as bigint) as varchar) || ' min' when {_H} = 24 then '24 Hours'
        when {_H} <= 12 then {_HS} || 'h' else cast(({_H} * 2 + 24) // 48 as varchar) || 'd' end as label_card,
+  case when {_H} < 24 then {_HS} || ' Hour' || case when {_H} > 1 then 's' else '' end
+       else case when {_H} % 24 = 0 then cast({_H} // 24 as varchar) else cast({_H} / 24.0 as varchar) end
+            || ' Day' || case when {_H} > 24 then 's' else '' end end as label_history,
   case when {_H} < 1 then 'min' when {_H} < 24 then 'h' when {_H} < 168 then 'days' else 'weeks' end as tier
 from packages""")
 def c4(t):
-    """Duration labels per package in the three display variants, plus the unit tier."""
+    """Duration labels per package in the four display variants, plus the unit tier."""
     h = "duration_hours"
     return t.packages.select("package_id", h, LB.duration_label_server(h).alias("label_server"),
                              LB.duration_label_catalogue(h).alias("label_catalogue"),
-                             LB.duration_label_card(h).alias("label_card"), LB.duration_tier(h).alias("tier"))
+                             LB.duration_label_card(h).alias("label_card"),
+                             LB.duration_label_history(h).alias("label_history"), LB.duration_tier(h).alias("tier"))
 
 
 @register("c5_speed_band", """
