@@ -106,14 +106,14 @@ def _user_day_facts(sessions: DataFrame, payments: DataFrame) -> DataFrame:
     ).where(F.col("n_sess") > 0)
 
 
-def _daily(ud: DataFrame, weight) -> DataFrame:
-    w = weight
+def _daily(ud: DataFrame, weight, revenue) -> DataFrame:
+    """Per day from the (user, day) facts: session measures times ``weight``, revenue as given."""
     agg = ud.groupBy("day").agg(
         F.count("user_id").alias("unique_users"),  # like COUNT(DISTINCT), skips a NULL user
-        F.sum(F.col("n_sess") * w).alias("total_sessions"),
-        F.sum(F.col("dur_s") * w).alias("dur_sum"), F.sum(F.col("n_dur") * w).alias("dur_n"),
-        F.sum(F.col("bytes") * w).alias("bytes"),
-        F.sum(F.col("paid") * F.col("n_sess")).alias("revenue"),
+        F.sum(F.col("n_sess") * weight).alias("total_sessions"),
+        F.sum(F.col("dur_s") * weight).alias("dur_sum"), F.sum(F.col("n_dur") * weight).alias("dur_n"),
+        F.sum(F.col("bytes") * weight).alias("bytes"),
+        F.sum(revenue).alias("revenue"),
     )
     return agg.select(
         F.col("day").alias("date"), "unique_users", "total_sessions",
@@ -131,26 +131,13 @@ def daily_stats(sessions: DataFrame, payments: DataFrame) -> DataFrame:
     the session count.  Same numbers as the join, without materialising it.
     """
     ud = _user_day_facts(sessions, payments)
-    return _daily(ud, F.greatest(F.col("n_pay"), F.lit(1)))
+    return _daily(ud, F.greatest(F.col("n_pay"), F.lit(1)), F.col("paid") * F.col("n_sess"))
 
 
 def daily_stats_safe(sessions: DataFrame, payments: DataFrame) -> DataFrame:
     """A6s: per day, each user's completed payments counted once (no fan-out)."""
     ud = _user_day_facts(sessions, payments)
-    return _daily_safe(ud)
-
-
-def _daily_safe(ud: DataFrame) -> DataFrame:
-    agg = ud.groupBy("day").agg(
-        F.count("user_id").alias("unique_users"), F.sum("n_sess").alias("total_sessions"),
-        F.sum("dur_s").alias("dur_sum"), F.sum("n_dur").alias("dur_n"), F.sum("bytes").alias("bytes"),
-        F.sum("paid").alias("revenue"))
-    return agg.select(
-        F.col("day").alias("date"), "unique_users", "total_sessions",
-        F.when(F.col("dur_n") > 0, floor_div("dur_sum", "dur_n")).alias("avg_session_seconds"),
-        round_half_up_div(F.coalesce("bytes", F.lit(0)), F.lit(GB)).alias("total_data_gb"),
-        money(F.coalesce("revenue", F.lit(0))).alias("revenue_kes"),
-    )
+    return _daily(ud, F.lit(1), F.col("paid"))
 
 
 def _user_facts(sessions: DataFrame, payments: DataFrame) -> DataFrame:
