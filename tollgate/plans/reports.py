@@ -124,6 +124,24 @@ def a7(t):
     return A.user_totals(t.users, t.sessions, t.payments, safe=False)
 
 
+@register("a7p_user_report_page", f"""
+select {_USER_COLS}, count(distinct s.session_id) as total_sessions,
+  cast(coalesce(sum(py.amount_kes) filter (where py.status = 'completed'), 0) as decimal(18,2)) as total_spent
+from users u left join sessions s on s.user_id = u.user_id left join payments py on py.user_id = u.user_id
+where u.phone_number ilike '%R#00000%' or u.name ilike '%R#00000%'
+group by {_USER_COLS}
+order by u.created_at desc, u.user_id desc limit 20 offset 20
+""")
+def a7p(t):
+    """The admin users report as served: search, per-user totals (as written), page 2 of 20, newest first."""
+    from pyspark.sql import functions as F
+    from ..operators import filters as Fl
+    from ..operators import ordering as L
+    found = Fl.user_search(t.users, "R#00000")
+    report = A.user_totals(found, t.sessions, t.payments, safe=False)
+    return L.page(report, [F.col("created_at").desc(), F.col("user_id").desc()], page_no=2, limit=20)
+
+
 @register("a7s_user_totals_safe", f"""
 select {_USER_COLS}, coalesce(s.n, 0) as total_sessions, cast(coalesce(p.spent, 0) as decimal(18,2)) as total_spent
 from users u
