@@ -174,6 +174,21 @@ def j3(t):
     return J.session_list(t.sessions, t.users, t.packages, t.payments)
 
 
+@register("j3p_admin_sessions_page", """
+select s.session_id, s.status, s.started_at, s.expires_at, s.data_used_mb, u.phone_number, u.name,
+  k.package_name, k.speed_mbps, py.amount_kes,
+  (select count(*) from sessions where status = 'active') as total_sessions
+from sessions s join users u on u.user_id = s.user_id join packages k on k.package_id = s.package_id
+join payments py on py.payment_id = s.payment_id
+where s.status = 'active'
+order by s.started_at desc, s.session_id desc limit 20
+""")
+def j3p(t):
+    """The admin sessions list as served: status filter, joins, total, first page of 20, newest first."""
+    rows = J.session_list(t.sessions, t.users, t.packages, t.payments, status="active")
+    return L.page(rows, [F.col("started_at").desc(), F.col("session_id").desc()], page_no=1, limit=20)
+
+
 @register("j4_left_hotspot", f"""
 select s.session_id, s.user_id, s.hotspot_user_id, hu.username as hotspot_username, s.expires_at
 from sessions_live s left join hotspot_users hu on hu.hotspot_user_id = s.hotspot_user_id
