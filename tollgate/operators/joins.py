@@ -100,6 +100,23 @@ def hotspot_sessions(sessions: DataFrame, users: DataFrame, packages: DataFrame,
                     "amount_kes")
 
 
+def hotspot_sessions_live(sessions: DataFrame, users: DataFrame, packages: DataFrame, payments: DataFrame,
+                          hotspot_users: DataFrame, feed: DataFrame, at: str) -> DataFrame:
+    """J8 + J10: the admin hotspot list -- sessions with their latest payment, time left
+    (floored at 0) and the router's live state looked up through the hotspot username."""
+    now = clock.at(at)
+    base = hotspot_sessions(sessions, users, packages, payments, "active")
+    snap = latest_snapshot(feed, at)
+    j = (base.join(hotspot_users.select("hotspot_user_id", "username"), "hotspot_user_id", "left")
+         .join(snap, "username", "left"))
+    return j.select(
+        "session_id", "status", "started_at", "expires_at", "hotspot_user_id", "phone_number", "name",
+        "package_name", "speed_mbps", "amount_kes",
+        F.greatest(seconds_between(now, "expires_at"), F.lit(0)).alias("time_remaining_s"),
+        F.when(F.col("bytes_in").isNotNull(), "online").otherwise("offline").alias("hotstatus"),
+        F.coalesce("bytes_in", F.lit(0)).alias("bytes_in"), F.coalesce("bytes_out", F.lit(0)).alias("bytes_out"))
+
+
 def first_callbacks(parsed: DataFrame) -> DataFrame:
     """The first callback per checkout id by (received_at, event_id); later ones ignored."""
     cols = [c for c in parsed.columns if c != "checkout_request_id"]

@@ -235,6 +235,27 @@ def j8(t):
     return J.hotspot_sessions(t.sessions, t.users, t.packages, t.payments, "active")
 
 
+@register("j8p_hotspot_sessions_page", f"""
+with b as (select s.session_id, s.status, s.started_at, s.expires_at, s.hotspot_user_id, u.phone_number, u.name,
+    k.package_name, k.speed_mbps, py.amount_kes
+  from sessions_live s join users u on u.user_id = s.user_id join packages k on k.package_id = s.package_id
+  join payments_live py on py.payment_id = (select x.payment_id from payments_live x where x.user_id = s.user_id
+    and x.package_id = s.package_id and x.status = 'completed' order by x.updated_at desc, x.payment_id desc limit 1)
+  where s.status = 'active')
+select b.*, greatest({secs(LIVE_SQL, 'b.expires_at')}, 0) as time_remaining_s,
+  case when snap.bytes_in is not null then 'online' else 'offline' end as hotstatus,
+  coalesce(snap.bytes_in, 0) as bytes_in, coalesce(snap.bytes_out, 0) as bytes_out
+from b left join hotspot_users hu on hu.hotspot_user_id = b.hotspot_user_id
+left join {SNAPSHOT} snap on snap.username = hu.username
+order by b.started_at desc, b.session_id desc limit 20
+""")
+def j8p(t):
+    """The admin hotspot list as served: latest payment, time left, live router state, first page."""
+    rows = J.hotspot_sessions_live(t.sessions_live, t.users, t.packages, t.payments_live, t.hotspot_users,
+                                   t.activity_feed, LIVE)
+    return L.page(rows, [F.col("started_at").desc(), F.col("session_id").desc()], page_no=1, limit=20)
+
+
 @register("j9_update_from", f"""
 select py.payment_id, py.user_id, py.package_id, k.duration_hours, c.checkout_request_id, 'completed' as status,
   c.receipt_number, c.transaction_date, coalesce(c.amount_kes, py.amount_kes) as amount_kes
