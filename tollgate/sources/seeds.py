@@ -21,7 +21,7 @@ SEED_PACKAGES = [
     ("1 Month Unlimited", 720, 600, 40, 10),
 ]
 SEED_USERS = [
-    ("254700000000", "Maidanja Admin", "admin"),
+    ("254700000000", "Service Admin", "admin"),
     ("254712345678", "Demo User", "user"),
 ]
 
