@@ -15,7 +15,8 @@ from util import sessions
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 5), st.integers(0, 10_000)), min_size=1, max_size=60))
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0, 5), st.integers(0, 10_000)),
+                min_size=1, max_size=60))
 def test_numbered_equals_row_number(spark, data):
     df = spark.createDataFrame([(i, g, p, k) for i, (g, p, k) in enumerate(data)], "id long, g int, p int, k int")
     got = numbered(df, ["g"], ["p", "k", "id"], n_partitions=3)

@@ -38,9 +38,14 @@ def numbered(df: DataFrame, group_cols: list[str], order_cols: list, n_partition
     stats = stats.select("_pid", *group_cols, "_first",
                          F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
                          F.sum("_n").over(whole).alias("_total"))
-    # stats has at most (partitions x groups) rows: a bounded broadcast
-    j = tagged.join(F.broadcast(stats), ["_pid", *[c for c in group_cols]], "inner") if group_cols else \
-        tagged.join(F.broadcast(stats), ["_pid"], "inner")
+    # stats has at most (partitions x groups) rows: a bounded broadcast; NULL groups
+    # are groups too, so the group columns are matched null-safely
+    st = stats.select(F.col("_pid").alias("_s_pid"), *[F.col(c).alias("_s_" + c) for c in group_cols],
+                      "_first", "_offset", "_total")
+    cond = F.col("_pid") == F.col("_s_pid")
+    for c in group_cols:
+        cond = cond & F.col(c).eqNullSafe(F.col("_s_" + c))
+    j = tagged.join(F.broadcast(st), cond, "inner").drop("_s_pid", *["_s_" + c for c in group_cols])
     out = j.withColumn(name, (F.col("_offset") + F.col("_pos") - F.col("_first") + 1).cast("bigint"))
     if count_name:
         out = out.withColumn(count_name, F.col("_total").cast("bigint"))
