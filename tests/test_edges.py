@@ -249,3 +249,10 @@ def test_sixth_login_refused(spark):
     pay = payments(spark, [])
     r = limits.rate_limit_batch(ev, logins, pay, NOW).collect()
     assert len(r) == 1 and r[0].attempts == 6 and r[0].refused == 1 and r[0].key == "254712345678"
+
+
+def test_overlaps_keep_null_users(spark):
+    s = sessions(spark, [(1, None, 1, 1, None, "2024-01-20 08:00:00", "2024-01-20 10:00:00", "active", None, 0, 0),
+                         (2, None, 1, 2, None, "2024-01-20 09:00:00", "2024-01-20 11:00:00", "active", None, 0, 0)])
+    got = {r.session_id: r.overlaps for r in J.overlapping_sessions(s).collect()}
+    assert got == {1: False, 2: True}

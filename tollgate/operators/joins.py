@@ -233,16 +233,22 @@ def overlapping_sessions(sessions: DataFrame) -> DataFrame:
     sessions in (started_at, session_id) order.  Computed as a two-level scan so
     no task holds a whole user: a window inside each (user, day), plus the max of
     all earlier days from a (user, day) table whose size is bounded by days.
+    The (user, day) keys are non-NULL surrogates (value with NULL replaced, plus
+    an is-NULL flag): a NULL user stays a partition of its own, and the plain
+    equi-join reuses the window's shuffle instead of shuffling sessions again.
     """
-    s = sessions.select("session_id", "user_id", "started_at", "expires_at",
-                        F.to_date("started_at").alias("_day"))
-    inside = Window.partitionBy("user_id", "_day").orderBy("started_at", "session_id") \
+    s = sessions.select("session_id", "user_id", "started_at", "expires_at")
+    day = F.to_date("started_at")
+    s = s.select("*", F.coalesce(F.col("user_id"), F.lit(0)).alias("_ku"), F.col("user_id").isNull().alias("_un"),
+                 F.coalesce(day, F.to_date(F.lit("1970-01-01"))).alias("_kd"), day.isNull().alias("_dn"))
+    keys = ["_ku", "_un", "_kd", "_dn"]
+    inside = Window.partitionBy(*keys).orderBy("started_at", "session_id") \
         .rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("_in", F.max("expires_at").over(inside))
-    days = s.groupBy("user_id", "_day").agg(F.max("expires_at").alias("_dmax"))
-    before = Window.partitionBy("user_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = s.groupBy(*keys).agg(F.max("expires_at").alias("_dmax"))
+    before = Window.partitionBy("_ku", "_un").orderBy("_dn", "_kd").rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_before", F.max("_dmax").over(before)).drop("_dmax")
-    j = s.join(days, ["user_id", "_day"])
+    j = s.join(days, keys)
     prev = F.greatest("_in", "_before")
     return j.select("session_id", "user_id", "started_at", "expires_at", prev.alias("prev_max_expires"),
                     F.coalesce(F.col("started_at") < prev, F.lit(False)).alias("overlaps"))
