@@ -17,18 +17,32 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
-    # streaming state off-heap in RocksDB (the default provider keeps all of it on the JVM heap)
+    "spark.ui.showConsoleProgress": "false",
+}
+
+
+# Settings for large runs, on top of BASE_CONF.  Streaming state goes to RocksDB
+# (off-heap; the default provider keeps every key's state on the JVM heap, which is
+# faster for small state, as in the tests, and fails for large state).  Shuffle
+# partitions are sized from the data by AQE, starting from a generous count.
+CLUSTER_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.files.maxPartitionBytes": str(256 << 20),
 }
 
 
 def build_session(master: str = "local[*]", app: str = "tollgate", shuffle_partitions: int = 8,
-                  extra: dict | None = None) -> SparkSession:
-    """Session for tests and local runs.  On a cluster, use the cluster's session."""
+                  extra: dict | None = None, cluster: bool = False) -> SparkSession:
+    """Session for tests and local runs (``cluster=True`` adds CLUSTER_CONF).
+
+    On a cluster, prefer the cluster's session with CLUSTER_CONF applied at submit time."""
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(BASE_CONF)
+    if cluster:
+        conf.update(CLUSTER_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
