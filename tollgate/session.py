@@ -62,11 +62,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster names it; only when it is unset (local tests) do we pick one.
+    The SparkContext is pointed at it once (each call to setCheckpointDir would
+    make a new sub-folder).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="tollgate-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
+        current = sc.getCheckpointDir()
+        d = current.rsplit("/", 1)[0] if current else tempfile.mkdtemp(prefix="tollgate-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
