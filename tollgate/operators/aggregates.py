@@ -162,6 +162,15 @@ def user_totals(users: DataFrame, sessions: DataFrame, payments: DataFrame, safe
                     n.alias("total_sessions"), money(spent).alias("total_spent"))
 
 
+def stats_columns() -> list:
+    """The A8 row from its raw measures (active count, hour bytes, today's users, duration
+    sum in microseconds and count); the mean is rounded half up to whole seconds."""
+    avg = F.when(F.col("dur_n") > 0, floor_div(F.col("dur_us") * 2 + F.col("dur_n") * 1_000_000,
+                                                F.col("dur_n") * 2_000_000))
+    return [F.col("active_sessions_count"), F.col("total_bytes_hour"), F.col("unique_users_today"),
+            avg.alias("avg_session_duration_seconds")]
+
+
 def system_stats(sessions: DataFrame, at: str, users: DataFrame | None = None, full: bool = False) -> DataFrame:
     """A8 / A8x: the stats snapshot row, all filtered aggregates in one pass.
 
@@ -190,10 +199,7 @@ def system_stats(sessions: DataFrame, at: str, users: DataFrame | None = None, f
              .alias("total_bytes_minute"),
         ]
     row = sessions.agg(*aggs)
-    avg = F.when(F.col("dur_n") > 0, floor_div(F.col("dur_us") * 2 + F.col("dur_n") * 1_000_000,
-                                                F.col("dur_n") * 2_000_000))
-    cols = [F.col("active_sessions_count"), F.col("total_bytes_hour"), F.col("unique_users_today"),
-            avg.alias("avg_session_duration_seconds")]
+    cols = stats_columns()
     if not full:
         return row.select(*cols, clock.at(at).alias("recorded_at"))
     hist = (sessions.where(F.col("ended_at").isNotNull())

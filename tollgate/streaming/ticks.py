@@ -1,8 +1,18 @@
-"""T6 stats_tick: one stats row (A8) appended per trigger.
+"""T6 stats_tick: one stats row (A8) appended per trigger, computed incrementally.
 
-Each micro-batch adds its sessions to the session store and appends the
-snapshot row computed over the store, both into the batch's own folder, so a
-replayed batch overwrites rather than duplicates.  ``start_ticks`` runs it on a
+A tick never rescans the session store.  Each micro-batch leaves three small
+pieces of state, each in its own ``batch_id=`` folder (a replayed batch
+rewrites the same folder):
+
+* ``parts``: one row of partial sums of the batch (active count, duration
+  sum and count) -- the running totals are sums over these rows;
+* ``recent``: the sessions started in the last hour (time and bytes), carried
+  forward from the previous tick and trimmed to the window -- bounded by one
+  hour of sessions;
+* ``today``: the distinct users who started a session today, carried forward
+  and trimmed the same way -- bounded by one day's users.
+
+The tick row is then read off these tables.  ``start_ticks`` runs it on a
 ``processingTime='60 seconds'`` trigger; tests drain the input with ``availableNow``.
 """
 
@@ -10,27 +20,65 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import system_stats
+from .. import clock
+from ..columns import micros_between
+from ..operators.aggregates import stats_columns
 from . import runner
 
 
-def _tick_fn(spark: SparkSession, base: str, schema, at: str | None):
+def _previous(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # no earlier tick
+        return None
+
+
+def _tick_fn(spark: SparkSession, base: str, at: str | None):
     def tick(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/store/batch_id={batch_id}")
-        store = spark.read.schema(schema).parquet(f"{base}/store")
         # a fixed clock in tests; a deployment stamps each tick with its own trigger time
-        now = at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        system_stats(store, now).write.mode("overwrite").parquet(f"{base}/stats/batch_id={batch_id}")
+        now_s = at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        hour_ago, today = clock.minus(now_s, hours=1), clock.day_start(now_s)
+        tomorrow = F.timestamp_add("DAY", F.lit(1), today)
+        ended = F.col("ended_at").isNotNull()
+        batch.agg(F.count_if(F.col("status") == "active").alias("n_active"),
+                  F.sum(F.when(ended, micros_between("started_at", "ended_at").cast("decimal(38,0)"))).alias("dur_us"),
+                  F.count(F.when(ended, F.lit(1))).alias("dur_n")) \
+            .write.mode("overwrite").parquet(f"{base}/parts/batch_id={batch_id}")
+
+        recent = batch.select("started_at", (F.col("bytes_downloaded") + F.col("bytes_uploaded")).alias("bytes"))
+        prev = _previous(spark, f"{base}/recent/batch_id={batch_id - 1}", "started_at timestamp_ntz, bytes bigint")
+        recent = recent if prev is None else prev.unionByName(recent)
+        recent.where(F.col("started_at") > hour_ago).write.mode("overwrite") \
+            .parquet(f"{base}/recent/batch_id={batch_id}")
+
+        users = batch.where((F.col("started_at") >= today) & (F.col("started_at") < tomorrow)) \
+            .select("user_id", "started_at")
+        prev = _previous(spark, f"{base}/today/batch_id={batch_id - 1}", "user_id bigint, started_at timestamp_ntz")
+        users = users if prev is None else prev.unionByName(users)
+        users.where((F.col("started_at") >= today) & (F.col("started_at") < tomorrow)) \
+            .groupBy("user_id").agg(F.min("started_at").alias("started_at")) \
+            .write.mode("overwrite").parquet(f"{base}/today/batch_id={batch_id}")
+
+        parts = spark.read.parquet(f"{base}/parts").where(F.col("batch_id") <= batch_id)
+        hour_bytes = spark.read.parquet(f"{base}/recent/batch_id={batch_id}").agg(F.sum("bytes")).scalar()
+        users_today = spark.read.parquet(f"{base}/today/batch_id={batch_id}").agg(F.count("user_id")).scalar()
+        row = parts.agg(F.coalesce(F.sum("n_active"), F.lit(0)).alias("active_sessions_count"),
+                        F.sum("dur_us").alias("dur_us"), F.coalesce(F.sum("dur_n"), F.lit(0)).alias("dur_n"))
+        row = row.select("*", F.coalesce(hour_bytes, F.lit(0)).cast("bigint").alias("total_bytes_hour"),
+                         users_today.alias("unique_users_today"))
+        row.select(*stats_columns(), clock.at(now_s).alias("recorded_at")).write.mode("overwrite") \
+            .parquet(f"{base}/stats/batch_id={batch_id}")
     return tick
 
 
 def start_ticks(spark: SparkSession, source_path: str, schema, base: str, every: str = "60 seconds"):
     """Deployment form: a long-running query appending one stats row per ``every`` trigger."""
     stream = runner.read_files(spark, source_path, schema, files_per_batch=1000)
-    return runner.run_foreach_batch(stream, base, _tick_fn(spark, base, schema, None), processing_time=every)
+    return runner.run_foreach_batch(stream, base, _tick_fn(spark, base, None), processing_time=every)
 
 
 def run_ticks(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 4) -> DataFrame:
@@ -38,7 +86,7 @@ def run_ticks(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 4
     base = runner.run_folder(spark, "stats_tick")
     src = runner.stage_ordered(sessions, "started_at", f"{base}/in", slices)
     stream = runner.read_files(spark, src, sessions.schema)
-    runner.run_foreach_batch(stream, base, _tick_fn(spark, base, sessions.schema, at))
+    runner.run_foreach_batch(stream, base, _tick_fn(spark, base, at))
     return spark.read.parquet(f"{base}/stats")
 
 
