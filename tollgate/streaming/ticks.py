@@ -4,8 +4,8 @@ A tick never rescans the session store.  Each micro-batch leaves three small
 pieces of state, each in its own ``batch_id=`` folder (a replayed batch
 rewrites the same folder):
 
-* ``parts``: one row of partial sums of the batch (active count, duration
-  sum and count) -- the running totals are sums over these rows;
+* ``totals``: one row of running sums (active count, duration sum and
+  count), the previous tick's row plus this batch's partial sums;
 * ``recent``: the sessions started in the last hour (time and bytes), carried
   forward from the previous tick and trimmed to the window -- bounded by one
   hour of sessions;
@@ -30,6 +30,9 @@ from ..operators.aggregates import stats_columns
 from . import runner
 
 
+TOTALS_SCHEMA = "n_active bigint, dur_us decimal(38,0), dur_n bigint"
+
+
 def _previous(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -44,10 +47,16 @@ def _tick_fn(spark: SparkSession, base: str, at: str | None):
         hour_ago, today = clock.minus(now_s, hours=1), clock.day_start(now_s)
         tomorrow = F.timestamp_add("DAY", F.lit(1), today)
         ended = F.col("ended_at").isNotNull()
-        batch.agg(F.count_if(F.col("status") == "active").alias("n_active"),
-                  F.sum(F.when(ended, micros_between("started_at", "ended_at").cast("decimal(38,0)"))).alias("dur_us"),
-                  F.count(F.when(ended, F.lit(1))).alias("dur_n")) \
-            .write.mode("overwrite").parquet(f"{base}/parts/batch_id={batch_id}")
+        part = batch.agg(F.count_if(F.col("status") == "active").alias("n_active"),
+                         F.sum(F.when(ended, micros_between("started_at", "ended_at").cast("decimal(38,0)")))
+                         .alias("dur_us"),
+                         F.count(F.when(ended, F.lit(1))).alias("dur_n"))
+        prev = _previous(spark, f"{base}/totals/batch_id={batch_id - 1}", TOTALS_SCHEMA)
+        both = part if prev is None else prev.unionByName(part)
+        both.agg(F.coalesce(F.sum("n_active"), F.lit(0)).cast("bigint").alias("n_active"),
+                 F.sum("dur_us").cast("decimal(38,0)").alias("dur_us"),
+                 F.coalesce(F.sum("dur_n"), F.lit(0)).cast("bigint").alias("dur_n")) \
+            .write.mode("overwrite").parquet(f"{base}/totals/batch_id={batch_id}")
 
         recent = batch.select("started_at", (F.col("bytes_downloaded") + F.col("bytes_uploaded")).alias("bytes"))
         prev = _previous(spark, f"{base}/recent/batch_id={batch_id - 1}", "started_at timestamp_ntz, bytes bigint")
@@ -63,11 +72,10 @@ def _tick_fn(spark: SparkSession, base: str, at: str | None):
             .groupBy("user_id").agg(F.min("started_at").alias("started_at")) \
             .write.mode("overwrite").parquet(f"{base}/today/batch_id={batch_id}")
 
-        parts = spark.read.parquet(f"{base}/parts").where(F.col("batch_id") <= batch_id)
+        totals = spark.read.schema(TOTALS_SCHEMA).parquet(f"{base}/totals/batch_id={batch_id}")
         hour_bytes = spark.read.parquet(f"{base}/recent/batch_id={batch_id}").agg(F.sum("bytes")).scalar()
         users_today = spark.read.parquet(f"{base}/today/batch_id={batch_id}").agg(F.count("user_id")).scalar()
-        row = parts.agg(F.coalesce(F.sum("n_active"), F.lit(0)).alias("active_sessions_count"),
-                        F.sum("dur_us").alias("dur_us"), F.coalesce(F.sum("dur_n"), F.lit(0)).alias("dur_n"))
+        row = totals.select(F.col("n_active").alias("active_sessions_count"), "dur_us", "dur_n")
         row = row.select("*", F.coalesce(hour_bytes, F.lit(0)).cast("bigint").alias("total_bytes_hour"),
                          users_today.alias("unique_users_today"))
         row.select(*stats_columns(), clock.at(now_s).alias("recorded_at")).write.mode("overwrite") \
