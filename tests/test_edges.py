@@ -256,3 +256,20 @@ def test_overlaps_keep_null_users(spark):
                          (2, None, 1, 2, None, "2024-01-20 09:00:00", "2024-01-20 11:00:00", "active", None, 0, 0)])
     got = {r.session_id: r.overlaps for r in J.overlapping_sessions(s).collect()}
     assert got == {1: False, 2: True}
+
+
+def test_feed_blanks_and_live_state_defaults(spark):
+    feed = spark.createDataFrame([
+        (dt.datetime(2024, 1, 20, 11, 0), "254700000001", "10.5.1.1", "", None, "01:00:00"),     # blanks -> 0
+        (dt.datetime(2024, 1, 20, 11, 30), "254700000001", "10.5.1.2", "500", "7", "01:30:00"),  # newest wins
+        (dt.datetime(2024, 1, 20, 11, 40), None, "10.5.9.9", "9", "9", "00:10:00"),            # no user: dropped
+    ], "polled_at timestamp_ntz, user string, address string, bytes_in string, bytes_out string, uptime string")
+    clean = J.clean_feed(feed).collect()
+    assert len(clean) == 2 and (clean[0].bytes_in, clean[0].bytes_out) == (0, 0)
+    s = sessions(spark, [(1, 1, 1, 1, 101, "2024-01-20 10:00:00", "2024-01-20 13:00:00", "active", None, 0, 0),
+                         (2, 2, 1, 2, 102, "2024-01-20 10:00:00", "2024-01-20 11:00:00", "active", None, 0, 0)])
+    hu = spark.createDataFrame([(101, "254700000001", "254700000001"), (102, "254700000002", "254700000002")],
+                               "hotspot_user_id long, phone_number string, username string")
+    got = {r.session_id: (r.hotstatus, r.bytes_in, r.bytes_out, r.time_remaining_s)
+           for r in J.online_enrich(s, hu, feed, NOW).collect()}
+    assert got == {1: ("online", 500, 7, 3600), 2: ("offline", 0, 0, 0)}
