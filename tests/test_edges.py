@@ -273,3 +273,24 @@ def test_feed_blanks_and_live_state_defaults(spark):
     got = {r.session_id: (r.hotstatus, r.bytes_in, r.bytes_out, r.time_remaining_s)
            for r in J.online_enrich(s, hu, feed, NOW).collect()}
     assert got == {1: ("online", 500, 7, 3600), 2: ("offline", 0, 0, 0)}
+
+
+def test_pay_amount_and_result_codes(spark):
+    from tollgate.functions import callbacks as CB
+    df = spark.createDataFrame([(decimal.Decimal("19.01"), dt.datetime(2024, 1, 20, 22, 30, 5))],
+                               "price decimal(10,2), ts timestamp_ntz")
+    r = df.select(labels.stk_amount("price").alias("a"), labels.eat_timestamp14("ts").alias("t")).collect()[0]
+    assert (r.a, r.t) == (20, "20240121013005")
+    codes = spark.createDataFrame([(0,), (1032,), (17,), (4999,)], "c long")
+    got = [(r.p, r.k) for r in codes.select(CB.poll_outcome("c").alias("p"), CB.callback_outcome("c").alias("k"))
+           .collect()]
+    assert got == [("completed", "completed"), ("failed", "failed"), ("failed", "failed"), ("pending", "failed")]
+
+
+@pytest.mark.parametrize("n,status,pct", [(750, "healthy", "75.0"), (751, "warning", "75.1"),
+                                          (901, "critical", "90.1")])
+def test_capacity_thresholds(spark, n, status, pct):
+    s = sessions(spark, [(i, i, 1, i, None, "2024-01-20 10:00:00", "2024-01-20 13:00:00", "active", None, 0, 0)
+                         for i in range(n)])
+    r = A.capacity_health(s, 1000).collect()[0]
+    assert (r.status, str(r.capacity_percent)) == (status, pct)
