@@ -61,3 +61,29 @@ def test_safe_daily_revenue_sums_to_paid_by_session_users(spark, sf_small):
     all_paid = t.payments.where("status = 'completed'").join(t.users.select("user_id"), "user_id", "left_semi") \
         .agg(F.sum("amount_kes")).collect()[0][0]
     assert totals == all_paid
+
+
+def test_session_exists_partitions_completed_payments(spark, sf_small):
+    from tollgate.sources.fixtures import Tables
+    t = Tables(spark, sf_small)
+    out = J.session_exists(t.payments, t.sessions)
+    completed = t.payments.where("status = 'completed'").count()
+    assert out.count() == completed == out.select("payment_id").distinct().count()
+
+
+def test_package_shares_add_up(spark, sf_small):
+    from tollgate.sources.fixtures import Tables
+    t = Tables(spark, sf_small)
+    shares = A.package_breakdown(t.payments, t.packages)
+    n, total = shares.agg(F.count("*"), F.sum("share_bp")).collect()[0]
+    assert 10000 - n <= total <= 10000  # each share is floored, so at most one bp lost per package
+
+
+def test_price_list_middle_flag(spark):
+    from tollgate.operators import windows as Wn
+    from util import packages as pk
+    p = pk(spark, [(i, f"p{i}", h, price, 5, True, 0) for i, (h, price) in
+                   enumerate([(1, 10), (2, 15), (3, 20), (24, 80), (168, 200)], start=1)])
+    got = {(r.category, r.package_id): (r.serial, r.most_booked) for r in Wn.price_list(p, n_partitions=2).collect()}
+    assert got[("all", 3)] == (3, True) and got[("short", 2)] == (2, True) and got[("daily", 4)] == (1, False)
+    assert sum(1 for v in got.values() if v[1]) == 2  # 'all' and 'short'; the one-item lists get no flag
