@@ -73,3 +73,10 @@ def test_daily_stats_has_no_user_day_join(plans):
     for key in ("a6_daily_stats", "a6s_daily_stats_safe"):
         assert "Left keys [2]" not in plans[key], key
         assert "Union" in plans[key], key
+
+
+def test_no_python_in_any_batch_plan(plans):
+    python_nodes = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas",
+                    "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas", "PythonUDF")
+    bad = [(k, n) for k, p in plans.items() for n in python_nodes if n in p]
+    assert bad == []
