@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, exact_dedup
+from . import common, exact_dedup, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,17 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     found = exact_dedup.grace_dedup(docs)
     return found.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-word SimHash fingerprints of every document, linked at 2 or fewer differing bits."""
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), width=3, radius=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under 13-word windows that also start in a smaller document, over whole texts."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.substring_dedup(docs, window=13, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
