@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, simhash, substring_dedup
+from . import common, exact_dedup, packing, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +54,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 13-word windows that also start in a smaller document, over whole texts."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.substring_dedup(docs, window=13, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of 2048-id sequences, along a Hilbert curve."""
+    docs = common.table(spark, sf_dir, "documents")
+    found = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=1, length=2048)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
