@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, packing, simhash, substring_dedup
+from . import common, exact_dedup, packing, quality, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     found = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=1, length=2048)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Co-trained quality score of every document; a quarter of the labels is held out."""
+    found = quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return found.select("doc_id", quality.held_out().alias("held_out"), "score", "keep")
