@@ -6,9 +6,18 @@ as Parquet and reread as the next stage's docs.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tollgate.llm import common, exact_dedup
+from tollgate.llm import common, exact_dedup, packing, quality, simhash, substring_dedup
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained quality classifier rejects go."""
+    common.prepare(spark)
+    return quality.kept_documents(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +26,26 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact_dedup.kept_documents(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose 3-word SimHashes are linked at 2 or fewer bits, the one with the smallest doc_id stays."""
+    common.prepare(spark)
+    return simhash.kept_documents(docs, width=3, radius=2)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 13 words or more that a smaller document holds too are cut; every document stays."""
+    common.prepare(spark)
+    return substring_dedup.without_repeats(docs, window=13)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 2048 along a Hilbert curve: one row per piece, with its ids."""
+    common.prepare(spark)
+    return packing.pack(docs, TOKENIZER, end=1, length=2048)
+
+
+STAGES = [("quality", drop_poor), ("exact_dedup", drop_exact_copies), ("simhash", drop_near_copies),
+          ("substring_dedup", cut_repeats), ("packing", pack)]
 
 # Learned scores and tokenizer ids are outside SQL; tests compare with brute-force versions.
 ORACLE_SQL = None
