@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, packing, quality, simhash, substring_dedup
+from . import common, exact_dedup, packing, quality, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-trained quality score of every document; a quarter of the labels is held out."""
     found = quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return found.select("doc_id", quality.held_out().alias("held_out"), "score", "keep")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, by a field trained on labels outside the held-out quarter."""
+    found = toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), threshold=0.3)
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
