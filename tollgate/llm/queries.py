@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, exact_dedup, packing, quality, simhash, substring_dedup, toxicity
+from . import common, exact_dedup, html_extract, packing, quality, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +76,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, by a field trained on labels outside the held-out quarter."""
     found = toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"), threshold=0.3)
     return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
+@query("op8_html_extract")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(common.table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "n_blocks", "n_content")
