@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, exact_dedup, html_extract, packing, quality, simhash, substring_dedup, toxicity
+from . import ann, common, exact_dedup, html_extract, licenses, packing, quality, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows of every hundredth vector, over learned partitions of all rows."""
     return ann.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op4_licenses")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every whole text."""
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
