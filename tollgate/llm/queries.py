@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, exact_dedup, html_extract, licenses, packing, quality, simhash, substring_dedup, toxicity
+from . import ann, common, exact_dedup, html_extract, licenses, packing, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices in every whole text."""
     return licenses.scan(common.table(spark, sf_dir, "documents"))
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces by Viterbi search, and whether they decode to it."""
+    return sentencepiece_codec.digest(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
