@@ -1,12 +1,13 @@
 """SimHash near-duplicates: tiled exact comparison of fingerprints with numpy.
 
 Distinct fingerprints are put into tiles by the population counts of their lanes (the
-64 bits cut into 1, 2, 4 or 8 equal parts).  Two fingerprints within the radius differ
+64 bits cut into 2, 4 or 8 equal parts).  Two fingerprints within the radius differ
 by at most the radius in the sum of the lanes' population counts, so a tile meets only
 the tiles whose counts are that near; every other tile pair is skipped.  Inside a pair
 all bits are compared (exclusive-or, bit counts).  The lane count follows the number of
 fingerprints, so that tiles stay small; it decides which pairs are skipped, never which
-links are found.  A tile above TILE fingerprints is cut into blocks.
+links are found.  A tile above TILE fingerprints is cut into blocks, and what passes by a
+tile into segments, so that no task depends on how full the middle tiles are.
 
 A tile pair gives a spanning set of its links, not all of them: components are the same.
 
@@ -29,7 +30,7 @@ from .common import LOWER_AZ, as_bytes, signed, tasks_for, written
 from .components import connected_components
 
 SEED = 42
-TILE = 4096
+TILE, SEGMENT = 16_384, 8_192
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -82,8 +83,8 @@ def _near(lanes: int, radius: int) -> list[tuple[int, ...]]:
 
 
 def lanes_for(n: int, tile: int = TILE) -> int:
-    """The fewest lanes at which a middling tile of n random fingerprints stays within ``tile``."""
-    for lanes, share in ((1, 0.1), (2, 0.1**2 * 2), (4, 0.14**4 * 4)):  # share of the fullest tile
+    """The fewest lanes (2, 4 or 8) at which the fullest tile of n random fingerprints stays within ``tile``."""
+    for lanes, share in ((2, 0.02), (4, 0.0015)):  # share of the fullest tile
         if n * share <= tile:
             return lanes
     return 8
@@ -117,7 +118,8 @@ def _compare(left: np.ndarray, right: np.ndarray, radius: int, upper: bool) -> I
 
 
 def _tiles(radius: int):
-    """Rows sorted by (unit, block, side): side 0 is the block's own tile part, side 1 is streamed past it."""
+    """Rows sorted by (unit, block, segment, side): side 0 is the block's own tile part, side 1 is streamed past it.
+    The own part is compared with itself in segment 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, own, closed = None, [], False
 
@@ -125,7 +127,8 @@ def _tiles(radius: int):
             nonlocal own, closed
             if not closed:
                 own, closed = np.concatenate(own) if own else np.empty(0, np.uint64), True
-                yield from _compare(own, own, radius, True)
+                if key[2] == 0:
+                    yield from _compare(own, own, radius, True)
 
         def links(found):
             for a, b in found:
@@ -133,22 +136,21 @@ def _tiles(radius: int):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
-            unit, block, side, fp = (batch.column(c).to_numpy() for c in ("unit", "block", "side", "fp"))
+            unit, block, segment, side, fp = (batch.column(c).to_numpy() for c in ("unit", "block", "segment", "side", "fp"))
             fp = fp.view(np.uint64)
-            cuts = np.flatnonzero((np.diff(unit) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1
+            cuts = np.flatnonzero((np.diff(unit) != 0) | (np.diff(block) != 0) | (np.diff(segment) != 0) | (np.diff(side) != 0)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(fp)], strict=True):
                 if a == b:
                     continue
-                if (unit[a], block[a]) != key:
+                if (unit[a], block[a], segment[a]) != key:
                     yield from links(close()) if key is not None else ()
-                    key, own, closed = (unit[a], block[a]), [], False
+                    key, own, closed = (unit[a], block[a], segment[a]), [], False
                 if side[a] == 0:
                     own.append(fp[a:b])
                 else:
                     yield from links(close())
                     if len(own):
-                        for i in range(a, b, TILE):
-                            yield from links(_compare(own, fp[i : min(i + TILE, b)], radius, False))
+                        yield from links(_compare(fp[a:b], own, radius, False))
         if key is not None:
             yield from links(close())
     return run
@@ -163,34 +165,40 @@ def _tile_key(lanes: int) -> F.Column:
     return out
 
 
-def near_links(distinct: DataFrame, radius: int = 2, lanes: int | None = None, tile: int = TILE) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 2, lanes: int | None = None, tile: int = TILE, segment: int = SEGMENT) -> DataFrame:
     """(u, v) over a written table of distinct ``fp`` that span every component of fingerprints within ``radius`` bits."""
     spark = distinct.sparkSession
     n = distinct.count()
     lanes = lanes or lanes_for(n, tile)
     keyed = distinct.select("fp", _tile_key(lanes).alias("tile"))
-    steps = [sum(d * (1 << (7 * k)) for k, d in enumerate(delta)) for delta in _near(lanes, radius)]
-    # tiles that need several blocks; each block meets every fingerprint of the tiles near it
-    sizes = written(keyed.groupBy("tile").count().select(F.col("tile").alias("unit"), F.ceil(F.col("count") / tile).cast("int").alias("blocks")), "simhash-tiles")
-    sent = keyed.select("fp", F.posexplode(F.array(*[F.col("tile") - F.lit(s).cast("long") for s in steps])).alias("step", "unit")).join(sizes, "unit")
-    home = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    # a fingerprint is in its own block's tile part; it passes by the later blocks of its tile, and by all blocks of near tiles
-    passing = F.expr("filter(sequence(0, blocks - 1), b -> step > 0 OR b > home)")
-    placed = sent.withColumn("home", home).select(
-        "fp", "unit", F.explode(F.concat(
-            F.when(F.col("step") == 0, F.array(F.struct(F.col("home").alias("block"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<block:int,side:int>>")),
-            F.transform(passing, lambda b: F.struct(b.alias("block"), F.lit(1).alias("side"))))).alias("at"))
+    steps = [F.lit(sum(d * (1 << (7 * k)) for k, d in enumerate(delta))).cast("long") for delta in _near(lanes, radius)]
+    # how many blocks a tile has, and how many segments pass by it: its near tiles, and its own later blocks
+    sizes = written(keyed.groupBy("tile").count(), "simhash-tiles")
+    passing = sizes.select(F.posexplode(F.array(*[F.col("tile") - s for s in steps])).alias("step", "unit"), "count") \
+        .groupBy("unit").agg(F.sum(F.when(F.col("step") > 0, F.col("count")).otherwise(0)).alias("passing"))
+    blocks = F.ceil(F.col("count") / tile).cast("int")
+    plan = written(sizes.withColumnRenamed("tile", "unit").join(passing, "unit").select(
+        "unit", blocks.alias("blocks"),
+        F.greatest(F.ceil((F.col("passing") + F.when(blocks > 1, F.col("count")).otherwise(0)) / segment), F.lit(1)).cast("int").alias("segments")), "simhash-plan")
+    sent = keyed.select("fp", F.posexplode(F.array(*[F.col("tile") - s for s in steps])).alias("step", "unit")).join(plan, "unit")
+    placed = sent.withColumn("home", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")) \
+        .withColumn("segment", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("segments")).cast("int"))
+    # a tile's own fingerprint meets every segment in its block; any other passes by each block in its segment
+    at = F.expr("""concat(
+        if(step = 0, transform(sequence(0, segments - 1), s -> struct(home AS block, s AS segment, 0 AS side)), array()),
+        transform(filter(sequence(0, blocks - 1), b -> step > 0 OR b > home), b -> struct(b AS block, segment AS segment, 1 AS side)))""")
+    rows = placed.select("fp", "unit", F.explode(at).alias("at")).select("unit", "at.*", "fp")
     parts = tasks_for(spark, n * len(steps) * 32, 32 << 20)
-    return placed.select("unit", "at.block", "at.side", "fp").repartition(parts, "unit", "block") \
-        .sortWithinPartitions("unit", "block", "side").mapInArrow(_tiles(radius), "u long, v long")
+    return rows.repartition(parts, "unit", "block", "segment").sortWithinPartitions("unit", "block", "segment", "side") \
+        .mapInArrow(_tiles(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                    radius: int = 2, lanes: int | None = None, tile: int = TILE) -> DataFrame:
+                    radius: int = 2, lanes: int | None = None, tile: int = TILE, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id reachable over links of ``radius`` bits or fewer."""
     rows = written(fingerprints(docs, id_col, text_col, width), "simhash-fp")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    parts = connected_components(near_links(distinct.select("fp"), radius, lanes, tile))
+    parts = connected_components(near_links(distinct.select("fp"), radius, lanes, tile, segment))
     grouped = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component"))
     names = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
