@@ -154,13 +154,14 @@ def fit_field(texts: list[list[str]], toxic: np.ndarray, steps: int = 60, ridge:
     if not marked:
         return None
     cue_words = {id(obs) for obs in known.values() if any(f in marked for f in obs)}
+    # documents of one label follow each other in one stream, so that short ones count too
     segments, tags = [], []
-    for doc, label in zip(seen, toxic.tolist(), strict=True):
-        tag = [bool(label) and id(obs) in cue_words for obs in doc]
-        for i in range(0, len(doc) - SEGMENT + 1, SEGMENT) if len(doc) >= SEGMENT else ():
-            part = tag[i : i + SEGMENT]
-            if any(part) or (i // SEGMENT) % 16 == 0:  # every toxic segment, a sixteenth of the others
-                segments.append(doc[i : i + SEGMENT])
+    for label in (0, 1):
+        stream = [obs for doc, k in zip(seen, toxic.tolist(), strict=True) if k == label for obs in doc]
+        for n, i in enumerate(range(0, len(stream) - SEGMENT + 1, SEGMENT)):
+            part = [bool(label) and id(obs) in cue_words for obs in stream[i : i + SEGMENT]]
+            if any(part) or n % 16 == 0:  # every segment with a toxic token, a sixteenth of the others
+                segments.append(stream[i : i + SEGMENT])
                 tags.append(part)
     if not segments:
         return None
