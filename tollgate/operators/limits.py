@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import clock
 from ..functions import phones
 
 EPOCH = "1970-01-01 00:00:00"
@@ -21,14 +20,13 @@ def bucket_start(ts: Column | str, seconds: int) -> Column:
     return F.timestamp_add("MICROSECOND", -(us % F.lit(seconds * 1_000_000)), ts)
 
 
-def attempts(events: DataFrame, logins: DataFrame, payments: DataFrame, at: str) -> DataFrame:
-    """Every request with its limiter, key, window start, window length and allowance (before ``at``)."""
-    now = clock.at(at)
+def attempts(events: DataFrame, logins: DataFrame, payments: DataFrame) -> DataFrame:
+    """Every request that has a time, with its limiter, key, window start, window length and allowance."""
     spec = {name: (secs, mx) for name, secs, mx in LIMITS}
 
     def keyed(df, name, key, ts):
         secs, mx = spec[name]
-        return df.where(F.col(ts) < now).select(
+        return df.where(F.col(ts).isNotNull()).select(
             F.lit(name).alias("limiter"), key.alias("key"), F.col(ts).alias("ts"),
             bucket_start(ts, secs).alias("window_start"), F.lit(secs).alias("window_seconds"),
             F.lit(mx).alias("max_allowed"))
@@ -46,9 +44,9 @@ def summarise(counted: DataFrame) -> DataFrame:
         "attempts", "max_allowed", F.greatest(F.col("attempts") - F.col("max_allowed"), F.lit(0)).alias("refused"))
 
 
-def rate_limit_batch(events: DataFrame, logins: DataFrame, payments: DataFrame, at: str) -> DataFrame:
+def rate_limit_batch(events: DataFrame, logins: DataFrame, payments: DataFrame) -> DataFrame:
     """Attempts per (limiter, key, window); ``refused`` = attempts beyond the allowance."""
-    a = attempts(events, logins, payments, at)
+    a = attempts(events, logins, payments)
     c = a.groupBy("limiter", "key", "window_start", "window_seconds", "max_allowed").agg(
         F.count(F.lit(1)).alias("attempts"))
     return summarise(c)

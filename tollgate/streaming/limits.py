@@ -1,7 +1,10 @@
-"""T4 rate_limit: the limiter counts as a streaming aggregation.
+"""T4 rate_limit: the limiter counts as streaming aggregations, one stream per limiter.
 
-Windows are keyed by their start; the watermark on that start finalises a
-window once a later one has begun, and append mode emits each window once.
+Each limiter has its own windows, so each gets its own query and its own watermark: a
+payment minute that ends says nothing about a login quarter of an hour.  The watermark
+stands on the request's own time, ``lateness`` behind the newest one (a documented
+argument; at least one window by default), so a window is final once no request for it is
+still expected.  Requests without a time belong to no window.
 """
 
 from __future__ import annotations
@@ -9,30 +12,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import clock
-from ..operators.limits import attempts, summarise
+from ..operators.limits import LIMITS, attempts, summarise
 from . import runner
 
 SCHEMA = ("limiter string, key string, ts timestamp_ntz, window_start timestamp_ntz, window_seconds int, "
           "max_allowed int")
+TICK = "tick"
 
 
-def limit_stream(requests: DataFrame) -> DataFrame:
-    s = runner.to_event_time(requests, "window_start", "wm").withWatermark("wm", "0 seconds")
-    c = s.groupBy("limiter", "key", "wm", "window_start", "window_seconds", "max_allowed").agg(
-        F.count(F.lit(1)).alias("attempts"))
+def limit_stream(requests: DataFrame, seconds: int, lateness: str | None = None) -> DataFrame:
+    """Requests of one limiter, counted per key and window of ``seconds``."""
+    s = runner.to_event_time(requests, "ts", "wm").withWatermark("wm", lateness or f"{seconds} seconds")
+    c = s.groupBy("limiter", "key", F.window("wm", f"{seconds} seconds").alias("w"), "window_seconds",
+                  "max_allowed").agg(F.count(F.lit(1)).alias("attempts"))
     # tick rows are dropped when the sink is read: a filter here could be pushed
     # below the watermark and the tick would no longer move event time
-    return c.drop("wm")
+    return c.select("limiter", "key", F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    "window_seconds", "max_allowed", "attempts")
 
 
-def run_rate_limit(spark: SparkSession, events: DataFrame, logins: DataFrame, payments: DataFrame, at: str,
+def _closing_tick(requests: DataFrame, seconds: int) -> DataFrame:
+    """One row three windows after the last request: it closes every window."""
+    return requests.agg(F.max("ts").alias("m")).where(F.col("m").isNotNull()).select(
+        F.lit(TICK).alias("limiter"), F.lit("").alias("key"),
+        F.timestamp_add("SECOND", F.lit(3 * seconds), F.col("m")).alias("ts"),
+        F.lit(None).cast("timestamp_ntz").alias("window_start"), F.lit(seconds).alias("window_seconds"),
+        F.lit(0).alias("max_allowed"))
+
+
+def run_rate_limit(spark: SparkSession, events: DataFrame, logins: DataFrame, payments: DataFrame,
                    slices: int = 4) -> DataFrame:
-    base = runner.run_folder(spark, "rate_limit")
-    reqs = attempts(events, logins, payments, at)
-    tick = spark.range(1).select(F.lit("tick").alias("limiter"), F.lit("").alias("key"), clock.at(at).alias("ts"),
-                                 clock.at(at).alias("window_start"), F.lit(0).alias("window_seconds"),
-                                 F.lit(0).alias("max_allowed"))
-    src = runner.stage_ordered(reqs.unionByName(tick), "ts", f"{base}/in", slices)
-    out = runner.run_to_parquet(limit_stream(runner.read_files(spark, src, SCHEMA)), base)
-    return summarise(spark.read.parquet(out).where(F.col("limiter") != "tick"))
+    """T4 over recorded requests: every limiter's stream drained, all windows closed."""
+    requests = attempts(events, logins, payments)
+    outs = []
+    for name, seconds, _ in LIMITS:
+        base = runner.run_folder(spark, f"rate_limit_{name}")
+        mine = requests.where(F.col("limiter") == name)
+        replay = runner.Replay([(mine.unionByName(_closing_tick(mine, seconds)), "ts")], base, slices)
+
+        def run(base=base, replay=replay, seconds=seconds):
+            runner.run_to_parquet(limit_stream(runner.read_files(spark, replay.paths[0], SCHEMA), seconds), base)
+
+        replay.drain(run)
+        outs.append(spark.read.parquet(f"{base}/out").where(F.col("limiter") != TICK))
+    counted = outs[0]
+    for o in outs[1:]:
+        counted = counted.unionByName(o)
+    return summarise(counted)
