@@ -13,7 +13,6 @@ from ..streaming import callbacks as SC
 from ..streaming import deadline as SD
 from ..streaming import expiry as SE
 from ..streaming import limits as SL
-from ..streaming import runner
 from ..streaming import ticks as ST
 from . import jobs, reports  # noqa: F401  (the batch twins U5 and A8 must be registered first)
 from .oracle import LIVE_SQL
@@ -24,9 +23,7 @@ from .sqlparts import FIRST_CALLBACKS, PARSED_CALLBACKS, phone_normalised
 @register("s3_callback_source", f"select * from {PARSED_CALLBACKS}")
 def s3(t):
     """Callback documents read as a file stream and parsed, drained into a file sink."""
-    base = runner.run_folder(t.spark, "callback_source")
-    out = runner.run_to_parquet(SC.callback_stream(t.spark, t.callbacks, base), base)
-    return t.spark.read.parquet(out)
+    return SC.run_source(t.spark, t.callbacks)
 
 
 @register("t1_callback_dedup", f"select * from {FIRST_CALLBACKS}")
@@ -51,17 +48,15 @@ select session_id, user_id, expires_at as expired_at from sessions_live
 where status <> 'disconnected' and expires_at < {LIVE_SQL} and started_at <= {LIVE_SQL}""")
 def t3(t):
     """Sessions expire when event time passes expires_at unless disconnected first (twin: U1)."""
-    return SE.run_expiry(t.spark, t.sessions_live, t.packages, LIVE)
+    return SE.run_expiry(t.spark, t.sessions_live, LIVE)
 
 
 _NORM = phone_normalised("raw_phone")
 _T4B = f"""
 with a as (
   select 'general' as limiter, cast(user_id as varchar) as key, ts, 900 as secs, 100 as mx from events
-  where ts < {LIVE_SQL}
-  union all select 'login', coalesce({_NORM}, raw_phone), ts, 900, 5 from logins where ts < {LIVE_SQL}
-  union all select 'payment', cast(user_id as varchar), created_at, 60, 10 from payments_live
-  where created_at < {LIVE_SQL}),
+  union all select 'login', coalesce({_NORM}, raw_phone), ts, 900, 5 from logins
+  union all select 'payment', cast(user_id as varchar), created_at, 60, 10 from payments_live),
 b as (select *, make_timestamp(epoch_us(ts) - epoch_us(ts) % (secs * 1000000)) as window_start from a)
 select limiter, key, window_start, window_start + to_seconds(secs) as window_end, count(*) as attempts,
   mx as max_allowed, greatest(count(*) - mx, 0) as refused
@@ -71,13 +66,13 @@ from b group by limiter, key, window_start, secs, mx"""
 @register("t4_rate_limit", _T4B)
 def t4(t):
     """Streaming request counts per limiter, key and window, with refusals (twin: T4b)."""
-    return SL.run_rate_limit(t.spark, t.raw("events"), t.logins, t.payments_live, LIVE)
+    return SL.run_rate_limit(t.spark, t.raw("events"), t.logins, t.payments_live)
 
 
 @register("t4b_rate_limit_batch", _T4B)
 def t4b(t):
     """Request counts per limiter, key and window over the whole tables, with refusals."""
-    return LM.rate_limit_batch(t.raw("events"), t.logins, t.payments_live, LIVE)
+    return LM.rate_limit_batch(t.raw("events"), t.logins, t.payments_live)
 
 
 @register("t5_poll_deadline", f"""

@@ -1,93 +1,100 @@
-"""T1 callback_dedup and T2 settle_stream."""
+"""S3 callback_source, T1 callback_dedup and T2 settle_stream."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.callbacks import parse_callbacks
 from ..operators import transitions as U
+from ..operators.joins import first_callbacks
 from . import runner
 
-RAW_SCHEMA = "event_id bigint, received_at timestamp_ntz, body string"
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"  # of received_at in the JSON lines
 PARSED_COLS = ["event_id", "received_at", "checkout_request_id", "result_code", "result_desc", "amount_kes",
                "receipt_number", "transaction_date", "phone_number"]
-OUT_SCHEMA = ("event_id bigint, received_at timestamp, checkout_request_id string, result_code bigint, "
-              "result_desc string, amount_kes decimal(10,2), receipt_number string, transaction_date string, "
-              "phone_number string")
-
-
-def dedup_stream(parsed: DataFrame, gap: str = "10 minutes") -> DataFrame:
-    """First-terminal-wins dedup by checkout id, JVM-only.
-
-    Deliveries of one checkout that follow each other within ``gap`` form one
-    session window; ``min_by`` over (received_at, event_id) keeps the first.
-    The aggregate is partial per partition and its state is bounded: a
-    checkout is finalised (emitted once, append mode) and forgotten when the
-    watermark passes its last delivery + gap.  A retry after a longer silence
-    starts a new window; the settlement step's terminal-status check ignores it.
-    """
-    s = runner.to_event_time(parsed.select(*PARSED_COLS), "received_at").withWatermark("received_at", gap)
-    cols = [c for c in PARSED_COLS if c != "checkout_request_id"]
-    g = s.groupBy("checkout_request_id", F.session_window("received_at", gap)).agg(
-        F.min_by(F.struct(*cols), F.struct("received_at", "event_id")).alias("f"))
-    return g.select(*[F.col("f")[c].alias(c) if c != "checkout_request_id" else F.col(c) for c in PARSED_COLS])
-
-
-def _with_end_tick(callbacks: DataFrame, days: int = 1) -> DataFrame:
-    """Append one clock tick a day after the last callback, so every window closes.
 
-    The tick carries an empty checkout id and is removed when the sink is read."""
-    tick = callbacks.agg(F.max("received_at").alias("m")).select(
-        F.lit(-1).cast("bigint").alias("event_id"), F.timestamp_add("DAY", F.lit(days), F.col("m")).alias("received_at"),
-        F.lit('{"Body":{"stkCallback":{"CheckoutRequestID":"","ResultCode":-1}}}').alias("body"))
-    return callbacks.select("event_id", "received_at", "body").unionByName(tick)
 
-
-def callback_documents(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+def callback_documents(spark: SparkSession, path: str, files_per_batch: int | None = 1000) -> DataFrame:
     """S3 for raw deliveries: one JSON document per file, as the webhook stores them.
 
     The whole file is the body; it is received when the file was written (file
     metadata), and the delivery id is derived from the file path.  Parsed with
     the same schema as every other callback (C8)."""
-    raw = (spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(path)
+    reader = spark.readStream.option("wholetext", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    raw = (reader.text(path)
            .select(F.xxhash64(F.col("_metadata.file_path")).alias("event_id"),
                    F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("received_at"),
                    F.col("value").alias("body")))
     return parse_callbacks(raw)
 
 
-def callback_stream(spark: SparkSession, callbacks: DataFrame, base: str, slices: int = 4) -> DataFrame:
-    """S3: callback documents as a file stream, parsed."""
-    src = runner.stage_ordered(callbacks.select("event_id", "received_at", "body"), "received_at", f"{base}/in",
-                               slices)
-    return parse_callbacks(runner.read_files(spark, src, RAW_SCHEMA))
+def callback_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """S3 for collected deliveries: JSON lines {event_id, received_at, body}, ``body`` being the document's text."""
+    reader = spark.readStream.schema("event_id bigint, received_at timestamp_ntz, body string") \
+        .option("timestampNTZFormat", TIME_FORMAT)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return parse_callbacks(reader.json(path))
 
 
-def run_dedup(spark: SparkSession, callbacks: DataFrame) -> DataFrame:
-    """T1 end to end: stage, stream, dedup into a file sink; returns the sink (NTZ times)."""
-    base = runner.run_folder(spark, "callback_dedup")
-    out = runner.run_to_parquet(dedup_stream(callback_stream(spark, _with_end_tick(callbacks), base)), base)
-    return (spark.read.schema(OUT_SCHEMA).parquet(out).where(F.col("checkout_request_id") != "")
-            .withColumn("received_at", F.col("received_at").cast("timestamp_ntz")))
+class JsonReplay(runner.Replay):
+    """Recorded callbacks, delivered as the JSON files that the source reads."""
 
+    def __init__(self, callbacks: DataFrame, base: str, slices: int = 4):
+        super().__init__([(callbacks.select("event_id", "received_at", "body"), "received_at")], base, slices)
 
-def run_settle(spark: SparkSession, callbacks: DataFrame, payments: DataFrame, packages: DataFrame) -> DataFrame:
-    """Deduplicated callbacks settle pending payments batch by batch.
+    def deliver(self, k: int) -> None:
+        self.rows[0].where(self.slices[k]).drop("_us").write.mode("append") \
+            .option("timestampNTZFormat", TIME_FORMAT).json(self.paths[0])
+
+
+def run_source(spark: SparkSession, callbacks: DataFrame, slices: int = 4) -> DataFrame:
+    """S3 end to end: JSON documents delivered in slices, read as a file stream, parsed, into a file sink."""
+    base = runner.run_folder(spark, "callback_source")
+    replay = JsonReplay(callbacks, base, slices)
+    replay.drain(lambda: runner.run_to_parquet(callback_lines(spark, replay.paths[0]), base))
+    return spark.read.parquet(f"{base}/out")
 
-    Each micro-batch joins its callbacks to the (static) payments, applies U5 and
-    writes the changed payments, plus U3's new sessions for completed ones, into
-    its own ``batch_id=`` folder with overwrite: a replayed batch rewrites the
-    same rows, so the at-least-once sink is effectively exactly-once.
-    """
-    base = runner.run_folder(spark, "settle_stream")
-    first = dedup_stream(callback_stream(spark, _with_end_tick(callbacks), base))
 
-    def settle(batch: DataFrame, batch_id: int) -> None:
-        cb = batch.withColumn("received_at", F.col("received_at").cast("timestamp_ntz"))
+def unseen_first(batch: DataFrame, spark: SparkSession, seen_path: str, batch_id: int) -> DataFrame:
+    """T1 for one micro-batch: the first delivery of each checkout that no earlier batch brought.
+
+    Within a batch the first is by (received_at, event_id), as in W4; an earlier batch
+    always wins, however long ago it was.  What a batch brought is its ``batch_id=``
+    folder of ids, so a replayed batch gives the same rows.  Ids are one column per
+    checkout; a deployment compacts old folders into one."""
+    seen = runner.batches_before(spark, seen_path, batch_id, "checkout_request_id string")
+    first = first_callbacks(batch.select(*PARSED_COLS)).join(seen, "checkout_request_id", "left_anti").select(*PARSED_COLS)
+    first.select("checkout_request_id").write.mode("overwrite").parquet(f"{seen_path}/batch_id={batch_id}")
+    return first
+
+
+def dedup_batches(spark: SparkSession, base: str) -> Callable[[DataFrame, int], None]:
+    """Write each batch's new first deliveries into its own folder."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        unseen_first(batch, spark, f"{base}/seen", batch_id).write.mode("overwrite").parquet(f"{base}/first/batch_id={batch_id}")
+        batch.unpersist()
+    return step
+
+
+def settle_batches(spark: SparkSession, base: str, payments: DataFrame, packages: DataFrame) -> Callable[[DataFrame, int], None]:
+    """Each batch's new first deliveries settle their payments (U5) and open sessions.
+
+    A checkout is settled by its first delivery alone: later ones, in whatever batch, are
+    removed by T1's ids before they reach a payment, so no payment settles twice and no
+    second session opens.  Each batch overwrites its own ``batch_id=`` folders."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        cb = unseen_first(batch, spark, f"{base}/seen", batch_id)
         hit = payments.join(cb.select("checkout_request_id"), "checkout_request_id", "left_semi")
-        changed = U.settle_payments(hit, cb).where(F.col("changed"))
-        changed.write.mode("overwrite").parquet(f"{base}/payments/batch_id={batch_id}")
+        U.settle_payments(hit, cb).where(F.col("changed")).write.mode("overwrite").parquet(f"{base}/payments/batch_id={batch_id}")
+        changed = spark.read.parquet(f"{base}/payments/batch_id={batch_id}")
         done = changed.where(F.col("status") == "completed").select("payment_id", "user_id", "package_id",
                                                                     F.col("updated_at").alias("opened_at"))
         opened = done.join(packages.select("package_id", "duration_hours"), "package_id").select(
@@ -96,6 +103,22 @@ def run_settle(spark: SparkSession, callbacks: DataFrame, payments: DataFrame, p
             F.timestamp_add("HOUR", F.col("duration_hours"), F.col("opened_at")).alias("expires_at"),
             F.lit("active").alias("status"))
         opened.write.mode("overwrite").parquet(f"{base}/sessions/batch_id={batch_id}")
+        batch.unpersist()
+    return step
 
-    runner.run_foreach_batch(first, base, settle)
+
+def run_dedup(spark: SparkSession, callbacks: DataFrame, slices: int = 4) -> DataFrame:
+    """T1 end to end: documents delivered in slices, the first delivery of each checkout kept."""
+    base = runner.run_folder(spark, "callback_dedup")
+    replay = JsonReplay(callbacks, base, slices)
+    replay.drain(lambda: runner.run_foreach_batch(callback_lines(spark, replay.paths[0]), base, dedup_batches(spark, base)))
+    return spark.read.parquet(f"{base}/first").drop("batch_id")
+
+
+def run_settle(spark: SparkSession, callbacks: DataFrame, payments: DataFrame, packages: DataFrame, slices: int = 4) -> DataFrame:
+    """T2 end to end: the payments that the delivered callbacks changed, each once."""
+    base = runner.run_folder(spark, "settle_stream")
+    replay = JsonReplay(callbacks, base, slices)
+    replay.drain(lambda: runner.run_foreach_batch(callback_lines(spark, replay.paths[0]), base,
+                                                  settle_batches(spark, base, payments, packages)))
     return spark.read.parquet(f"{base}/payments").drop("batch_id")

@@ -1,14 +1,17 @@
-"""Staging of ordered input files, and running a stream to completion."""
+"""Staging of time-ordered input, and running a stream to completion over it."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_path
 
+EPOCH = "1970-01-01 00:00:00"
+
 
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run (input files, sink, checkpoint) in the shared checkpoint area."""
@@ -18,77 +21,62 @@ def run_folder(spark: SparkSession, name: str) -> str:
 def epoch_micros(ts: Column | str) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ, with no zone involved."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)
+    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit(EPOCH)), ts)
 
 
-def stage_ordered(df: DataFrame, ts_col: str, path: str, slices: int = 4) -> str:
-    """Write ``df`` as ``slices`` parquet files in event-time order (one write per slice).
+class Replay:
+    """Recorded streams, delivered slice by slice in event-time order.
 
-    Slice bounds are approximate quantiles of the event time (a few numbers on
-    the driver); the file source then replays the slices in order, so event time
-    advances batch by batch as it would when data arrives.
+    Each stream is derived and written once.  Slices are cut at shared approximate
+    quantiles of all the streams' times (a few numbers on the driver); rows without an
+    event time are the first slice.  ``deliver`` appends one slice of every stream to its
+    source folder, by as many tasks as the slice needs, so a query restarted after it
+    sees new files only and all streams advance together.
     """
-    us = epoch_micros(ts_col)
-    keyed = df.withColumn("_us", us)
-    cuts = keyed.approxQuantile("_us", [i / slices for i in range(1, slices)], 0.001) if slices > 1 else []
-    bounds = [None] + sorted(set(int(c) for c in cuts)) + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
+
+    def __init__(self, streams: list[tuple[DataFrame, str]], base: str, slices: int = 4):
+        spark = streams[0][0].sparkSession
+        self.paths = [f"{base}/in{i}" for i in range(len(streams))]
+        self.rows = []
+        for i, (df, ts) in enumerate(streams):
+            df.withColumn("_us", epoch_micros(ts)).write.parquet(f"{base}/recorded{i}")
+            self.rows.append(spark.read.parquet(f"{base}/recorded{i}"))
+        times = self.rows[0].select("_us")
+        for r in self.rows[1:]:
+            times = times.unionByName(r.select("_us"))
+        cuts = times.approxQuantile("_us", [i / slices for i in range(1, slices)], 0.001) if slices > 1 else []
+        edges = sorted({int(c) for c in cuts})
+        bounds = list(zip([None, *edges], [*edges, None]))
+        self.slices = [F.col("_us").isNull()] + [self._between(lo, hi) for lo, hi in bounds]
+        if not times.where(F.col("_us").isNull()).limit(1).count():
+            self.slices = self.slices[1:]
+
+    @staticmethod
+    def _between(lo: int | None, hi: int | None) -> Column:
+        cond = F.col("_us").isNotNull()
         if lo is not None:
             cond = cond & (F.col("_us") > F.lit(lo))
         if hi is not None:
             cond = cond & (F.col("_us") <= F.lit(hi))
-        keyed.where(cond).drop("_us").coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def _tick(df: DataFrame, ts_col: str, at_us: int, overrides: dict | None) -> DataFrame:
-    """One marker row at ``at_us``: NULL everywhere except the event time (and ``overrides``)."""
-    at = F.timestamp_add("MICROSECOND", F.lit(at_us), F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")))
-    cols = []
-    for f in df.schema.fields:
-        if f.name == ts_col:
-            cols.append(at.alias(f.name))
-        elif overrides and f.name in overrides:
-            cols.append(overrides[f.name].cast(f.dataType).alias(f.name))
-        else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.sparkSession.range(1).select(*cols)
-
-
-def stage_aligned(streams: list[tuple[DataFrame, str, dict | None]], paths: list[str], slices: int = 4) -> list[str]:
-    """Stage several streams on shared time cuts: slice i of every stream is written before
-    slice i+1 of any, each slice as one file, so file sources read one file per trigger
-    advance together and no stream's rows arrive behind the other's watermark.
-
-    Every slice but the last also gets a marker row at its upper cut (NULL columns apart
-    from the event time and ``overrides``; callers drop them from the sink), so no stream
-    skips a trigger when it has no rows in a slice.  Join keys of markers must be
-    overridden with a non-NULL value that matches nothing: a join infers IS NOT NULL on
-    its keys, and that filter would sit below the watermark.
-    """
-    keyed = [(df.withColumn("_us", epoch_micros(ts)), ts, ov) for df, ts, ov in streams]
-    times = keyed[0][0].select("_us")
-    for k, _, _ in keyed[1:]:
-        times = times.unionByName(k.select("_us"))
-    cuts = times.approxQuantile("_us", [i / slices for i in range(1, slices)], 0.001) if slices > 1 else []
-    bounds = [None] + sorted(set(int(c) for c in cuts)) + [None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        for (k, ts, ov), path in zip(keyed, paths):
-            cond = F.lit(True)
-            if lo is not None:
-                cond = cond & (F.col("_us") > F.lit(lo))
-            if hi is not None:
-                cond = cond & (F.col("_us") <= F.lit(hi))
-            part = k.where(cond).drop("_us")
-            if hi is not None:
-                part = part.unionByName(_tick(part, ts, hi, ov))
-            part.coalesce(1).write.mode("append").parquet(path)
-    return paths
-
-
-def read_files(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+        return cond
+
+    def deliver(self, k: int) -> None:
+        for rows, path in zip(self.rows, self.paths):
+            rows.where(self.slices[k]).drop("_us").write.mode("append").parquet(path)
+
+    def drain(self, run: Callable[[], object]) -> None:
+        """Deliver every slice, calling ``run`` (a query over what is available) after each."""
+        for k in range(len(self.slices)):
+            self.deliver(k)
+            run()
+
+
+def read_files(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A file stream; without ``files_per_batch`` everything available is one micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def to_event_time(df: DataFrame, col: str, name: str | None = None) -> DataFrame:
@@ -117,3 +105,15 @@ def run_foreach_batch(stream: DataFrame, base: str, fn, processing_time: str | N
     q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def batches_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows that earlier micro-batches wrote into their ``batch_id=`` folders (none: an empty table).
+
+    A replayed batch reads what was there when it first ran."""
+    from pyspark.errors import AnalysisException
+    try:
+        rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
+    except AnalysisException:  # no earlier batch
+        return spark.createDataFrame([], schema)
+    return rows.where(F.col("batch_id") < batch_id).drop("batch_id")

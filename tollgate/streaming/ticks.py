@@ -1,27 +1,26 @@
 """T6 stats_tick: one stats row (A8) appended per trigger, computed incrementally.
 
-A tick never rescans the session store.  Each micro-batch leaves three small
-pieces of state, each in its own ``batch_id=`` folder (a replayed batch
-rewrites the same folder):
-
-* ``totals``: one row of running sums (active count, duration sum and
-  count), the previous tick's row plus this batch's partial sums;
-* ``recent``: the sessions started in the last hour (time and bytes), carried
-  forward from the previous tick and trimmed to the window -- bounded by one
-  hour of sessions;
-* ``today``: the distinct users who started a session today, carried forward
-  and trimmed the same way -- bounded by one day's users.
-
-The tick row is then read off these tables.  ``start_ticks`` runs it on a
-``processingTime='60 seconds'`` trigger; tests drain the input with ``availableNow``.
+The input is a change feed: each row is a session's newest state, and the last row of a
+session in a batch (by ``ended_at``, open states first, then by its bytes) is the one that
+counts.  A session closes once: rows for a session that is not open are new sessions.  A
+tick never rescans the session store.  Each micro-batch leaves small pieces of state, each
+in its own ``batch_id=`` folder (a replayed batch rewrites the same folder):
+
+* ``open``: the newest state of the sessions without an end, bounded by live sessions;
+  the active count is taken from it, so it falls when a session expires or is cut off;
+* ``totals``: one row, the sum and count of closed sessions' durations, added at close;
+* ``recent``: bytes of the sessions started in the last hour, the newest state of each;
+* ``today``: the distinct users who started a session today.
+
+``start_ticks`` runs it on a ``processingTime='60 seconds'`` trigger; tests drain the
+input with ``availableNow``.
 """
 
 from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import clock
@@ -29,57 +28,63 @@ from ..columns import micros_between
 from ..operators.aggregates import stats_columns
 from . import runner
 
+OPEN_SCHEMA = "session_id bigint, status string"
+TOTALS_SCHEMA = "dur_us decimal(38,0), dur_n bigint"
+RECENT_SCHEMA = "session_id bigint, started_at timestamp_ntz, bytes decimal(38,0)"
+TODAY_SCHEMA = "user_id bigint, started_at timestamp_ntz"
 
-TOTALS_SCHEMA = "n_active bigint, dur_us decimal(38,0), dur_n bigint"
 
-
-def _previous(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # no earlier tick
-        return None
+def _newest(batch: DataFrame) -> DataFrame:
+    """One row per session: its last state in the batch."""
+    cols = ["user_id", "started_at", "ended_at", "status", "bytes_downloaded", "bytes_uploaded"]
+    last = F.max_by(F.struct(*cols), F.struct(F.col("ended_at").isNotNull(), "ended_at", "bytes_downloaded", "bytes_uploaded"))
+    return batch.groupBy("session_id").agg(last.alias("s")).select("session_id", "s.*")
 
 
 def _tick_fn(spark: SparkSession, base: str, at: str | None):
+    def previous(name: str, batch_id: int, schema: str) -> DataFrame:
+        """What the batch before wrote; nothing before the first."""
+        rows = runner.batches_before(spark, f"{base}/{name}", batch_id, f"{schema}, at_batch bigint")
+        return rows.where(F.col("at_batch") == batch_id - 1).drop("at_batch")
+
+    def leave(rows: DataFrame, name: str, batch_id: int) -> DataFrame:
+        path = f"{base}/{name}/batch_id={batch_id}"
+        rows.withColumn("at_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path).drop("at_batch")
+
     def tick(batch: DataFrame, batch_id: int) -> None:
         # a fixed clock in tests; a deployment stamps each tick with its own trigger time
         now_s = at or datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         hour_ago, today = clock.minus(now_s, hours=1), clock.day_start(now_s)
         tomorrow = F.timestamp_add("DAY", F.lit(1), today)
+        new = _newest(batch).persist()
         ended = F.col("ended_at").isNotNull()
-        part = batch.agg(F.count_if(F.col("status") == "active").alias("n_active"),
-                         F.sum(F.when(ended, micros_between("started_at", "ended_at").cast("decimal(38,0)")))
-                         .alias("dur_us"),
-                         F.count(F.when(ended, F.lit(1))).alias("dur_n"))
-        prev = _previous(spark, f"{base}/totals/batch_id={batch_id - 1}", TOTALS_SCHEMA)
-        both = part if prev is None else prev.unionByName(part)
-        both.agg(F.coalesce(F.sum("n_active"), F.lit(0)).cast("bigint").alias("n_active"),
-                 F.sum("dur_us").cast("decimal(38,0)").alias("dur_us"),
-                 F.coalesce(F.sum("dur_n"), F.lit(0)).cast("bigint").alias("dur_n")) \
-            .write.mode("overwrite").parquet(f"{base}/totals/batch_id={batch_id}")
-
-        recent = batch.select("started_at", (F.col("bytes_downloaded") + F.col("bytes_uploaded")).alias("bytes"))
-        prev = _previous(spark, f"{base}/recent/batch_id={batch_id - 1}", "started_at timestamp_ntz, bytes bigint")
-        recent = recent if prev is None else prev.unionByName(recent)
-        recent.where(F.col("started_at") > hour_ago).write.mode("overwrite") \
-            .parquet(f"{base}/recent/batch_id={batch_id}")
-
-        users = batch.where((F.col("started_at") >= today) & (F.col("started_at") < tomorrow)) \
-            .select("user_id", "started_at")
-        prev = _previous(spark, f"{base}/today/batch_id={batch_id - 1}", "user_id bigint, started_at timestamp_ntz")
-        users = users if prev is None else prev.unionByName(users)
-        users.where((F.col("started_at") >= today) & (F.col("started_at") < tomorrow)) \
-            .groupBy("user_id").agg(F.min("started_at").alias("started_at")) \
-            .write.mode("overwrite").parquet(f"{base}/today/batch_id={batch_id}")
-
-        totals = spark.read.schema(TOTALS_SCHEMA).parquet(f"{base}/totals/batch_id={batch_id}")
-        hour_bytes = spark.read.parquet(f"{base}/recent/batch_id={batch_id}").agg(F.sum("bytes")).scalar()
-        users_today = spark.read.parquet(f"{base}/today/batch_id={batch_id}").agg(F.count("user_id")).scalar()
-        row = totals.select(F.col("n_active").alias("active_sessions_count"), "dur_us", "dur_n")
-        row = row.select("*", F.coalesce(hour_bytes, F.lit(0)).cast("bigint").alias("total_bytes_hour"),
-                         users_today.alias("unique_users_today"))
+
+        still = previous("open", batch_id, OPEN_SCHEMA).join(new.select("session_id"), "session_id", "left_anti")
+        opened = new.where(~ended).select("session_id", "status")
+        live = leave(still.unionByName(opened), "open", batch_id)
+
+        closed = new.where(ended).agg(F.sum(micros_between("started_at", "ended_at").cast("decimal(38,0)")).cast("decimal(38,0)").alias("dur_us"),
+                                      F.count(F.lit(1)).alias("dur_n"))
+        sums = previous("totals", batch_id, TOTALS_SCHEMA).unionByName(closed)
+        totals = leave(sums.agg(F.sum("dur_us").cast("decimal(38,0)").alias("dur_us"), F.coalesce(F.sum("dur_n"), F.lit(0)).cast("bigint").alias("dur_n")),
+                       "totals", batch_id)
+
+        bytes_ = (F.coalesce(F.col("bytes_downloaded"), F.lit(0)).cast("decimal(38,0)") + F.coalesce(F.col("bytes_uploaded"), F.lit(0))).cast("decimal(38,0)")
+        hour = new.select("session_id", "started_at", bytes_.alias("bytes"))
+        kept = previous("recent", batch_id, RECENT_SCHEMA).join(new.select("session_id"), "session_id", "left_anti")
+        recent = leave(kept.unionByName(hour).where(F.col("started_at") > hour_ago), "recent", batch_id)
+
+        in_day = (F.col("started_at") >= today) & (F.col("started_at") < tomorrow)
+        users = previous("today", batch_id, TODAY_SCHEMA).unionByName(new.select("user_id", "started_at")).where(in_day)
+        day = leave(users.groupBy("user_id").agg(F.min("started_at").alias("started_at")), "today", batch_id)
+
+        row = totals.select("*", F.coalesce(live.agg(F.count_if(F.col("status") == "active")).scalar(), F.lit(0)).alias("active_sessions_count"),
+                            F.coalesce(recent.agg(F.sum("bytes")).scalar(), F.lit(0)).cast("decimal(38,0)").alias("total_bytes_hour"),
+                            day.agg(F.count("user_id")).scalar().alias("unique_users_today"))
         row.select(*stats_columns(), clock.at(now_s).alias("recorded_at")).write.mode("overwrite") \
             .parquet(f"{base}/stats/batch_id={batch_id}")
+        new.unpersist()
     return tick
 
 
@@ -90,15 +95,14 @@ def start_ticks(spark: SparkSession, source_path: str, schema, base: str, every:
 
 
 def run_ticks(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 4) -> DataFrame:
-    """Test form: replay ``sessions`` in time order, one tick per micro-batch; all tick rows with batch ids."""
+    """Test form: replay ``sessions`` in time order, one tick per slice; all tick rows with batch ids."""
     base = runner.run_folder(spark, "stats_tick")
-    src = runner.stage_ordered(sessions, "started_at", f"{base}/in", slices)
-    stream = runner.read_files(spark, src, sessions.schema)
-    runner.run_foreach_batch(stream, base, _tick_fn(spark, base, at))
+    replay = runner.Replay([(sessions, "started_at")], base, slices)
+    replay.drain(lambda: runner.run_foreach_batch(runner.read_files(spark, replay.paths[0], sessions.schema), base, _tick_fn(spark, base, at)))
     return spark.read.parquet(f"{base}/stats")
 
 
 def latest_tick(ticks: DataFrame) -> DataFrame:
     """The newest tick (largest batch id) without its batch id."""
-    w = Window.orderBy(F.col("batch_id").desc())
-    return ticks.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "batch_id")
+    cols = [c for c in ticks.columns if c != "batch_id"]
+    return ticks.agg(F.max_by(F.struct(*cols), "batch_id").alias("t")).select("t.*")
