@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .. import clock
 from ..columns import seconds_between
 from ..functions import phones
+from ..session import stable
+from .ranking import tagged_ranges
 
 
 def payment_terms(payments: DataFrame, packages: DataFrame) -> DataFrame:
@@ -89,12 +91,14 @@ def hotspot_sessions(sessions: DataFrame, users: DataFrame, packages: DataFrame,
     """Sessions of a status with the newest completed payment of their (user, package).
 
     The correlated LIMIT-1 subquery becomes a per-key ``max_by`` aggregate and an
-    equi-join on (user, package); sessions with no such payment drop (inner join).
+    equi-join on (user, package); sessions with no such payment drop (inner join).  The
+    aggregate is checkpointed, so both sides of the join are shuffled by the join alone
+    and AQE can split a hot (user, package).
     """
     s = sessions.where(F.col("status") == status)
-    j = (s.join(users.select("user_id", "phone_number", "name"), "user_id")
-         .join(packages.select("package_id", "package_name", "speed_mbps"), "package_id")
-         .join(latest_completed_payment(payments), ["user_id", "package_id"]))
+    j = (s.join(stable(latest_completed_payment(payments)), ["user_id", "package_id"])
+         .join(users.select("user_id", "phone_number", "name"), "user_id")
+         .join(packages.select("package_id", "package_name", "speed_mbps"), "package_id"))
     return j.select("session_id", "status", "started_at", "expires_at", "hotspot_user_id", "bytes_downloaded",
                     "bytes_uploaded", "phone_number", "name", "package_name", "speed_mbps", "latest_payment_id",
                     "amount_kes")
@@ -147,12 +151,15 @@ def clean_feed(feed: DataFrame) -> DataFrame:
         "polled_at", "user", "address", num("bytes_in"), num("bytes_out"), "uptime")
 
 
-def latest_snapshot(feed: DataFrame, at: str, window_hours: int = 24) -> DataFrame:
-    """The newest cleaned feed row per username within the snapshot window."""
-    f = clean_feed(feed).where((F.col("polled_at") <= clock.at(at))
-                               & (F.col("polled_at") > clock.minus(at, hours=window_hours)))
+def latest_snapshot(feed: DataFrame, at: str) -> DataFrame:
+    """Who the newest poll up to the clock lists, one cleaned row per username.
+
+    The poll's time is the newest in the whole feed, rows without a user included; a
+    user it does not list is not there, however recently an earlier poll saw them."""
+    newest = feed.where(F.col("polled_at") <= clock.at(at)).agg(F.max("polled_at")).scalar()
+    f = clean_feed(feed.where(F.col("polled_at") == newest))
     return f.groupBy(F.col("user").alias("username")).agg(
-        F.max_by(F.struct("bytes_in", "bytes_out", "address"), F.struct("polled_at", "address")).alias("s")
+        F.max(F.struct("address", "bytes_in", "bytes_out")).alias("s")
     ).select("username", "s.bytes_in", "s.bytes_out", "s.address")
 
 
@@ -217,11 +224,12 @@ def concurrent_sessions(sessions: DataFrame) -> DataFrame:
     """Active sessions with credentials whose user holds another such session.
 
     As written: status only, no time test.  A per-user count (partial aggregate)
-    joined back on user_id replaces a window, so a hot user is split by AQE."""
+    joined back on user_id replaces a window.  The counts are checkpointed: an aggregate
+    between the shuffle and the join would keep AQE from splitting a hot user."""
     s = sessions.where((F.col("status") == "active") & F.col("hotspot_user_id").isNotNull()) \
         .select("session_id", "user_id", "hotspot_user_id", "expires_at")
-    n = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_active"))
-    return s.join(n, "user_id").where(F.col("n_active") > 1) \
+    n = stable(s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_active")).where(F.col("n_active") > 1))
+    return s.join(n, "user_id") \
         .select("session_id", "user_id", "hotspot_user_id", "expires_at",
                 (F.col("n_active") - 1).alias("n_other_active"))
 
@@ -230,25 +238,23 @@ def overlapping_sessions(sessions: DataFrame) -> DataFrame:
     """J12t: a session that starts before the user's earlier sessions have expired.
 
     prev_max_expires is the running max of expires_at over the user's earlier
-    sessions in (started_at, session_id) order.  Computed as a two-level scan so
-    no task holds a whole user: a window inside each (user, day), plus the max of
-    all earlier days from a (user, day) table whose size is bounded by days.
-    The (user, day) keys are non-NULL surrogates (value with NULL replaced, plus
-    an is-NULL flag): a NULL user stays a partition of its own, and the plain
-    equi-join reuses the window's shuffle instead of shuffling sessions again.
+    sessions in (started_at, session_id) order.  Sessions are range-partitioned and
+    sorted in that order and checkpointed, so a hot user, or a hot day of one, is spread
+    over tasks; a window runs inside each (partition, user), and the maximum of a user's
+    earlier partitions comes from a table of one row per (partition, user).  A NULL user
+    is a user of its own (matched null-safely).
     """
     s = sessions.select("session_id", "user_id", "started_at", "expires_at")
-    day = F.to_date("started_at")
-    s = s.select("*", F.coalesce(F.col("user_id"), F.lit(0)).alias("_ku"), F.col("user_id").isNull().alias("_un"),
-                 F.coalesce(day, F.to_date(F.lit("1970-01-01"))).alias("_kd"), day.isNull().alias("_dn"))
-    keys = ["_ku", "_un", "_kd", "_dn"]
-    inside = Window.partitionBy(*keys).orderBy("started_at", "session_id") \
+    parts = tagged_ranges(s, ["user_id", "started_at", "session_id"])
+    inside = Window.partitionBy("_pid", "user_id").orderBy("started_at", "session_id") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_in", F.max("expires_at").over(inside))
-    days = s.groupBy(*keys).agg(F.max("expires_at").alias("_dmax"))
-    before = Window.partitionBy("_ku", "_un").orderBy("_dn", "_kd").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.withColumn("_before", F.max("_dmax").over(before)).drop("_dmax")
-    j = s.join(days, keys)
+    seen = parts.withColumn("_in", F.max("expires_at").over(inside))
+    tops = parts.groupBy("_pid", "user_id").agg(F.max("expires_at").alias("_top"))
+    before = Window.partitionBy("user_id").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    tops = stable(tops.withColumn("_before", F.max("_top").over(before)).where(F.col("_before").isNotNull())
+                  .select(F.col("_pid").alias("_t_pid"), F.col("user_id").alias("_t_user"), "_before"))
+    # only a user that goes on from an earlier partition has a row there: at most one user per partition
+    j = seen.join(tops, (F.col("_pid") == F.col("_t_pid")) & F.col("user_id").eqNullSafe(F.col("_t_user")), "left")
     prev = F.greatest("_in", "_before")
     return j.select("session_id", "user_id", "started_at", "expires_at", prev.alias("prev_max_expires"),
                     F.coalesce(F.col("started_at") < prev, F.lit(False)).alias("overlaps"))
@@ -264,7 +270,10 @@ def session_exists(payments: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def duplicate_phones(attempts: DataFrame, raw_col: str = "raw_phone") -> DataFrame:
-    """Attempts whose normalised phone was used more than once (group count, then semi join)."""
+    """Attempts whose normalised phone was used more than once.
+
+    Counts per phone (partial aggregate), checkpointed so that AQE can split a hot phone
+    in the join back."""
     a = attempts.withColumn("phone", phones.normalise(raw_col)).where(F.col("phone").isNotNull())
-    dup = a.groupBy("phone").agg(F.count(F.lit(1)).alias("n_attempts")).where(F.col("n_attempts") > 1)
+    dup = stable(a.groupBy("phone").agg(F.count(F.lit(1)).alias("n_attempts")).where(F.col("n_attempts") > 1))
     return a.join(dup, "phone").select("event_id", raw_col, "phone", "n_attempts")

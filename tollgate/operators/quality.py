@@ -18,15 +18,27 @@ def orphan_keys(fks: list[tuple[str, str, DataFrame, str, DataFrame, str]]) -> D
     """Q1: per foreign key, the missing parent keys and how many child rows point at each.
 
     ``fks``: (fk name, on-delete rule, child df, child column, parent df, parent column).
-    Each check is a left-anti join (NULL references are allowed, as in SQL)."""
-    out = []
-    for name, rule, child, ccol, parent, pcol in fks:
-        c = child.select(F.col(ccol).alias("missing_key")).where(F.col("missing_key").isNotNull())
-        p = parent.select(F.col(pcol).alias("missing_key"))
-        orphans = c.join(p, "missing_key", "left_anti")
-        out.append(orphans.groupBy("missing_key").agg(F.count(F.lit(1)).alias("n_rows"))
-                   .select(F.lit(name).alias("fk"), F.lit(rule).alias("on_delete"), "missing_key", "n_rows"))
-    return _union(out)
+    NULL references are allowed, as in SQL.  All keys of one child come from one scan of
+    it, counted per (foreign key, value) before anything else is shuffled, so a hot key is
+    one row per map task; the counted keys are anti-joined with the parents' distinct keys."""
+    by_child: dict[int, list] = {}
+    for fk in fks:
+        by_child.setdefault(id(fk[2]), []).append(fk)
+    counted = []
+    for group in by_child.values():
+        child = group[0][2]
+        pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("fk"), F.lit(rule).alias("on_delete"), F.col(ccol).alias("missing_key"))
+                                    for name, rule, _, ccol, _, _ in group])).alias("r")
+        counted.append(child.select(pairs).select("r.*").where(F.col("missing_key").isNotNull())
+                       .groupBy("fk", "on_delete", "missing_key").agg(F.count(F.lit(1)).alias("n_rows")))
+    by_parent: dict[tuple, list[str]] = {}
+    parents = {}
+    for name, _, _, _, parent, pcol in fks:
+        by_parent.setdefault((id(parent), pcol), []).append(name)
+        parents[(id(parent), pcol)] = parent
+    known = _union([parents[k].select(F.col(k[1]).alias("missing_key")).distinct()
+                    .select(F.explode(F.array(*[F.lit(n) for n in names])).alias("fk"), "missing_key") for k, names in by_parent.items()])
+    return _union(counted).join(known, ["fk", "missing_key"], "left_anti").select("fk", "on_delete", "missing_key", "n_rows")
 
 
 def duplicate_keys(uniques: list[tuple[str, DataFrame, str]]) -> DataFrame:

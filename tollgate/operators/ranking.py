@@ -14,7 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import stable
+
+ROWS_PER_TASK = 2_000_000
+
+
+def tagged_ranges(df: DataFrame, order_cols: list, n_partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order_cols``, checkpointed, with ``_pid`` and ``_pos``.
+
+    By default the partition count follows the rows: the session's shuffle partitions, or
+    one per ROWS_PER_TASK rows."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    n = n_partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_TASK))
+    ordered = stable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys))
+    return ordered.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_pos"))
 
 
 def numbered(df: DataFrame, group_cols: list[str], order_cols: list, n_partitions: int | None = None,
@@ -24,14 +37,8 @@ def numbered(df: DataFrame, group_cols: list[str], order_cols: list, n_partition
     ``order_cols`` must make the order unique (end with a key).  Also adds the
     group size as ``count_name`` when given.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    # reliable checkpoint (in spark.checkpoint.dir): fixes partition contents for both passes
-    stable = ordered.checkpoint(eager=True)
-    tagged = stable.select("*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_pos"))
+    # the checkpoint (in spark.checkpoint.dir) fixes partition contents for both passes
+    tagged = tagged_ranges(df, [*group_cols, *order_cols], n_partitions)
     stats = tagged.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group_cols)

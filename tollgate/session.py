@@ -24,21 +24,26 @@ BASE_CONF = {
 # Settings for large runs, on top of BASE_CONF.  Streaming state goes to RocksDB
 # (off-heap; the default provider keeps every key's state on the JVM heap, which is
 # faster for small state, as in the tests, and fails for large state).  Shuffle
-# partitions are sized from the data by AQE, starting from a generous count.
+# partitions start at the count the caller gives and are merged by AQE to the advisory size.
 CLUSTER_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
     "spark.sql.files.maxPartitionBytes": str(256 << 20),
 }
 
 
-def build_session(master: str = "local[*]", app: str = "tollgate", shuffle_partitions: int = 8,
+def build_session(master: str = "local[*]", app: str = "tollgate", shuffle_partitions: int | None = None,
                   extra: dict | None = None, cluster: bool = False) -> SparkSession:
     """Session for tests and local runs (``cluster=True`` adds CLUSTER_CONF).
 
-    On a cluster, prefer the cluster's session with CLUSTER_CONF applied at submit time."""
+    ``shuffle_partitions`` must be given for a cluster (about the shuffled bytes over
+    128 MB); a local session takes 8.  On a cluster, prefer the cluster's session with
+    CLUSTER_CONF applied at submit time."""
+    if shuffle_partitions is None:
+        if cluster:
+            raise ValueError("shuffle_partitions must be given for a cluster: it depends on the data")
+        shuffle_partitions = 8
     b = SparkSession.builder.master(master).appName(app)
     conf = dict(BASE_CONF)
     if cluster:
@@ -56,12 +61,13 @@ def build_session(master: str = "local[*]", app: str = "tollgate", shuffle_parti
 def apply_query_conf(spark: SparkSession) -> None:
     """Pin the settings the queries depend on for exact results."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.ansi.enabled", "true")  # an overflow is an error, never a wrong number
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names it; only when it is unset (local tests) do we pick one.
+    The cluster names it; only a local session may leave it unset and gets one of its own.
     The SparkContext is pointed at it once (each call to setCheckpointDir would
     make a new sub-folder).
     """
@@ -69,12 +75,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         current = sc.getCheckpointDir()
+        if not current and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = current.rsplit("/", 1)[0] if current else tempfile.mkdtemp(prefix="tollgate-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
+def stable(df):
+    """``df`` computed once and kept in the shared checkpoint folder (never on one executor)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder, e.g. for streaming state."""
     base = ensure_checkpoint_dir(spark)

@@ -43,12 +43,12 @@ def _laid_out(df: DataFrame, time_col: str | None, sort_cols: list[str], files:
     return df.repartitionByRange(files, time_col).sortWithinPartitions(*sort_cols)
 
 
-def write_layout(tables: Tables, path: str, files: int = 8, names: list[str] | None = None) -> str:
-    """Write the business tables under ``path`` (one parquet folder each)."""
+def write_layout(tables: Tables, path: str, files: int, names: list[str] | None = None) -> str:
+    """Write the business tables under ``path`` (one parquet folder each), ``files`` files
+    each: give about the table's bytes over 256 MB."""
     for name in names or list(LAYOUT):
         time_col, sort_cols = LAYOUT[name]
-        _laid_out(getattr(tables, name), time_col, sort_cols, files).write.mode("overwrite") \
-            .parquet(f"{path}/{name}")
+        _laid_out(getattr(tables, name), time_col, sort_cols, files).write.mode("overwrite").parquet(f"{path}/{name}")
     return path
 
 
