@@ -247,7 +247,7 @@ def test_sixth_login_refused(spark):
                                    "event_id long, ts timestamp_ntz, raw_phone string")
     ev = spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string")
     pay = payments(spark, [])
-    r = limits.rate_limit_batch(ev, logins, pay, NOW).collect()
+    r = limits.rate_limit_batch(ev, logins, pay).collect()
     assert len(r) == 1 and r[0].attempts == 6 and r[0].refused == 1 and r[0].key == "254712345678"
 
 
@@ -262,10 +262,12 @@ def test_feed_blanks_and_live_state_defaults(spark):
     feed = spark.createDataFrame([
         (dt.datetime(2024, 1, 20, 11, 0), "254700000001", "10.5.1.1", "", None, "01:00:00"),     # blanks -> 0
         (dt.datetime(2024, 1, 20, 11, 30), "254700000001", "10.5.1.2", "500", "7", "01:30:00"),  # newest wins
-        (dt.datetime(2024, 1, 20, 11, 40), None, "10.5.9.9", "9", "9", "00:10:00"),            # no user: dropped
+        (dt.datetime(2024, 1, 20, 11, 30), None, "10.5.9.9", "9", "9", "00:10:00"),            # no user: dropped
+        (dt.datetime(2024, 1, 20, 11, 0), "254700000002", "10.5.1.3", "5", "5", "00:10:00"),    # gone by the newest poll
+        (dt.datetime(2024, 1, 20, 13, 0), "254700000002", "10.5.1.3", "5", "5", "00:10:00"),    # after the clock
     ], "polled_at timestamp_ntz, user string, address string, bytes_in string, bytes_out string, uptime string")
     clean = J.clean_feed(feed).collect()
-    assert len(clean) == 2 and (clean[0].bytes_in, clean[0].bytes_out) == (0, 0)
+    assert len(clean) == 4 and (clean[0].bytes_in, clean[0].bytes_out) == (0, 0)
     s = sessions(spark, [(1, 1, 1, 1, 101, "2024-01-20 10:00:00", "2024-01-20 13:00:00", "active", None, 0, 0),
                          (2, 2, 1, 2, 102, "2024-01-20 10:00:00", "2024-01-20 11:00:00", "active", None, 0, 0)])
     hu = spark.createDataFrame([(101, "254700000001", "254700000001"), (102, "254700000002", "254700000002")],
@@ -294,3 +296,96 @@ def test_capacity_thresholds(spark, n, status, pct):
                          for i in range(n)])
     r = A.capacity_health(s, 1000).collect()[0]
     assert (r.status, str(r.capacity_percent)) == (status, pct)
+
+
+def test_online_means_in_the_latest_poll(spark):
+    """Seen 23 hours ago and absent from later polls is offline; a poll without any user still counts."""
+    cols = "polled_at timestamp_ntz, user string, address string, bytes_in string, bytes_out string, uptime string"
+    s = sessions(spark, [(1, 1, 1, 1, 101, "2024-01-20 10:00:00", "2024-01-20 13:00:00", "active", None, 0, 0)])
+    hu = spark.createDataFrame([(101, "254700000001", "254700000001")], "hotspot_user_id long, phone_number string, username string")
+    old = (dt.datetime(2024, 1, 19, 13, 0), "254700000001", "10.5.1.1", "5", "5", "01:00:00")
+    other = (dt.datetime(2024, 1, 20, 11, 0), "254700000009", "10.5.1.9", "5", "5", "01:00:00")
+    nobody = (dt.datetime(2024, 1, 20, 11, 30), None, None, None, None, None)
+    for feed in ([old, other], [old, (*other[:1], old[1], *other[2:]), nobody]):
+        got = J.online_enrich(s, hu, spark.createDataFrame(feed, cols), NOW).collect()
+        assert got[0].hotstatus == "offline"
+
+
+def test_callback_without_a_code_fails_the_payment(spark):
+    from tollgate.functions import callbacks as CB
+    from tollgate.operators import transitions as U
+    pay = payments(spark, [(1, 7, 3, 20, "pending", "a", "2024-01-20 09:59:00", "2024-01-20 09:59:00"),
+                           (2, 7, 3, 20, "pending", "b", "2024-01-20 09:59:00", "2024-01-20 09:59:00")])
+    raw = spark.createDataFrame([(1, dt.datetime(2024, 1, 20, 10, 0), '{"Body":{"stkCallback":{"CheckoutRequestID":"a"}}}')],
+                                "event_id long, received_at timestamp_ntz, body string")
+    got = {r.payment_id: (r.status, r.changed) for r in U.settle_payments(pay, J.first_callbacks(CB.parse_callbacks(raw))).collect()}
+    assert got == {1: ("failed", True), 2: ("pending", False)}
+
+
+def test_floor_division_of_negatives_and_large_sums(spark):
+    from tollgate.columns import floor_div
+    df = spark.createDataFrame([(-1,), (-4,), (5,), (None,)], "c long")
+    assert [r[0] for r in df.select(floor_div("c", 2)).collect()] == [-1, -2, 2, None]
+    big = 2 ** 62
+    s = sessions(spark, [(i, i, 1, i, None, "2024-01-20 11:30:00", "2024-01-20 13:00:00", "active", None, big, 0) for i in range(4)])
+    assert str(A.last_hour(s, NOW).collect()[0].total_data_gb) == "17179869184.00"
+    back = sessions(spark, [(1, 1, 1, 1, None, "2024-01-20 11:30:00", "2024-01-20 13:00:00", "expired", "2024-01-20 11:29:30", 0, 0)])
+    assert A.closed_last_hour(back, NOW).collect()[0].total_session_minutes == -1
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace as N
+    from tollgate import session
+    remote = N(sparkContext=N(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=N(get=lambda k, d: None))
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(remote)
+    with pytest.raises(ValueError):
+        session.build_session("spark://host:7077", cluster=True)
+
+
+@pytest.mark.parametrize("which", ["j12", "j14", "j8"])
+def test_hot_keys_are_split(spark, which):
+    """A third of the rows on one key: with low thresholds the executed plan splits the join."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        n = spark.range(60_000).repartition(8)
+        key = F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 20_000 + 2)
+        when = F.to_timestamp_ntz(F.lit("2024-01-20 10:00:00"))
+        if which == "j12":
+            df = J.concurrent_sessions(n.select(F.col("id").alias("session_id"), key.alias("user_id"), F.lit(1).alias("hotspot_user_id"),
+                                                F.lit("active").alias("status"), when.alias("expires_at")))
+        elif which == "j14":
+            df = J.duplicate_phones(n.select(F.col("id").alias("event_id"), F.format_string("2547%08d", key).alias("raw_phone")))
+        else:
+            s = n.select(F.col("id").alias("session_id"), key.alias("user_id"), (key % 5).alias("package_id"), F.lit("active").alias("status"),
+                         when.alias("started_at"), when.alias("expires_at"), F.lit(1).alias("hotspot_user_id"),
+                         F.lit(1).alias("bytes_downloaded"), F.lit(1).alias("bytes_uploaded"))
+            p = n.select(F.col("id").alias("payment_id"), key.alias("user_id"), (key % 5).alias("package_id"), F.lit("completed").alias("status"),
+                         F.lit(1).alias("amount_kes"), when.alias("updated_at"))
+            u = n.select(key.alias("user_id")).distinct().select("user_id", F.lit("p").alias("phone_number"), F.lit("n").alias("name"))
+            pk = spark.range(5).select(F.col("id").alias("package_id"), F.lit("x").alias("package_name"), F.lit(1).alias("speed_mbps"))
+            df = J.hotspot_sessions(s, u, pk, p)
+        df = df.select("*")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_day_is_spread(spark):
+    """J12t: one user's one day in several range partitions gives the running maximum of the whole."""
+    rows_ = [(i, 1 if i % 3 else 2, 1, i, None, f"2024-01-20 {8 + i // 60:02d}:{i % 60:02d}:00",
+              f"2024-01-20 {9 + i // 60 + (i % 7 == 0):02d}:{i % 60:02d}:00", "active", None, 0, 0) for i in range(200)]
+    got = {r.session_id: r.prev_max_expires for r in J.overlapping_sessions(sessions(spark, rows_)).collect()}
+    top = {}
+    for r in rows_:
+        user, end = r[1], dt.datetime.fromisoformat(r[6])
+        assert got[r[0]] == top.get(user)
+        top[user] = max(top.get(user, end), end)

@@ -16,13 +16,18 @@ def as_col(c: Column | str | int) -> Column:
 
 
 def floor_div(c: Column | str, d: Column | str | int) -> Column:
-    """Exact floor division of a non-negative integer by a positive divisor.
+    """Exact floor division of an integer by a positive divisor (-1 / 2 gives -1).
 
-    ``c - c % d`` is an exact multiple of ``d``; dividing it as DECIMAL keeps the
+    ``c - pmod(c, d)`` is an exact multiple of ``d``; dividing it as DECIMAL keeps the
     quotient exact for any long (a double would round above 2^53).
     """
     c, d = as_col(c).cast("decimal(38,0)"), as_col(d).cast("decimal(38,0)")
-    return ((c - c % d) / d).cast("bigint")
+    return ((c - F.pmod(c, d)) / d).cast("bigint")
+
+
+def sql_floor_div(num: str, den: str) -> str:
+    """DuckDB twin of :func:`floor_div` (its ``//`` truncates toward zero)."""
+    return f"((({num}) - ((({num}) % ({den})) + ({den})) % ({den})) // ({den}))"
 
 
 def round_half_up_div(num: Column | str, den: Column | str | int, places: int = 2) -> Column:

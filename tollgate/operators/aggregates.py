@@ -45,7 +45,8 @@ def active_count(sessions: DataFrame) -> DataFrame:
 
 
 def _bytes(s: DataFrame):
-    return F.col("bytes_downloaded") + F.col("bytes_uploaded")
+    """Bytes both ways, as DECIMAL: sums over any number of rows stay exact."""
+    return (F.col("bytes_downloaded").cast("decimal(38,0)") + F.col("bytes_uploaded").cast("decimal(38,0)")).cast("decimal(38,0)")
 
 
 def last_hour(sessions: DataFrame, at: str) -> DataFrame:
@@ -167,7 +168,7 @@ def stats_columns() -> list:
     sum in microseconds and count); the mean is rounded half up to whole seconds."""
     avg = F.when(F.col("dur_n") > 0, floor_div(F.col("dur_us") * 2 + F.col("dur_n") * 1_000_000,
                                                 F.col("dur_n") * 2_000_000))
-    return [F.col("active_sessions_count"), F.col("total_bytes_hour"), F.col("unique_users_today"),
+    return [F.col("active_sessions_count"), F.col("total_bytes_hour").cast("bigint").alias("total_bytes_hour"), F.col("unique_users_today"),
             avg.alias("avg_session_duration_seconds")]
 
 
@@ -208,7 +209,8 @@ def system_stats(sessions: DataFrame, at: str, users: DataFrame | None = None, f
     med = hist.agg(F.percentile(F.col("secs"), F.lit(0.5), F.col("n"))).scalar()
     new_users = users.where((F.col("created_at") >= today) & (F.col("created_at") < tomorrow)) \
         .agg(F.count(F.lit(1))).scalar()
-    return row.select(*cols, "total_bytes_today", "total_bytes_minute", new_users.alias("new_users_today"),
+    return row.select(*cols, F.col("total_bytes_today").cast("bigint").alias("total_bytes_today"),
+                      F.col("total_bytes_minute").cast("bigint").alias("total_bytes_minute"), new_users.alias("new_users_today"),
                       F.floor(med).cast("bigint").alias("median_session_duration_seconds"),
                       clock.at(at).alias("recorded_at"))
 
@@ -300,9 +302,9 @@ def capacity_health(sessions: DataFrame, capacity: int = 1000) -> DataFrame:
 
 def _bw_measures(logs: DataFrame):
     secs = seconds_between("period_start", "period_end")
-    return [F.count(F.lit(1)).alias("n_periods"),
-            F.sum("bytes_downloaded").alias("bytes_downloaded"), F.sum("bytes_uploaded").alias("bytes_uploaded"),
-            F.sum("packets_in").alias("packets_in"), F.sum("packets_out").alias("packets_out"),
+    def total(c):
+        return F.sum(F.col(c).cast("decimal(38,0)")).cast("bigint").alias(c)
+    return [F.count(F.lit(1)).alias("n_periods"), total("bytes_downloaded"), total("bytes_uploaded"), total("packets_in"), total("packets_out"),
             F.sum(secs).alias("seconds")]
 
 

@@ -93,14 +93,14 @@ def patch_packages(packages: DataFrame, patches: DataFrame, at: str) -> DataFram
 def settle_payments(payments: DataFrame, first: DataFrame) -> DataFrame:
     """Apply each checkout's first callback to its payment, unless already settled.
 
-    Success: completed, receipt, transaction date, amount if given.  Other
-    codes: failed with the result text as reason.  updated_at = callback time."""
+    Success: completed, receipt, transaction date, amount if given.  Any other code, and
+    a callback without a code: failed with the result text as reason.  updated_at = callback time."""
     cb = first.select("checkout_request_id", "result_code", "result_desc", "receipt_number", "transaction_date",
-                      F.col("amount_kes").alias("cb_amount"), "received_at")
+                      F.col("amount_kes").alias("cb_amount"), "received_at", F.lit(True).alias("_answered"))
     j = payments.join(cb, "checkout_request_id", "left")
-    open_ = ~F.col("status").isin("completed", "failed") & F.col("result_code").isNotNull()
-    ok = open_ & (F.col("result_code") == 0)
-    bad = open_ & (F.col("result_code") != 0)
+    open_ = ~F.col("status").isin("completed", "failed") & F.coalesce("_answered", F.lit(False))
+    ok = open_ & F.col("result_code").eqNullSafe(F.lit(0))
+    bad = open_ & ~F.col("result_code").eqNullSafe(F.lit(0))
     return j.select(
         "payment_id", "user_id", "package_id", "checkout_request_id",
         F.when(ok, F.coalesce("cb_amount", "amount_kes")).otherwise(F.col("amount_kes")).alias("amount_kes"),

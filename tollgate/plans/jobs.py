@@ -344,7 +344,7 @@ def u4(t):
 
 @register("u5_settle_payments", f"""
 with j as (select p.*, c.result_code, c.result_desc, c.receipt_number, c.transaction_date, c.amount_kes as cb_amount,
-  c.received_at, p.status not in ('completed', 'failed') and c.result_code is not null as o
+  c.received_at, p.status not in ('completed', 'failed') and c.checkout_request_id is not null as o
   from payments_pending p left join {FIRST_CALLBACKS} c on c.checkout_request_id = p.checkout_request_id)
 select payment_id, user_id, package_id, checkout_request_id,
   case when o and result_code = 0 then coalesce(cb_amount, amount_kes) else amount_kes end as amount_kes,

@@ -95,7 +95,7 @@ select event_id, ts, case event_id % 5
   else '99' || cast(user_id as string) end as raw_phone
 from events where event_type in ('click', 'view')""", ()),
     "activity_feed": ("""
-select ts as polled_at,
+select make_timestamp((epoch_us(ts) // 21600000000 + 1) * 21600000000) as polled_at,
   case when event_id % 17 = 0 then null else '2547' || lpad(cast(user_id as string), 8, '0') end as "user",
   '10.5.' || cast(user_id % 256 as string) || '.' || cast(event_id % 256 as string) as address,
   case when event_id % 7 = 0 then '' else cast(cast(floor(value * 1000) as bigint) as string) end as bytes_in,
@@ -104,10 +104,10 @@ select ts as polled_at,
 from events where event_type = 'view'""", ()),
     "disconnect_requests": (f"""
 select user_id, ts as requested_at from events
-where event_type = 'click' and ts <= {LIVE_SQL} and ts > {LIVE_SQL} - interval 6 hour""", ()),
+where event_type = 'click' and ts <= {LIVE_SQL}""", ()),
     "admin_disconnects": (f"""
 select event_id as session_id, ts + interval 30 minute as requested_at from events
-where event_type = 'purchase' and ts > {LIVE_SQL} - interval 6 hour and ts <= {LIVE_SQL} - interval 30 minute""",
+where event_type = 'purchase' and value >= 150 and ts <= {LIVE_SQL} - interval 30 minute""",
                           ()),
     "package_patches": ("""
 select p_partkey as package_id, cast(null as varchar) as package_name, cast(null as integer) as duration_hours,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..columns import GB, MB, sql_round_half_up_div as rdiv
+from ..columns import GB, MB, sql_floor_div as fdiv, sql_round_half_up_div as rdiv
 from ..operators import aggregates as A
 from ..clock import LIVE
 from .oracle import LIVE_SQL
@@ -10,6 +10,7 @@ from .registry import register
 
 _ST = "status in ('active', 'expired', 'disconnected')"
 _SECS = "trunc((epoch_us(ended_at) - epoch_us(started_at)) / 1000000)::bigint"
+_S_SECS = _SECS.replace('ended_at', 's.ended_at').replace('started_at', 's.started_at')
 _TODAY = f"date_trunc('day', {LIVE_SQL})"
 
 
@@ -59,7 +60,7 @@ def a4(t):
 
 @register("a5_closed_last_hour", f"""
 select count(*) as total_sessions,
-  coalesce(cast(sum(epoch_us(ended_at) - epoch_us(started_at)) // 60000000 as bigint), 0) as total_session_minutes,
+  coalesce(cast({fdiv('sum(epoch_us(ended_at) - epoch_us(started_at))', '60000000')} as bigint), 0) as total_session_minutes,
   case when count(bytes_downloaded + bytes_uploaded) > 0
        then cast(sum(bytes_downloaded + bytes_uploaded) // (count(bytes_downloaded + bytes_uploaded) * {MB}) as bigint)
        else 0 end as avg_data_mb
@@ -77,9 +78,7 @@ _A6_TAIL = f"""
 
 @register("a6_daily_stats", f"""
 select cast(s.started_at as date) as date, count(distinct s.user_id) as unique_users, count(*) as total_sessions,
-  cast(sum({_SECS.replace('ended_at', 's.ended_at').replace('started_at', 's.started_at')})
-       // count({_SECS.replace('ended_at', 's.ended_at').replace('started_at', 's.started_at')}) as bigint)
-    as avg_session_seconds,{_A6_TAIL}
+  cast({fdiv(f"sum({_S_SECS})", f"count({_S_SECS})")} as bigint) as avg_session_seconds,{_A6_TAIL}
   cast(coalesce(sum(py.amount_kes) filter (where py.status = 'completed'), 0) as decimal(18,2)) as revenue_kes
 from sessions s
 left join payments py on s.user_id = py.user_id and cast(py.updated_at as date) = cast(s.started_at as date)
@@ -97,7 +96,7 @@ pay as (select user_id, cast(updated_at as date) as day, sum(amount_kes) as paid
         from payments where status = 'completed' group by all),
 rev as (select ud.day, sum(pay.paid) as revenue from ud join pay using (user_id, day) group by ud.day),
 st as (select cast(started_at as date) as day, count(distinct user_id) as unique_users, count(*) as total_sessions,
-         cast(sum({_SECS}) // count({_SECS}) as bigint) as avg_session_seconds,
+         cast({fdiv(f"sum({_SECS})", f"count({_SECS})")} as bigint) as avg_session_seconds,
          sum(bytes_downloaded + bytes_uploaded) as bytes
        from sessions where {_ST} group by 1)
 select st.day as date, unique_users, total_sessions, avg_session_seconds,

@@ -57,8 +57,8 @@ FIRST_CALLBACKS = f"""(select * exclude (rn) from (select *, row_number() over
   (partition by checkout_request_id order by received_at, event_id) as rn from {PARSED_CALLBACKS}) where rn = 1)"""
 
 SNAPSHOT = f"""(select * exclude (rn) from (
-  select *, row_number() over (partition by username order by polled_at desc, address desc) as rn from (
+  select *, row_number() over (partition by username order by address desc, bytes_in desc, bytes_out desc) as rn from (
     select polled_at, "user" as username, address, coalesce(try_cast(bytes_in as bigint), 0) as bytes_in,
       coalesce(try_cast(bytes_out as bigint), 0) as bytes_out
-    from activity_feed where "user" is not null and polled_at <= {LIVE_SQL}
-      and polled_at > {LIVE_SQL} - interval 24 hour)) where rn = 1)"""
+    from activity_feed where "user" is not null
+      and polled_at = (select max(polled_at) from activity_feed where polled_at <= {LIVE_SQL}))) where rn = 1)"""

@@ -19,6 +19,15 @@ from .. import clock
 from .tables import read_table
 
 
+POLL_SECONDS = 6 * 3600
+
+
+def bucket_end(ts: str, seconds: int) -> Column:
+    """End of the epoch-aligned window of ``seconds`` that holds ``ts``."""
+    us = F.timestamp_diff("MICROSECOND", _ntz("1970-01-01 00:00:00"), F.col(ts))
+    return F.timestamp_add("MICROSECOND", F.lit(seconds * 1_000_000) - us % F.lit(seconds * 1_000_000), F.col(ts))
+
+
 def _ntz(s: str) -> Column:
     return F.to_timestamp_ntz(F.lit(s))
 
@@ -166,15 +175,15 @@ def logins_from(events: DataFrame) -> DataFrame:
 
 
 def activity_feed_from(events: DataFrame) -> DataFrame:
-    """Router snapshot rows (user, address, bytes-in, bytes-out, uptime) as text.
+    """Router poll rows (user, address, bytes-in, bytes-out, uptime) as text.
 
-    One row per 'view' event, polled at the event time; some counters are blank
-    or missing and some rows carry no user, as router output does.
+    One row per 'view' event, listed by the next six-hourly poll; some counters are
+    blank or missing and some rows carry no user, as router output does.
     """
     e = events.where(F.col("event_type") == "view")
     k = F.col("event_id")
     return e.select(
-        F.col("ts").alias("polled_at"),
+        bucket_end("ts", POLL_SECONDS).alias("polled_at"),
         F.when(k % 17 == 0, F.lit(None).cast("string")).otherwise(_phone(F.col("user_id"))).alias("user"),
         F.concat(F.lit("10.5."), (F.col("user_id") % 256).cast("string"), F.lit("."),
                  (k % 256).cast("string")).alias("address"),
@@ -185,17 +194,16 @@ def activity_feed_from(events: DataFrame) -> DataFrame:
     )
 
 
-def disconnect_requests_from(events: DataFrame, at: str, hours: int = 6) -> DataFrame:
-    """Disconnect requests: users clicking in the hours before the clock."""
-    e = events.where((F.col("event_type") == "click") & (F.col("ts") <= clock.at(at))
-                     & (F.col("ts") > clock.minus(at, hours=hours)))
+def disconnect_requests_from(events: DataFrame, at: str) -> DataFrame:
+    """Disconnect requests: every click up to the clock."""
+    e = events.where((F.col("event_type") == "click") & (F.col("ts") <= clock.at(at)))
     return e.select("user_id", F.col("ts").alias("requested_at"))
 
 
-def admin_disconnects_from(events: DataFrame, at: str, hours: int = 6) -> DataFrame:
-    """Admin disconnects by session id: sessions bought in the hours before the clock,
-    cut off 30 minutes after purchase."""
-    e = events.where((F.col("event_type") == "purchase") & (F.col("ts") > clock.minus(at, hours=hours))
+def admin_disconnects_from(events: DataFrame, at: str) -> DataFrame:
+    """Admin disconnects by session id: dear purchases (value of 150 or more), cut off
+    30 minutes after purchase, up to the clock."""
+    e = events.where((F.col("event_type") == "purchase") & (F.col("value") >= 150)
                      & (F.col("ts") <= clock.minus(at, minutes=30)))
     return e.select(F.col("event_id").alias("session_id"),
                     F.timestamp_add("MINUTE", F.lit(30), F.col("ts")).alias("requested_at"))

@@ -1,7 +1,8 @@
 """The same tables from a relational database over JDBC.
 
-A partitioned read: ``numPartitions`` parallel range queries over a numeric
-key, so no single connection reads the whole table.  The service's pool of
+A partitioned read: ``numPartitions`` parallel range queries over a time (or numeric)
+column, so no single connection reads the whole table.  The keys themselves are UUIDs,
+which Spark cannot split into ranges.  The service's pool of
 20 connections caps sensible parallelism per database.
 """
 
@@ -9,11 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# The service's tables and their numeric-friendly keys for range splits.
-TABLE_KEYS = {"users": "id", "packages": "sort_order", "payments": "id", "sessions": "id"}
+# The service's tables and the columns to split them on.
+TABLE_KEYS = {"users": "created_at", "packages": "sort_order", "payments": "created_at", "sessions": "started_at"}
 
 
-def jdbc_options(url: str, table: str, column: str, lower: int, upper: int, partitions: int = 20,
+def jdbc_options(url: str, table: str, column: str, lower: int | str, upper: int | str, partitions: int = 20,
                  user: str | None = None, password: str | None = None, fetchsize: int = 10_000) -> dict:
     """Options for a range-partitioned JDBC read (at most ``partitions`` connections)."""
     if partitions < 1:
