@@ -33,7 +33,8 @@ HEADLINE = [
     "w1_current_session", "w2_price_list", "l2_history_page", "c3d_mask_documents", "c8_callback_extract",
     "q1_orphan_keys", "u5_settle_payments", "u9_attach_credentials", "t4b_rate_limit_batch",
 ]
-STREAMING = ["t1_callback_dedup", "t3_expiry_stream"]
+STREAMING = ["s3_callback_source", "t1_callback_dedup", "t2_settle_stream", "t3_expiry_stream", "t4_rate_limit",
+             "t5_poll_deadline", "t6_stats_tick"]
 STREAM_KEYS = {"s3_callback_source", "s5_report_sink", "t1_callback_dedup", "t2_settle_stream", "t3_expiry_stream",
                "t4_rate_limit", "t5_poll_deadline", "t6_stats_tick"}
 

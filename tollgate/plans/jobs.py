@@ -151,7 +151,13 @@ def c6(t):
                     (F.col("secs_left") * 5 < F.col("duration_hours").cast("bigint") * 3600).alias("low_pct"))
 
 
-@register("c7_money_date_labels")
+@register("c7_money_date_labels", """
+with c as (select *, cast(amount_kes * 100 as bigint) as cents from payments_live)
+select payment_id, 'KES ' || format('{:,}', cents // 100) || case when cents % 100 = 0 then ''
+    when cents % 10 = 0 then '.' || cast(cents % 100 // 10 as varchar) else '.' || lpad(cast(cents % 100 as varchar), 2, '0') end
+    as amount_label,
+  strftime(created_at, '%d %b %Y, %H:%M') as date_label
+from c""")
 def c7(t):
     """Amount and date display text per payment (KES grouping; '20 Jan 2024, 14:05')."""
     return t.payments_live.select("payment_id", LB.kes_label("amount_kes").alias("amount_label"),
@@ -371,7 +377,20 @@ def u6(t):
     return U.touch_changed(t.packages, new, "package_id", _PF, LIVE)
 
 
-@register("u7_audit_diff")
+def _pairs(side: str) -> str:
+    """JSON object text of a list of (k, o, n) entries, one side's values as strings."""
+    return "'{' || array_to_string(list_transform(d, lambda e: '\"' || e.k || '\":\"' || e." + side + " || '\"'), ',') || '}'"
+
+
+_ENTRIES = ", ".join(f"struct_pack(k := '{c}', o := cast(k.{c} as varchar), n := cast(coalesce(p.{c}, k.{c}) as varchar))" for c in _PF)
+
+
+@register("u7_audit_diff", f"""
+with e as (select k.package_id, list_filter([{_ENTRIES}], lambda e: e.o is distinct from e.n) as d
+  from packages k join package_patches p on p.package_id = k.package_id)
+select 'update' as action, 'package' as target_type, package_id as target_id, {_pairs('o')} as old_values,
+  {_pairs('n')} as new_values, {LIVE_SQL} as created_at
+from e where len(d) > 0""")
 def u7(t):
     """Audit rows with old and new values (JSON) of each changed package."""
     new = U.patch_packages(t.packages, t.package_patches, LIVE)

@@ -94,9 +94,10 @@ def t6(t):
 
 
 def _attach_twin_oracles() -> None:
-    """T2 and T6 reuse the SQL of their batch twins (registered in other modules)."""
+    """T2, T6 and the sink S5 reuse the SQL of their batch twins (registered in other modules)."""
     from dataclasses import replace
     REGISTRY["t2_settle_stream"] = replace(REGISTRY["t2_settle_stream"], oracle=_u5_changed())
+    REGISTRY["s5_report_sink"] = replace(REGISTRY["s5_report_sink"], oracle=REGISTRY["a8_system_stats"].oracle)
     REGISTRY["t6_stats_tick"] = replace(REGISTRY["t6_stats_tick"], oracle=REGISTRY["a8_system_stats"].oracle)
 
 
