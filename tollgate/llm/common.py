@@ -59,6 +59,16 @@ def tasks_for(spark: SparkSession, total_bytes: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes or 0) // per_task), 1)
 
 
+def hashed_sample(rows: DataFrame, n: int, total: int, *keys: str) -> DataFrame:
+    """About ``n`` of ``total`` rows, those with the lowest hash of the keys, and never more than 2n.
+
+    A filter on each row's own hash: no sort, and no task hands on more than its share."""
+    share = (1.2 * n + 20) / max(total, 1)
+    if share < 1:
+        rows = rows.filter(F.xxhash64(*keys) < F.lit(int(share * (1 << 64)) - (1 << 63)))
+    return rows.limit(2 * n)
+
+
 def null_safe_text(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -9,7 +9,7 @@ each view's logit is calibrated on those rows, a last logistic model combines th
 every document is scored.
 
 Bounds, all documented parameters: ``labelled`` labelled rows and ``pool`` unlabelled rows
-(both the lowest by a hash of the id) are fitted on the driver as some 30 numbers a row.
+(about so many, the lowest by a hash of the id) are fitted on the driver as some 30 numbers a row.
 Scores, statistics of the text and decisions cover every row and whole texts.
 
 Defined cases: null and empty texts have zero statistics (their score follows from the
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, written
+from .common import as_bytes, hashed_sample, written
 from .logistic import Logistic, sigmoid
 
 LABELLED, POOL, ROUNDS, SURE = 12_000, 12_000, 4, 0.9
@@ -155,10 +155,12 @@ def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         known = known.filter(~held_out)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # a doubtful label counts as the lower
     cols = ["doc_id", "lang", "source", "log_chars", "content"]
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    found = rows.select(cols).join(known, "doc_id").orderBy(*order).limit(labelled).collect()
+    known = written(known, "quality-labels")
+    some = hashed_sample(known, labelled, known.count(), "doc_id")
+    found = sorted(rows.select(cols).join(some, "doc_id").collect(), key=lambda r: (r["content"], r["doc_id"]))
     y = np.array([r["quality"] for r in found], float)
-    free = rows.select(cols).join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool).collect()
+    free = hashed_sample(rows.select(cols).join(known, "doc_id", "left_anti"), pool, rows.count(), "doc_id").collect()
+    free.sort(key=lambda r: r["content"])
     fold = np.arange(len(found)) % 3 == 0
     return co_train(_views(found), y, fold, _views(free))
 
