@@ -8,7 +8,7 @@ last piece.  A character without a piece of its own costs ten below the worst sc
 written as the byte pieces of its UTF-8 form.
 
 No piece holds a blank after another character, so the search splits at the starts of
-blank runs without changing its result.  Distinct segments are searched once, all of a
+blank runs, and around characters that no piece holds, without changing its result.  Distinct segments are searched once, all of a
 batch side by side (numpy over segments, one step per position), and cached per Python
 worker up to a bound.  A vocabulary whose pieces do cross blanks is searched whole.
 
@@ -37,7 +37,7 @@ from .words import word_hashes
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS, SEGMENT_BYTES, SIDE_BY_SIDE = 1_500_000, 4 << 20, 1 << 21
+CACHE_SEGMENTS, SEGMENT_BYTES, SIDE_BY_SIDE = 1_500_000, 4 << 20, 1 << 19
 _codecs: dict[str, Codec] = {}
 
 
@@ -104,7 +104,10 @@ class Codec:
         self.unknown_id = next((i for i, x in enumerate(pieces) if x[2] == "unknown"), 0)
         self.raw = [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(BLANK, " ").encode() if kind == "normal"
                     else " ⁇ ".encode() if kind == "unknown" else b"" for p, _, kind in pieces]
+        self.byte_ids = np.array([self.bytes.get(b, self.unknown_id) for b in range(256)])
         self.splits = not any(BLANK in p.lstrip(BLANK) for p in normal)
+        # characters below 128 that no piece holds stand alone (a blank is written as U+2581)
+        self.lone = np.array([b < 128 and b != 32 and not self.automaton.code[b] for b in range(256)])
         self._clear()
 
     @classmethod
@@ -119,51 +122,43 @@ class Codec:
         self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.total = np.empty(0, np.uint32), np.empty(0, float)
 
-    def viterbi(self, segments: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """(ids, total score) of each segment, blanks written as U+2581."""
-        ids: list[np.ndarray] = [np.empty(0, np.uint32)] * len(segments)
-        totals = np.zeros(len(segments))
-        order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
-        i = 0
+    def viterbi(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, at, size, score): segment i, blanks written as U+2581, has ids[at[i]:at[i]+size[i]]."""
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        order = np.argsort(lengths, kind="stable")
+        sizes, totals, parts, i = np.zeros(len(segments), np.int64), np.zeros(len(segments)), [], 0
         while i < len(order):  # segments of like length, side by side
-            j, longest = i, 0
-            while j < len(order) and (j == i or (j - i + 1) * (len(segments[order[j]]) + 1) <= SIDE_BY_SIDE):
-                longest = len(segments[order[j]])
-                j += 1
-            group = order[i:j]
-            found, score = self._together([segments[g] for g in group], longest)
-            for g, f in zip(group, found, strict=True):
-                ids[g] = f
-            totals[group] = score
-            i = j
-        return ids, totals
-
-    def _together(self, segments: list[str], longest: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Segments sorted by length."""
-        n = len(segments)
-        sizes = np.array([len(s) for s in segments], np.int64)
+            room = np.flatnonzero((np.arange(1, len(order) - i + 1)) * (lengths[order[i:]] + 1) > SIDE_BY_SIDE)
+            group = order[i : i + max(int(room[0]) if len(room) else len(order), 1)]
+            ids, size, score = self._together([segments[g] for g in group.tolist()], lengths[group])
+            parts.append(ids)
+            sizes[group], totals[group] = size, score
+            i += len(group)
+        at = np.zeros(len(segments), np.int64)
+        at[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate([np.empty(0, np.uint32), *parts]), at, sizes, totals
+
+    def _together(self, segments: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, ids of each, scores) of segments sorted by length."""
+        n, longest = len(segments), int(sizes[-1])
         points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
         code = self.automaton.code[points]
         first = np.cumsum(sizes) - sizes
         best = np.full((longest + 1, n), -np.inf)
         best[0] = 0
-        came = np.full((longest + 1, n), -1, np.int64)  # the last piece; -1: an unknown character
+        came = np.full((longest + 1, n), -1, np.int32)  # the last piece; -1: an unknown character
         state = np.zeros(n, np.int64)
         for t in range(longest):
             low = int(np.searchsorted(sizes, t, "right"))  # segments from here on have a character t
-            char = code[first[low:] + t]
-            state[low:] = self.automaton.step(state[low:], char)
+            state[low:] = self.automaton.step(state[low:], code[first[low:] + t])
             here = np.full(n - low, -np.inf)
-            by = np.full(n - low, -1, np.int64)
+            by = np.full(n - low, -1, np.int32)
             alone = np.zeros(n - low, bool)
-            who, at = np.arange(n - low), state[low:]
-            whole = self.automaton.piece[at] >= 0
-            at = np.where(whole, at, self.automaton.link[at])
-            while True:  # the pieces that end here, longest first
-                some = at > 0
-                who, at = who[some], at[some]
-                if not len(who):
-                    break
+            at = state[low:]
+            at = np.where(self.automaton.piece[at] >= 0, at, self.automaton.link[at])
+            who = np.flatnonzero(at > 0)
+            at = at[who]
+            while len(who):  # the pieces that end here, longest first
                 piece = self.automaton.piece[at]
                 size = self.length[piece]
                 score = best[t + 1 - size, who + low] + self.score[piece]
@@ -171,46 +166,50 @@ class Codec:
                 here[who[better]], by[who[better]] = score[better], piece[better]
                 alone[who[size == 1]] = True
                 at = self.automaton.link[at]
+                some = at > 0
+                who, at = who[some], at[some]
             lone = best[t, low:] + self.unknown
             use = ~alone & (lone > here)
             here[use], by[use] = lone[use], -1
             best[t + 1, low:], came[t + 1, low:] = here, by
         # walk back
-        place, who = sizes.copy(), np.arange(n)
-        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while True:
-            live = place[who] > 0
-            who = who[live]
-            if not len(who):
-                break
+        place, who = sizes.copy(), np.flatnonzero(sizes > 0)
+        back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64))]
+        while len(who):
             piece = came[place[who], who]
             place[who] -= np.where(piece >= 0, self.length[piece], 1)
-            back.append((who, piece, place[who].copy()))
-        score = best[sizes, np.arange(n)]
-        if not back:
-            return [np.empty(0, np.uint32)] * n, score
+            back.append((who, piece, place[who]))
+            who = who[place[who] > 0]
         who, piece, start = (np.concatenate(x) for x in zip(*back, strict=True))
         order = np.lexsort((start, who))
         who, piece, start = who[order], piece[order], start[order]
-        cuts = np.searchsorted(who, np.arange(1, n))
-        parts = np.split(piece, cuts)
-        for k in np.unique(who[piece < 0]).tolist():  # unknown characters become bytes
-            spelled: list[int] = []
-            at = start[who == k].tolist()
-            for p, a in zip(parts[k].tolist(), at, strict=True):
-                spelled += [p] if p >= 0 else [self.bytes.get(b, self.unknown_id) for b in segments[k][a].encode()] if self.bytes else [self.unknown_id]
-            parts[k] = np.array(spelled)
-        return [p.astype(np.uint32) for p in parts], score
+        ids, times = self._spelled(piece, points[first[who] + start])
+        return ids, np.bincount(np.repeat(who, times), minlength=n), best[sizes, np.arange(n)]
+
+    def _spelled(self, piece: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each gives): unknown characters (-1) as the byte pieces of their UTF-8 form."""
+        unknown = piece < 0
+        if not self.bytes:
+            return np.where(unknown, self.unknown_id, piece).astype(np.uint32), np.ones(len(piece), np.int64)
+        extra = (point > 0x7F).astype(np.int64) + (point > 0x7FF) + (point > 0xFFFF)
+        times = np.where(unknown, 1 + extra, 1)
+        source = np.repeat(np.arange(len(piece)), times)
+        rank = np.arange(len(source)) - np.repeat(np.cumsum(times) - times, times)
+        ids = piece[source].astype(np.int64)
+        new = np.flatnonzero(unknown[source])
+        c, e, r = point[source[new]].astype(np.int64), extra[source[new]], rank[new]
+        lead = np.array([0, 0xC0, 0xE0, 0xF0])[e]
+        byte = np.where(r == 0, lead | (c >> (6 * e)), 0x80 | ((c >> (6 * (e - r))) & 0x3F))
+        ids[new] = self.byte_ids[byte]
+        return ids.astype(np.uint32), times
 
     def _learn(self, keys: np.ndarray, segments: list[str]) -> None:
-        parts, totals = self.viterbi(segments)
-        size = np.array([len(p) for p in parts], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
+        ids, at, size, totals = self.viterbi(segments)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.at, self.size, self.total = (np.concatenate(x)[order] for x in ((self.at, at), (self.size, size), (self.total, totals)))
-        self.ids = np.concatenate([self.ids, *parts])
+        self.at, self.size, self.total = (np.concatenate(x)[order] for x in ((self.at, at + len(self.ids)), (self.size, size), (self.total, totals)))
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(all ids, first, scores): text t has ids[first[t]:first[t+1]]."""
@@ -222,8 +221,8 @@ class Codec:
         buf = np.frombuffer(joined, np.uint8)
         new = np.zeros(len(buf) + 1, bool)
         if self.splits:
-            blank = buf == 32
-            new[1:-1] = blank[1:] & ~blank[:-1]
+            blank, lone = buf == 32, self.lone[buf]
+            new[1:-1] = (blank[1:] & ~blank[:-1]) | lone[1:] | lone[:-1]
         new[begin[:-1][np.diff(begin) > 0]] = True
         starts = np.flatnonzero(new[:-1])
         ends = np.append(starts[1:], len(buf))
