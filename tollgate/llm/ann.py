@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hashed_sample, written
 
 SAMPLE, HIDDEN, BLOCK, GRAPH_K = 8_192, 96, 2_048, 10
 PART_ROWS = 2_000
@@ -224,7 +224,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
     n = rows.count()
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    picked = hashed_sample(rows, sample, n, "vec_id").select("embedding").collect()
     # copies of a vector would fill each other's neighbour lists
     known = np.unique(np.array([r["embedding"] for r in picked], np.float64), axis=0) if picked else np.empty((0, 1))
     router = fit(known[np.random.default_rng(7).permutation(len(known))], n, k, recall)
