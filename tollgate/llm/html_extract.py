@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashed_sample
 from .logistic import Logistic
 
 SAMPLE = 400
@@ -296,7 +297,7 @@ def _extracted(model: Logistic | None):
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_content) of every page, whole html."""
     light = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    picked = light.filter("html IS NOT NULL").select("html", F.xxhash64("page_id", "html").alias("_h")).orderBy("_h").limit(sample).select("html").collect()
-    model = train([r["html"] for r in picked])
+    picked = hashed_sample(light.filter("html IS NOT NULL"), sample, light.count(), "page_id").select("html").collect()
+    model = train(sorted(r["html"] for r in picked))
     kind = light.schema["page_id"].dataType.simpleString()
     return light.mapInArrow(_extracted(model), f"page_id {kind}, url string, text string, n_chars long, n_blocks int, n_content int")
