@@ -4,16 +4,17 @@ Tags are "toxic" and "other".  A token's observations are its word, its prefixes
 suffix (lower case, marks at the ends stripped).  Labelled tokens come from labelled
 documents: an observation that is significantly more frequent in toxic documents (a
 likelihood-ratio test on document counts) and many times likelier there is a cue; in a
-toxic document the tokens with a cue are toxic, all others are not.  The field is fitted
+toxic document the tokens with a cue are toxic, unless the word itself is as common
+elsewhere; all others are not.  Copies among the labelled documents count once.  The field is fitted
 by gradient steps on its conditional likelihood, with forward and backward sums.
 
 Scoring runs forward-backward over every whole text.  The marginals give the offending
 spans; their expected number and their maximum, through a logistic model fitted on
 documents, give the document's score.
 
-Bounds: the field and the score are fitted on at most ``per_class`` labelled documents of
-each label (lowest by a hash of the id), weighted back to the labels' true shares.  The
-score reads the text alone.
+Bounds: the field and the score are fitted, in one task, on about ``toxic_docs`` and
+``clean_docs`` labelled documents (lowest by a hash of the id; never more than twice as
+many), weighted back to the labels' true shares.  The score reads the text alone.
 
 Defined cases: null and empty texts have no tokens and get the score of "no evidence";
 a null doc_id has no label and is not held out; without labels of both kinds every score
@@ -23,6 +24,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -31,11 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, hashed_sample
 from .logistic import Logistic, sigmoid
-from .words import spans, word_hashes
+from .words import mix, spans, window_hashes, word_hashes
 
-PER_CLASS = 3_000
+TOXIC_DOCS, CLEAN_DOCS = 1_500, 3_000
 PREFIXES, SUFFIX = (3, 4, 5, 6, 7), 4
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "…“”‘’«»¿¡"
 SEGMENT = 48  # tokens of a training segment
@@ -60,22 +62,49 @@ def _g2(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
     return total
 
 
-def cues(documents: Iterable[set[str]], toxic: np.ndarray, g2: float = 25.0, times: float = 4.0) -> set[str]:
-    """Observations that mark toxic documents; ``documents``: the distinct observations of each."""
-    count: dict[str, list[int]] = {}
-    for found, label in zip(documents, toxic.tolist(), strict=True):
-        for f in found:
-            c = count.get(f)
-            if c is None:
-                c = count[f] = [0, 0]
-            c[label] += 1
-    n1, n0 = int(toxic.sum()), int((~toxic.astype(bool)).sum())
-    names = [f for f, c in count.items() if c[1] >= 3]
-    a, b = np.array([count[f][1] for f in names], float), np.array([count[f][0] for f in names], float)
-    if not names:
-        return set()
-    strong = (_g2(a, b, n1, n0) >= g2) & ((a + 0.5) / (n1 + 1) >= times * (b + 0.5) / (n0 + 1))
-    return {f for f, s in zip(names, strong.tolist(), strict=True) if s}
+class Tokens:
+    """Texts as word numbers; each distinct word's observations are held once, as numbers too."""
+
+    def __init__(self, texts: Iterable[list[str]]):
+        words: dict[str, int] = {}
+        self.names: dict[str, int] = {}
+        flat, until, self.docs = array("i"), array("i", [0]), []
+        for text in texts:
+            doc = array("i")
+            for w in text:
+                n = words.get(w)
+                if n is None:
+                    n = words[w] = len(words)
+                    for f in observations(w):
+                        flat.append(self.names.setdefault(f, len(self.names)))
+                    until.append(len(flat))
+                doc.append(n)
+            self.docs.append(np.array(doc, np.int32))
+        self.flat, self.until = np.array(flat, np.int32), np.array(until, np.int64)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``words``, observation) of every observation of the words."""
+        size = np.diff(self.until)[words]
+        place = np.repeat(np.arange(len(words)), size)
+        start = np.repeat(self.until[words] - (np.cumsum(size) - size), size)
+        return place, self.flat[start + np.arange(len(start))]
+
+
+def cue_words(tokens: Tokens, toxic: np.ndarray, g2: float = 25.0, times: float = 4.0) -> np.ndarray:
+    """Which words are cues: an observation of theirs marks toxic documents, and the word itself is not as common elsewhere."""
+    n = len(tokens.names)
+    seen = np.zeros((2, n))
+    for doc, label in zip(tokens.docs, toxic.tolist(), strict=True):
+        seen[label, np.unique(tokens.of(np.unique(doc))[1])] += 1
+    n0, n1 = int((toxic == 0).sum()), int((toxic == 1).sum())
+    rate0, rate1 = (seen[0] + 0.5) / (n0 + 1), (seen[1] + 0.5) / (n1 + 1)
+    marks = (seen[1] >= 3) & (_g2(seen[1], seen[0], n1, n0) >= g2) & (rate1 >= times * rate0)
+    some = np.diff(tokens.until) > 0
+    out = np.zeros(len(some), bool)
+    if some.any():
+        first = tokens.until[:-1][some]
+        out[some] = np.logical_or.reduceat(marks[tokens.flat], first) & (rate1 >= times / 2 * rate0)[tokens.flat[first]]
+    return out
 
 
 class Field:
@@ -148,32 +177,20 @@ def _pairs(score: np.ndarray, length: int, move: np.ndarray) -> tuple[np.ndarray
 
 def fit_field(texts: list[list[str]], toxic: np.ndarray, steps: int = 60, ridge: float = 0.02) -> Field | None:
     """Fit on labelled documents (lists of words); None without cues."""
-    known: dict[str, list[str]] = {}  # each distinct word's observations are held once
-    seen = [[known.get(w) or known.setdefault(w, observations(w)) for w in words] for words in texts]
-    marked = cues(({f for obs in doc for f in obs} for doc in seen), toxic)
-    if not marked:
-        return None
-    cue_words = {id(obs) for obs in known.values() if any(f in marked for f in obs)}
-    # documents of one label follow each other in one stream, so that short ones count too
+    tokens = Tokens(texts)
+    cue = cue_words(tokens, toxic)
     segments, tags = [], []
-    for label in (0, 1):
-        stream = [obs for doc, k in zip(seen, toxic.tolist(), strict=True) if k == label for obs in doc]
-        for n, i in enumerate(range(0, len(stream) - SEGMENT + 1, SEGMENT)):
-            part = [bool(label) and id(obs) in cue_words for obs in stream[i : i + SEGMENT]]
-            if any(part) or n % 16 == 0:  # every segment with a toxic token, a sixteenth of the others
-                segments.append(stream[i : i + SEGMENT])
-                tags.append(part)
-    if not segments:
+    for label in (0, 1):  # documents of one label follow each other in one stream, so that short ones count too
+        stream = np.concatenate([np.empty(0, np.int32), *(d for d, k in zip(tokens.docs, toxic.tolist(), strict=True) if k == label)])
+        rows = stream[: len(stream) // SEGMENT * SEGMENT].reshape(-1, SEGMENT)
+        tag = cue[rows] & bool(label)
+        keep = tag.any(axis=1) | (np.arange(len(rows)) % 16 == 0)  # every segment with a toxic token, a sixteenth of the others
+        segments.append(rows[keep]), tags.append(tag[keep])
+    rows, y = np.concatenate(segments), np.concatenate(tags).astype(float)
+    if not y.any():
         return None
-    names: dict[str, int] = {}
-    at, feature = array("i"), array("i")
-    for s, segment in enumerate(segments):
-        for t, obs in enumerate(segment):
-            for f in obs:
-                feature.append(names.setdefault(f, len(names)))
-                at.append(s * SEGMENT + t)
-    at, feature = np.frombuffer(at, np.int32), np.frombuffer(feature, np.int32)
-    y = np.array(tags, float)
+    names = tokens.names
+    at, feature = tokens.of(rows.ravel())
     common = np.bincount(feature, minlength=len(names)) >= 3  # rare observations get no weight of their own
     weights, bias, move = np.zeros(len(names)), float(np.log(max(y.mean(), 1e-6) / (1 - min(y.mean(), 0.5)))), np.zeros((2, 2))
     true_moves = np.array([[((1 - y[:, :-1]) * (1 - y[:, 1:])).sum(), ((1 - y[:, :-1]) * y[:, 1:]).sum()],
@@ -208,14 +225,17 @@ class Emissions:
 
 
 def evidence(p: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each text: log of 1 + expected toxic tokens, their share by square root, and the largest marginal."""
-    out = np.zeros((len(first) - 1, 3))
+    """Of each text, from its marginals: log of 1 + expected toxic tokens, the root of their share, the largest
+    marginal, and the (bounded) log-odds against no toxic token at all."""
+    out = np.zeros((len(first) - 1, 4))
     have = np.flatnonzero(np.diff(first))
     if len(have):
-        total = np.add.reduceat(p, first[:-1][have])
+        at = first[:-1][have]
+        total = np.add.reduceat(p, at)
         out[have, 0] = np.log1p(total)
         out[have, 1] = np.sqrt(total / np.diff(first)[have])
-        out[have, 2] = np.maximum.reduceat(p, first[:-1][have])
+        out[have, 2] = np.maximum.reduceat(p, at)
+        out[have, 3] = np.log1p(np.add.reduceat(np.minimum(-np.log1p(-np.minimum(p, 1 - 1e-9)), 8.0), at))
     return out
 
 
@@ -228,7 +248,26 @@ class Model:
         return marginals(score, first, self.field.move), first, starts, ends
 
 
+def distinct(texts: list[bytes]) -> np.ndarray:
+    """Indices of the texts that share none of four minimum hashes of 5-word shingles with an earlier one kept.
+
+    Copies of one toxic document, exact or near, would make its every word look like a cue."""
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for t, text in enumerate(texts):
+        buf, starts, ends, _ = spans([text])
+        words = word_hashes(buf, starts, ends)
+        grams = window_hashes(words, min(5, len(words))) if len(words) else words
+        keys = [(k, int(mix(grams ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min())) for k in range(4)] if len(grams) else [(-1, 0)]
+        if seen.isdisjoint(keys):
+            kept.append(t)
+            seen.update(keys)
+    return np.array(kept, int)
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, weight: np.ndarray, share: float) -> Model:
+    some = distinct(texts)
+    texts, toxic, weight = [texts[i] for i in some], toxic[some], weight[some]
     if not 0 < toxic.sum() < len(toxic):
         return Model(share)
     field = fit_field([t.decode().split() for t in texts], toxic)
@@ -245,8 +284,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on labelled documents that are not held out, at most ``per_class`` of each label."""
+def _fitted(weights: dict[int, float], share: float):
+    """Fit in one task: its input is the bounded sample."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["doc_id"], r["toxic"], r["text"]) for b in batches for r in b.to_pylist())
+        if rows:
+            toxic = np.array([k for _, k, _ in rows], int)
+            weight = np.array([weights[k] / max((toxic == k).sum(), 1) for k in toxic.tolist()])
+            model = fit([t.encode() for *_, t in rows], toxic, weight * len(rows), share)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> Model:
+    """Fit on labelled documents that are not held out, about ``toxic_docs`` and ``clean_docs`` of them."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
         .filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~held_out()) \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -255,13 +306,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     share = counts.get(1, 0) / total if total else 0.0
     if len(counts) < 2:
         return Model(share)
-    picked = [known.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id") \
-        .select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    toxic = np.array([r["toxic"] for r in rows], int)
-    weight = np.array([counts[k] / max((toxic == k).sum(), 1) for k in toxic.tolist()])
-    return fit([r["text"].encode() for r in rows], toxic, weight * len(rows) / total, share)
+    picked = [hashed_sample(known.filter(F.col("toxic") == k), n, counts[k], "doc_id") for k, n in ((0, clean_docs), (1, toxic_docs))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
+        .join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "toxic", "text")
+    found = rows.repartition(1).mapInArrow(_fitted({k: counts[k] / total for k in counts}, share), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else Model(share)
 
 
 def _code_points(text: bytes, at: int) -> int:
@@ -293,8 +342,8 @@ def scorer(model: Model, threshold: float, mark: float):
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mark: float = 0.5, id_col: str = "doc_id",
-             text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
+             text_col: str = "text", toxic_docs: int = TOXIC_DOCS, clean_docs: int = CLEAN_DOCS) -> DataFrame:
     """(doc_id, score, predicted, spans) of every row; spans are code-point offsets of toxic words with their marginals."""
     light = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = train(light, labels, per_class)
+    model = train(light, labels, toxic_docs, clean_docs)
     return light.mapInArrow(scorer(model, threshold, mark), f"doc_id long, score double, predicted int, spans {SPANS}")
