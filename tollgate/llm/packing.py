@@ -27,7 +27,7 @@ from .common import as_bytes, tasks_for, written
 from .tokens import word_ids
 from .words import mix
 
-DIMENSIONS, BITS, SEGMENT_BYTES = 3, 10, 8 << 20
+DIMENSIONS, BITS, SEGMENT_BYTES = 3, 10, 4 << 20
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 

@@ -15,7 +15,7 @@ import numpy as np
 from .words import spans, word_hashes
 
 SEPARATOR = "\x01"  # a word of its own; words that hold it are encoded alone
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_000_000
 _caches: dict[str, WordIds] = {}
 
 
@@ -29,18 +29,17 @@ class WordIds:
 
     def _clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int64)
-        self.size = np.empty(0, np.int64)
+        self.at = np.empty(0, np.int32)
+        self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
     def _new(self, words: list[str]) -> list[np.ndarray]:
         """Ids of each word."""
         plain = [w for w in words if SEPARATOR not in w and "<|" not in w]
         groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        encoded = self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(g) for g in groups], add_special_tokens=False)
         found: list[np.ndarray] = []
-        for g, e in zip(groups, encoded, strict=True):
-            ids = np.array(e.ids, np.uint32)
+        for g in groups:
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(g)], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.separator)
             parts = np.split(ids, cuts)
             found += [parts[0], *(p[1:] for p in parts[1:])]
@@ -52,8 +51,8 @@ class WordIds:
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         parts = self._new(words)
-        size = np.array([len(p) for p in parts], np.int64)
-        at = len(self.ids) + np.cumsum(size) - size
+        size = np.array([len(p) for p in parts], np.int32)
+        at = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
         keys = np.concatenate([self.keys, keys])
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
