@@ -237,7 +237,7 @@ def _match_windows(table: pa.Table) -> pa.Table:
 def _remove(window: int, buckets: int, with_text: bool):
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, window) if table.num_rows else None
-        ids = table.column("doc_id")
+        ids, given = table.column("doc_id"), table.column("text").is_valid().to_pylist()
         n_words, n_removed, shas, kept, repeats = [], [], [], [], []
         if chunk is not None:
             cand = np.zeros(max(len(chunk.words) - window + 1, 0), bool)
@@ -265,7 +265,7 @@ def _remove(window: int, buckets: int, with_text: bool):
                     repeats.append([])
                 text = b" ".join(words)
                 n_words.append(j - i), n_removed.append(removed), shas.append(hashlib.sha256(text).hexdigest())
-                kept.append(None if not with_text else text if removed else chunk.texts[t])
+                kept.append(None if not with_text or not given[t] else text if removed else chunk.texts[t])
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return pa.table({"row": table.column("row"), "doc_id": ids, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
                          "kept_sha256": pa.array(shas, pa.string()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
@@ -276,7 +276,7 @@ def _remove(window: int, buckets: int, with_text: bool):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13,
                     with_text: bool = True, chunk_bytes: int = CHUNK_BYTES, chunks: int | None = None) -> DataFrame:
     """For every input row: ``row`` (its other columns, as a struct), doc_id, n_words, n_removed, kept_sha256,
-    kept_text (unchanged where nothing goes) and the removed ``spans`` (words from 0)."""
+    kept_text (unchanged where nothing goes, null where null) and the removed ``spans`` (words from 0)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0]
     parts = tasks_for(spark, total, 2 * chunk_bytes)
@@ -298,11 +298,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """The rows of ``docs`` with repeats cut from the text (null text stays null) and ``n_chars`` brought up to date."""
-    found = substring_dedup(docs.withColumn("_null", F.col(text_col).isNull()), id_col, text_col, **options)
-    text = F.when(~F.col("row._null"), F.col("kept_text"))
+    found = substring_dedup(docs, id_col, text_col, **options)
     def column(c: str):
         if c == text_col:
-            return text.alias(c)
+            return F.col("kept_text").alias(c)
         if c == id_col:
             return F.col("doc_id").cast(docs.schema[c].dataType).alias(c)
         if c == n_chars:
