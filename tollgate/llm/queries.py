@@ -49,7 +49,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@query("op3_substring_dedup")
+_LEADS = " || ' ' || ".join(f"lead(word, {k}) over o" for k in range(1, 13))
+
+
+@query("op3_substring_dedup", rf"""
+WITH t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)),
+g AS (SELECT *, word || ' ' || {_LEADS} AS gram FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT gram, min(doc_id) AS low FROM g WHERE gram IS NOT NULL GROUP BY gram),
+f AS (SELECT g.doc_id, i, word, coalesce(low < g.doc_id, false) AS hit FROM g LEFT JOIN m USING (gram)),
+c AS (SELECT *, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM f),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+  string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN a USING (doc_id)""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under 13-word windows that also start in a smaller document, over whole texts."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
