@@ -45,7 +45,7 @@ def callback_lines(spark: SparkSession, path: str, files_per_batch: int | None =
 class JsonReplay(runner.Replay):
     """Recorded callbacks, delivered as the JSON files that the source reads."""
 
-    def __init__(self, callbacks: DataFrame, base: str, slices: int = 4):
+    def __init__(self, callbacks: DataFrame, base: str, slices: int = 3):
         super().__init__([(callbacks.select("event_id", "received_at", "body"), "received_at")], base, slices)
 
     def deliver(self, k: int) -> None:
@@ -53,7 +53,7 @@ class JsonReplay(runner.Replay):
             .option("timestampNTZFormat", TIME_FORMAT).json(self.paths[0])
 
 
-def run_source(spark: SparkSession, callbacks: DataFrame, slices: int = 4) -> DataFrame:
+def run_source(spark: SparkSession, callbacks: DataFrame, slices: int = 3) -> DataFrame:
     """S3 end to end: JSON documents delivered in slices, read as a file stream, parsed, into a file sink."""
     base = runner.run_folder(spark, "callback_source")
     replay = JsonReplay(callbacks, base, slices)
@@ -107,7 +107,7 @@ def settle_batches(spark: SparkSession, base: str, payments: DataFrame, packages
     return step
 
 
-def run_dedup(spark: SparkSession, callbacks: DataFrame, slices: int = 4) -> DataFrame:
+def run_dedup(spark: SparkSession, callbacks: DataFrame, slices: int = 3) -> DataFrame:
     """T1 end to end: documents delivered in slices, the first delivery of each checkout kept."""
     base = runner.run_folder(spark, "callback_dedup")
     replay = JsonReplay(callbacks, base, slices)
@@ -115,7 +115,7 @@ def run_dedup(spark: SparkSession, callbacks: DataFrame, slices: int = 4) -> Dat
     return spark.read.parquet(f"{base}/first").drop("batch_id")
 
 
-def run_settle(spark: SparkSession, callbacks: DataFrame, payments: DataFrame, packages: DataFrame, slices: int = 4) -> DataFrame:
+def run_settle(spark: SparkSession, callbacks: DataFrame, payments: DataFrame, packages: DataFrame, slices: int = 3) -> DataFrame:
     """T2 end to end: the payments that the delivered callbacks changed, each once."""
     base = runner.run_folder(spark, "settle_stream")
     replay = JsonReplay(callbacks, base, slices)

@@ -34,7 +34,7 @@ def timeouts(pay: DataFrame, cbs: DataFrame, minutes: int = 5, lateness_minutes:
 
 
 def run_deadline(spark: SparkSession, payments: DataFrame, callbacks: DataFrame, at: str,
-                 slices: int = 4, lateness_minutes: int = LATENESS_MINUTES) -> DataFrame:
+                 slices: int = 3, lateness_minutes: int = LATENESS_MINUTES) -> DataFrame:
     """Payments and callbacks up to the clock, replayed in time order; event time ends at the clock."""
     base = runner.run_folder(spark, "poll_deadline")
     now = clock.at(at)

@@ -43,7 +43,7 @@ def expiry_stream(starts: DataFrame, stops: DataFrame, lateness_minutes: int = L
     return j.where(F.col("d_id").isNull()).select("session_id", "user_id", F.col("s_exp").alias("expired_at"))
 
 
-def run_expiry(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 4,
+def run_expiry(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 3,
                lateness_minutes: int = LATENESS_MINUTES) -> DataFrame:
     """Starts and disconnects up to the clock, replayed in time order; event time ends at the clock."""
     base = runner.run_folder(spark, "expiry_stream")

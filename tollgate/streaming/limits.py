@@ -41,7 +41,7 @@ def _closing_tick(requests: DataFrame, seconds: int) -> DataFrame:
 
 
 def run_rate_limit(spark: SparkSession, events: DataFrame, logins: DataFrame, payments: DataFrame,
-                   slices: int = 4) -> DataFrame:
+                   slices: int = 2) -> DataFrame:
     """T4 over recorded requests: every limiter's stream drained, all windows closed."""
     requests = attempts(events, logins, payments)
     outs = []

@@ -94,7 +94,7 @@ def start_ticks(spark: SparkSession, source_path: str, schema, base: str, every:
     return runner.run_foreach_batch(stream, base, _tick_fn(spark, base, None), processing_time=every)
 
 
-def run_ticks(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 4) -> DataFrame:
+def run_ticks(spark: SparkSession, sessions: DataFrame, at: str, slices: int = 3) -> DataFrame:
     """Test form: replay ``sessions`` in time order, one tick per slice; all tick rows with batch ids."""
     base = runner.run_folder(spark, "stats_tick")
     replay = runner.Replay([(sessions, "started_at")], base, slices)
