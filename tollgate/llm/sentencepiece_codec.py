@@ -37,7 +37,7 @@ from .words import word_hashes
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS, SEGMENT_BYTES, SIDE_BY_SIDE = 1_500_000, 4 << 20, 1 << 19
+CACHE_SEGMENTS, SEGMENT_BYTES, SIDE_BY_SIDE = 800_000, 4 << 20, 1 << 19
 _codecs: dict[str, Codec] = {}
 
 
@@ -289,8 +289,19 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
     return rows.mapInArrow(_decoded(model), T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
+def _there_and_back(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path)
+        for batch in _encoded(path, "text")(batches):
+            same = [own.decode(np.frombuffer(b, "<u4")) == t.decode().replace(BLANK, " ")
+                    for b, t in zip(as_bytes(batch.column("ids")), as_bytes(batch.column("text")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "ids", "ids_score")] + [pa.array(same, pa.bool_())],
+                                             names=["doc_id", "ids", "score", "round_trip"])
+    return run
+
+
 def digest(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, score, round_trip) of every document: encoded, and decoded again."""
-    rows = decode(encode(docs.select("doc_id", "text"), model), model)
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.col("ids_score").alias("score"),
-                       (F.replace(F.coalesce("text", F.lit("")), F.lit(BLANK), F.lit(" ")) == F.col("decoded")).alias("round_trip"))
+    """(doc_id, n_ids, ids_crc32, score, round_trip) of every document: encoded, and decoded again in the same task."""
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = light.mapInArrow(_there_and_back(model), "doc_id long, ids binary, score double, round_trip boolean")
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "score", "round_trip")
