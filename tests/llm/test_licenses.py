@@ -1,4 +1,5 @@
 """Licence scan: base phrases against a plain search, notices by hand."""
+import random
 import re
 
 from tollgate.llm import common, licenses
@@ -47,3 +48,28 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string")
     plan = licenses.scan(df)._jdf.queryExecution().toString() + licenses.scanned(df, "doc_id", "text")._jdf.queryExecution().toString()
     assert not re.search(r"Python|Pandas|MapInArrow", plan)
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    """Other notices and rarer licence words in a file take nothing from a notice that stands whole in it."""
+    common.prepare(spark)
+    notices = {label: words for label, words, _ in licenses.NOTICES}  # the last of each label
+    third_party = " -- ".join([GPL, notices["mit"], notices["bsd"], "Released under the MIT License.", notices["mpl-2.0"]])
+    prose = "Publish, merge and sublicense binary conditions; a person may distribute copies without warranty, limitation, restriction or charge. "
+    rows = [(1, third_party), (2, prose * 3 + "word " * 500 + "Released under the MIT License."), (3, "Released under the MIT License.")]
+    rows += [(k, "The software is under a free license, released by the public foundation.") for k in range(10, 40)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == "bsd,gpl,gpl-3.0,mit,mpl-2.0" and got[1].score == 1.0
+    assert (got[2].labels, got[2].score) == (got[3].labels, got[3].score) == ("mit", 1.0)
+    assert all(got[k].labels == "" for k in range(10, 40))
+
+
+def test_looked_up_words_lose_no_match():
+    """Whatever the IDFs: words that reach the least share hold a word that is looked up."""
+    rng = random.Random(4)
+    for _, words, _ in licenses.NOTICES:
+        notice = [w for w in words.split() if w not in licenses.FUNCTION_WORDS]
+        for least in (0.3, 0.5, 0.8):
+            idf = {w: rng.choice([1e-6, 0.1, 1.0, 5.0]) for w in notice}
+            others = sum(idf[w] for w in notice if w not in licenses.rarest(notice, idf, least))
+            assert others < least * sum(idf[w] for w in notice)

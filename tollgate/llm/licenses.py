@@ -4,12 +4,12 @@
    phrases it holds and where licence words (words of the notices below, but for function
    words) stand; that light table is written.
 2. Document frequencies of the licence words, over all files, give their IDF.
-3. A file's highest-IDF licence words are looked up in the notices' postings; a notice and
-   a relative position on which two of them agree (all, where the file has one) is a
-   candidate.  Its score is the IDF share of the notice's licence words that stand at
-   that relative position.
-4. A candidate counts if the notice's mandatory phrases all stand in the file and the
-   score reaches ``least``.
+3. The places of each notice's highest-IDF words are looked up in its postings, in the files
+   that hold all its mandatory phrases: so many words that the others alone cannot reach
+   ``least``, so no match is lost.  A notice and a relative position are a candidate; its
+   score is the IDF share of the notice's licence words that stand at that position.
+4. A candidate counts if its score reaches ``least`` and two of its licence words stand (one,
+   where the file has one).
 
 Defined cases: null text counts as empty (no words, no labels, score 0); repeated rows,
 null doc_ids and further columns do not matter, every row is scanned on its own; a word
@@ -59,13 +59,24 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 ]
 FUNCTION_WORDS = set("a and any are as at be by can either for in is it may met not of on or that the this to use with without you your".split())
-RARE = 12
 
 
 def licence_words() -> list[str]:
     return sorted({w for _, words, _ in NOTICES for w in words.split()} - FUNCTION_WORDS)
 
 
+def rarest(notice: list[str], idf: dict[str, float], least: float) -> set[str]:
+    """A notice's highest-IDF words, so many that the others' share of its IDF is below ``least``."""
+    total = left = sum(idf[w] for w in notice)
+    chosen: set[str] = set()
+    for w in sorted(set(notice), key=lambda w: (-idf[w], w)):
+        if left < least * total * (1 - 1e-9):
+            break
+        chosen.add(w)
+        left -= idf[w] * notice.count(w)
+    return chosen
+
+
 def _framed(phrase: str) -> str:
     """A phrase as it stands in a framed text: every word between blanks of its own."""
     return "".join(f" {w} " for w in phrase.split())
@@ -100,7 +111,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
          .otherwise(F.array().cast("array<string>")).alias("phrases"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, rare: int = RARE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row."""
     spark = docs.sparkSession
     files = written(scanned(docs, id_col, text_col), "licence-files")
@@ -113,19 +124,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     postings = F.broadcast(spark.createDataFrame(
         [(t, w, i, idf[w], sum(idf[x] for _, x in notices[t])) for t in range(len(NOTICES)) for i, w in notices[t]],
         "notice int, word string, place int, idf double, total double"))
-    rules = F.broadcast(spark.createDataFrame([(t, label, phrases) for t, (label, _, phrases) in enumerate(NOTICES)], "notice int, label string, needed array<string>"))
-    ranked = F.array(*[F.lit(w) for w in sorted(idf, key=lambda w: (-idf[w], w))])
-    chosen = heard.withColumn("rare", F.slice(F.array_intersect(ranked, F.transform("places", lambda p: p["word"])), 1, rare))
-    looked_up = chosen.select("row_id", F.size("rare").alias("n_rare"), F.explode(F.filter("places", lambda p: F.array_contains("rare", p["word"]))).alias("p")) \
-        .select("row_id", "n_rare", "p.word", "p.pos").join(postings, "word")
-    candidates = looked_up.groupBy("row_id", "notice", (F.col("pos") - F.col("place")).alias("offset")) \
-        .agg(F.count("*").alias("agree"), F.max("n_rare").alias("n_rare")).filter("agree >= least(2, n_rare)")
-    expected = candidates.join(postings, "notice").select("row_id", "notice", "offset", "word", (F.col("offset") + F.col("place")).alias("pos"), "idf", "total")
-    standing = heard.select("row_id", F.explode("places").alias("p")).select("row_id", "p.word", "p.pos")
+    rules = F.broadcast(spark.createDataFrame([(t, label) for t, (label, _, _) in enumerate(NOTICES)], "notice int, label string"))
+    rare = F.broadcast(spark.createDataFrame(
+        [(t, w, i) for t, words in enumerate(notices) for chosen in [rarest([w for _, w in words], idf, least)] for i, w in words if w in chosen],
+        "notice int, word string, place int"))
+    # a notice without its mandatory phrases never counts, so it is not looked up
+    allowed = F.array_compact(F.array(*[F.when(F.size(F.array_except(F.array(*map(F.lit, needed)), "phrases")) == 0, F.lit(t))
+                                        for t, (_, _, needed) in enumerate(NOTICES)]))
+    hopeful = heard.select("row_id", "places", allowed.alias("allowed"), F.size(F.array_distinct(F.transform("places", lambda p: p["word"]))).alias("n_heard")) \
+        .filter("size(allowed) > 0")
+    candidates = hopeful.select("row_id", "allowed", "n_heard", F.explode("places").alias("p")) \
+        .select("row_id", "allowed", "n_heard", "p.word", "p.pos").join(rare, "word").filter("array_contains(allowed, notice)") \
+        .groupBy("row_id", "notice", (F.col("pos") - F.col("place")).alias("offset")).agg(F.max("n_heard").alias("n_heard"))
+    expected = candidates.join(postings, "notice").select("row_id", "notice", "offset", "n_heard", "word", (F.col("offset") + F.col("place")).alias("pos"), "idf", "total")
+    standing = hopeful.select("row_id", F.explode("places").alias("p")).select("row_id", "p.word", "p.pos")
     scored = expected.join(standing, ["row_id", "word", "pos"]).groupBy("row_id", "notice", "offset") \
-        .agg((F.sum("idf") / F.max("total")).alias("share")).groupBy("row_id", "notice").agg(F.max("share").alias("share")).filter(F.col("share") >= least)
-    verified = scored.join(rules, "notice").join(heard.select("row_id", "phrases"), "row_id").filter("forall(needed, k -> array_contains(phrases, k))") \
-        .groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+        .agg((F.sum("idf") / F.max("total")).alias("share"), F.count("*").alias("agree"), F.max("n_heard").alias("n_heard")) \
+        .filter((F.col("share") >= least) & F.expr("agree >= least(2, n_heard)"))
+    verified = scored.join(rules, "notice").groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
     comma = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return files.join(verified, "row_id", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", comma(F.col("base")).alias("base_labels"),
