@@ -30,6 +30,21 @@ def test_small_pages(page, want):
     assert main_text(page)[0] == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><p>a <svg class=icon /> b</p><p>c</p></article>", "a b\nc"),
+    ("<article><p>a <svg/> b</p><p>c <svg viewBox='0 0=1'/> d</p><p>e <svg><path d=''/>x</svg> f</p></article>", "a b\nc d\ne f"),
+    ("<article><p>a <svg class=icon/>x</svg> b</p></article>", "a b"),  # the slash is the value's
+    ("<article><p>a <svg><title>t<p>u</p></title><svg/><svg>x</svg>y</svg> b</p></article>", "a b"),
+    ("<article><p>a <svg><path></p><p>b</p><p>c <svg><g></article><footer>f</footer>", "a\nb\nc"),
+    ("<article><p>a <svg><style><![CDATA[ <p> ]]></style></svg> b</p></article>", "a b"),
+    ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <math/> stop.</p><p>c</p></article>", "If x=2 then stop.\nc"),
+    ("<article><p><math><mtable><mtr><mtd>1</mtd><mtd>0</mtd></mtr></mtable></math></p></article>", "1 0"),
+    ("<article><p><math><semantics><mi>y</mi><annotation encoding='application/x-tex'>\\\\y</annotation></semantics></math> z</p></article>", "y z"),
+    ("<article><p><math><mi>y</mi><annotation>w</math> z</p><p>c</p></article>", "yw z\nc")])
+def test_drawings_and_formulas(page, want):
+    assert main_text(page)[0] == want
+
+
 def test_minimum_cut_is_least_cost():
     rng = np.random.default_rng(5)
     for _ in range(60):

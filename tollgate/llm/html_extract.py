@@ -12,8 +12,8 @@ inside navigation, footers, asides, forms or elements named as such; its inputs
 text's shape and tag only.  What the markup says outright is added as evidence afterwards.
 
 Defined cases: null or empty html, and pages without content, give the empty text (0
-characters); unclosed tags, comments and scripts end where a browser ends them; br is white
-space; table cells of a row are one block; character references decode as in HTML5;
+characters); unclosed tags, comments, scripts and svg drawings end where a browser ends them (svg alone
+may close itself by '/>'); formulas keep their text, but for annotations; br is white space; table cells of a row are one block; character references decode as in HTML5;
 repeated rows give equal rows.  An empty table gives an empty result.
 """
 
@@ -35,7 +35,11 @@ from .logistic import Logistic
 SAMPLE = 400
 # fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video title textarea select".split())
+RAW = frozenset("script style noscript template iframe object canvas audio video title textarea select".split())
+# start tags that end an open svg, and elements inside it that hold html again
+BREAKOUT = frozenset("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre
+ruby s small span strong strike sub sup table tt u ul var""".split())
+HTML_AGAIN = frozenset("foreignobject desc title".split())
 BLOCK = frozenset("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary
 table tbody tfoot thead tr ul""".split())
@@ -54,6 +58,9 @@ GOOD_NAMES = frozenset("article post entry story content main text body articleb
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])", re.S)
+FORMULA_END = re.compile(r"</(annotation-xml|annotation|math)(?=[\s/>])[^>]*>", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'", re.S)
+UNQUOTED_END = re.compile(r"=\s*[^\s\"'>][^\s>]*\Z")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 KINDS = ("h", "p", "li", "div", "tr")
@@ -93,6 +100,39 @@ def _names(attributes: str) -> tuple[set[str], bool]:
     return names, hidden
 
 
+def _self_closed(tag: str) -> bool:
+    """Does a start tag end in '/>'?  A slash at the end of an unquoted value belongs to the value."""
+    inner = QUOTED.sub('""', tag.removesuffix(">"))
+    return inner.endswith("/") and not UNQUOTED_END.search(inner)
+
+
+def _after_svg(page: str, at: int, above: set[str]) -> int:
+    """Where a browser ends the svg opened before ``at``: after its end tag, or before a tag that cannot be inside it."""
+    depth, inner = 1, 0
+    while (m := TAG.search(page, at)) is not None:
+        at = m.end()
+        tag = (m[2] or m[5] or "").lower()
+        if page.startswith("<![CDATA[", m.start()):
+            end = page.find("]]>", m.start())
+            at = end + 3 if end >= 0 else len(page)
+        elif m[1] or m[4]:
+            if tag == "svg":
+                depth -= 1
+                if not depth:
+                    return at
+            elif tag in HTML_AGAIN:
+                inner = max(inner - 1, 0)
+            elif not inner and (tag in ("p", "br") or tag in above):
+                return m.start()
+        elif tag in BREAKOUT and not inner:
+            return m.start()
+        elif tag in HTML_AGAIN and not _self_closed(m[0]):
+            inner += 1
+        elif tag == "svg" and not _self_closed(m[0]):
+            depth += 1
+    return len(page)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     root = Element("html", None, set(), False, 0)
@@ -125,7 +165,7 @@ def blocks(page: str) -> list[Block]:
         if a < b:
             held.append((html_lib.unescape(page[a:b]), any(e.tag == "a" for e in stack)))
 
-    at = 0
+    at, seen, formula_end = 0, -1, None
     while (m := TAG.search(page, at)) is not None:
         text(at, m.start())
         at = m.end()
@@ -146,6 +186,19 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag == "svg":
+            if not _self_closed(m[0]):
+                at = _after_svg(page, at, {e.tag for e in stack[1:]})
+            continue
+        if tag in ("annotation", "annotation-xml") and not _self_closed(m[0]):  # a formula's source, which is not shown
+            if seen < at:
+                formula_end = FORMULA_END.search(page, at)
+                seen = formula_end.start() if formula_end else len(page)
+            if formula_end and formula_end[1].lower() == tag:
+                at = formula_end.end()
+            continue
+        if tag in ("mtr", "mtd"):
+            held.append((" ", False))
         if tag in ENDS_P and (k := open_at({"p"}, {"button", "td", "th"})) is not None:
             close(k)
         if tag in CLOSES and (k := open_at(set(CLOSES[tag][0].split()), CLOSES[tag][1])) is not None:
