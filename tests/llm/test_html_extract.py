@@ -45,6 +45,35 @@ def test_drawings_and_formulas(page, want):
     assert main_text(page)[0] == want
 
 
+PAGES = ["<nav><a>Home</a></nav><div class=ad>Buy now</div><article><h1>A title here</h1><p>Some words of a text, and more of them. They end here.</p>"
+         "<p>Another part of the text follows, with its own words.</p></article><footer>Imprint 2020</footer>"] * 5
+TEXT = "<p>Here the text says what was found, and by whom. It ends here.</p>"
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-methods", "social-history", "following-the-notice", "search", "public-comments"])
+@pytest.mark.parametrize("model", [None, html_extract.train(PAGES)])
+def test_names_made_of_headings_lose_nothing(name, model):
+    for page in (f"<article>{TEXT}<h2 id={name}>A heading</h2>{TEXT}{TEXT}</article>", f"<article>{TEXT}<section id='{name}'><h2>A heading</h2>{TEXT}</section>{TEXT}</article>",
+                 f"<article>{TEXT}<div id='{name}-of-it'><h2>A heading</h2>{TEXT}</div>{TEXT}</article>", f"<article class='post category-{name}'>{TEXT}<h2>A heading</h2>{TEXT}</article>",
+                 f"<div id=content>{TEXT}<h2 id={name}>A heading</h2>{TEXT}</div>"):
+        found = blocks(page)
+        assert main_text(page, model)[0] == "\n".join(b.text for b in found)
+
+
+@pytest.mark.parametrize("part", ["<div class='related-posts'><p>See also this fine text, it is long.</p></div>", "<p class=advert>Buy it now, it is cheap.</p>", "<section id=comments>" + TEXT + "</section>",
+                                  "<ul id='related-links-list'><li><a>One</a><li><a>Two</a><li><a>Three</a><li><a>Four</a><li><a>Five</a></ul>", "<div role=navigation>" + TEXT + "</div>",
+                                  "<div id=newsletter-signup>" + TEXT + "</div>"])
+def test_named_parts_of_an_article_are_cut(part):
+    kept = f"<article>{TEXT}{TEXT}"
+    assert main_text(f"{kept}{part}</article>")[0] == main_text(kept)[0]
+
+
+def test_names_outside_an_article():
+    for part in (f"<section id=comments>{TEXT}</section>", f"<table><tr><td id=sidebar>{TEXT}</table>", f"<div id=related-posts>{TEXT}</div>"):
+        assert main_text(f"<div id=content>{TEXT}{TEXT}</div>{part}")[0] == main_text(TEXT + TEXT)[0]
+    assert main_text(f"<div class=has-sidebar id=search><article><h2>Two words</h2>{TEXT}<ul><li>1<li>2</ul></article></div>")[0].count("\n") == 3
+
+
 def test_minimum_cut_is_least_cost():
     rng = np.random.default_rng(5)
     for _ in range(60):

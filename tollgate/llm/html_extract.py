@@ -53,6 +53,10 @@ advert adverts advertisement advertising adsense sponsor sponsored sponsors prom
 notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup signin login search searchbox share sharing social follow
 related recommended recommendations trending pagination pager comment comments commentlist commentary disqus respond replies reply toolbar skip
 copyright disclaimer complementary contentinfo hidden""".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus".split())
+# their ids are anchors, often made of a heading's text; other elements hold a page's layout
+ANCHORED = frozenset("section article main h1 h2 h3 h4 h5 h6 p li dt dd td th tr pre blockquote caption figcaption summary address a".split())
+TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 TOP_NAMES = frozenset("header banner head top".split())  # boilerplate only outside the article
 GOOD_NAMES = frozenset("article post entry story content main text body articlebody maincontent".split())
 
@@ -67,16 +71,26 @@ KINDS = ("h", "p", "li", "div", "tr")
 
 
 class Element:
-    __slots__ = ("tag", "main", "bad", "firm", "good", "number")
+    __slots__ = ("tag", "main", "bad", "firm", "doubt", "good", "number")
 
-    def __init__(self, tag: str, above: Element | None, names: set[str], hidden: bool, number: int):
+    def __init__(self, tag: str, above: Element | None, names: set[str], ids: set[str], hidden: bool, number: int):
+        """names: the words of class and role; ids: those of the id."""
         self.tag, self.number = tag, number
-        self.main = (above.main if above else False) or tag in ("article", "main") or "rolemain" in names
-        named = bool(names & BAD_NAMES) or (not self.main and (tag == "header" or bool(names & TOP_NAMES)))
-        # firm: no article inside can undo it; bad: an article may, if the page has no other
-        self.firm = (above.firm if above else False) or hidden or tag in ("nav", "aside", "footer", "button", "dialog") or bool(names & {"comment", "comments", "commentlist", "disqus"})
+        inside = above.main if above else False
+        self.main = inside or tag in ("article", "main") or "rolemain" in names
+        every = names | ids
+        whole = bool(every) and every <= BAD_NAMES
+        anchor = tag in ANCHORED
+        if self.main:  # a class names a container's part in the layout; elsewhere all words must agree
+            named = bool(names & BAD_NAMES) and (whole or not anchor) or whole and (not anchor or tag == "section" and bool(ids & COMMENT_NAMES))
+        else:
+            sure = ids if not anchor or tag not in TEXT_TAGS and (whole or ids & COMMENT_NAMES) else set()
+            named = bool((names | sure) & BAD_NAMES) or tag == "header" or bool((names if tag in TEXT_TAGS else every) & TOP_NAMES)
+        # firm: no article inside can undo it; bad: an article may, if the page has no other; doubt: the classifier and the cut decide
+        self.firm = (above.firm if above else False) or hidden or tag in ("nav", "aside", "footer", "button", "dialog") or named and bool(every & COMMENT_NAMES)
         self.bad = (above.bad if above else False) or self.firm or tag in OUTSIDE or named
-        self.good = (above.good if above else False) or bool(names & GOOD_NAMES)
+        self.doubt = (above.doubt if above and inside == self.main else False) or not named and tag not in ("article", "main") and bool(every & BAD_NAMES)
+        self.good = (above.good if above else False) or bool(every & GOOD_NAMES)
 
 
 class Block:
@@ -87,17 +101,18 @@ class Block:
         self.kind = "h" if re.fullmatch("h[1-6]", element.tag) else element.tag if element.tag in KINDS else "div"
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    names, hidden = set(), False
+def _names(attributes: str) -> tuple[set[str], set[str], bool]:
+    """(words of class and role, words of the id, hidden)."""
+    names, ids, hidden = set(), set(), False
     for key, a, b, c, bare in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if bare or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             hidden = True
         if key in ("class", "id", "role"):
-            names.update(WORD.findall(CAMEL.sub(" ", value).lower()))
+            (ids if key == "id" else names).update(WORD.findall(CAMEL.sub(" ", value).lower()))
             if key == "role" and value.lower() == "main":
                 names.add("rolemain")
-    return names, hidden
+    return names, ids, hidden
 
 
 def _self_closed(tag: str) -> bool:
@@ -135,7 +150,7 @@ def _after_svg(page: str, at: int, above: set[str]) -> int:
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
-    root = Element("html", None, set(), False, 0)
+    root = Element("html", None, set(), set(), False, 0)
     stack, found, held = [root], [], []  # held: (text, inside a link)
     count = 0
 
@@ -213,9 +228,11 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK or tag in CELL or tag == "a":
             count += 1
-            names, hidden = _names(m[3] or "")
-            stack.append(Element(tag, stack[-1], names if tag != "body" else set(), hidden, count))
-        elif tag == "span" and m[3] and _names(m[3])[1]:
+            names, ids, hidden = _names(m[3] or "")
+            if tag == "body":
+                names, ids = set(), set()
+            stack.append(Element(tag, stack[-1], names, ids, hidden, count))
+        elif tag == "span" and m[3] and _names(m[3])[2]:
             end = page.find("</span", at)  # a hidden span's text is not shown
             at = end if end >= 0 else len(page)
     text(at, len(page))
@@ -236,7 +253,7 @@ def shape(found: list[Block]) -> np.ndarray:
 
 def weak_labels(found: list[Block]) -> np.ndarray:
     """1 content, 0 boilerplate, -1 the markup does not say."""
-    return np.array([0 if b.element.bad else 1 if b.element.main else -1 for b in found], int)
+    return np.array([0 if b.element.bad else 1 if b.element.main and not b.element.doubt else -1 for b in found], int)
 
 
 def log_odds(found: list[Block], model: Logistic | None) -> np.ndarray:
@@ -246,8 +263,9 @@ def log_odds(found: list[Block], model: Logistic | None) -> np.ndarray:
     bad = np.array([b.element.firm or b.element.bad and not (undone and b.element.main) for b in found])
     main = np.array([b.element.main for b in found])
     good = np.array([b.element.good for b in found])
+    doubt = np.where([b.element.doubt for b in found], np.where(main, 5.0, 2.0), 0.0)  # less than what speaks for a block's surroundings
     any_main = bool((main & ~bad).any())
-    return own + np.where(bad, -12.0, np.where(main, 7.0, np.where(good, 1.5, 0.0) + (-3.0 if any_main else 1.0)))
+    return own + np.where(bad, -12.0, np.where(main, 7.0, np.where(good, 1.5, 0.0) + (-3.0 if any_main else 1.0)) - doubt)
 
 
 def minimum_cut(odds: np.ndarray, parents: list[int], near: float = 0.6, same: float = 0.8) -> np.ndarray:
