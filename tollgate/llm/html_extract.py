@@ -10,6 +10,8 @@ The classifier is trained on a bounded sample of pages (``sample``, a documented
 parameter) from their own markup: blocks inside article or main elements against blocks
 inside navigation, footers, asides, forms or elements named as such; its inputs are the
 text's shape and tag only.  What the markup says outright is added as evidence afterwards.
+That evidence outweighs classifier and edges: the cut decides the blocks outside article and
+main, and those whose names are doubtful.
 
 Defined cases: null or empty html, and pages without content, give the empty text (0
 characters); unclosed tags, comments, scripts and svg drawings end where a browser ends them (svg alone
