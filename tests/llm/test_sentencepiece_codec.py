@@ -1,5 +1,6 @@
 """Viterbi pieces against a plain search over all splits, and exact round trips."""
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -81,3 +82,14 @@ def test_table(spark):
     nulls = spark.createDataFrame([(None,)], "ids binary")
     assert sentencepiece_codec.decode(nulls, PATH).first().decoded == ""
     assert np.frombuffer(extra.filter("text = 'x y'").first().ids, "<u4").size > 0
+
+
+def test_the_query_returns_the_ids(spark):
+    common.prepare(spark)
+    texts = {1: None, 2: "", 3: "Two words, 漢字 😀", 4: "long " * 3000}
+    got = {r.doc_id: r for r in sentencepiece_codec.digest(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH).collect()}
+    c = codec(PATH)
+    for d, t in texts.items():
+        ids = c.encode([(t or "").encode()])[0]
+        assert got[d].ids == ids.tolist() and got[d].n_ids == len(ids)
+        assert got[d].ids_crc32 == zlib.crc32(ids.astype("<u4").tobytes()) and c.decode(np.array(got[d].ids)) == (t or "")

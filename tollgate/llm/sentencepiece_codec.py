@@ -23,6 +23,7 @@ are searched whole.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -295,13 +296,16 @@ def _there_and_back(path: str):
         for batch in _encoded(path, "text")(batches):
             same = [own.decode(np.frombuffer(b, "<u4")) == t.decode().replace(BLANK, " ")
                     for b, t in zip(as_bytes(batch.column("ids")), as_bytes(batch.column("text")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "ids", "ids_score")] + [pa.array(same, pa.bool_())],
-                                             names=["doc_id", "ids", "score", "round_trip"])
+            raw = as_bytes(batch.column("ids"))
+            ends = np.cumsum([0, *(len(b) // 4 for b in raw)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array([zlib.crc32(b) for b in raw], pa.int64()), batch.column("ids_score"), pa.array(same, pa.bool_())],
+                                             names=["doc_id", "ids", "ids_crc32", "score", "round_trip"])
     return run
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_ids, ids_crc32, score, round_trip) of every document: encoded, and decoded again in the same task."""
+    """(doc_id, n_ids, ids_crc32, score, round_trip, ids) of every document: encoded, and decoded again in the same task."""
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = light.mapInArrow(_there_and_back(model), "doc_id long, ids binary, score double, round_trip boolean")
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "score", "round_trip")
+    rows = light.mapInArrow(_there_and_back(model), "doc_id long, ids array<int>, ids_crc32 long, score double, round_trip boolean")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "score", "round_trip", "ids")
