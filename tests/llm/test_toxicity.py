@@ -2,6 +2,7 @@
 import itertools
 
 import numpy as np
+import pytest
 
 from tollgate.llm import common, toxicity
 
@@ -56,3 +57,19 @@ def test_edges(spark):
     model = toxicity.fit([t.encode() for t in bad + good], np.array([1] * 30 + [0] * 60), np.ones(90), 1 / 3)
     p, first, _, _ = model.marginals([b"you idiot", b"a kind word", b""])
     assert p[:2].max() > 0.5 > p[2:].max() and len(first) == 4
+
+
+def test_training_segments_count_for_all_tokens():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 50, int(n)).astype(np.int32) for n in rng.integers(0, 300, 120)]
+    toxic, cue = rng.integers(0, 2, 120), np.arange(50) == 7
+    rows, tags, weights = toxicity.training_segments(docs, toxic, cue)
+    assert sum(w.sum() * r.shape[1] for r, w in zip(rows, weights)) == pytest.approx(sum(map(len, docs)))
+    assert sum((w @ t).sum() for t, w in zip(tags, weights)) == sum(int(cue[d].sum()) for d, k in zip(docs, toxic) if k)
+
+
+def test_weighted_segments_equal_repeated_ones():
+    rng = np.random.default_rng(9)
+    score, move, weight = rng.normal(0, 1, (4, 5)), rng.normal(0, 1, (2, 2)), np.array([1, 3, 1, 2])
+    _, moves = toxicity._pairs(score, 5, move, weight)
+    assert moves == pytest.approx(toxicity._pairs(np.repeat(score, weight, axis=0), 5, move)[1])

@@ -14,7 +14,9 @@ documents, give the document's score.
 
 Bounds: the field and the score are fitted, in one task, on about ``toxic_docs`` and
 ``clean_docs`` labelled documents (lowest by a hash of the id; never more than twice as
-many), weighted back to the labels' true shares.  The score reads the text alone.
+many), weighted back to the labels' true shares.  Of these documents the field reads every
+stretch of 48 tokens with a toxic token and one in sixteen of each label's others, which
+count for all of them.  The score reads the text alone.
 
 Defined cases: null and empty texts have no tokens and get the score of "no evidence";
 a null doc_id has no label and is not held out; without labels of both kinds every score
@@ -147,11 +149,12 @@ def marginals(score: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndar
     return odds / (1 + odds)
 
 
-def _pairs(score: np.ndarray, length: int, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(marginals, expected transitions) of equal-length segments; score: segments x length."""
+def _pairs(score: np.ndarray, length: int, move: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(marginals, expected transitions) of equal-length segments, which count ``weight`` times; score: segments x length."""
     m = np.exp(move)
     e = np.exp(np.clip(score, -30, 30))
     n = len(score)
+    weight = np.ones(n) if weight is None else weight
     fore, back = np.empty((n, length, 2)), np.ones((n, length, 2))
     a = np.stack([np.ones(n), e[:, 0]], axis=1)
     fore[:, 0] = a / a.sum(axis=1, keepdims=True)
@@ -171,35 +174,55 @@ def _pairs(score: np.ndarray, length: int, move: np.ndarray) -> tuple[np.ndarray
         b = back[:, t].copy()
         b[:, 1] *= e[:, t]
         joint = fore[:, t - 1, :, None] * m[None] * b[:, None, :]
-        moves += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        moves += (joint / joint.sum(axis=(1, 2), keepdims=True) * weight[:, None, None]).sum(axis=0)
     return p[:, :, 1], moves
 
 
+def training_segments(docs: list[np.ndarray], toxic: np.ndarray, cue: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """(tokens, tags, weights) in groups of equal-length segments: every segment with a toxic token, and of each label's
+    others a sixteenth that counts for all.  No token is left out of the weights' sum."""
+    rows, tags, weights = [], [], []
+    for label in (0, 1):  # documents of one label follow each other in one stream, so that short ones count too
+        stream = np.concatenate([np.empty(0, np.int32), *(d for d, k in zip(docs, toxic.tolist(), strict=True) if k == label)])
+        whole = len(stream) // SEGMENT * SEGMENT
+        for part in (stream[:whole].reshape(-1, SEGMENT), stream[None, whole:]):
+            if not part.size:
+                continue
+            tag = cue[part] & bool(label)
+            marked = tag.any(axis=1)
+            others = np.flatnonzero(~marked)
+            keep = np.concatenate([np.flatnonzero(marked), others[::16]])
+            count = np.ones(len(keep))
+            count[marked.sum():] = len(others) / max(len(others[::16]), 1)
+            rows.append(part[keep]), tags.append(tag[keep].astype(float)), weights.append(count)
+    return rows, tags, weights
+
+
 def fit_field(texts: list[list[str]], toxic: np.ndarray, steps: int = 60, ridge: float = 0.02) -> Field | None:
     """Fit on labelled documents (lists of words); None without cues."""
     tokens = Tokens(texts)
     cue = cue_words(tokens, toxic)
-    segments, tags = [], []
-    for label in (0, 1):  # documents of one label follow each other in one stream, so that short ones count too
-        stream = np.concatenate([np.empty(0, np.int32), *(d for d, k in zip(tokens.docs, toxic.tolist(), strict=True) if k == label)])
-        rows = stream[: len(stream) // SEGMENT * SEGMENT].reshape(-1, SEGMENT)
-        tag = cue[rows] & bool(label)
-        keep = tag.any(axis=1) | (np.arange(len(rows)) % 16 == 0)  # every segment with a toxic token, a sixteenth of the others
-        segments.append(rows[keep]), tags.append(tag[keep])
-    rows, y = np.concatenate(segments), np.concatenate(tags).astype(float)
-    if not y.any():
+    rows, y, weight = training_segments(tokens.docs, toxic, cue)
+    if not any(t.any() for t in y):
         return None
     names = tokens.names
-    at, feature = tokens.of(rows.ravel())
+    at, feature = tokens.of(np.concatenate([r.ravel() for r in rows]))
     common = np.bincount(feature, minlength=len(names)) >= 3  # rare observations get no weight of their own
-    weights, bias, move = np.zeros(len(names)), float(np.log(max(y.mean(), 1e-6) / (1 - min(y.mean(), 0.5)))), np.zeros((2, 2))
-    true_moves = np.array([[((1 - y[:, :-1]) * (1 - y[:, 1:])).sum(), ((1 - y[:, :-1]) * y[:, 1:]).sum()],
-                           [(y[:, :-1] * (1 - y[:, 1:])).sum(), (y[:, :-1] * y[:, 1:]).sum()]])
+    flat = np.concatenate([t.ravel() for t in y])
+    counts = np.concatenate([np.repeat(w, t.shape[1]) for t, w in zip(y, weight, strict=True)])
+    until = np.cumsum([0, *(t.size for t in y)])
+    mean = float((flat * counts).sum() / counts.sum())
+    weights, bias, move = np.zeros(len(names)), float(np.log(max(mean, 1e-6) / (1 - min(mean, 0.5)))), np.zeros((2, 2))
+    true_moves = np.zeros((2, 2))
+    for t, w in zip(y, weight, strict=True):
+        a, b = t[:, :-1], t[:, 1:]
+        true_moves += [[(w @ ((1 - a) * (1 - b))).sum(), (w @ ((1 - a) * b)).sum()], [(w @ (a * (1 - b))).sum(), (w @ (a * b)).sum()]]
     sums = [np.zeros(len(names)), 0.0, np.zeros((2, 2))]
     for _ in range(steps):  # steps scaled by each parameter's own past gradients
-        score = bias + np.bincount(at, weights[feature], minlength=y.size).reshape(y.shape)
-        p, moves = _pairs(score, SEGMENT, move)
-        error = (y - p).ravel()
+        score = bias + np.bincount(at, weights[feature], minlength=flat.size)
+        found = [_pairs(score[a:b].reshape(t.shape), t.shape[1], move, w) for a, b, t, w in zip(until[:-1], until[1:], y, weight, strict=True)]
+        moves = sum(k for _, k in found)
+        error = counts * (flat - np.concatenate([p.ravel() for p, _ in found]))
         grads = [np.where(common, np.bincount(feature, error[at], minlength=len(names)), 0) - ridge * weights, error.sum() - ridge * bias, true_moves - moves - ridge * move]
         for k, g in enumerate(grads):
             sums[k] = sums[k] + g * g
