@@ -76,3 +76,10 @@ def test_crc_of_ids(spark):
     df = spark.createDataFrame([(1, "some text here")], "doc_id long, text string")
     got = packing.pack(df, PATH).selectExpr("crc32(ids) AS c").first().c
     assert got == zlib.crc32(np.array(direct("some text here"), "<u4").tobytes())
+
+
+def test_words_of_equal_polynomials_get_their_own_ids():
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    ids, first = word_ids(PATH).encode([t.encode() for t in texts], 1)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [direct(t) for t in texts]

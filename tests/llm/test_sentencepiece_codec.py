@@ -93,3 +93,11 @@ def test_the_query_returns_the_ids(spark):
         ids = c.encode([(t or "").encode()])[0]
         assert got[d].ids == ids.tolist() and got[d].n_ids == len(ids)
         assert got[d].ids_crc32 == zlib.crc32(ids.astype("<u4").tobytes()) and c.decode(np.array(got[d].ids)) == (t or "")
+
+
+def test_segments_of_equal_polynomials_round_trip():
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    c = codec(PATH)
+    ids, first, _ = c.encode([t.encode() for t in texts])
+    assert [c.decode(ids[a:b]) for a, b in zip(first[:-1], first[1:])] == texts

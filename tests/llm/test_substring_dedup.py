@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tollgate.llm import common, substring_dedup
-from tollgate.llm.words import spans, word_hashes
+from tollgate.llm.words import WordTable, spans, word_hashes
 
 
 def brute(rows, window):
@@ -86,3 +88,69 @@ def test_words_and_hashes():
     h = word_hashes(buf, starts, ends)
     words = [raw[s:e] for s, e in zip(starts, ends)]
     assert len(set(h.tolist())) == len(set(words)) and h[words.index(b"a")] == h[len(words) - 3]
+
+
+def steps(rows, window, buckets, shuffle):
+    """The operator's functions by hand, each chunk's rows permuted before each of the three reads."""
+    table = pa.table({"row": pa.array([{"n": 0}] * len(rows)), "doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+    chunks = [[i for i in range(len(rows)) if i % 4 == c] for c in range(4)]
+
+    def read(c):
+        order = chunks[c][:]
+        shuffle(order)
+        return table.take(pa.array(order, pa.int64()))
+
+    def by(name, tables):
+        every = pa.concat_tables(tables)
+        return {v: every.filter(pc.equal(every.column(name), v)) for v in set(every.column(name).to_pylist())}
+
+    key = lambda c: (pa.scalar(c, pa.int32()),)
+    none = substring_dedup._message(0, [])
+    answers = by("chunk", [substring_dedup._match_blocks(t) for t in by("bucket", [substring_dedup._send_blocks(window, buckets)(key(c), read(c)) for c in range(4)]).values()])
+    sent = by("bucket", [substring_dedup._send_windows(window, buckets)(key(c), read(c), answers.get(c, none)) for c in range(4)])
+    verdicts = by("chunk", [substring_dedup._match_windows(t) for t in sent.values()])
+    found = pa.concat_tables([substring_dedup._remove(window, buckets, True)(key(c), read(c), verdicts.get(c, none)) for c in range(4)])
+    return [(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.to_pylist()]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rows_in_any_order(seed):
+    rows = sample(seed) + [(5, "x y " * 30), (5, "x z " * 30)]
+    assert sorted(steps(rows, 6, 5, random.Random(seed).shuffle), key=str) == brute(rows, 6)
+
+
+def test_wrong_counts_raise():
+    replies = pa.table({"bucket": pa.array([0], pa.int32()), "own": [False], "blob": pa.array([b"\x01\x02\x03"], pa.binary())})
+    with pytest.raises(ValueError):
+        substring_dedup._bits(replies, np.array([9]))
+
+
+def test_hot_id_and_repeated_rows(spark):
+    common.prepare(spark)
+    rng = random.Random(7)
+    hot = [(7, " ".join(rng.choice("abcdef") + str(rng.randint(0, 30)) for _ in range(60))) for _ in range(60)]
+    rows = hot + [hot[0]] * 20 + [(i, hot[i % 60][1][:90] + " tail " + "long " * (3000 if i == 9 else 1)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = substring_dedup.substring_dedup(df, window=5, chunks=6).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found), key=str) == brute(rows, 5)
+
+
+def thue_morse():
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_polynomials_differ():
+    one, other = thue_morse()
+    rows = [(i, " ".join([w, *"cdefgh"])) for i, w in enumerate((one, other))]
+    assert [r[2] for r in sorted(steps(rows, 7, 3, random.shuffle))] == [0, 0]
+
+
+def test_word_table_is_exact():
+    table = WordTable()
+    words = [b"a", b"bb", b"ccccccccc", b"a" * 70, b"b" * 600, b"a" * 600, b"a", b"ccccccccd", b"bb"]
+    buf, starts, ends, _ = spans([b" ".join(words)])
+    for _ in range(2):  # one hash for all: only the bytes tell words apart
+        number, new = table.number(buf, starts, ends, np.zeros(len(words), np.uint64))
+        assert len({(n, w) for n, w in zip(number.tolist(), words)}) == len(set(words)) == len(set(number.tolist()))
+    assert len(new) == 0 and len(table) == len(set(words))

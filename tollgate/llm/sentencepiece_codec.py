@@ -10,7 +10,7 @@ written as the byte pieces of its UTF-8 form.
 No piece holds a blank after another character, so the search splits at the starts of
 blank runs, and around characters that no piece holds, without changing its result.  Distinct segments are searched once, all of a
 batch side by side (numpy over segments, one step per position), and cached per Python
-worker up to a bound.  A vocabulary whose pieces do cross blanks is searched whole.
+worker up to a bound; a cached segment is compared byte by byte, not by hash alone.  A vocabulary whose pieces do cross blanks is searched whole.
 
 Normalisation is the file's own identity rule: blanks become U+2581, one is put in front,
 nothing else changes.  Decoding undoes it; U+2581 in a text comes back as a blank, and
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import as_bytes
-from .words import word_hashes
+from .words import WordTable
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -120,7 +120,8 @@ class Codec:
         return cls([(m.id_to_piece(i), m.get_score(i), kinds[i]) for i in range(m.vocab_size())])
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.segments = WordTable()
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.total = np.empty(0, np.uint32), np.empty(0, float)
 
     def viterbi(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -204,12 +205,9 @@ class Codec:
         ids[new] = self.byte_ids[byte]
         return ids.astype(np.uint32), times
 
-    def _learn(self, keys: np.ndarray, segments: list[str]) -> None:
+    def _learn(self, segments: list[str]) -> None:
         ids, at, size, totals = self.viterbi(segments)
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.at, self.size, self.total = (np.concatenate(x)[order] for x in ((self.at, at + len(self.ids)), (self.size, size), (self.total, totals)))
+        self.at, self.size, self.total = (np.concatenate(x) for x in ((self.at, at + len(self.ids)), (self.size, size), (self.total, totals)))
         self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,19 +225,16 @@ class Codec:
         new[begin[:-1][np.diff(begin) > 0]] = True
         starts = np.flatnonzero(new[:-1])
         ends = np.append(starts[1:], len(buf))
-        distinct, index, inverse = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > CACHE_SEGMENTS:
+        if len(self.segments) > CACHE_SEGMENTS:
             self._clear()
-        slot = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        missing = np.flatnonzero(self.keys[slot] != distinct) if len(self.keys) else np.arange(len(distinct))
+        number, missing = self.segments.number(buf, starts, ends)
         if len(missing):
-            self._learn(distinct[missing], [joined[starts[i] : ends[i]].decode().replace(" ", BLANK) for i in index[missing].tolist()])
-            slot = np.searchsorted(self.keys, distinct)
-        size = self.size[slot][inverse]
+            self._learn([joined[starts[i] : ends[i]].decode().replace(" ", BLANK) for i in missing.tolist()])
+        size = self.size[number]
         until = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.at[slot][inverse] - until[:-1], size) + np.arange(until[-1])]
+        ids = self.ids[np.repeat(self.at[number] - until[:-1], size) + np.arange(until[-1])]
         owner = np.searchsorted(starts, begin)  # each text's first segment
-        scores = np.concatenate([[0.0], np.cumsum(self.total[slot][inverse])])
+        scores = np.concatenate([[0.0], np.cumsum(self.total[number])])
         return ids, until[owner], scores[owner[1:]] - scores[owner[:-1]]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -80,12 +80,16 @@ def bounds(buckets: int) -> np.ndarray:
 
 
 class Chunk:
-    """The words of one chunk's documents."""
+    """The words of one chunk's documents, in an order that depends on the rows alone.
+
+    The three steps read the chunk from a shuffle, whose blocks arrive in any order; what one
+    step notes by position, the next finds there again.  Equal rows are interchangeable."""
 
     def __init__(self, table: pa.Table, window: int):
-        self.table, self.window, self.block = table, window, (window + 1) // 2
-        self.texts = as_bytes(table.column("text"))
-        self.ids = as_int64(table.column("doc_id").combine_chunks(), NO_ID)
+        texts, ids = as_bytes(table.column("text")), as_int64(table.column("doc_id").combine_chunks(), NO_ID).tolist()
+        order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+        self.table, self.window, self.block = table.take(pa.array(order, pa.int64())), window, (window + 1) // 2
+        self.texts, self.ids = [texts[i] for i in order], np.array([ids[i] for i in order], np.int64)
         self.buf, self.starts, self.ends, self.first = spans(self.texts)
         self.words = word_hashes(self.buf, self.starts, self.ends)
 
@@ -138,6 +142,8 @@ def _bits(replies: pa.Table, sizes: np.ndarray) -> np.ndarray:
     found = [np.zeros(n, bool) for n in sizes]
     for bucket, own, blob in zip(*(replies.column(c).to_pylist() for c in ("bucket", "own", "blob")), strict=True):
         if not own:
+            if len(blob) != (sizes[bucket] + 7) // 8:
+                raise ValueError("a bucket answered another number of hashes than it was sent")
             found[bucket] = np.unpackbits(np.frombuffer(blob, np.uint8), count=sizes[bucket]).astype(bool)
     return np.concatenate(found) if found else np.empty(0, bool)
 
@@ -237,12 +243,16 @@ def _match_windows(table: pa.Table) -> pa.Table:
 def _remove(window: int, buckets: int, with_text: bool):
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         chunk = Chunk(table, window) if table.num_rows else None
+        if chunk is not None:
+            table = chunk.table
         ids, given = table.column("doc_id"), table.column("text").is_valid().to_pylist()
         n_words, n_removed, shas, kept, repeats = [], [], [], [], []
         if chunk is not None:
             cand = np.zeros(max(len(chunk.words) - window + 1, 0), bool)
             for own, blob in zip(replies.column("own").to_pylist(), replies.column("blob").to_pylist(), strict=True):
                 if own:
+                    if len(blob) != (len(cand) + 7) // 8:
+                        raise ValueError("a chunk's note is about another number of windows")
                     cand = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(cand)).astype(bool)
             at = np.flatnonzero(cand)
             k, _, of, least = chunk.windows(at)
@@ -284,7 +294,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
     whole = docs.select(F.struct(*others or [F.lit(0).alias("none")]).alias("row"),
                         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    place = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(chunks)).cast("int")
+    # by id, text and input task: neither a hot id nor repeated rows make one chunk large.  A document
+    # may so stand in several chunks; they send the same smallest doc_id for it and remove nothing of it
+    place = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int")
     base = whole.withColumn("chunk", place).repartition(parts, "chunk")  # one exchange, read by all three steps
     asked = base.groupBy("chunk").applyInArrow(_send_blocks(window, chunks), MESSAGE)
     answers = asked.groupBy("bucket").applyInArrow(_match_blocks, MESSAGE)

@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public word-level BPE vocabulary, through a cache of words.
 
 The vocabulary's normaliser and splitter treat every white-space-separated word on its
-own, so a text's ids are its words' ids in order.  Distinct words are looked up by hash;
-new ones are encoded by the tokenizers library, many at a time, with a separator word
+own, so a text's ids are its words' ids in order.  Distinct words are looked up by hash
+and compared byte by byte; new ones are encoded by the tokenizers library, many at a time, with a separator word
 between them.  The cache is bounded and lives as long as its Python worker.
 """
 
@@ -12,7 +12,7 @@ import os
 
 import numpy as np
 
-from .words import spans, word_hashes
+from .words import WordTable, spans
 
 SEPARATOR = "\x01"  # a word of its own; words that hold it are encoded alone
 CACHE_WORDS = 1_000_000
@@ -28,8 +28,8 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.at = np.empty(0, np.int32)
+        self.words = WordTable()
+        self.at = np.empty(0, np.int64)
         self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
@@ -49,32 +49,25 @@ class WordIds:
         return [next(rest) if SEPARATOR not in w and "<|" not in w
                 else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         parts = self._new(words)
         size = np.array([len(p) for p in parts], np.int32)
-        at = (len(self.ids) + np.cumsum(size) - size).astype(np.int32)
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.at, self.size = np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, *parts])
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first): text t has ids[first[t]:first[t+1]], its last one being ``end``."""
         buf, starts, ends, first = spans(texts)
-        distinct, index, inverse = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
             self._clear()
-        slot = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        new = np.flatnonzero(self.keys[slot] != distinct) if len(self.keys) else np.arange(len(distinct))
+        number, new = self.words.number(buf, starts, ends)
         if len(new):
-            raw = buf.tobytes()
-            self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in index[new].tolist()])
-            slot = np.searchsorted(self.keys, distinct)
-        size = self.size[slot][inverse]
+            self._learn([buf[starts[i] : ends[i]].tobytes().decode() for i in new.tolist()])
+        size = self.size[number]
         until = np.concatenate([[0], np.cumsum(size)])
         total = int(until[-1])
-        source = np.repeat(self.at[slot][inverse] - until[:-1], size) + np.arange(total)
+        source = np.repeat(self.at[number] - until[:-1], size) + np.arange(total)
         counts = until[first[1:]] - until[first[:-1]]
         bounds = np.concatenate([[0], np.cumsum(counts + 1)])
         ids = np.full(total + len(texts), end, np.uint32)

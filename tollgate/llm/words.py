@@ -7,6 +7,7 @@ and lead bytes are never white space, so byte positions and code points agree.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -39,41 +40,112 @@ def spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return buf, starts, ends, first
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+POSITIONS = 64  # bytes of a word hashed by table; longer words are hashed by xxh3
+_tables: dict[int, np.ndarray] = {}
 
 
-def _table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, up to n of them."""
-    have = _powers.get(seed)
-    if have is None or len(have[0]) < n:
-        n = max(n, BLOCK + 4096)
-        base = BASES[seed]
-        inverse = U(pow(int(base), -1, 1 << 64))
-        up, down = np.full(n, base, U), np.full(n, inverse, U)
-        up[0] = down[0] = 1
-        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        _powers[seed] = have
-    return have
+def _table(seed: int) -> np.ndarray:
+    """A pseudo-random value for every (position, byte)."""
+    if seed not in _tables:
+        _tables[seed] = mix(mix(np.arange(1, POSITIONS * 256 + 1, dtype=U) * BASES[seed]) + BASES[1 - seed])
+    return _tables[seed]
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each word, from prefix sums of a polynomial in its bytes."""
+    """64-bit hash of each word: tabulation over (position, byte), xxh3 beyond POSITIONS bytes."""
     out = np.empty(len(starts), U)
+    table = _table(seed)
     i = 0
     while i < len(starts):
         lo = starts[i]
         j = max(int(np.searchsorted(ends, lo + BLOCK, "right")), i + 1)
         hi = int(ends[j - 1])
-        up, down = _table(seed, hi - lo + 1)
-        sums = np.empty(hi - lo + 1, U)
-        sums[0] = 0
-        np.cumsum((buf[lo:hi].astype(U) + U(1)) * up[: hi - lo], out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
+        place = np.arange(hi - lo, dtype=np.int32)
+        place -= np.repeat(s.astype(np.int32), np.diff(np.append(s, hi - lo)))
+        np.minimum(place, POSITIONS - 1, out=place)
+        sums = np.zeros(hi - lo + 1, U)
+        np.cumsum(table[(place << 8) | buf[lo:hi]], out=sums[1:])
+        out[i:j] = mix(sums[e] - sums[s] + (e - s).astype(U))
         i = j
+    for k in np.flatnonzero(ends - starts > POSITIONS).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(buf[starts[k] : ends[k]], seed=seed + 1)
     return out
 
 
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], U)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one number."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
+def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[a_start:a_start+size] equals b[b_start:b_start+size], for each."""
+    out = np.ones(len(size), bool)
+    for k in np.flatnonzero(size > 512).tolist():
+        out[k] = a[a_start[k] : a_start[k] + size[k]].tobytes() == b[b_start[k] : b_start[k] + size[k]].tobytes()
+    left_of, right_of = _eights(a), _eights(b)
+    todo, done = np.flatnonzero((size > 0) & (size <= 512)), 0
+    while len(todo):
+        left = size[todo] - done
+        differs = ((left_of[a_start[todo] + done] ^ right_of[b_start[todo] + done]) & _MASKS[np.minimum(left, 8)]) != 0
+        out[todo[differs]] = False
+        todo, done = todo[~differs & (left > 8)], done + 8
+    return out
+
+
+class WordTable:
+    """Numbers for distinct words, exact: found by hash, then compared byte by byte.
+
+    A word whose hash belongs to another one is kept in a dictionary of its own."""
+
+    def __init__(self):
+        self.keys, self.entry = np.empty(0, U), np.empty(0, np.int64)
+        self.start, self.size, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+        self.others: dict[bytes, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def _add(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        at = len(self.bytes) + np.cumsum(size) - size
+        until = np.cumsum(size) - size
+        self.bytes = np.concatenate([self.bytes, buf[np.repeat(starts - until, size) + np.arange(int(size.sum()))]])
+        self.start, self.size = np.concatenate([self.start, at]), np.concatenate([self.size, size])
+
+    def number(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(each word's number, positions of the words that were new, in the order of their numbers)."""
+        hashes = word_hashes(buf, starts, ends) if hashes is None else hashes
+        distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        slot = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        known = self.keys[slot] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        numbers = np.empty(len(distinct), np.int64)
+        numbers[known] = self.entry[slot[known]]
+        new = index[~known]
+        numbers[~known] = len(self) + np.arange(len(new))
+        if len(new):
+            self._add(buf, starts[new], ends[new] - starts[new])
+            keys = np.concatenate([self.keys, distinct[~known]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.entry = keys[order], np.concatenate([self.entry, numbers[~known]])[order]
+        found, size = numbers[inverse], ends - starts
+        other = np.flatnonzero((self.size[found] != size) | ~same_bytes(buf, starts, self.bytes, self.start[found], np.minimum(size, self.size[found])))
+        more = []
+        for i in other.tolist():
+            word = buf[starts[i] : ends[i]].tobytes()
+            if word not in self.others:
+                self.others[word] = len(self) + len(more)
+                more.append(i)
+            found[i] = self.others[word]
+        if more:
+            self._add(buf, starts[more], size[more])
+        return found, np.concatenate([new, np.array(more, np.int64)])
+
+
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of ``width`` consecutive words; position i is the run that starts there."""
     n = len(words) - width + 1
