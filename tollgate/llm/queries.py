@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, exact_dedup, html_extract, licenses, packing, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
+from . import ann, common, exact_dedup, html_extract, lexical, licenses, merkle, mixing, packing, quality, sentencepiece_codec, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,76 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces by Viterbi search, and whether they decode to it."""
     return sentencepiece_codec.digest(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op11_mixing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to 150 % of all words, sources weighing 5, 2, 1 in turn, none above twice its size."""
+    found = mixing.mix(common.table(spark, sf_dir, "documents"), weights=(5, 2, 1), percent=150, most=2)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op12_lexical", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+q AS (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS t FROM benchmark),
+c AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_all FROM d),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 25 + (75 * len(t)::BIGINT * n_docs) // n_all AS m FROM d, c WHERE len(t) > 0),
+a AS (SELECT q, item_id, term, count(*) AS k FROM (SELECT q, item_id, unnest(t) AS term FROM q) GROUP BY ALL),
+s AS (SELECT q, item_id, r, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM a JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), k=10)
+
+
+def _merkle_sql(leaf_levels: int, source_levels: int) -> str:
+    """The trees level by level (16 ** leaf_levels rows of a source, 16 ** source_levels sources)."""
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+                                       for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = ("xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), "
+           "lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))")
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""b AS (SELECT doc_id, source, {leaf('text')} AS leaf,
+  CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} END AS tampered FROM documents)""",
+             "d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM b)",
+             "l0 AS (SELECT source AS g, i, leaf AS h, count(*) OVER (PARTITION BY source) AS m FROM d)"]
+    def climb(name: str, levels: int) -> None:
+        for k in range(levels):
+            parts.append(f"""{name}{k + 1} AS (SELECT g, i // 16 AS i, CASE WHEN any_value(m) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+  (any_value(m) + 15) // 16 AS m FROM {name}{k} GROUP BY g, i // 16)""")
+            side = "coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN {}), '')"
+            parts.append(f"""{name}p{k} AS (SELECT g, i, m, {side.format('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS a,
+  {side.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS z FROM {name}{k})""")
+    climb("l", leaf_levels)
+    parts.append("s0 AS (SELECT 0 AS g, g AS source, row_number() OVER (ORDER BY g IS NOT NULL, encode(g)) - 1 AS i, h, count(*) OVER () AS m"
+                 f" FROM l{leaf_levels})")
+    climb("s", source_levels)
+    f, proof = "coalesce(tampered, leaf)", "''"
+    last = "d"
+    for name, levels in (("l", leaf_levels), ("s", source_levels)):
+        if name == "s":
+            parts.append(f"e AS (SELECT t.* EXCLUDE (i), s0.i AS i, s0.h AS subroot FROM {last} t JOIN s0 ON s0.source IS NOT DISTINCT FROM t.source)")
+            last = "e"
+        for k in range(levels):
+            on = ("p.g IS NOT DISTINCT FROM t.source AND " if name == "l" else "") + f"p.i = t.i // {16 ** k}"
+            parts.append(f"""{name}f{k} AS (SELECT t.* EXCLUDE (i{', f, proof' if f == 'f' else ''}), t.i, CASE WHEN p.m = 1 THEN {f} ELSE sha256(p.a || {f} || p.z) END AS f,
+  {proof} || CASE WHEN p.m = 1 THEN '' ELSE p.a || p.z END AS proof FROM {last} t JOIN {name}p{k} p ON {on})""")
+            last, f, proof = f"{name}f{k}", "f", "proof"
+    return (f"WITH {', '.join(parts)} SELECT t.doc_id, t.leaf, t.subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified"
+            f" FROM {last} t, s{source_levels} r")
+
+
+@query("op13_merkle", _merkle_sql(4, 2))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; those whose id's crc32 is divisible by 5 are folded from a tampered text."""
+    docs = common.table(spark, sf_dir, "documents")
+    found = merkle.manifest(docs, tamper=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
