@@ -196,6 +196,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
     m = F.expr(f"{100 - HEAD} + ({HEAD} * n * {n_docs}L) div {max(n_all, 1)}L")
     dealt = (index.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
              .where("size(terms) > 0").select("id", m.alias("m"), "terms", "tfs", "shard").withColumn("block", every(blocks)))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards * blocks)  # a task holds a shard or so at any size
+    dealt, queries = (side.repartition(tasks, "shard", "block") for side in (dealt, queries))
     found = dealt.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(_search(k), "query long, item_id long, doc_id long, score long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
