@@ -26,27 +26,55 @@ def item(items: Column, name: str) -> Column:
     return F.get(F.filter(items, lambda x: x["Name"] == F.lit(name)), 0)["Value"]
 
 
+_AMOUNT = "decimal(10,2)"
+
+
+def _read(raw: DataFrame, body_col: str) -> DataFrame:
+    """``raw`` with the parsed document ``_cb`` and ``_reason``, why it cannot be read (NULL: it can).
+
+    A wrong type makes only its own field NULL, so a field that is NULL is compared with the
+    raw text: absent is fine, present and unreadable is a reason."""
+    body = F.col(body_col)
+
+    def given(path: str) -> Column:
+        return F.get_json_object(body, f"$.Body.stkCallback{path}").isNotNull()
+
+    cb = F.col("_cb")
+    amount = item(cb["CallbackMetadata"]["Item"], "Amount")
+    reason = (F.when(cb.isNull(), F.when(F.get_json_object(body, "$").isNull(), "not_json").otherwise("no_body"))
+              .when(cb["ResultCode"].isNull() & given(".ResultCode"), "bad_result_code")
+              .when(cb["CallbackMetadata"].isNull() & given(".CallbackMetadata"), "bad_metadata")
+              .when(cb["CallbackMetadata"]["Item"].isNull() & given(".CallbackMetadata.Item"), "bad_metadata")
+              .when(amount.isNotNull() & amount.try_cast(_AMOUNT).isNull(), "bad_amount"))
+    # as a generated row, so that a filter on the reason is not turned into further parses of the body
+    doc = F.explode(F.array(F.from_json(body, CALLBACK_SCHEMA)["Body"]["stkCallback"]))
+    return raw.select("*", doc.alias("_cb")).withColumn("_reason", reason)
+
+
 def parse_callbacks(raw: DataFrame, body_col: str = "body") -> DataFrame:
-    """Callback JSON -> typed columns; items pivoted by name; missing bodies skipped.
+    """Callback JSON -> typed columns; items pivoted by name.
 
-    ``Value`` is read as STRING because the items mix numbers and text.
-    """
-    doc = F.from_json(F.col(body_col), CALLBACK_SCHEMA)
-    cb = raw.withColumn("_cb", doc["Body"]["stkCallback"]).where(F.col("_cb").isNotNull())
+    ``Value`` is read as STRING because the items mix numbers and text.  Documents that cannot
+    be read are skipped here and returned by :func:`rejected_callbacks`; none fails the job."""
     items = F.col("_cb")["CallbackMetadata"]["Item"]
     keep = [c for c in raw.columns if c != body_col]
-    return cb.select(
+    return _read(raw, body_col).where(F.col("_reason").isNull()).select(
         *keep,
         F.col("_cb")["CheckoutRequestID"].alias("checkout_request_id"),
         F.col("_cb")["ResultCode"].alias("result_code"),
         F.col("_cb")["ResultDesc"].alias("result_desc"),
-        item(items, "Amount").cast("decimal(10,2)").alias("amount_kes"),
+        item(items, "Amount").try_cast(_AMOUNT).alias("amount_kes"),
         item(items, "MpesaReceiptNumber").alias("receipt_number"),
         item(items, "TransactionDate").alias("transaction_date"),
         item(items, "PhoneNumber").alias("phone_number"),
     )
 
 
+def rejected_callbacks(raw: DataFrame, body_col: str = "body") -> DataFrame:
+    """C8's side output: the documents that :func:`parse_callbacks` skips, with reason and raw body."""
+    return _read(raw, body_col).where(F.col("_reason").isNotNull()).select(*raw.columns, F.col("_reason").alias("reason"))
+
+
 def poll_outcome(code: Column | str) -> Column:
     """C10, status-poll path: 0 completed, listed codes failed, anything else still pending."""
     c = as_col(code)

@@ -54,13 +54,17 @@ def active_with_hotspot(sessions: DataFrame, hotspot_users: DataFrame, at: str)
     return j.select("session_id", "user_id", "hotspot_user_id", "hotspot_username", "expires_at")
 
 
-def unused_payments(payments: DataFrame, sessions: DataFrame) -> DataFrame:
+def unused_payments(payments: DataFrame, sessions: DataFrame, same_user: bool = False) -> DataFrame:
     """Per (user, package), the newest completed payment with no session, or whose
-    session is active but has no credentials yet.  ``max_by`` is map-side partial."""
-    s = sessions.select("payment_id", F.col("session_id").alias("active_session_id"), F.col("status").alias("s_status"),
+    session is active but has no credentials yet.  ``max_by`` is map-side partial.
+
+    ``same_user``: a session belongs to its payment's user, so the join may go by user as well
+    and, over tables bucketed by user, needs no shuffle."""
+    on = ["user_id", "payment_id"] if same_user else ["payment_id"]
+    s = sessions.select(*on, F.col("session_id").alias("active_session_id"), F.col("status").alias("s_status"),
                         F.col("hotspot_user_id").alias("s_hotspot"))
     p = payments.where(F.col("status") == "completed").select("payment_id", "user_id", "package_id", "updated_at")
-    j = p.join(s, "payment_id", "left").where(
+    j = p.join(s, on, "left").where(
         F.col("active_session_id").isNull() | ((F.col("s_status") == "active") & F.col("s_hotspot").isNull()))
     best = j.groupBy("user_id", "package_id").agg(
         F.max_by(F.struct("payment_id", "updated_at", "active_session_id"),

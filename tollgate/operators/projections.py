@@ -10,9 +10,11 @@ from ..columns import floor_div, micros_between, round_half_up_div, seconds_betw
 
 
 def active_view(sessions: DataFrame, users: DataFrame, packages: DataFrame, hotspot_users: DataFrame,
-                at: str) -> DataFrame:
+                at: str, devices: DataFrame | None = None) -> DataFrame:
     """The union of both active-session views.
 
+    ``devices`` (session_id, ip_address, mac_address): where the sessions were opened from, if known.
+
     hours and percent remaining are exact 2-place decimals; percent is NULL when
     a session has zero length (no division by zero).
     """
@@ -22,11 +24,14 @@ def active_view(sessions: DataFrame, users: DataFrame, packages: DataFrame, hots
          .join(packages.select("package_id", "package_name", "speed_mbps"), "package_id")
          .join(hotspot_users.select("hotspot_user_id", F.col("username").alias("hotspot_username")),
                "hotspot_user_id", "left"))
+    where = []
+    if devices is not None:
+        j, where = j.join(devices.select("session_id", "ip_address", "mac_address"), "session_id", "left"), ["ip_address", "mac_address"]
     rem = micros_between(now, "expires_at")
     total = micros_between("started_at", "expires_at")
     return j.select(
         "session_id", "user_id", "package_id", "status", "started_at", "expires_at", "bytes_downloaded",
-        "bytes_uploaded", "data_used_mb", "phone_number", "name", "package_name", "speed_mbps", "hotspot_username",
+        "bytes_uploaded", "data_used_mb", "phone_number", "name", "package_name", "speed_mbps", "hotspot_username", *where,
         seconds_between(now, "expires_at").alias("time_remaining_seconds"),
         round_half_up_div(rem, F.lit(3_600_000_000)).alias("hours_remaining"),
         F.when(total > 0, round_half_up_div(rem * 100, total)).alias("percent_remaining"),

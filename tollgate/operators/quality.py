@@ -77,7 +77,11 @@ def domain_checks(users: DataFrame, packages: DataFrame, payments: DataFrame, se
     ]).select("table_name", "check_name", "n_checked", "n_violations")
 
 
-def input_rules(packages: DataFrame, users: DataFrame, logins: DataFrame) -> DataFrame:
+# Fixed value: the shape of a UUID in a request path (versions 1 to 5, either case).
+UUID_SHAPE = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}$"
+
+
+def input_rules(packages: DataFrame, users: DataFrame, logins: DataFrame, path_ids: DataFrame) -> DataFrame:
     """Q4: request validation rules applied to whole tables, failures counted per rule."""
     return _union([
         _checks("packages", packages, {
@@ -87,4 +91,5 @@ def input_rules(packages: DataFrame, users: DataFrame, logins: DataFrame) -> Dat
             "name_not_empty": F.length(F.trim(F.col("package_name"))) > 0}),
         _checks("users", users, {"name_len_le_100": F.length(F.trim(F.col("name"))) <= 100}),
         _checks("logins", logins, {"phone_valid": phones.normalise("raw_phone").isNotNull()}),
+        _checks("path_ids", path_ids, {"uuid_shape": F.col("path_id").rlike(UUID_SHAPE)}),
     ]).select("table_name", "check_name", "n_checked", "n_violations")

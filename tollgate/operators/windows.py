@@ -11,21 +11,30 @@ from ..functions.labels import category
 from .ranking import numbered
 
 
-def current_session(sessions: DataFrame, packages: DataFrame, payments: DataFrame, at: str) -> DataFrame:
+def current_session(sessions: DataFrame, packages: DataFrame, payments: DataFrame, at: str, receipts: DataFrame | None = None,
+                    devices: DataFrame | None = None) -> DataFrame:
     """Each user's newest unexpired paid session (started_at desc, id asc), seconds left.
 
     The inner joins come first (the service's LIMIT 1 applies after them); the
-    pick is a ``max_by`` aggregate, partial per partition, so hot users are cheap."""
+    pick is a ``max_by`` aggregate, partial per partition, so hot users are cheap.  ``receipts``
+    (first callbacks) and ``devices`` add the payment's receipt and the session's address to
+    the one row that is picked, not to the rows it is picked from."""
     now = clock.at(at)
     s = sessions.where((F.col("status") == "active") & (F.col("expires_at") > now))
     j = (s.join(packages.select("package_id", "package_name", "speed_mbps", "duration_hours"), "package_id")
-         .join(payments.select("payment_id", "amount_kes"), "payment_id"))
+         .join(payments.select("payment_id", "amount_kes", "checkout_request_id"), "payment_id"))
     cols = ["session_id", "started_at", "expires_at", "data_used_mb", "package_name", "speed_mbps",
-            "duration_hours", "amount_kes"]
+            "duration_hours", "amount_kes", "checkout_request_id"]
     best = j.groupBy("user_id").agg(
         F.max_by(F.struct(*cols), F.struct("started_at", (-F.col("session_id")).alias("k"))).alias("b"))
-    return best.select("user_id", *[F.col("b")[c].alias(c) for c in cols],
+    best = best.select("user_id", *[F.col("b")[c].alias(c) for c in cols],
                        floor_div(micros_between(now, F.col("b.expires_at")), 1_000_000).alias("seconds_remaining"))
+    if receipts is not None:
+        paid = receipts.where(F.col("result_code") == 0).select("checkout_request_id", "receipt_number")
+        best = best.join(paid, "checkout_request_id", "left")
+    if devices is not None:
+        best = best.join(devices.select("session_id", "ip_address"), "session_id", "left")
+    return best.drop("checkout_request_id")
 
 
 def price_list(packages: DataFrame, n_partitions: int | None = None) -> DataFrame:

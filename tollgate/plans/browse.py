@@ -91,15 +91,15 @@ def f10(t):
 with live as (select *, {epoch_diff(LIVE_SQL, 'expires_at')} as left_us, {epoch_diff('started_at', 'expires_at')} as whole_us
   from sessions_live where status = 'active' and expires_at > {LIVE_SQL})
 select session_id, user_id, package_id, status, started_at, expires_at, bytes_downloaded, bytes_uploaded, data_used_mb,
-  who.phone_number, who.name, plan.package_name, plan.speed_mbps, account.username as hotspot_username,
+  who.phone_number, who.name, plan.package_name, plan.speed_mbps, account.username as hotspot_username, device.ip_address, device.mac_address,
   cast(trunc(left_us / 1000000) as bigint) as time_remaining_seconds, {rdiv('left_us', '3600000000')} as hours_remaining,
   case when whole_us > 0 then {rdiv('left_us * 100', 'whole_us')} end as percent_remaining
 from live join users who using (user_id) join packages plan using (package_id)
-left join hotspot_users account using (hotspot_user_id)
+left join hotspot_users account using (hotspot_user_id) left join session_devices device using (session_id)
 """)
 def p1(t):
-    """Active sessions view (union of both definitions)."""
-    return P.active_view(t.sessions_live, t.users, t.packages, t.hotspot_users, LIVE)
+    """Active sessions view (union of both definitions), with the devices' addresses."""
+    return P.active_view(t.sessions_live, t.users, t.packages, t.hotspot_users, LIVE, t.session_devices)
 
 
 _MS = f"(greatest({epoch_diff(LIVE_SQL, 's.expires_at')}, 0) // 1000)"
@@ -354,18 +354,21 @@ def j14(t):
 
 @register("w1_current_session", f"""
 with j as (select s.user_id, s.session_id, s.started_at, s.expires_at, s.data_used_mb, p.package_name, p.speed_mbps,
-    p.duration_hours, py.amount_kes
+    p.duration_hours, py.amount_kes, cb.receipt_number, dv.ip_address
   from sessions_live s join packages p on p.package_id = s.package_id
   join payments_live py on py.payment_id = s.payment_id
+  left join (select checkout_request_id, receipt_number from {FIRST_CALLBACKS} where result_code = 0) cb on cb.checkout_request_id = py.checkout_request_id
+  left join session_devices dv on dv.session_id = s.session_id
   where s.status = 'active' and s.expires_at > {LIVE_SQL}),
 r as (select *, row_number() over (partition by user_id order by started_at desc, session_id) as rn from j)
 select user_id, session_id, started_at, expires_at, data_used_mb, package_name, speed_mbps, duration_hours,
-  amount_kes, {epoch_diff(LIVE_SQL, 'expires_at')} // 1000000 as seconds_remaining
+  amount_kes, receipt_number, ip_address, {epoch_diff(LIVE_SQL, 'expires_at')} // 1000000 as seconds_remaining
 from r where rn = 1
 """)
 def w1(t):
     """Each user's newest unexpired paid session with seconds left."""
-    return W.current_session(t.sessions_live, t.packages, t.payments_live, LIVE)
+    first = J.first_callbacks(parse_callbacks(t.callbacks))
+    return W.current_session(t.sessions_live, t.packages, t.payments_live, LIVE, first, t.session_devices)
 
 
 @register("w2_price_list", f"""

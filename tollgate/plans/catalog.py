@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import browse, jobs, reports, streams  # noqa: F401
+from . import browse, jobs, reports, stored, streams  # noqa: F401
 from .registry import REGISTRY
 
 

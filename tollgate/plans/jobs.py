@@ -282,10 +282,11 @@ def q3(t):
     _check_sql("packages", {"duration_int_ge_1": "duration_hours >= 1", "price_ge_1": "price_kes >= 1",
                             "speed_int_ge_1": "speed_mbps >= 1", "name_not_empty": "length(trim(package_name)) > 0"}),
     _check_sql("users", {"name_len_le_100": "length(trim(name)) <= 100"}),
-    _check_sql("logins", {"phone_valid": f"{_NORM} is not null"})]))
+    _check_sql("logins", {"phone_valid": f"{_NORM} is not null"}),
+    _check_sql("path_ids", {"uuid_shape": f"regexp_full_match(path_id, '{Q.UUID_SHAPE[1:-1]}')"})]))
 def q4(t):
     """Request-validation rules over whole tables, failures per rule."""
-    return Q.input_rules(t.packages, t.users, t.logins)
+    return Q.input_rules(t.packages, t.users, t.logins, t.path_ids)
 
 
 # -- U ---------------------------------------------------------------------------------------------------------

@@ -86,6 +86,39 @@ select event_id, ts + interval '1' second * (60 * d.n) as received_at,
   cast(event_id as string) || '"}]}}}}' as body
 from events join (select 0 as n union all select 1 as n) d on d.n = 0 or event_id % 10 = 0
 where event_type in ('purchase', 'error')""", ()),
+    "callback_deliveries": ("""
+select event_id, received_at, case event_id % 40 when 1 then substr(body, 1, 30) when 2 then '{"unexpected":true}'
+  when 3 then regexp_replace(body, '"Value":[0-9.-]+', '"Value":"n/a"')
+  when 4 then regexp_replace(body, '"Value":[0-9.-]+', '"Value":123456789012.5')
+  when 5 then regexp_replace(body, '"ResultCode":[0-9]+', '"ResultCode":"zero"')
+  when 6 then regexp_replace(body, '"Value":[0-9.-]+', '"Value":""') else body end as body
+from callbacks""", ("callbacks",)),
+    "poll_results": ("""
+select 'ws_CO_' || cast(event_id as string) as checkout_request_id,
+  cast(case event_id % 5 when 0 then 0 when 1 then 1032 when 2 then 4999 end as bigint) as result_code,
+  case event_id % 5 when 1 then 'Request cancelled by user' when 2 then 'In progress' end as result_desc,
+  ts + interval 20 second as polled_at
+from events where event_type = 'signup' and event_id % 5 <> 4""", ()),
+    "package_requests": ("""
+select p_partkey as request_id, case when p_partkey % 21 = 0 then ' ' else p_name end as package_name,
+  case when p_partkey % 15 = 0 then '0.5' when p_partkey % 33 = 0 then 'a day' else cast(p_size as string) end as duration_hours,
+  case when p_partkey % 12 = 0 then '0.99' else cast(cast(p_retailprice as decimal(10,2)) as string) end as price_kes,
+  case when p_partkey % 27 <> 0 then cast(p_partkey % 40 as string) end as speed_mbps,
+  case when p_partkey % 9 <> 0 then p_partkey % 10 end as sort_order
+from part where p_partkey % 3 = 0""", ()),
+    "session_devices": ("""
+select event_id as session_id, '10.5.' || cast(user_id % 256 as string) || '.' || cast(event_id % 256 as string) as ip_address,
+  case when event_id % 7 <> 0 then '02:00:5e:' || substr(h, 1, 2) || ':' || substr(h, 3, 2) || ':' || substr(h, 5, 2) end as mac_address
+from (select *, lpad(lower(to_hex(event_id)), 6, '0') as h from events where event_type = 'purchase' and event_id % 6 <> 0)""", ()),
+    "start_requests": ("""
+select event_id * 2 + d.n as request_id, case when event_id % 8 = 0 then user_id + 1 else user_id end as user_id,
+  event_id as payment_id, '10.5.0.' || cast(event_id % 256 as string) as ip_address, ts + interval 1 minute * (10 + d.n) as requested_at
+from events join (select 0 as n union all select 1 as n) d on d.n = 0 or event_id % 5 = 0
+where event_type in ('purchase', 'error')""", ()),
+    "path_ids": ("""
+select event_id, case event_id % 10 when 0 then cast(event_id as string) when 1 then substr(u, 1, 30) when 2 then upper(u) else u end as path_id
+from (select event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) as u
+  from (select event_id, md5(cast(event_id as string)) as h from events where event_type = 'click'))""", ()),
     "logins": ("""
 select event_id, ts, case event_id % 5
   when 0 then '07' || lpad(cast(user_id as string), 8, '0')

@@ -18,6 +18,7 @@ class Query:
     fn: Callable[[SparkSession, str], DataFrame]
     oracle: str | None
     doc: str
+    body: str | None = None  # the oracle before its fixture CTEs, for queries built on it
 
 
 REGISTRY: dict[str, Query] = {}
@@ -36,7 +37,7 @@ def register(key: str, oracle: str | None = None):
         run.__wrapped__ = fn  # the plan over a Tables object (e.g. a written layout)
         if key in REGISTRY:
             raise ValueError(f"duplicate query key {key}")
-        REGISTRY[key] = Query(key, run, with_fixtures(oracle) if oracle else None, (fn.__doc__ or "").strip())
+        REGISTRY[key] = Query(key, run, with_fixtures(oracle) if oracle else None, (fn.__doc__ or "").strip(), oracle)
         return fn
 
     return deco

@@ -161,6 +161,68 @@ def callbacks_from(events: DataFrame) -> DataFrame:
                     body.alias("body"))
 
 
+def callback_deliveries_from(callbacks: DataFrame) -> DataFrame:
+    """What the webhook really receives: the callbacks, some of them cut short or wrongly typed."""
+    k, body = F.col("event_id") % 40, F.col("body")
+    broken = (F.when(k == 1, F.substring(body, 1, 30)).when(k == 2, F.lit('{"unexpected":true}'))
+              .when(k == 3, F.regexp_replace(body, '"Value":[0-9.-]+', '"Value":"n/a"'))
+              .when(k == 4, F.regexp_replace(body, '"Value":[0-9.-]+', '"Value":123456789012.5'))
+              .when(k == 5, F.regexp_replace(body, '"ResultCode":[0-9]+', '"ResultCode":"zero"'))
+              .when(k == 6, F.regexp_replace(body, '"Value":[0-9.-]+', '"Value":""')).otherwise(body))
+    return callbacks.withColumn("body", broken)
+
+
+def poll_results_from(events: DataFrame) -> DataFrame:
+    """Answers of the payment status poll for sign-up payments: paid, refused, or still in progress."""
+    e = events.where(F.col("event_type") == "signup")
+    k = F.col("event_id") % 5
+    return e.where(k != 4).select(
+        F.concat(F.lit("ws_CO_"), F.col("event_id").cast("string")).alias("checkout_request_id"),
+        F.when(k == 0, 0).when(k == 1, 1032).when(k == 2, 4999).cast("bigint").alias("result_code"),
+        F.when(k == 1, "Request cancelled by user").when(k == 2, "In progress").alias("result_desc"),
+        F.timestamp_add("SECOND", F.lit(20), F.col("ts")).alias("polled_at"))
+
+
+def package_requests_from(part: DataFrame) -> DataFrame:
+    """Requests to create packages, as typed into the admin form: some with a field that the rules refuse."""
+    k = F.col("p_partkey")
+    return part.where(k % 3 == 0).select(
+        k.alias("request_id"), F.when(k % 21 == 0, F.lit(" ")).otherwise(F.col("p_name")).alias("package_name"),
+        F.when(k % 15 == 0, F.lit("0.5")).when(k % 33 == 0, F.lit("a day")).otherwise(F.col("p_size").cast("string")).alias("duration_hours"),
+        F.when(k % 12 == 0, F.lit("0.99")).otherwise(F.col("p_retailprice").cast("decimal(10,2)").cast("string")).alias("price_kes"),
+        F.when(k % 27 == 0, F.lit(None).cast("string")).otherwise((k % 40).cast("string")).alias("speed_mbps"),
+        F.when(k % 9 == 0, F.lit(None).cast("bigint")).otherwise(k % 10).alias("sort_order"))
+
+
+def session_devices_from(events: DataFrame) -> DataFrame:
+    """Addresses of the devices that sessions were opened from (a purchase opens a session); some are unknown."""
+    k = F.col("event_id")
+    h = F.lpad(F.lower(F.hex(k)), 6, "0")
+    mac = F.concat_ws(":", F.lit("02"), F.lit("00"), F.lit("5e"), *[F.substring(h, i, 2) for i in (1, 3, 5)])
+    ip = F.concat_ws(".", F.lit("10"), F.lit("5"), (F.col("user_id") % 256).cast("string"), (k % 256).cast("string"))
+    return events.where((F.col("event_type") == "purchase") & (k % 6 != 0)).select(
+        k.alias("session_id"), ip.alias("ip_address"), F.when(k % 7 != 0, mac).alias("mac_address"))
+
+
+def start_requests_from(events: DataFrame) -> DataFrame:
+    """Requests to start a session by hand: for one's own payment, some twice, some for another's."""
+    e = events.where(F.col("event_type").isin("purchase", "error"))
+    k = F.col("event_id")
+    e = e.select("*", F.explode(F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("n"))
+    return e.select((k * 2 + F.col("n")).alias("request_id"), F.when(k % 8 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"),
+                    k.alias("payment_id"), F.concat(F.lit("10.5.0."), (k % 256).cast("string")).alias("ip_address"),
+                    F.timestamp_add("MINUTE", F.lit(10) + F.col("n"), F.col("ts")).alias("requested_at"))
+
+
+def path_ids_from(events: DataFrame) -> DataFrame:
+    """Ids typed into request paths: a UUID, in either case, cut short, or a plain number."""
+    k = F.col("event_id")
+    h = F.md5(k.cast("string"))
+    u = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(F.lit("a"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+    return events.where(F.col("event_type") == "click").select(
+        "event_id", F.when(k % 10 == 0, k.cast("string")).when(k % 10 == 1, F.substring(u, 1, 30)).when(k % 10 == 2, F.upper(u)).otherwise(u).alias("path_id"))
+
+
 def logins_from(events: DataFrame) -> DataFrame:
     """Login attempts with the phone typed five ways (one of them invalid)."""
     e = events.where(F.col("event_type").isin("click", "view"))
@@ -282,6 +344,30 @@ class Tables:
     def callbacks(self) -> DataFrame:
         return callbacks_from(self.raw("events"))
 
+    @cached_property
+    def callback_deliveries(self) -> DataFrame:
+        return callback_deliveries_from(self.callbacks)
+
+    @cached_property
+    def poll_results(self) -> DataFrame:
+        return poll_results_from(self.raw("events"))
+
+    @cached_property
+    def package_requests(self) -> DataFrame:
+        return package_requests_from(self.raw("part"))
+
+    @cached_property
+    def session_devices(self) -> DataFrame:
+        return session_devices_from(self.raw("events"))
+
+    @cached_property
+    def start_requests(self) -> DataFrame:
+        return start_requests_from(self.raw("events"))
+
+    @cached_property
+    def path_ids(self) -> DataFrame:
+        return path_ids_from(self.raw("events"))
+
     @cached_property
     def logins(self) -> DataFrame:
         return logins_from(self.raw("events"))

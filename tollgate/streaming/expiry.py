@@ -11,8 +11,9 @@ disconnect/clock stream, ``lateness`` behind the newest event: rows that are lat
 than that are joined like any other.
 
 Disconnects stay in the state as long as a session they might belong to can still come.
-``longest_hours`` bounds that where the longest session is known; without it (the
-default) they are kept, and no session can expire against its disconnect.
+``longest_hours`` bounds that by the longest session; ``run_expiry`` takes it from the data
+(one aggregate), so that the state is bounded by default.  The form with timers, whose state
+is the open sessions alone, is in timers.py.
 """
 
 from __future__ import annotations
@@ -57,10 +58,11 @@ def run_expiry(spark: SparkSession, sessions: DataFrame, at: str, slices: int =
     starts = starts.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("session_id"), F.lit(None).cast("bigint").alias("user_id"),
                                                       end.alias("started_at"), end.alias("expires_at")))
     stops = stops.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("session_id"), end.alias("ts")))
+    longest = sessions.agg(F.max(F.timestamp_diff("SECOND", F.col("started_at"), F.col("expires_at")))).first()[0] or 0
     replay = runner.Replay([(starts, "started_at"), (stops, "ts")], base, slices)
     replay.drain(lambda: runner.run_to_parquet(expiry_stream(
         runner.read_files(spark, replay.paths[0], START_SCHEMA), runner.read_files(spark, replay.paths[1], STOP_SCHEMA),
-        lateness_minutes), base))
+        lateness_minutes, -(-longest // 3600)), base))
     # marker rows (session -1) are dropped here, after the stream
     return (spark.read.schema(OUT_SCHEMA).parquet(f"{base}/out").where(F.col("session_id") >= 0)
             .withColumn("expired_at", F.col("expired_at").cast("timestamp_ntz")))

@@ -107,13 +107,13 @@ def run_foreach_batch(stream: DataFrame, base: str, fn, processing_time: str | N
     return q
 
 
-def batches_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows that earlier micro-batches wrote into their ``batch_id=`` folders (none: an empty table).
+def batch_before(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Rows that the micro-batch before this one wrote into its ``batch_id=`` folder (none: an empty table).
 
-    A replayed batch reads what was there when it first ran."""
+    Only that folder is opened, however many batches there were.  A replayed batch reads what
+    was there when it first ran."""
     from pyspark.errors import AnalysisException
     try:
-        rows = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
-    except AnalysisException:  # no earlier batch
+        return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id - 1}")
+    except AnalysisException:  # the first batch
         return spark.createDataFrame([], schema)
-    return rows.where(F.col("batch_id") < batch_id).drop("batch_id")

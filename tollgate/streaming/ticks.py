@@ -10,7 +10,8 @@ in its own ``batch_id=`` folder (a replayed batch rewrites the same folder):
   the active count is taken from it, so it falls when a session expires or is cut off;
 * ``totals``: one row, the sum and count of closed sessions' durations, added at close;
 * ``recent``: bytes of the sessions started in the last hour, the newest state of each;
-* ``today``: the distinct users who started a session today.
+* ``today``: the distinct users who started a session today, as bitmaps (operators/distinct.py),
+  which merge by OR and do not grow with the sessions.
 
 ``start_ticks`` runs it on a ``processingTime='60 seconds'`` trigger; tests drain the
 input with ``availableNow``.
@@ -26,12 +27,13 @@ from pyspark.sql import functions as F
 from .. import clock
 from ..columns import micros_between
 from ..operators.aggregates import stats_columns
+from ..operators.distinct import day_bitmaps, merged
 from . import runner
 
 OPEN_SCHEMA = "session_id bigint, status string"
 TOTALS_SCHEMA = "dur_us decimal(38,0), dur_n bigint"
 RECENT_SCHEMA = "session_id bigint, started_at timestamp_ntz, bytes decimal(38,0)"
-TODAY_SCHEMA = "user_id bigint, started_at timestamp_ntz"
+TODAY_SCHEMA = "day date, bucket bigint, bitmap binary"
 
 
 def _newest(batch: DataFrame) -> DataFrame:
@@ -44,13 +46,12 @@ def _newest(batch: DataFrame) -> DataFrame:
 def _tick_fn(spark: SparkSession, base: str, at: str | None):
     def previous(name: str, batch_id: int, schema: str) -> DataFrame:
         """What the batch before wrote; nothing before the first."""
-        rows = runner.batches_before(spark, f"{base}/{name}", batch_id, f"{schema}, at_batch bigint")
-        return rows.where(F.col("at_batch") == batch_id - 1).drop("at_batch")
+        return runner.batch_before(spark, f"{base}/{name}", batch_id, schema)
 
     def leave(rows: DataFrame, name: str, batch_id: int) -> DataFrame:
         path = f"{base}/{name}/batch_id={batch_id}"
-        rows.withColumn("at_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path).drop("at_batch")
+        rows.write.mode("overwrite").parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
 
     def tick(batch: DataFrame, batch_id: int) -> None:
         # a fixed clock in tests; a deployment stamps each tick with its own trigger time
@@ -75,13 +76,13 @@ def _tick_fn(spark: SparkSession, base: str, at: str | None):
         kept = previous("recent", batch_id, RECENT_SCHEMA).join(new.select("session_id"), "session_id", "left_anti")
         recent = leave(kept.unionByName(hour).where(F.col("started_at") > hour_ago), "recent", batch_id)
 
-        in_day = (F.col("started_at") >= today) & (F.col("started_at") < tomorrow)
-        users = previous("today", batch_id, TODAY_SCHEMA).unionByName(new.select("user_id", "started_at")).where(in_day)
-        day = leave(users.groupBy("user_id").agg(F.min("started_at").alias("started_at")), "today", batch_id)
+        mine = day_bitmaps(new.where((F.col("started_at") >= today) & (F.col("started_at") < tomorrow)), "started_at")
+        users = previous("today", batch_id, TODAY_SCHEMA).where(F.col("day") == F.to_date(today)).unionByName(mine)
+        day = leave(merged(users, "day"), "today", batch_id)
 
         row = totals.select("*", F.coalesce(live.agg(F.count_if(F.col("status") == "active")).scalar(), F.lit(0)).alias("active_sessions_count"),
                             F.coalesce(recent.agg(F.sum("bytes")).scalar(), F.lit(0)).cast("decimal(38,0)").alias("total_bytes_hour"),
-                            day.agg(F.count("user_id")).scalar().alias("unique_users_today"))
+                            F.coalesce(day.agg(F.sum(F.bitmap_count("bitmap"))).scalar(), F.lit(0)).alias("unique_users_today"))
         row.select(*stats_columns(), clock.at(now_s).alias("recorded_at")).write.mode("overwrite") \
             .parquet(f"{base}/stats/batch_id={batch_id}")
         new.unpersist()
