@@ -2,21 +2,27 @@
 
 View A sees the text's content (character classes, repeats, line shapes); view B sees the
 page's metadata (language, source, stated length).  Both start from labelled rows.  In
-each round each view scores a bounded pool of unlabelled rows, and the rows it is sure of
-become training rows of the other view: as many of each label as the labels' own shares
-allow, and only where the view is right on labelled rows it did not train on.  At the end
-each view's logit is calibrated on those rows, a last logistic model combines the two, and
-every document is scored.
+each round each view scores every unlabelled row, and the rows it is sure of become training
+rows of the other view, where the view is right on labelled rows it did not train on.
+At the end each view's logit is calibrated on those rows, a last logistic model combines the
+two, and every document is scored.
 
-Bounds, all documented parameters: ``labelled`` labelled rows and ``pool`` unlabelled rows
-(about so many, the lowest by a hash of the id) are fitted on the driver as some 30 numbers a row.
-Scores, statistics of the text and decisions cover every row and whole texts.
+Unlabelled rows are never sampled.  A round is one pass over all of them: each task adds up, for
+each view and pseudo-label, the number of rows and the gradient and curvature of the view's
+loss on them, and Spark adds the tasks' sums.  The next model is the Newton minimum of the
+labelled rows' loss and that quadratic form.  A label weighs no more than its own share of the rows allows, and all
+pseudo-labels together half as much as the labelled rows, at every size of the table.
+
+Bound, a documented parameter: about ``labelled`` labelled ids (the lowest by a hash of the id,
+one row each) are fitted on the driver as some 30 numbers a row.  Scores, statistics of
+the text and decisions cover every row and whole texts.
 
 Defined cases: null and empty texts have zero statistics (their score follows from the
-fitted model); null language, source or length are values of their own; a null doc_id has
+fitted model); very long texts are read whole; null language, source or length are values of their own; a null doc_id has
 no label; with labels of one kind only, or none, every score is the share of label 1 (1
-without labels), so nothing is rejected.  Repeated rows get equal scores.  An empty table
-gives an empty result.
+without labels), so nothing is rejected.  Repeated rows get equal scores; of rows that share a
+labelled doc_id one trains.  An empty table gives an empty result.  Further columns, whatever their
+names, are not read, and ``kept_documents`` passes them through.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, hashed_sample, written
 from .logistic import Logistic, sigmoid
 
-LABELLED, POOL, ROUNDS, SURE = 12_000, 12_000, 4, 0.9
+LABELLED, ROUNDS, SURE = 12_000, 4, 0.9
 CONTENT = ["letters", "upper", "digits", "marks", "pipes", "spaces", "wide", "mark_ends", "mark_words", "upper_words", "repeats",
            "distinct", "word_len", "lines", "line_len", "log_words", "doubled_marks"]
 HASHED = 24  # columns for each hashed metadata value
@@ -111,66 +117,123 @@ class CoTrained:
         return sigmoid(self.joint.logit(np.stack([cal.logit(v.logit(x)[:, None]) for (v, cal), x in zip(self.views, (a, b), strict=True)], axis=1)))
 
 
-def co_train(labelled: tuple, y: np.ndarray, fold: np.ndarray, pool: tuple, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
-    """``labelled``, ``pool``: the two views' matrices.  Rows of ``fold`` True check and calibrate, the others train."""
+def moments(model: Logistic, x: np.ndarray, label: float) -> np.ndarray:
+    """(rows, gradient, curvature) of a view's loss on rows with one pseudo-label, as one vector."""
+    z = model._columns(x)
+    p = sigmoid(z @ model.coef)
+    return np.concatenate([[float(len(x))], z.T @ (p - label), ((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z).ravel()])
+
+
+Limits = list[dict[int, float]]  # for each view and label, how sure it must be; absent: it may not teach that label
+
+
+def taught(models: list[Logistic], limits: Limits, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The moments of both views on the rows that the other one is sure of: view 0 by label 0 and 1, then view 1."""
+    parts = []
+    for v in (0, 1):
+        p = sigmoid(models[1 - v].logit(views[1 - v]))
+        for label, score in ((0, 1 - p), (1, p)):
+            limit = limits[1 - v].get(label)
+            at = np.flatnonzero(score >= limit) if limit is not None else np.empty(0, int)
+            parts.append(moments(models[v], views[v][at], float(label)))
+    return np.concatenate(parts)
+
+
+class LocalPool:
+    """Unlabelled rows in memory (the two views' matrices)."""
+
+    def __init__(self, views: tuple[np.ndarray, np.ndarray]):
+        self.views, self.rows = views, len(views[0])
+
+    def taught(self, models: list[Logistic], limits: Limits) -> np.ndarray:
+        return taught(models, limits, self.views)
+
+
+class TablePool:
+    """Unlabelled rows of a written feature table: every pass reads them all, and only sums come back."""
+
+    def __init__(self, rows: DataFrame):
+        self.table, self.rows = rows, rows.count()
+
+    def taught(self, models: list[Logistic], limits: Limits) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                found = taught(models, limits, _batch_views(batch))
+                total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "value"])
+        sums = self.table.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+        size = len(taught(models, limits, (np.empty((0, len(CONTENT))), np.empty((0, 2 * HASHED + 1)))))
+        out = np.zeros(size)
+        for r in sums:
+            out[r["place"]] = r["value"]
+        return out
+
+
+def co_train(labelled: tuple, y: np.ndarray, fold: np.ndarray, pool, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
+    """``labelled``: the two views' matrices; ``pool``: unlabelled rows.  Rows of ``fold`` True check and calibrate, the others train."""
     share = float(y.mean()) if len(y) else 1.0
     train, check = ~fold, fold
     if not (0 < y[train].sum() < train.sum() and 0 < y[check].sum() < check.sum()):
         return CoTrained(share)
-    extra: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, int), np.empty(0))] * 2  # pool rows and pseudo-labels of each view
-
-    def fit(v: int) -> Logistic:
-        at, pseudo = extra[v]
-        x = np.vstack([labelled[v][train], pool[v][at]])
-        return Logistic().fit(x, np.concatenate([y[train], pseudo]), np.concatenate([np.ones(train.sum()), np.full(len(at), 0.5)]))
-
-    models = [fit(0), fit(1)]
+    models = [Logistic().fit(labelled[v][train], y[train]) for v in (0, 1)]
     for k in range(1, rounds + 1):
-        given = []
+        limits: Limits = [{}, {}]
         for v in (0, 1):
-            p, held = sigmoid(models[v].logit(pool[v])), sigmoid(models[v].logit(labelled[v][check]))
-            at, pseudo = [], []
-            for label, score, known in ((1, p, held), (0, 1 - p, 1 - held)):
+            known = sigmoid(models[v].logit(labelled[v][check]))
+            for label, score in ((1, known), (0, 1 - known)):
                 base = share if label else 1 - share
                 limit = sure + (1 - sure) * base  # surer than the label's own share
-                right = y[check][known >= limit] == label
+                right = y[check][score >= limit] == label
                 if len(right) >= 10 and right.mean() >= limit:
-                    ranked = np.argsort(-score, kind="stable")[: int(len(score) * base * k / rounds)]
-                    ranked = ranked[score[ranked] >= limit]
-                    at.append(ranked), pseudo.append(np.full(len(ranked), float(label)))
-            given.append((np.concatenate(at) if at else np.empty(0, int), np.concatenate(pseudo) if pseudo else np.empty(0)))
-        extra = given[::-1]  # each view learns from the other's rows
-        models = [fit(0), fit(1)]
+                    limits[v][label] = limit
+        sums = pool.taught(models, limits)
+        for v in (0, 1):
+            d = len(models[v].coef)
+            width, parts = 1 + d + d * d, []
+            for label in (0, 1):
+                part, sums = sums[:width], sums[width:]
+                quota = (share if label else 1 - share) * k / rounds * pool.rows
+                parts.append((min(part[0], quota), part[1 : 1 + d] / max(part[0], 1), part[1 + d :].reshape(d, d) / max(part[0], 1)))
+            weight = 0.5 * train.sum() / max(sum(n for n, *_ in parts), train.sum())
+            models[v] = models[v].again(labelled[v][train], y[train], sum(n * weight * g for n, g, _ in parts), sum(n * weight * h for n, _, h in parts))
     yc = y[check]
     calibrated = [(m, Logistic(0.1).fit(m.logit(labelled[v][check])[:, None], yc)) for v, m in enumerate(models)]
     logits = np.stack([cal.logit(m.logit(labelled[v][check])[:, None]) for v, (m, cal) in enumerate(calibrated)], axis=1)
     return CoTrained(share, calibrated, Logistic(1.0).fit(logits, yc))
 
 
-def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, held_out: Column | None = None) -> CoTrained:
-    """Fit on at most ``labelled`` labelled and ``pool`` unlabelled rows of a written feature table; labels of held-out ids are not read."""
+def train(rows: DataFrame, labels: DataFrame, labelled: int = LABELLED, held_out: Column | None = None) -> CoTrained:
+    """Fit on about ``labelled`` labelled ids and all unlabelled rows of a written feature table; labels of held-out ids are not read."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")) \
         .filter("doc_id IS NOT NULL AND quality IN (0, 1)")
     if held_out is not None:
         known = known.filter(~held_out)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))  # a doubtful label counts as the lower
-    cols = ["doc_id", "lang", "source", "log_chars", "content"]
+    cols = ["lang", "source", "log_chars", "content"]
     known = written(known, "quality-labels")
     some = hashed_sample(known, labelled, known.count(), "doc_id")
-    found = sorted(rows.select(cols).join(some, "doc_id").collect(), key=lambda r: (r["content"], r["doc_id"]))
+    one = F.min(F.struct("content", "lang", "source", "log_chars")).alias("r")  # one row an id, however often it occurs
+    found = rows.join(some, "doc_id").groupBy("doc_id").agg(F.first("quality").alias("quality"), one).select("doc_id", "quality", *[f"r.{c}" for c in cols]).collect()
+    found.sort(key=lambda r: (r["content"], r["doc_id"]))
     y = np.array([r["quality"] for r in found], float)
-    free = hashed_sample(rows.select(cols).join(known, "doc_id", "left_anti"), pool, rows.count(), "doc_id").collect()
-    free.sort(key=lambda r: r["content"])
     fold = np.arange(len(found)) % 3 == 0
-    return co_train(_views(found), y, fold, _views(free))
+    if len(set(y.tolist())) < 2:
+        return CoTrained(float(y.mean()) if len(y) else 1.0)
+    free = written(rows.join(known, "doc_id", "left_anti").select(cols), "quality-unlabelled")
+    return co_train(_views(found), y, fold, TablePool(free))
+
+
+def _batch_views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    content = batch.column("content").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, len(CONTENT))
+    return content, metadata(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "source", "log_chars")))
 
 
 def scorer(model: CoTrained, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = np.array(batch.column("content").to_pylist(), np.float64).reshape(batch.num_rows, len(CONTENT))
-            b = metadata(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "source", "log_chars")))
-            score = model.score(content, b)
+            score = model.score(*_batch_views(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(score >= threshold)], names=["doc_id", "score", "keep"])
     return run
 

@@ -331,7 +331,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, clea
         return Model(share)
     picked = [hashed_sample(known.filter(F.col("toxic") == k), n, counts[k], "doc_id") for k, n in ((0, clean_docs), (1, toxic_docs))]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) \
-        .join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "toxic", "text")
+        .join(F.broadcast(picked[0].union(picked[1])), "doc_id") \
+        .groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))  # one text an id, however often it occurs
     found = rows.repartition(1).mapInArrow(_fitted({k: counts[k] / total for k in counts}, share), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else Model(share)
 
