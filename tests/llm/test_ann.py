@@ -1,5 +1,6 @@
 """Nearest neighbours against brute force."""
 import numpy as np
+import pytest
 
 from tollgate.llm import ann, common
 
@@ -14,7 +15,9 @@ def brute(ids, x, queries, k):
     return out
 
 
-def test_recall_and_scores(spark):
+@pytest.mark.parametrize("part_rows", [2000, 10])
+def test_recall_and_scores(spark, part_rows):
+    """One level of parts, and two; blocks of 500 rows and queries."""
     common.prepare(spark)
     rng = np.random.default_rng(3)
     n = 6000
@@ -23,7 +26,7 @@ def test_recall_and_scores(spark):
     x[:1500] = x[0]  # one vector fills a quarter of the table
     ids = rng.permutation(n)
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>").repartition(4)
-    got = ann.search(df, "vec_id % 100 = 0", sample=2048, block=500).collect()
+    got = ann.search(df, "vec_id % 100 = 0", sample=2048, block=500 if part_rows > 100 else 20, part_rows=part_rows).collect()
     want = brute(ids, x.astype(np.float64), [i for i in range(0, n, 100)], 10)
     found = {}
     for r in got:
@@ -55,3 +58,33 @@ def test_parts_are_balanced():
     x = rng.standard_normal((1001, 8))
     part = ann.balanced_parts(ann.nearest(x, x, 10, skip_self=True), 3)
     assert sorted(np.bincount(part)) == [125] * 7 + [126]
+
+
+@pytest.mark.parametrize("rows", [100, 500, 2000])
+def test_small_tables_have_parts_too(spark, rows):
+    """Every table size is split by a learned router; recall and the share of rows that a query meets."""
+    common.prepare(spark)
+    df = common.table(spark, "/root/testdata/sf0.1", "embeddings").filter(f"vec_id < {rows}")
+    assigned, asked = ann.index(df, "vec_id % 20 = 0")
+    sizes = dict(assigned.groupBy("part").count().collect())
+    assert len(sizes) >= 2 and sum(sizes.values()) == rows
+    met = asked.groupBy("vec_id").agg({"part": "count"}).collect()
+    assert len(met) == rows // 20
+    got = ann.search(df, "vec_id % 20 = 0").collect()
+    local = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in local]), np.array([r.embedding for r in local], float)
+    want = brute(ids, x, [i for i in range(0, rows, 20)], 10)
+    hits = sum(r.vec_id in {i for i, _ in want[r.query_id]} for r in got)
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
+def test_two_levels_split_large_parts(spark):
+    common.prepare(spark)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 8)) + 4 * rng.standard_normal((40, 8))[rng.integers(0, 40, 6000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assigned, asked = ann.index(df, "vec_id % 100 = 0", part_rows=10, sample=2048, block=64)
+    sizes = dict(assigned.groupBy("part").count().collect())
+    assert len(sizes) > ann.WIDTH and sum(sizes.values()) == 6000  # more parts than one router can have
+    visited = asked.join(assigned.groupBy("part").count(), "part").groupBy("vec_id").agg({"count": "sum"}).collect()
+    assert len(visited) == 60 and np.median([r[1] for r in visited]) < 3000
