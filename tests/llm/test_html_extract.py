@@ -118,3 +118,48 @@ def test_driver_pages(spark, sf_small):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1].replace("<br>", " ")
         parts = re.sub(r"</?(?:p|h1)>", "\x00", re.sub(r"</?b>", "", body)).split("\x00")
         assert got[r.page_id] == "\n".join(x for x in (" ".join(h.unescape(p).split()) for p in parts) if x)
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p>one <SPAN hidden>x</SPAN> two</p><p>three.</p>", "one two\nthree."),
+    ("<p>one <span hidden>x</p><p>two, three.</p>", "one\ntwo, three."),
+    ("<p>a <span hidden>a<span>b</span> secret</span> z, y.</p>", "a z, y."),
+    ("<p>a <span aria-hidden=true>i</span>b <em style='display:none'>c<em>d</em>e</em>f, g.</p>", "a b f, g."),
+    ("<p>a <span class=hidden-gem>kept</span> and <span data-x=none>this</span>.</p>", "a kept and this.")])
+def test_hidden_inline_elements(page, want):
+    assert main_text(f"<article>{page}</article>")[0] == want
+
+
+LINKS = "<p><a href=a>One fine thing to buy today</a></p><p><a href=b>Another thing that is on sale</a></p><p><a href=c>A third thing, cheap</a></p>"
+
+
+@pytest.mark.parametrize("model", [None, html_extract.train(PAGES)])
+def test_the_cut_decides_about_links_in_an_article(model):
+    kept = main_text(f"<article>{TEXT}{TEXT}</article>", model)[0]
+    page = f"<article>{TEXT}<div>{LINKS}</div>{TEXT}</article>"
+    found = blocks(page)
+    odds = html_extract.log_odds(found, model)
+    assert main_text(page, model)[0] == kept and (odds < 0).any()  # an unnamed advert of links goes
+    alone = f"<article>{TEXT}<p><a href=s>The source of this text</a></p>{TEXT}</article>"
+    text, n, k = main_text(alone, model)
+    assert n == k == 3  # one linked line between paragraphs stays with them, whatever its own odds
+    lists = f"<article>{TEXT}<ul><li>red<li>green<li>blue<li>grey</ul>{TEXT}</article>"
+    assert main_text(lists, model)[0].count("\n") == 5
+    assert main_text(f"<article>{TEXT}<div class=reviews>{TEXT}</div>{TEXT}</article>", model)[0] == kept
+
+
+def test_pages_without_names(spark, sf_small):
+    """The given pages with every name taken away: classifier and cut alone find most of the article."""
+    import re
+    pages = [r.html for r in common.table(spark, sf_small, "pages").collect()]
+    model = html_extract.train(pages[: len(pages) // 2])
+    right = total = 0
+    for page in pages[len(pages) // 2 :]:
+        truth = [b.element.main and not b.element.bad for b in blocks(page)]
+        plain = re.sub(r"<(/?)(?:article|nav|aside|footer|header|main|section)\b", r"<\1div", re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page))
+        found = blocks(plain)
+        keep = minimum_cut(html_extract.log_odds(found, model), [b.parent for b in found])
+        if len(found) == len(truth):
+            right += sum(bool(a) == bool(b) for a, b in zip(truth, keep))
+            total += len(truth)
+    assert total > 100 and right / total > 0.9

@@ -10,13 +10,16 @@ The classifier is trained on a bounded sample of pages (``sample``, a documented
 parameter) from their own markup: blocks inside article or main elements against blocks
 inside navigation, footers, asides, forms or elements named as such; its inputs are the
 text's shape and tag only.  What the markup says outright is added as evidence afterwards.
-That evidence outweighs classifier and edges: the cut decides the blocks outside article and
-main, and those whose names are doubtful.
+Evidence against a block (a boilerplate name or element) outweighs classifier and edges.
+Evidence for it (an article around it) does not: inside an article the cut decides about
+blocks of links and blocks whose names are doubtful, outside of one about every block.
 
 Defined cases: null or empty html, and pages without content, give the empty text (0
 characters); unclosed tags, comments, scripts and svg drawings end where a browser ends them (svg alone
 may close itself by '/>'); formulas keep their text, but for annotations; br is white space; table cells of a row are one block; character references decode as in HTML5;
-repeated rows give equal rows.  An empty table gives an empty result.
+text of hidden elements is left out, inline ones to their own end tag or the end of
+their block; very long pages are read whole, in time linear in their length; repeated rows give equal rows.  An empty
+table gives an empty result.  Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -53,9 +56,9 @@ OUTSIDE = frozenset("nav aside footer form button dialog menu".split())
 BAD_NAMES = frozenset("""nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar footer sidebar rail aside widget widgets ad ads adv
 advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice
 notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup signin login search searchbox share sharing social follow
-related recommended recommendations trending pagination pager comment comments commentlist commentary disqus respond replies reply toolbar skip
+related recommended recommendations trending pagination pager reviews comment comments commentlist commentary disqus respond replies reply toolbar skip
 copyright disclaimer complementary contentinfo hidden""".split())
-COMMENT_NAMES = frozenset("comment comments commentlist disqus".split())
+COMMENT_NAMES = frozenset("comment comments commentlist disqus reviews".split())
 # their ids are anchors, often made of a heading's text; other elements hold a page's layout
 ANCHORED = frozenset("section article main h1 h2 h3 h4 h5 h6 p li dt dd td th tr pre blockquote caption figcaption summary address a".split())
 TEXT_TAGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
@@ -65,6 +68,7 @@ GOOD_NAMES = frozenset("article post entry story content main text body articleb
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w-])", re.S)
 FORMULA_END = re.compile(r"</(annotation-xml|annotation|math)(?=[\s/>])[^>]*>", re.I)
+HIDING = re.compile("hidden|none", re.I)
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'", re.S)
 UNQUOTED_END = re.compile(r"=\s*[^\s\"'>][^\s>]*\Z")
 WORD = re.compile(r"[a-z]+")
@@ -73,11 +77,11 @@ KINDS = ("h", "p", "li", "div", "tr")
 
 
 class Element:
-    __slots__ = ("tag", "main", "bad", "firm", "doubt", "good", "number")
+    __slots__ = ("tag", "main", "bad", "firm", "doubt", "good", "number", "silent")
 
-    def __init__(self, tag: str, above: Element | None, names: set[str], ids: set[str], hidden: bool, number: int):
-        """names: the words of class and role; ids: those of the id."""
-        self.tag, self.number = tag, number
+    def __init__(self, tag: str, above: Element | None, names: set[str], ids: set[str], hidden: bool, number: int, silent: bool = False):
+        """names: the words of class and role; ids: those of the id; silent: a hidden inline element, whose text is not shown."""
+        self.tag, self.number, self.silent = tag, number, silent
         inside = above.main if above else False
         self.main = inside or tag in ("article", "main") or "rolemain" in names
         every = names | ids
@@ -179,7 +183,7 @@ def blocks(page: str) -> list[Block]:
         return None
 
     def text(a: int, b: int) -> None:
-        if a < b:
+        if a < b and not any(e.silent for e in stack):
             held.append((html_lib.unescape(page[a:b]), any(e.tag == "a" for e in stack)))
 
     at, seen, formula_end = 0, -1, None
@@ -234,9 +238,9 @@ def blocks(page: str) -> list[Block]:
             if tag == "body":
                 names, ids = set(), set()
             stack.append(Element(tag, stack[-1], names, ids, hidden, count))
-        elif tag == "span" and m[3] and _names(m[3])[2]:
-            end = page.find("</span", at)  # a hidden span's text is not shown
-            at = end if end >= 0 else len(page)
+        elif any(e.silent and e.tag == tag for e in stack) or m[3] and HIDING.search(m[3]) and _names(m[3])[2]:
+            count += 1  # on the stack until its own end tag, or the end of its block
+            stack.append(Element(tag, stack[-1], set(), set(), False, count, silent=True))
     text(at, len(page))
     flush()
     return found
@@ -261,13 +265,14 @@ def weak_labels(found: list[Block]) -> np.ndarray:
 def log_odds(found: list[Block], model: Logistic | None) -> np.ndarray:
     x = shape(found)
     own = np.clip(model.logit(x), -3, 3) if model is not None else np.clip(0.8 * x[:, 0] - 4 * x[:, 1] + x[:, 3] - 1.5, -3, 3)
+    links = (x[:, 1] > 0.8) & np.array([b.kind != "h" for b in found])  # an article may hold one line of links; several make a part of their own
     undone = not any(b.element.main and not b.element.bad for b in found)  # the only article sits in a badly named wrapper
     bad = np.array([b.element.firm or b.element.bad and not (undone and b.element.main) for b in found])
     main = np.array([b.element.main for b in found])
     good = np.array([b.element.good for b in found])
-    doubt = np.where([b.element.doubt for b in found], np.where(main, 5.0, 2.0), 0.0)  # less than what speaks for a block's surroundings
+    doubt = np.where([b.element.doubt for b in found], np.where(main, 2.5, 2.0), 0.0)  # less than what speaks for a block's surroundings
     any_main = bool((main & ~bad).any())
-    return own + np.where(bad, -12.0, np.where(main, 7.0, np.where(good, 1.5, 0.0) + (-3.0 if any_main else 1.0)) - doubt)
+    return own + np.where(bad, -12.0, np.where(main, np.where(links, -2.0 + np.clip(own, -0.5, 0.5) - own, 4.5), np.where(good, 1.5, 0.0) + (-3.0 if any_main else 1.0)) - doubt)
 
 
 def minimum_cut(odds: np.ndarray, parents: list[int], near: float = 0.6, same: float = 0.8) -> np.ndarray:
