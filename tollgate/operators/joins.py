@@ -276,8 +276,8 @@ def session_exists(payments: DataFrame, sessions: DataFrame) -> DataFrame:
 def duplicate_phones(attempts: DataFrame, raw_col: str = "raw_phone") -> DataFrame:
     """Attempts whose normalised phone was used more than once.
 
-    Counts per phone (partial aggregate), checkpointed so that AQE can split a hot phone
-    in the join back."""
-    a = attempts.withColumn("phone", phones.normalise(raw_col)).where(F.col("phone").isNotNull())
+    Phones are normalised once, into a checkpoint that is counted and joined.  The counts per
+    phone (partial aggregate) are checkpointed too, so that AQE can split a hot phone in the join back."""
+    a = stable(attempts.select("event_id", raw_col, phones.normalise(raw_col).alias("phone")).where(F.col("phone").isNotNull()))
     dup = stable(a.groupBy("phone").agg(F.count(F.lit(1)).alias("n_attempts")).where(F.col("n_attempts") > 1))
     return a.join(dup, "phone").select("event_id", raw_col, "phone", "n_attempts")

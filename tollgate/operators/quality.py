@@ -20,25 +20,25 @@ def orphan_keys(fks: list[tuple[str, str, DataFrame, str, DataFrame, str]]) -> D
     ``fks``: (fk name, on-delete rule, child df, child column, parent df, parent column).
     NULL references are allowed, as in SQL.  All keys of one child come from one scan of
     it, counted per (foreign key, value) before anything else is shuffled, so a hot key is
-    one row per map task; the counted keys are anti-joined with the parents' distinct keys."""
+    one row per map task; the counted keys of all foreign keys to one parent are anti-joined
+    with that parent's column together, which is read once and as it is."""
     by_child: dict[int, list] = {}
     for fk in fks:
         by_child.setdefault(id(fk[2]), []).append(fk)
-    counted = []
+    counted: dict[tuple[int, str], list[DataFrame]] = {}
     for group in by_child.values():
         child = group[0][2]
         pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("fk"), F.lit(rule).alias("on_delete"), F.col(ccol).alias("missing_key"))
                                     for name, rule, _, ccol, _, _ in group])).alias("r")
-        counted.append(child.select(pairs).select("r.*").where(F.col("missing_key").isNotNull())
-                       .groupBy("fk", "on_delete", "missing_key").agg(F.count(F.lit(1)).alias("n_rows")))
-    by_parent: dict[tuple, list[str]] = {}
-    parents = {}
-    for name, _, _, _, parent, pcol in fks:
-        by_parent.setdefault((id(parent), pcol), []).append(name)
-        parents[(id(parent), pcol)] = parent
-    known = _union([parents[k].select(F.col(k[1]).alias("missing_key")).distinct()
-                    .select(F.explode(F.array(*[F.lit(n) for n in names])).alias("fk"), "missing_key") for k, names in by_parent.items()])
-    return _union(counted).join(known, ["fk", "missing_key"], "left_anti").select("fk", "on_delete", "missing_key", "n_rows")
+        keys = (child.select(pairs).select("r.*").where(F.col("missing_key").isNotNull())
+                .groupBy("fk", "on_delete", "missing_key").agg(F.count(F.lit(1)).alias("n_rows")))
+        targets = {(id(fk[4]), fk[5]) for fk in group}
+        for t in targets:
+            names = [fk[0] for fk in group if (id(fk[4]), fk[5]) == t]
+            counted.setdefault(t, []).append(keys if len(targets) == 1 else keys.where(F.col("fk").isin(*names)))
+    parents = {(id(fk[4]), fk[5]): fk[4] for fk in fks}
+    missing = [_union(rows).join(parents[t].select(F.col(t[1]).alias("missing_key")), "missing_key", "left_anti") for t, rows in counted.items()]
+    return _union(missing).select("fk", "on_delete", "missing_key", "n_rows")
 
 
 def duplicate_keys(uniques: list[tuple[str, DataFrame, str]]) -> DataFrame:
