@@ -67,3 +67,20 @@ def test_stages_on_an_empty_table(spark, sf_small):
     for name, stage in corpus_pipeline.STAGES:
         rows = common.written(stage(spark, rows, sf_small), f"empty-{name}")
         assert rows.count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf_small):
+    """Null and repeated ids, null, empty and very long texts, further columns of any name: no stage fails or loses a clean row."""
+    docs = common.table(spark, sf_small, "documents")
+    one = docs.orderBy("doc_id").first()
+    odd = [(None, one.text + " of nobody", "en", None, 5), (None, None, None, None, None), (900_001, "", "en", "s", 0), (900_002, None, "en", "s", None),
+           (900_003, "long words " * 100_000, "en", "s", 1), (900_004, one.text + " again", "en", "s", 3), (900_004, one.text + " once more and more", "en", "s", 3)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema)).selectExpr("*", "1 AS keep", "'c' AS chunk", "2 AS row", "doc_id AS component_id", "3 AS score")
+    before = rows.count()
+    for name, stage in corpus_pipeline.STAGES:
+        rows = common.written(stage(spark, rows, sf_small), f"odd-{name}")
+        if name != "packing":
+            assert rows.columns == [*docs.columns, "keep", "chunk", "row", "component_id", "score"]
+            assert rows.count() <= before
+            before = rows.count()
+    assert rows.select("doc_id").distinct().count() > 100

@@ -9,8 +9,8 @@ need no padding, so nothing is padded at all.
 
 Defined cases: null and empty texts are their end id alone; equal keys are ordered by
 doc_id (null first), so that a hot key is spread over ranges; repeated rows are packed
-each.  A document longer than a sequence goes on in the next.  An empty table gives an
-empty result.
+each.  A document longer than a sequence goes on in the next; very long texts are encoded
+whole.  An empty table gives an empty result.  Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

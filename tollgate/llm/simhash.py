@@ -13,7 +13,9 @@ A tile pair gives a spanning set of its links, not all of them: components are t
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a
 document of fewer words than the shingle length is one shingle; repeated rows share a
-fingerprint; a null doc_id never names a component (null if no linked row has an id).
+fingerprint; a null doc_id never names a component (null if no linked row has an id); ties and
+equal fingerprints are one component; very long texts are read whole.  An empty table gives an empty
+result.  Further columns, whatever their names, pass through ``kept_documents`` unread.
 """
 
 from __future__ import annotations

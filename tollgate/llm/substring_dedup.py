@@ -20,7 +20,11 @@ and a chunk are bounded: their numbers follow the bytes of the texts.
 Defined cases: null text has no words; texts shorter than the window keep all words; a
 null doc_id is smaller than any other; rows that share a doc_id do not remove each
 other's words; windows are judged on the input.  Texts without a removed word can be
-told by n_removed = 0.  An empty table gives an empty result.
+told by n_removed = 0.  A very long text is one chunk's, read whole.  An empty table gives an
+empty result.  Further columns, whatever their names, travel in ``row`` unread.
+
+Windows are told apart by 96 bits of two independent hashes of their words (each word 64 bits
+by tabulation and xxh3, not a polynomial), so two different windows agree with a chance of 2**-96 a pair.
 """
 
 from __future__ import annotations

@@ -20,8 +20,9 @@ count for all of them.  The score reads the text alone.
 
 Defined cases: null and empty texts have no tokens and get the score of "no evidence";
 a null doc_id has no label and is not held out; without labels of both kinds every score
-is the share of label 1 (0 without labels); repeated rows get equal scores.  An empty
-table gives an empty result.
+is the share of label 1 (0 without labels); repeated rows get equal scores, and of rows that
+share a sampled doc_id one trains; very long texts are read whole.  Words are told apart by 64-bit hashes
+(tabulation and xxh3).  An empty table gives an empty result.  Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
