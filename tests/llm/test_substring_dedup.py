@@ -147,10 +147,15 @@ def test_words_of_equal_polynomials_differ():
 
 
 def test_word_table_is_exact():
-    table = WordTable()
+    table = WordTable(100)
     words = [b"a", b"bb", b"ccccccccc", b"a" * 70, b"b" * 600, b"a" * 600, b"a", b"ccccccccd", b"bb"]
     buf, starts, ends, _ = spans([b" ".join(words)])
     for _ in range(2):  # one hash for all: only the bytes tell words apart
         number, new = table.number(buf, starts, ends, np.zeros(len(words), np.uint64))
         assert len({(n, w) for n, w in zip(number.tolist(), words)}) == len(set(words)) == len(set(number.tolist()))
     assert len(new) == 0 and len(table) == len(set(words))
+    small = WordTable(4)
+    for _ in range(3):  # more words than it may hold: it starts anew, and stays exact
+        number, new = small.number(buf, starts, ends)
+        assert len({(n, w) for n, w in zip(number.tolist(), words)}) == len(set(words))
+    assert small.cleared == 2 and len(new) == len(set(words))

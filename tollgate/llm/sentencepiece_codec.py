@@ -109,6 +109,7 @@ class Codec:
         self.splits = not any(BLANK in p.lstrip(BLANK) for p in normal)
         # characters below 128 that no piece holds stand alone (a blank is written as U+2581)
         self.lone = np.array([b < 128 and b != 32 and not self.automaton.code[b] for b in range(256)])
+        self.segments = WordTable(CACHE_SEGMENTS)
         self._clear()
 
     @classmethod
@@ -120,7 +121,6 @@ class Codec:
         return cls([(m.id_to_piece(i), m.get_score(i), kinds[i]) for i in range(m.vocab_size())])
 
     def _clear(self) -> None:
-        self.segments = WordTable()
         self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids, self.total = np.empty(0, np.uint32), np.empty(0, float)
 
@@ -225,9 +225,10 @@ class Codec:
         new[begin[:-1][np.diff(begin) > 0]] = True
         starts = np.flatnonzero(new[:-1])
         ends = np.append(starts[1:], len(buf))
-        if len(self.segments) > CACHE_SEGMENTS:
-            self._clear()
+        before = self.segments.cleared
         number, missing = self.segments.number(buf, starts, ends)
+        if self.segments.cleared != before:
+            self._clear()
         if len(missing):
             self._learn([joined[starts[i] : ends[i]].decode().replace(" ", BLANK) for i in missing.tolist()])
         size = self.size[number]

@@ -24,12 +24,12 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.words = WordTable(CACHE_WORDS)
         (self.separator,) = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
         self._clear()
 
     def _clear(self) -> None:
-        self.words = WordTable()
-        self.at = np.empty(0, np.int64)
+        self.at = np.empty(0, np.int32)
         self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
@@ -52,16 +52,17 @@ class WordIds:
     def _learn(self, words: list[str]) -> None:
         parts = self._new(words)
         size = np.array([len(p) for p in parts], np.int32)
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.at = np.concatenate([self.at, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, *parts])
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first): text t has ids[first[t]:first[t+1]], its last one being ``end``."""
         buf, starts, ends, first = spans(texts)
-        if len(self.words) > CACHE_WORDS:
-            self._clear()
+        before = self.words.cleared
         number, new = self.words.number(buf, starts, ends)
+        if self.words.cleared != before:
+            self._clear()
         if len(new):
             self._learn([buf[starts[i] : ends[i]].tobytes().decode() for i in new.tolist()])
         size = self.size[number]

@@ -73,14 +73,24 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return out
 
 
+PART = 1 << 17  # words compared at a time
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], U)
 
 
-def _eights(buf: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each position on, as one number."""
-    padded = np.zeros(len(buf) + 8, np.uint8)
-    padded[: len(buf)] = buf
-    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+def _eight(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as one number (zeros beyond the end)."""
+    whole = np.ndarray((max(len(buf) - 7, 0),), "<u8", buf, strides=(1,))
+    inside = at < len(whole)
+    if inside.all():
+        return whole[at]
+    tail = np.zeros(16, np.uint8)
+    first = max(len(buf) - 8, 0)
+    tail[: len(buf) - first] = buf[first:]
+    rest = np.ndarray((9,), "<u8", tail, strides=(1,))
+    out = np.empty(len(at), "<u8")
+    out[inside] = whole[at[inside]]
+    out[~inside] = rest[at[~inside] - first]
+    return out
 
 
 def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -88,11 +98,10 @@ def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.nd
     out = np.ones(len(size), bool)
     for k in np.flatnonzero(size > 512).tolist():
         out[k] = a[a_start[k] : a_start[k] + size[k]].tobytes() == b[b_start[k] : b_start[k] + size[k]].tobytes()
-    left_of, right_of = _eights(a), _eights(b)
     todo, done = np.flatnonzero((size > 0) & (size <= 512)), 0
     while len(todo):
         left = size[todo] - done
-        differs = ((left_of[a_start[todo] + done] ^ right_of[b_start[todo] + done]) & _MASKS[np.minimum(left, 8)]) != 0
+        differs = ((_eight(a, a_start[todo] + done) ^ _eight(b, b_start[todo] + done)) & _MASKS[np.minimum(left, 8)]) != 0
         out[todo[differs]] = False
         todo, done = todo[~differs & (left > 8)], done + 8
     return out
@@ -101,39 +110,52 @@ def same_bytes(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.nd
 class WordTable:
     """Numbers for distinct words, exact: found by hash, then compared byte by byte.
 
-    A word whose hash belongs to another one is kept in a dictionary of its own."""
+    A word whose hash belongs to another one is kept in a dictionary of its own.  A table that
+    would hold more than ``limit`` words starts anew (``cleared`` counts how often)."""
+
+    def __init__(self, limit: int):
+        self.limit, self.cleared = limit, 0
+        self._clear()
 
-    def __init__(self):
-        self.keys, self.entry = np.empty(0, U), np.empty(0, np.int64)
-        self.start, self.size, self.bytes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+    def _clear(self) -> None:
+        self.keys, self.entry = np.empty(0, U), np.empty(0, np.int32)
+        self.start, self.size, self.bytes = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint8)
         self.others: dict[bytes, int] = {}
 
     def __len__(self) -> int:
         return len(self.size)
 
     def _add(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
-        at = len(self.bytes) + np.cumsum(size) - size
         until = np.cumsum(size) - size
+        self.start, self.size = np.concatenate([self.start, len(self.bytes) + until]), np.concatenate([self.size, size.astype(np.int32)])
         self.bytes = np.concatenate([self.bytes, buf[np.repeat(starts - until, size) + np.arange(int(size.sum()))]])
-        self.start, self.size = np.concatenate([self.start, at]), np.concatenate([self.size, size])
+
+    def _holds(self, number: np.ndarray, buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the words are the numbers' own."""
+        own = self.size[number]
+        return (own == size) & same_bytes(buf, starts, self.bytes, self.start[number], np.minimum(size, own))
 
     def number(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(each word's number, positions of the words that were new, in the order of their numbers)."""
         hashes = word_hashes(buf, starts, ends) if hashes is None else hashes
         distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self) and len(self) + len(distinct) > self.limit:
+            self._clear()
+            self.cleared += 1
         slot = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         known = self.keys[slot] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        numbers = np.empty(len(distinct), np.int64)
+        numbers = np.empty(len(distinct), np.int32)
         numbers[known] = self.entry[slot[known]]
         new = index[~known]
         numbers[~known] = len(self) + np.arange(len(new))
         if len(new):
             self._add(buf, starts[new], ends[new] - starts[new])
-            keys = np.concatenate([self.keys, distinct[~known]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.entry = keys[order], np.concatenate([self.entry, numbers[~known]])[order]
+            place = np.searchsorted(self.keys, distinct[~known])
+            self.keys, self.entry = np.insert(self.keys, place, distinct[~known]), np.insert(self.entry, place, numbers[~known])
         found, size = numbers[inverse], ends - starts
-        other = np.flatnonzero((self.size[found] != size) | ~same_bytes(buf, starts, self.bytes, self.start[found], np.minimum(size, self.size[found])))
+        del inverse
+        other = np.concatenate([i + np.flatnonzero(~self._holds(found[i : i + PART], buf, starts[i : i + PART], size[i : i + PART]))
+                                for i in range(0, max(len(found), 1), PART)])
         more = []
         for i in other.tolist():
             word = buf[starts[i] : ends[i]].tobytes()
