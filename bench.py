@@ -32,11 +32,12 @@ HEADLINE = [
     "p1_active_view", "j5_unused_payment", "j8_latest_payment", "j12t_overlapping_sessions", "j14_duplicate_phone",
     "w1_current_session", "w2_price_list", "l2_history_page", "c3d_mask_documents", "c8_callback_extract",
     "q1_orphan_keys", "u5_settle_payments", "u9_attach_credentials", "t4b_rate_limit_batch",
+    "u11_reconcile_payments", "a4d_distinct_users_window", "u1v_published_sessions", "u5v_published_payments",
 ]
 STREAMING = ["s3_callback_source", "t1_callback_dedup", "t2_settle_stream", "t3_expiry_stream", "t4_rate_limit",
-             "t5_poll_deadline", "t6_stats_tick"]
-STREAM_KEYS = {"s3_callback_source", "s5_report_sink", "t1_callback_dedup", "t2_settle_stream", "t3_expiry_stream",
-               "t4_rate_limit", "t5_poll_deadline", "t6_stats_tick"}
+             "t5_poll_deadline", "t6_stats_tick", "t3t_expiry_timers"]
+STREAM_KEYS = {"s3_callback_source", "s3r_callback_side_output", "s5_report_sink", "t1_callback_dedup", "t1s_callback_dedup_state", "t2_settle_stream",
+               "t3_expiry_stream", "t3t_expiry_timers", "t4_rate_limit", "t5_poll_deadline", "t5t_deadline_timers", "t6_stats_tick"}
 
 
 def _event_metrics(log_dir: str) -> dict[str, dict]:
