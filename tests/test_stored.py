@@ -113,6 +113,45 @@ def test_settlements_in_sequence_keep_the_earlier_ones(spark):
     assert table.manifest(2)["partitions"]["2024-01-19"] == table.manifest(0)["partitions"]["2024-01-19"]
 
 
+def test_every_transition_publishes_its_days_only(spark):
+    """U2, U4, U9, U10 and U11 as versions: the rows of the full transition, other days' files untouched, replays without effect."""
+    s, pk = _sessions(spark), packages(spark, [(1, "1 Hour", 1, 10, 5, True, 1), (2, "off", 1, 10, 5, False, 1)])
+    table = publishing.sessions_table(spark, runner.run_folder(spark, "test-u2"))
+    table.replace(s)
+    req = spark.createDataFrame([(7, dt.datetime(2024, 1, 20, 11))], "user_id long, requested_at timestamp_ntz")
+    for _ in range(2):
+        assert publishing.disconnect(table, req, None, ("requests", 1)) == 1
+    assert rows(table.read()) == rows(U.disconnect(s, req).drop("changed"))
+    before, after = table.manifest(0)["partitions"], table.manifest(1)["partitions"]
+    assert {p for p in after if after[p] != before[p]} == {"2024-01-18"}
+    u = users(spark, [(7, "254700000007", "a", "user", True, None), (8, "254700000008", "b", "user", True, None)])
+    pay = payments(spark, [(12, 7, 1, 10, "completed", "c", "2024-01-19 07:00:00", "2024-01-19 07:00:00")])
+    hot = spark.createDataFrame([(70, "254700000007", "254700000007")], "hotspot_user_id long, phone_number string, username string")
+    for _ in range(2):
+        assert publishing.attach_credentials(table, pay, hot, u, pk, ("credentials", 1)) == 2
+    assert dict(rows(table.read().where("hotspot_user_id is not null"), "session_id", "hotspot_user_id")) == {2: 70}
+
+    catalogue = publishing.catalogue_table(spark, runner.run_folder(spark, "test-u4"))
+    catalogue.replace(pk.withColumn("updated_at", F.lit(None).cast("timestamp_ntz")))
+    patch = spark.createDataFrame([(1, None, None, None, 9, None, None)], "package_id long, package_name string, duration_hours int, price_kes decimal(10,2), speed_mbps int, is_active boolean, sort_order long")
+    for _ in range(2):
+        assert publishing.patch_packages(catalogue, patch, NOW, ("patches", 1)) == 1
+    assert [(r.package_id, r.speed_mbps, r.updated_at is not None) for r in catalogue.read().orderBy("package_id").collect()] == [(1, 9, True), (2, 5, False)]
+
+    table = publishing.payments_table(spark, runner.run_folder(spark, "test-u10"))
+    table.replace(publishing.with_settlement(payments(spark, [(1, 7, 1, 10, "pending", "a", "2024-01-18 09:00:00", "2024-01-18 09:00:00"), (2, 7, 1, 10, "failed", "b", "2024-01-19 09:00:00", "2024-01-19 09:00:00")])))
+    wish = spark.createDataFrame([(5, 7, 1, "254", dt.datetime(2024, 1, 20, 9)), (6, 7, 2, "254", dt.datetime(2024, 1, 20, 9))],
+                                 "request_id long, user_id long, package_id long, phone_number string, requested_at timestamp_ntz")
+    assert [publishing.open_payments(table, wish, pk, ("wishes", n)) for n in (1, 1, 2)][:2] == [1, 1]
+    assert rows(table.read(), "payment_id") == [(-5,), (1,), (2,)]
+    polls = spark.createDataFrame([("a", 1032, "no", dt.datetime(2024, 1, 18, 9, 1)), ("ws_CO_R5", 0, None, dt.datetime(2024, 1, 20, 9, 1))],
+                                  "checkout_request_id string, result_code long, result_desc string, polled_at timestamp_ntz")
+    n = table.version()
+    assert publishing.reconcile(table, polls, NOW, ("polls", 1)) == n + 1 and publishing.reconcile(table, polls, NOW, ("polls", 1)) == n + 1
+    assert {r.payment_id: (r.status, r.failure_reason) for r in table.read().collect()} == {-5: ("completed", None), 1: ("failed", "no"), 2: ("failed", None)}
+    assert table.manifest(n)["partitions"]["2024-01-19"] == table.manifest()["partitions"]["2024-01-19"]
+
+
 # -- callbacks: side output and ledger ---------------------------------------------------------------------------
 
 def test_every_delivery_is_parsed_or_rejected(spark):

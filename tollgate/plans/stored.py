@@ -132,6 +132,28 @@ def u5v(t):
     return table.read()
 
 
+@register("u9v_published_credentials", f"select {_S_COLS} from ({REGISTRY['u9_attach_credentials'].body})")
+def u9v(t):
+    """Sessions with their credentials attached as a table version."""
+    table = PB.sessions_table(t.spark, run_folder(t.spark, "sessions-credentials"), "month")
+    table.replace(t.sessions)
+    PB.attach_credentials(table, t.payments, t.hotspot_users, t.users, t.packages, ("credentials", 1))
+    return table.read()
+
+
+@register("u10v_published_requests", """
+select payment_id, user_id, package_id, amount_kes, status, checkout_request_id, created_at, updated_at from payments_live
+union all
+select -r.request_id, r.user_id, r.package_id, k.price_kes, 'pending', 'ws_CO_R' || cast(r.request_id as varchar), r.requested_at, r.requested_at
+from purchase_requests r join packages k on k.package_id = r.package_id and k.is_active""")
+def u10v(t):
+    """Payments with the priced purchase requests appended as a table version."""
+    table = PB.payments_table(t.spark, run_folder(t.spark, "payments-requested"))
+    table.replace(t.payments_live)
+    PB.open_payments(table, t.purchase_requests, t.packages, ("requests", 1))
+    return table.read()
+
+
 _POLLED = f"""(select checkout_request_id, result_code, result_desc, polled_at,
   case when result_code = 0 then 'completed' when result_code in ({', '.join(map(str, CB.FAILURE_CODES))}) then 'failed' end as outcome
   from (select *, row_number() over (partition by checkout_request_id order by polled_at desc, result_code desc) as rn
@@ -150,6 +172,17 @@ def u11(t):
     return U.reconcile_payments(t.payments_live, t.poll_results, LIVE)
 
 
+@register("u11v_published_reconciliation", f"""
+select payment_id, user_id, package_id, checkout_request_id, amount_kes, status, null::varchar as receipt_number, null::varchar as transaction_date,
+  failure_reason, created_at, updated_at from ({REGISTRY['u11_reconcile_payments'].body})""")
+def u11v(t):
+    """Payments settled by their status polls as a table version that rewrites the changed days only."""
+    table = PB.payments_table(t.spark, run_folder(t.spark, "payments-polled"))
+    table.replace(PB.with_settlement(t.payments_live))
+    PB.reconcile(table, t.poll_results, LIVE, ("polls", 1))
+    return table.read()
+
+
 _RULES = [("name_not_empty", "length(trim(package_name)) > 0"),
           ("duration_int_ge_1", "regexp_full_match(duration_hours, '[0-9]+') and try_cast(duration_hours as integer) >= 1"),
           ("price_ge_1", "try_cast(price_kes as decimal(10,2)) >= 1"),
