@@ -33,28 +33,32 @@ class WordIds:
         self.size = np.empty(0, np.int32)
         self.ids = np.empty(0, np.uint32)
 
-    def _new(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word."""
-        plain = [w for w in words if SEPARATOR not in w and "<|" not in w]
-        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
-        found: list[np.ndarray] = []
-        for g in groups:
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {SEPARATOR} ".join(g)], add_special_tokens=False)[0].ids, np.uint32)
+    def _learn(self, words: list[bytes]) -> None:
+        """Append each word's ids, many words encoded at a time."""
+        mark = SEPARATOR.encode()
+        every = b" ".join(words)
+        alone = {i for i, w in enumerate(words) if mark in w or b"<|" in w} if mark in every or b"<|" in every else set()
+        plain = [w for i, w in enumerate(words) if i not in alone] if alone else words
+        found, sizes = [self.ids], [np.empty(0, np.int64)]
+        for i in range(0, len(plain), 1000):
+            group = plain[i : i + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([(b" " + mark + b" ").join(group).decode()], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.separator)
-            parts = np.split(ids, cuts)
-            found += [parts[0], *(p[1:] for p in parts[1:])]
-            if len(parts) != len(g):
+            if len(cuts) + 1 != len(group):
                 raise ValueError("a separator was lost")
-        rest = iter(found)
-        return [next(rest) if SEPARATOR not in w and "<|" not in w
-                else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) for w in words]
-
-    def _learn(self, words: list[str]) -> None:
-        parts = self._new(words)
-        size = np.array([len(p) for p in parts], np.int32)
-        self.at = np.concatenate([self.at, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
-        self.size = np.concatenate([self.size, size])
-        self.ids = np.concatenate([self.ids, *parts])
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            found.append(np.delete(ids, cuts))
+        size = np.zeros(len(words), np.int64)
+        size[np.array([i for i in range(len(words)) if i not in alone], np.int64) if alone else slice(None)] = np.concatenate(sizes)
+        at = np.cumsum(size) - size + len(self.ids)
+        end = len(self.ids) + int(size.sum())
+        for i in sorted(alone):
+            ids = np.array(self.tokenizer.encode(words[i].decode(), add_special_tokens=False).ids, np.uint32)
+            found.append(ids)
+            size[i], at[i] = len(ids), end
+            end += len(ids)
+        self.ids = np.concatenate(found)
+        self.at, self.size = np.concatenate([self.at, at.astype(np.int32)]), np.concatenate([self.size, size.astype(np.int32)])
 
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first): text t has ids[first[t]:first[t+1]], its last one being ``end``."""
@@ -64,7 +68,8 @@ class WordIds:
         if self.words.cleared != before:
             self._clear()
         if len(new):
-            self._learn([buf[starts[i] : ends[i]].tobytes().decode() for i in new.tolist()])
+            raw = buf.tobytes()
+            self._learn([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
         size = self.size[number]
         until = np.concatenate([[0], np.cumsum(size)])
         total = int(until[-1])
