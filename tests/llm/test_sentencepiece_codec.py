@@ -101,3 +101,23 @@ def test_segments_of_equal_polynomials_round_trip():
     c = codec(PATH)
     ids, first, _ = c.encode([t.encode() for t in texts])
     assert [c.decode(ids[a:b]) for a, b in zip(first[:-1], first[1:])] == texts
+
+
+def test_long_segments_one_by_one_equal_side_by_side():
+    c = codec(PATH)
+    rng = random.Random(3)
+    letters = "abcdefgehilnorstu" * 3 + "éñ日\U0001f600\x01XQ"
+    segments = sorted((BLANK + "".join(rng.choice(letters) for _ in range(rng.choice([300, 900, 1500]))) for _ in range(12)), key=len)
+    a = c._together(segments, np.array([len(s) for s in segments]))
+    b = c._in_turn(segments)
+    assert all((x == y).all() for x, y in zip(a[:2], b[:2])) and np.allclose(a[2], b[2])
+
+
+def test_a_long_text_without_blanks_is_linear():
+    import time
+    c = codec(PATH)
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghinorst") for _ in range(300_000))
+    begin = time.process_time()
+    ids, first, _ = c.encode([text.encode()])
+    assert time.process_time() - begin < 20 and c.decode(ids) == text

@@ -9,7 +9,8 @@ written as the byte pieces of its UTF-8 form.
 
 No piece holds a blank after another character, so the search splits at the starts of
 blank runs, and around characters that no piece holds, without changing its result.  Distinct segments are searched once, all of a
-batch side by side (numpy over segments, one step per position), and cached per Python
+batch side by side (numpy over segments, one step per position; a few very long ones one by
+one, in time linear in their length), and cached per Python
 worker up to a bound; a cached segment is compared byte by byte, not by hash alone.  A vocabulary whose pieces do cross blanks is searched whole.
 
 Normalisation is the file's own identity rule: blanks become U+2581, one is put in front,
@@ -24,6 +25,7 @@ are searched whole.  An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -39,6 +41,7 @@ from .words import WordTable
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_SEGMENTS, SEGMENT_BYTES, SIDE_BY_SIDE = 800_000, 4 << 20, 1 << 19
+FEW, LONG = 24, 256  # at most so many segments longer than this are searched one by one
 _codecs: dict[str, Codec] = {}
 
 
@@ -132,7 +135,8 @@ class Codec:
         while i < len(order):  # segments of like length, side by side
             room = np.flatnonzero((np.arange(1, len(order) - i + 1)) * (lengths[order[i:]] + 1) > SIDE_BY_SIDE)
             group = order[i : i + max(int(room[0]) if len(room) else len(order), 1)]
-            ids, size, score = self._together([segments[g] for g in group.tolist()], lengths[group])
+            texts = [segments[g] for g in group.tolist()]
+            ids, size, score = self._in_turn(texts) if len(group) <= FEW and lengths[group[0]] > LONG else self._together(texts, lengths[group])
             parts.append(ids)
             sizes[group], totals[group] = size, score
             i += len(group)
@@ -188,6 +192,44 @@ class Codec:
         ids, times = self._spelled(piece, points[first[who] + start])
         return ids, np.bincount(np.repeat(who, times), minlength=n), best[sizes, np.arange(n)]
 
+    def _in_turn(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``_together``, one segment after the other: what a few long segments need."""
+        auto = self.automaton
+        if not hasattr(self, "_moves"):  # the automaton and scores as plain objects, once a worker
+            self._moves = dict(zip(auto.keys.tolist(), auto.to.tolist(), strict=True))
+            self._plain = [x.tolist() for x in (auto.fail, auto.link, auto.piece, self.score, self.length)]
+        moves, width, (fail, link, pieces, scores, lengths) = self._moves, auto.width, self._plain
+        every, counts, totals = [np.empty(0, np.uint32)], [], []
+        for segment in segments:
+            points = np.frombuffer(segment.encode("utf-32-le"), np.uint32)
+            best, came, state = array("d", [0.0]), array("i"), 0
+            for t, c in enumerate(auto.code[points].tolist()):
+                while (step := moves.get(state * width + c)) is None and state:
+                    state = fail[state]
+                state = step or 0
+                here, by, alone = -np.inf, -1, False
+                at = state if pieces[state] >= 0 else link[state]
+                while at > 0:  # the pieces that end here, longest first
+                    p = pieces[at]
+                    size = lengths[p]
+                    value = best[t + 1 - size] + scores[p]
+                    if value > here:
+                        here, by = value, p
+                    alone = alone or size == 1
+                    at = link[at]
+                lone = best[t] + self.unknown
+                if not alone and lone > here:
+                    here, by = lone, -1
+                best.append(here), came.append(by)
+            path, place, t = array("i"), array("q"), len(points)
+            while t:
+                p = came[t - 1]
+                t -= lengths[p] if p >= 0 else 1
+                path.append(p), place.append(t)
+            ids, _ = self._spelled(np.array(path[::-1], np.int64), points[np.array(place[::-1], np.int64)])
+            every.append(ids), counts.append(len(ids)), totals.append(best[-1])
+        return np.concatenate(every), np.array(counts, np.int64), np.array(totals)
+
     def _spelled(self, piece: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many each gives): unknown characters (-1) as the byte pieces of their UTF-8 form."""
         unknown = piece < 0
