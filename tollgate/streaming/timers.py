@@ -29,20 +29,30 @@ from ..functions.callbacks import parse_callbacks
 from . import runner
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER, PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 LATENESS_MINUTES = 15
 EPOCH = dt.datetime(1970, 1, 1)
 
 
+EVENTS_PER_PARTITION = 100_000
+
+
 @contextlib.contextmanager
-def rocksdb(spark: SparkSession):
-    """The state store that timers need, for the queries started inside."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def rocksdb(spark: SparkSession, events: int | None = None):
+    """The state store that timers need, for the queries started inside.
+
+    State is in as many parts as the session shuffles in, or fewer where ``events`` are known to be
+    few: each part is a store and a Python worker of its own, in every batch."""
+    session = int(spark.conf.get(PARTITIONS))
+    wanted = {PROVIDER: ROCKSDB, PARTITIONS: str(session if events is None else max(min(session, -(-events // EVENTS_PER_PARTITION)), min(session, 4)))}
+    before = {c: spark.conf.get(c, None) for c in wanted}
+    for c, v in wanted.items():
+        spark.conf.set(c, v)
     try:
         yield
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
 
 
 class Awaited(StatefulProcessor):
@@ -131,7 +141,7 @@ def _run(spark: SparkSession, name: str, starts: DataFrame, stops: DataFrame, at
                                  F.lit(None).cast("bigint").alias("deadline"), F.lit(None).cast("bigint").alias("extra"), end.cast("timestamp").alias("ts"))
     events = starts.unionByName(stops).unionByName(tick).withColumn("happened", F.col("ts").cast("timestamp_ntz"))
     replay = runner.Replay([(events, "happened")], base, slices)
-    with rocksdb(spark):
+    with rocksdb(spark, replay.rows[0].count()):
         replay.drain(lambda: runner.run_to_parquet(awaited(runner.read_files(spark, replay.paths[0], EVENT), lateness_minutes), base))
     return spark.read.schema(OUT).parquet(f"{base}/out").where(F.col("key") != "")
 
@@ -201,7 +211,7 @@ def run_dedup_state(spark: SparkSession, callbacks: DataFrame, slices: int = 3,
     from . import callbacks as SC
     base = runner.run_folder(spark, "callback_dedup_state")
     replay = SC.JsonReplay(callbacks, base, slices)
-    with rocksdb(spark):
+    with rocksdb(spark, replay.rows[0].count()):
         replay.drain(lambda: runner.run_foreach_batch(first_deliveries(SC.callback_lines(spark, replay.paths[0]).select(*SC.PARSED_COLS), remember), base,
                                                       step or SC.dedup_batches(spark, base)))
     return spark.read.parquet(f"{base}/first").drop("batch_id")
