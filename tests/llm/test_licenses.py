@@ -73,3 +73,48 @@ def test_looked_up_words_lose_no_match():
             idf = {w: rng.choice([1e-6, 0.1, 1.0, 5.0]) for w in notice}
             others = sum(idf[w] for w in notice if w not in licenses.rarest(notice, idf, least))
             assert others < least * sum(idf[w] for w in notice)
+
+
+def plain_notices(texts, least=0.5):
+    """Every notice at every place of every text."""
+    import math
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) for t in texts]
+    words = set(licenses.licence_words())
+    idf = {w: math.log((len(texts) + 1) / (sum(w in set(s) for s in split) + 1)) + 1e-6 for w in words}
+    out = []
+    for s in split:
+        heard, joined, labels, best = len(words & set(s)), " " + " ".join(s) + " ", set(), 0.0
+        for label, notice, needed in licenses.NOTICES:
+            places = [(i, w) for i, w in enumerate(notice.split()) if w in words]
+            total = sum(idf[w] for _, w in places)
+            if any(f" {p} " not in joined for p in needed):
+                continue
+            for offset in range(-len(notice.split()), len(s)):
+                here = [w for i, w in places if 0 <= offset + i < len(s) and s[offset + i] == w]
+                share = sum(idf[w] for w in here) / total
+                if here and share >= least and len(here) >= min(2, heard):
+                    labels.add(label)
+                    best = max(best, share)
+        out.append((labels, min(round(best, 9), 1.0)))
+    return out
+
+
+def test_notices_against_every_place(spark):
+    common.prepare(spark)
+    rng = random.Random(9)
+    notices = [words.split() for _, words, _ in licenses.NOTICES]
+    texts = []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            n = list(rng.choice(notices))
+            for _ in range(rng.randint(0, len(n) // 3)):
+                n[rng.randrange(len(n))] = rng.choice(["other", "software", "license"])
+            parts += n[rng.randint(0, len(n) // 4):] + ["plain"] * rng.randint(0, 3)
+        texts.append(" ".join(w.upper() if rng.random() < 0.1 else w for w in parts))
+    want = plain_notices(texts)
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, (labels, score) in enumerate(want):
+        mine = set(filter(None, got[k].labels.split(",")))
+        assert mine == labels | set(filter(None, got[k].base_labels.split(","))) and abs(got[k].score - score) < 1e-6
+    assert len(set().union(*(labels for labels, _ in want))) >= 10

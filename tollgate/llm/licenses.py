@@ -4,12 +4,13 @@
    phrases it holds and where licence words (words of the notices below, but for function
    words) stand; that light table is written.
 2. Document frequencies of the licence words, over all files, give their IDF.
-3. The places of each notice's highest-IDF words are looked up in its postings, in the files
-   that hold all its mandatory phrases: so many words that the others alone cannot reach
-   ``least``, so no match is lost.  A notice and a relative position are a candidate; its
+3. Of each file's words, the places of those among a notice's highest-IDF words are looked up in
+   its postings: so many words of each notice that its others alone cannot reach ``least``, so
+   that no match is lost however many other licence words the file holds (a number of words
+   per file would lose some).  A notice and a relative position are a candidate; its
    score is the IDF share of the notice's licence words that stand at that position.
-4. A candidate counts if its score reaches ``least`` and two of its licence words stand (one,
-   where the file has one).
+4. A candidate counts if its score reaches ``least``, two of its licence words stand (one,
+   where the file has one) and the file holds the notice's mandatory phrases.
 
 Defined cases: null text counts as empty (no words, no labels, score 0); repeated rows,
 null doc_ids and further columns do not matter, every row is scanned on its own; a word
@@ -56,6 +57,15 @@ NOTICES = [
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+                     "software without specific prior written permission", ["endorse or promote products derived from this software"]),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely "
+             "subject to the following restrictions", ["alter it and redistribute it freely"]),
+    ("bsl-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license"]),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license", ["common development and distribution license"]),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+     ["waived all copyright and related or neighboring rights"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 ]
 FUNCTION_WORDS = set("a and any are as at be by can either for in is it may met not of on or that the this to use with without you your".split())
@@ -128,20 +138,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     rare = F.broadcast(spark.createDataFrame(
         [(t, w, i) for t, words in enumerate(notices) for chosen in [rarest([w for _, w in words], idf, least)] for i, w in words if w in chosen],
         "notice int, word string, place int"))
-    # a notice without its mandatory phrases never counts, so it is not looked up
-    allowed = F.array_compact(F.array(*[F.when(F.size(F.array_except(F.array(*map(F.lit, needed)), "phrases")) == 0, F.lit(t))
-                                        for t, (_, _, needed) in enumerate(NOTICES)]))
-    hopeful = heard.select("row_id", "places", allowed.alias("allowed"), F.size(F.array_distinct(F.transform("places", lambda p: p["word"]))).alias("n_heard")) \
-        .filter("size(allowed) > 0")
-    candidates = hopeful.select("row_id", "allowed", "n_heard", F.explode("places").alias("p")) \
-        .select("row_id", "allowed", "n_heard", "p.word", "p.pos").join(rare, "word").filter("array_contains(allowed, notice)") \
+    several = heard.select("row_id", "places", F.size(F.array_distinct(F.transform("places", lambda p: p["word"]))).alias("n_heard"))
+    candidates = several.select("row_id", "n_heard", F.explode("places").alias("p")) \
+        .select("row_id", "n_heard", "p.word", "p.pos").join(rare, "word") \
         .groupBy("row_id", "notice", (F.col("pos") - F.col("place")).alias("offset")).agg(F.max("n_heard").alias("n_heard"))
     expected = candidates.join(postings, "notice").select("row_id", "notice", "offset", "n_heard", "word", (F.col("offset") + F.col("place")).alias("pos"), "idf", "total")
-    standing = hopeful.select("row_id", F.explode("places").alias("p")).select("row_id", "p.word", "p.pos")
+    standing = several.select("row_id", F.explode("places").alias("p")).select("row_id", "p.word", "p.pos")
     scored = expected.join(standing, ["row_id", "word", "pos"]).groupBy("row_id", "notice", "offset") \
         .agg((F.sum("idf") / F.max("total")).alias("share"), F.count("*").alias("agree"), F.max("n_heard").alias("n_heard")) \
         .filter((F.col("share") >= least) & F.expr("agree >= least(2, n_heard)"))
-    verified = scored.join(rules, "notice").groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
+    needed = F.array(*[F.array(*map(F.lit, phrases)) for _, _, phrases in NOTICES])
+    held = heard.select("row_id", "phrases").filter("size(phrases) > 0")
+    verified = scored.join(held, "row_id").filter(F.size(F.array_except(needed[F.col("notice")], "phrases")) == 0).join(rules, "notice").groupBy("row_id").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
     comma = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return files.join(verified, "row_id", "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", comma(F.col("base")).alias("base_labels"),
