@@ -158,7 +158,7 @@ def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     root = Element("html", None, set(), set(), False, 0)
     stack, found, held = [root], [], []  # held: (text, inside a link)
-    count = 0
+    count = silent = links = 0  # silent, links: such elements on the stack
 
     def flush() -> None:
         if held:
@@ -170,8 +170,12 @@ def blocks(page: str) -> list[Block]:
             held.clear()
 
     def close(at: int) -> None:
-        if any(e.tag in BLOCK for e in stack[at:]):
+        nonlocal silent, links
+        gone = stack[at:]
+        if any(e.tag in BLOCK for e in gone):
             flush()
+        silent -= sum(e.silent for e in gone)
+        links -= sum(e.tag == "a" for e in gone)
         del stack[at:]
 
     def open_at(tags: set[str], stop: set[str]) -> int | None:
@@ -183,8 +187,8 @@ def blocks(page: str) -> list[Block]:
         return None
 
     def text(a: int, b: int) -> None:
-        if a < b and not any(e.silent for e in stack):
-            held.append((html_lib.unescape(page[a:b]), any(e.tag == "a" for e in stack)))
+        if a < b and not silent:
+            held.append((html_lib.unescape(page[a:b]), links > 0))
 
     at, seen, formula_end = 0, -1, None
     while (m := TAG.search(page, at)) is not None:
@@ -238,9 +242,11 @@ def blocks(page: str) -> list[Block]:
             if tag == "body":
                 names, ids = set(), set()
             stack.append(Element(tag, stack[-1], names, ids, hidden, count))
-        elif any(e.silent and e.tag == tag for e in stack) or m[3] and HIDING.search(m[3]) and _names(m[3])[2]:
+            links += tag == "a"
+        elif silent and any(e.silent and e.tag == tag for e in stack) or m[3] and HIDING.search(m[3]) and _names(m[3])[2]:
             count += 1  # on the stack until its own end tag, or the end of its block
             stack.append(Element(tag, stack[-1], set(), set(), False, count, silent=True))
+            silent += 1
     text(at, len(page))
     flush()
     return found
