@@ -36,7 +36,7 @@ HEADLINE = [
 ]
 STREAMING = ["s3_callback_source", "t1_callback_dedup", "t2_settle_stream", "t3_expiry_stream", "t4_rate_limit",
              "t5_poll_deadline", "t6_stats_tick", "t3t_expiry_timers"]
-STREAM_KEYS = {"s3_callback_source", "s3r_callback_side_output", "s5_report_sink", "t1_callback_dedup", "t1s_callback_dedup_state", "t2_settle_stream",
+STREAM_KEYS = {"s3_callback_source", "s3r_callback_side_output", "s5_report_sink", "t1_callback_dedup", "t1s_callback_dedup_state", "t2_settle_stream", "t2v_settle_published", "t2s_sessions_published",
                "t3_expiry_stream", "t3t_expiry_timers", "t4_rate_limit", "t5_poll_deadline", "t5t_deadline_timers", "t6_stats_tick"}
 
 

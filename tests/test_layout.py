@@ -5,7 +5,7 @@ from tollgate.sources.fixtures import Tables
 from tollgate.sources.layout import LaidOutTables, time_range_files, write_layout
 from tollgate.streaming import runner
 
-STREAMS = ("s3_", "s3r_", "s5_", "t1_", "t1s_", "t2_", "t3_", "t3t_", "t4_rate", "t5_", "t5t_", "t6_")
+STREAMS = ("s3_", "s3r_", "s5_", "t1_", "t1s_", "t2_", "t2v_", "t2s_", "t3_", "t3t_", "t4_rate", "t5_", "t5t_", "t6_")
 
 
 def _rows(df):

@@ -200,6 +200,29 @@ def test_ledger_reads_only_its_own_buckets(spark):
     assert spark.read.parquet(f"{base}/first/batch_id=4").count() == again == 4
 
 
+def test_settlement_stream_publishes_each_batch_once(spark, monkeypatch):
+    """A crash between the payments' version and the sessions': the replay adds what is missing and nothing twice."""
+    base = runner.run_folder(spark, "test-t2v")
+    pay, ses = publishing.payments_table(spark, f"{base}/p"), publishing.sessions_table(spark, f"{base}/s")
+    pay.replace(publishing.with_settlement(payments(spark, [(i, 7, 1, 10, "pending", c, "2024-01-20 09:00:00", "2024-01-20 09:00:00") for i, c in enumerate("abc", 1)])))
+    ses.replace(_sessions(spark))
+    step = SC.publish_batches(spark, base, pay, ses, packages(spark, [(1, "1 Hour", 1, 10, 5, True, 1)]))
+
+    def crash(*_):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(VersionedTable, "append", crash)
+        with pytest.raises(RuntimeError):
+            step(_cb(spark, [(1, "a"), (2, "b"), (3, "a")]), 0)
+    assert (pay.version(), ses.version()) == (1, 0)
+    for _ in range(2):
+        step(_cb(spark, [(1, "a"), (2, "b"), (3, "a")]), 0)
+        assert (pay.version(), ses.version()) == (1, 1)
+    step(_cb(spark, [(4, "a"), (5, "c")]), 1)
+    assert rows(pay.read(), "payment_id", "status") == [(1, "completed"), (2, "completed"), (3, "completed")]
+    assert rows(ses.read().where("session_id < 0"), "payment_id") == [(1,), (2,), (3,)]
+
+
 def test_old_payments_are_found_in_the_second_step(spark):
     pay = payments(spark, [(1, 7, 1, 10, "pending", "a", "2024-01-20 09:00:00", "2024-01-20 09:00:00"), (2, 7, 1, 10, "pending", "b", "2023-06-01 09:00:00", "2023-06-01 09:00:00"),
                            (3, 7, 1, 10, "pending", "c", None, "2024-01-20 09:00:00"), (4, 7, 1, 10, "pending", "z", "2024-01-20 09:00:00", "2024-01-20 09:00:00")])

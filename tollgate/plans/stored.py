@@ -154,6 +154,24 @@ def u10v(t):
     return table.read()
 
 
+@register("t2v_settle_published", f"select {_U5_COLS} from ({REGISTRY['u5_settle_payments'].body})")
+def t2v(t):
+    """Streaming settlement into published tables, a version per batch; the payments (twin: U5)."""
+    return SC.run_published(t.spark, t.callbacks, t.payments_pending, t.sessions_live, t.packages)[0]
+
+
+@register("t2s_sessions_published", f"""
+with f as (select checkout_request_id, received_at from {FIRST_CALLBACKS} where result_code = 0)
+select {_S_COLS} from sessions_live
+union all
+select -p.payment_id, p.user_id, p.package_id, p.payment_id, null, f.received_at, f.received_at + interval 1 hour * k.duration_hours, 'active', null, 0, 0, 0
+from payments_pending p join f on f.checkout_request_id = p.checkout_request_id join packages k on k.package_id = p.package_id
+where p.status <> 'failed' and not exists (select 1 from sessions_live s where s.payment_id = p.payment_id)""")
+def t2s(t):
+    """The sessions that the settlement stream opens, in the published sessions table."""
+    return SC.run_published(t.spark, t.callbacks, t.payments_pending, t.sessions_live, t.packages)[1]
+
+
 _POLLED = f"""(select checkout_request_id, result_code, result_desc, polled_at,
   case when result_code = 0 then 'completed' when result_code in ({', '.join(map(str, CB.FAILURE_CODES))}) then 'failed' end as outcome
   from (select *, row_number() over (partition by checkout_request_id order by polled_at desc, result_code desc) as rn

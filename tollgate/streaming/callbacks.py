@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.callbacks import parse_callbacks, rejected_callbacks
+from ..operators import publishing as PB
 from ..operators import transitions as U
 from ..operators.joins import first_callbacks
 from ..sources.versioned import VersionedTable
@@ -175,6 +176,43 @@ def settle_batches(spark: SparkSession, base: str, payments: DataFrame, packages
     return step
 
 
+def publish_batches(spark: SparkSession, base: str, payments: VersionedTable, sessions: VersionedTable, packages: DataFrame) -> Callable[[DataFrame, int], None]:
+    """T2 into published tables: each batch is one version of the payments (U5) and one of the sessions.
+
+    Both are published under the batch's id, so whatever a crash left undone the replayed batch
+    does, and what was done it leaves: a version that holds the batch is not written again."""
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        first, record = unseen_first(batch, ledger(spark, base), batch_id)
+        first.write.mode("overwrite").parquet(f"{base}/first/batch_id={batch_id}")
+        cb = spark.read.schema(first.schema).parquet(f"{base}/first/batch_id={batch_id}")
+        PB.settle(payments, cb, ("settle", batch_id))
+        paid = cb.where(F.col("result_code") == 0).select("checkout_request_id", F.col("received_at").alias("opened_at"))
+        done = answered_payments(payments.read(), paid.withColumnRenamed("opened_at", "received_at")).where(F.col("status") == "completed")
+        done = done.select("payment_id", "user_id", "package_id", "checkout_request_id").join(paid, "checkout_request_id")
+        now = sessions.read()
+        opened = (done.join(now.select("payment_id").where(F.col("payment_id").isNotNull()), "payment_id", "left_anti")
+                  .join(packages.select("package_id", "duration_hours"), "package_id")
+                  .select((-F.col("payment_id")).alias("session_id"), "user_id", "package_id", "payment_id", F.col("opened_at").alias("started_at"),
+                          F.timestamp_add("HOUR", F.col("duration_hours"), F.col("opened_at")).alias("expires_at"), F.lit("active").alias("status")))
+        rest = [F.lit(None if f.name in ("hotspot_user_id", "ended_at") else 0).cast(f.dataType).alias(f.name) for f in now.schema.fields if f.name not in opened.columns]
+        sessions.append(opened.select("*", *rest).select(*now.columns), ("settle", batch_id))
+        record()
+        batch.unpersist()
+    return step
+
+
+def run_published(spark: SparkSession, callbacks: DataFrame, payments: DataFrame, sessions: DataFrame, packages: DataFrame,
+                  slices: int = 3) -> tuple[DataFrame, DataFrame]:
+    """T2 end to end into published tables: (payments, sessions) as the last version has them."""
+    base = runner.run_folder(spark, "settle_published")
+    pay, ses = PB.payments_table(spark, f"{base}/payments-table"), PB.sessions_table(spark, f"{base}/sessions-table")
+    pay.replace(PB.with_settlement(payments)), ses.replace(sessions)
+    replay = JsonReplay(callbacks, base, slices)
+    replay.drain(lambda: runner.run_foreach_batch(callback_lines(spark, replay.paths[0]), base, publish_batches(spark, base, pay, ses, packages)))
+    return pay.read(), ses.read()
+
+
 def run_dedup(spark: SparkSession, callbacks: DataFrame, slices: int = 3) -> DataFrame:
     """T1 end to end: documents delivered in slices, the first delivery of each checkout kept."""
     base = runner.run_folder(spark, "callback_dedup")
