@@ -20,9 +20,8 @@ CALENDAR = "day date, week_start date, day_name string"
 def write_daily(rows: DataFrame, ts_col: str, path: str) -> str:
     """Store ``rows`` by the day of ``ts_col`` (column ``day``); rows without a time are day NULL.
 
-    Rows are dealt by day and a hash, a few tasks a day, so one busy day is not one task."""
-    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(4))
-    rows.withColumn("day", F.to_date(ts_col)).repartition("day", spread).write.partitionBy("day").parquet(path)
+    Rows are dealt by day, a file or a few each; AQE splits a busy day and puts quiet ones together."""
+    rows.withColumn("day", F.to_date(ts_col)).hint("rebalance", F.col("day")).write.partitionBy("day").parquet(path)
     return path
 
 

@@ -124,9 +124,12 @@ class VersionedTable:
     # -- data
 
     def _write(self, rows: DataFrame) -> dict[str, str]:
-        """Write ``rows`` into a new folder; each partition value's sub-folder."""
+        """Write ``rows`` into a new folder; each partition value's sub-folder.
+
+        The rows are dealt by partition first, so that a partition is one file or a few, not one from
+        every task; AQE splits a partition that is large and puts small ones together."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        rows.withColumn(PART, self.partition).write.partitionBy(PART).parquet(folder)
+        rows.withColumn(PART, self.partition).hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(folder)
         prefix = f"{PART}="
         return {unquote(n[len(prefix):]): f"{folder[len(self.path) + 1:]}/{n}" for n in self._files.names(folder) if n.startswith(prefix)}
 
