@@ -252,13 +252,13 @@ def test_timers_expire_cancel_and_survive_restart(spark):
             q.awaitTermination()
         held.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
 
-    drain([("1", "start", 0, 60), ("2", "start", 5, 180), ("3", "start", 10, 120), ("4", "stop", 9, None)])
-    drain([("2", "stop", 90, None), ("4", "start", 8, 100), ("5", "start", 95, 540), ("", "stop", 100, None)])  # a restart from the checkpoint
-    drain([("", "stop", 300, None)])
+    drain([("1", "start", 0, 60), ("2", "start", 5, 180), ("3", "start", 10, 120), ("4", "stop", 9, None), ("6", "stop", 9, None)])
+    drain([("2", "stop", 90, None), ("4", "start", 8, 100), ("5", "start", 95, 540), ("6", "stop", 120, None), ("", "stop", 100, None)])  # a restart from the checkpoint
+    drain([("6", "start", 118, 200), ("", "stop", 300, None)])  # its stop came before it, and an older one's timer in between
     drain([("5", "stop", 301, None), ("", "stop", 700, None)])
     got = sorted((r.key, r.deadline) for r in spark.read.schema(timers.OUT).parquet(f"{base}/out").collect())
     t0 = int((dt.datetime(2024, 1, 20, 8) - timers.EPOCH).total_seconds() * 1_000_000)
-    assert got == [("1", t0 + 3_600_000_000), ("3", t0 + 7_200_000_000)]  # 2, 4 and 5 were stopped in time
+    assert got == [("1", t0 + 3_600_000_000), ("3", t0 + 7_200_000_000)]  # 2, 4, 5 and 6 were stopped in time
     assert held[-1] < held[0] and held[-1] <= 2  # state falls with the open sessions
 
 

@@ -105,8 +105,9 @@ class Awaited(StatefulProcessor):
             self.open.clear()
             self.early.clear()
             yield Row(key=key[0], extra=mine[2], started=mine[0], deadline=mine[1])
-        elif mine is None:
-            self.early.clear()
+        elif mine is None and self.early.exists():  # later stops wait for their own timer
+            left = [x for x in self.early.get() if x[0] // 1000 + self.keep_ms > expiredTimerInfo.getExpiryTimeInMs()]
+            self.early.put(left) if left else self.early.clear()
 
     def close(self) -> None:
         pass
