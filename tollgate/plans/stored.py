@@ -84,7 +84,7 @@ def t1s(t):
 select session_id, user_id, expires_at as expired_at from sessions_live
 where status <> 'disconnected' and expires_at < {LIVE_SQL} and started_at <= {LIVE_SQL}""")
 def t3t(t):
-    """Sessions expire by an event-time timer each, unless disconnected first (twin: U1)."""
+    """Sessions expire at their own moment of event time, by timers, unless disconnected first (twin: U1)."""
     return ST.run_expiry_timers(t.spark, t.sessions_live, LIVE)
 
 
@@ -96,7 +96,7 @@ where p.created_at <= {LIVE_SQL} and p.created_at + interval 5 minute < {LIVE_SQ
     and c.received_at >= p.created_at and c.received_at <= p.created_at + interval 5 minute
     and c.received_at <= {LIVE_SQL})""")
 def t5t(t):
-    """Payments with no callback within 5 minutes, by an event-time timer each."""
+    """Payments with no callback within 5 minutes of event time, by timers."""
     return ST.run_deadline_timers(t.spark, t.payments_live, t.callbacks, LIVE)
 
 

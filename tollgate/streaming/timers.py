@@ -1,12 +1,19 @@
-"""T3 and T5 with timers: ``transformWithState``, one keyed processor each.
+"""T3 and T5 with timers: ``transformWithState`` over buckets of keys.
 
-A session (T3) or an awaited payment (T5) is a few numbers of value state and one event-time
-timer.  The timer fires when the watermark passes its moment and emits the row; a disconnect
-or callback that comes first deletes both.  So the state holds the open sessions and the
-payments still awaited, and nothing else, for whatever time the stream runs.
+A session (T3) or an awaited payment (T5) is a few numbers of state and a moment of event time.
+When the watermark passes that moment its row comes out; a disconnect or callback that comes
+first removes it.  So the state holds the open sessions and the payments still awaited, and
+nothing else, for whatever time the stream runs.
 
-A stop that arrives before its start (within the lateness) waits in list state, with a
-timer that removes it when no start for it can arrive any more.
+Each call of a Python processor on its state or timers is a message to the JVM and back, and each
+group an Arrow batch, which costs far more than the row itself.  So a group is a hash bucket of
+keys: a batch reads a bucket's state once and writes it once, and one event-time timer stands at
+the earliest moment of the bucket.  It fires for all that is due, moment by moment the same rows as a timer
+per key, and is set again at the next.  The number of buckets is fixed for the life of a checkpoint;
+a batch rewrites the buckets that it touches, so there should be one for every few thousand keys held.
+
+A stop that arrives before its start (within the lateness) waits beside the open ones, until no
+start for it can arrive any more.
 
 Starts and stops are one union with one watermark, ``lateness`` behind the newest event, on
 the time the event happened (a start's ``started_at``, a payment's ``created_at``).  Rows later
@@ -34,17 +41,30 @@ LATENESS_MINUTES = 15
 EPOCH = dt.datetime(1970, 1, 1)
 
 
-EVENTS_PER_PARTITION = 100_000
+BUCKETS = 4096  # of a stream whose size is not known
+EVENTS_PER_BUCKET, LEAST_BUCKETS = 5_000, 256
+EVENTS_PER_PARTITION = 400_000
+
+
+def buckets_for(events: int) -> int:
+    """Buckets for a stream of so many events."""
+    return max(-(-events // EVENTS_PER_BUCKET), LEAST_BUCKETS)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int):
+    """``df`` grouped by hash buckets of ``key``, as the processors below take it."""
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(int(buckets)))).groupBy("bucket")
 
 
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession, events: int | None = None):
     """The state store that timers need, for the queries started inside.
 
-    State is in as many parts as the session shuffles in, or fewer where ``events`` are known to be
-    few: each part is a store and a Python worker of its own, in every batch."""
+    State is in as many parts as the session shuffles in, or as many as the ``events`` need where their
+    number is known: each part is a store and a Python worker of its own, in every batch, and a part's
+    size does not grow with the stream."""
     session = int(spark.conf.get(PARTITIONS))
-    wanted = {PROVIDER: ROCKSDB, PARTITIONS: str(session if events is None else max(min(session, -(-events // EVENTS_PER_PARTITION)), min(session, 4)))}
+    wanted = {PROVIDER: ROCKSDB, PARTITIONS: str(session if events is None else max(-(-events // EVENTS_PER_PARTITION), min(session, 4)))}
     before = {c: spark.conf.get(c, None) for c in wanted}
     for c, v in wanted.items():
         spark.conf.set(c, v)
@@ -58,56 +78,80 @@ def rocksdb(spark: SparkSession, events: int | None = None):
 class Awaited(StatefulProcessor):
     """Emits a start's row at its deadline unless a stop from its start to its deadline came first.
 
-    Input rows: (key, kind start|stop, at, deadline, extra), times in microseconds; output:
-    (key, extra, started, deadline)."""
+    Input rows, grouped by a bucket of keys: (key, kind start|stop, at, deadline, extra), times in
+    microseconds; output: (key, extra, started, deadline).  The state of a bucket is its open starts, its
+    early stops and where its timer stands, column by column."""
+
+    HELD = ("timer bigint, key array<string>, started array<bigint>, deadline array<bigint>, extra array<bigint>, "
+            "early_key array<string>, early_at array<bigint>")
 
     def __init__(self, lateness_minutes: int):
         self.keep_ms = lateness_minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "started bigint, deadline bigint, extra bigint")
-        self.early = handle.getListState("early", "at bigint")
+        self.held = handle.getValueState("held", self.HELD)
 
     @staticmethod
     def _due(deadline: int) -> int:
         return -(-deadline // 1000)  # the first millisecond at or past it
 
-    def _close(self) -> None:
-        started = self.open.get()
-        if started is not None:
-            self.handle.deleteTimer(self._due(started[1]))
-            self.open.clear()
+    def _gone(self, stop: int) -> int:
+        return stop // 1000 + self.keep_ms  # no start of a stop can come any more
+
+    def _read(self) -> tuple[int | None, dict, dict]:
+        """The bucket's timer, its open starts {key: (started, deadline, extra)} and early stops {key: [at]}."""
+        held, early = self.held.get(), {}
+        if held is None:
+            return None, {}, early
+        timer, key, started, deadline, extra, early_key, early_at = held
+        for k, at in zip(early_key, early_at):
+            early.setdefault(k, []).append(at)
+        return timer, dict(zip(key, zip(started, deadline, extra))), early
+
+    def _write(self, timer: int | None, opened: dict, early: dict, fired: bool = False) -> None:
+        """Keep what is left and set the timer at its earliest moment (Spark itself removes one that fired)."""
+        waiting = [(k, at) for k, stops in early.items() for at in stops]
+        first = min([*(self._due(x[1]) for x in opened.values()), *(self._gone(at) for _, at in waiting)], default=None)
+        if first != timer:
+            if timer is not None and not fired:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        if first is None:
+            self.held.clear()
+            return
+        started, deadline, extra = zip(*opened.values()) if opened else ((), (), ())
+        self.held.update((first, list(opened), list(started), list(deadline), list(extra), [k for k, _ in waiting], [at for _, at in waiting]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        stops = [x[0] for x in self.early.get()] if self.early.exists() else []
-        starts = []
+        timer, opened, early = self._read()
+        starts, stops = {}, {}
         for r in rows:
-            starts.append((r["at"], r["deadline"], r["extra"])) if r["kind"] == "start" else stops.append(r["at"])
-        if starts and not self.open.exists():
-            first = min(starts)
-            self.open.update(first)
-            self.handle.registerTimer(self._due(first[1]))
-        mine = self.open.get() if self.open.exists() else None
-        if mine is not None and any(mine[0] <= s <= mine[1] for s in stops):
-            self._close()
-            self.early.clear()
-        elif mine is None and stops:  # their start may still come
-            self.early.put([(s,) for s in stops])
-            self.handle.registerTimer(max(stops) // 1000 + self.keep_ms)
-        else:
-            self.early.clear()
+            if r["kind"] == "start":
+                starts.setdefault(r["key"], []).append((r["at"], r["deadline"], r["extra"]))
+            else:
+                stops.setdefault(r["key"], []).append(r["at"])
+        for k in dict.fromkeys([*starts, *stops]):
+            its = early.pop(k, []) + stops.get(k, [])
+            if k in starts and k not in opened:
+                opened[k] = min(starts[k])
+            mine = opened.get(k)
+            if mine is None:
+                early[k] = its  # their start may still come
+            elif any(mine[0] <= s <= mine[1] for s in its):
+                del opened[k]
+        self._write(timer, opened, early)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        mine = self.open.get() if self.open.exists() else None
-        if mine is not None and self._due(mine[1]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.open.clear()
-            self.early.clear()
-            yield Row(key=key[0], extra=mine[2], started=mine[0], deadline=mine[1])
-        elif mine is None and self.early.exists():  # later stops wait for their own timer
-            left = [x for x in self.early.get() if x[0] // 1000 + self.keep_ms > expiredTimerInfo.getExpiryTimeInMs()]
-            self.early.put(left) if left else self.early.clear()
+        timer, opened, early = self._read()
+        now = timerValues.getCurrentWatermarkInMs()
+        for k in [k for k, x in opened.items() if self._due(x[1]) < now]:
+            started, deadline, extra = opened.pop(k)
+            yield Row(key=k, extra=extra, started=started, deadline=deadline)
+        left = {k: [at for at in stops if self._gone(at) >= now] for k, stops in early.items()}
+        self._write(timer, opened, {k: stops for k, stops in left.items() if stops}, fired=True)
 
     def close(self) -> None:
         pass
@@ -117,9 +161,9 @@ EVENT = "key string, kind string, at bigint, deadline bigint, extra bigint, ts t
 OUT = "key string, extra bigint, started bigint, deadline bigint"
 
 
-def awaited(events: DataFrame, lateness_minutes: int = LATENESS_MINUTES) -> DataFrame:
+def awaited(events: DataFrame, lateness_minutes: int = LATENESS_MINUTES, buckets: int = BUCKETS) -> DataFrame:
     """The starts among ``events`` that no stop answered in time."""
-    return (events.withWatermark("ts", f"{int(lateness_minutes)} minutes").groupBy("key")
+    return (bucketed(events.withWatermark("ts", f"{int(lateness_minutes)} minutes"), "key", buckets)
             .transformWithState(Awaited(int(lateness_minutes)), OUT, "Append", "EventTime"))
 
 
@@ -142,8 +186,9 @@ def _run(spark: SparkSession, name: str, starts: DataFrame, stops: DataFrame, at
                                  F.lit(None).cast("bigint").alias("deadline"), F.lit(None).cast("bigint").alias("extra"), end.cast("timestamp").alias("ts"))
     events = starts.unionByName(stops).unionByName(tick).withColumn("happened", F.col("ts").cast("timestamp_ntz"))
     replay = runner.Replay([(events, "happened")], base, slices)
-    with rocksdb(spark, replay.rows[0].count()):
-        replay.drain(lambda: runner.run_to_parquet(awaited(runner.read_files(spark, replay.paths[0], EVENT), lateness_minutes), base))
+    n = replay.rows[0].count()
+    with rocksdb(spark, n):
+        replay.drain(lambda: runner.run_to_parquet(awaited(runner.read_files(spark, replay.paths[0], EVENT), lateness_minutes, buckets_for(n)), base))
     return spark.read.schema(OUT).parquet(f"{base}/out").where(F.col("key") != "")
 
 
