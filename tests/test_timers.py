@@ -83,3 +83,22 @@ def test_awaited_keys_of_a_bucket_share_state_and_timer():
     assert all(r["extra"] == (None if r["started"] % 7 == 0 else r["started"]) for r in got)
     assert handle.kept[0].value is None and not handle.timers  # nothing is left of what was answered or emitted
     assert handle.calls <= 8 * (batches + 1)  # however many keys a batch brings
+
+
+def test_first_deliveries_of_a_bucket_share_state_and_timer():
+    t0 = dt.datetime(2024, 1, 20)
+    handle, p = Handle(), timers.FirstDelivery(["checkout_request_id", "event_id"], 1000)
+    p.init(handle)
+
+    def run(arrived, watermark, *rows):
+        return sorted((r["checkout_request_id"] or "", r["event_id"]) for r in batch(
+            p, handle, [Row(checkout_request_id=c, event_id=e, received_at=at, arrived_ms=arrived) for c, e, at in rows], watermark))
+
+    many = [(f"c{i}", i, t0) for i in range(300)]
+    assert run(100, 0, *many, ("c1", -1, t0 + dt.timedelta(1)), ("c2", 900, None), (None, 7, t0)) == sorted(
+        [(c, 900 if c == "c2" else e) for c, e, _ in many] + [("", 7)])
+    assert run(600, 100, ("c5", 901, t0), ("d", 902, t0), (None, 903, t0)) == [("d", 902)]
+    assert run(1200, 1101, ("c6", 904, t0)) == []  # remembered until the batch's own timers
+    assert run(1300, 1200, ("c6", 905, t0), ("d", 906, t0)) == [("c6", 905)]  # the first batch is forgotten, the second is not
+    assert handle.calls <= 30
+    assert run(9000, 0) == [] and batch(p, handle, [], 9000) == [] and handle.kept[0].value is None

@@ -1,4 +1,4 @@
-"""T3 and T5 with timers: ``transformWithState`` over buckets of keys.
+"""T3 and T5 with timers, T1 with a remembered hour: ``transformWithState`` over buckets of keys.
 
 A session (T3) or an awaited payment (T5) is a few numbers of state and a moment of event time.
 When the watermark passes that moment its row comes out; a disconnect or callback that comes
@@ -214,32 +214,48 @@ def run_deadline_timers(spark: SparkSession, payments: DataFrame, callbacks: Dat
 
 
 class FirstDelivery(StatefulProcessor):
-    """T1's dedup in the state store: of a checkout's rows the first of its first batch, then none while it is remembered."""
+    """T1's dedup in the state store: of a checkout's rows the first of its first batch, then none while it is remembered.
+
+    Input rows are grouped by a bucket of checkouts.  Its state has one entry a batch, the checkouts
+    that the batch brought, and a timer that forgets them."""
 
     def __init__(self, fields: list[str], remember_ms: int):
         self.fields, self.remember_ms = fields, remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "event_id bigint")
+        self.seen = handle.getListState("seen", "until bigint, checkouts array<string>")
+
+    def _seen(self) -> list[tuple]:
+        return list(self.seen.get()) if self.seen.exists() else []
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        if self.seen.exists():
-            return
-        first = min(rows, key=lambda r: (r["received_at"] is not None, r["received_at"] or EPOCH, r["event_id"]))
-        self.seen.update((first["event_id"],))
-        self.handle.registerTimer(first["arrived_ms"] + self.remember_ms)
-        yield Row(**{f: first[f] for f in self.fields})
+        known = {c for _, checkouts in self._seen() for c in checkouts}
+        first = {}
+        for r in rows:
+            c = r["checkout_request_id"]
+            if c in known:
+                continue
+            order = (r["received_at"] is not None, r["received_at"] or EPOCH, r["event_id"])
+            if c not in first or order < first[c][0]:
+                first[c] = (order, r)
+        if first:
+            until = max(r["arrived_ms"] for _, r in first.values()) + self.remember_ms  # rows of one batch arrive at one moment
+            self.seen.appendValue((until, list(first)))
+            self.handle.registerTimer(until)
+        for _, r in first.values():
+            yield Row(**{f: r[f] for f in self.fields})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.seen.clear()
+        left = [x for x in self._seen() if x[0] > expiredTimerInfo.getExpiryTimeInMs()]
+        self.seen.put(left) if left else self.seen.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def first_deliveries(parsed: DataFrame, remember: dt.timedelta) -> DataFrame:
+def first_deliveries(parsed: DataFrame, remember: dt.timedelta, buckets: int = BUCKETS) -> DataFrame:
     """Each checkout's first delivery among those that arrive while it is remembered (``remember`` after it arrived).
 
     Bounded state in front of the ledger: most retries come within minutes and end here.  Event
@@ -248,7 +264,7 @@ def first_deliveries(parsed: DataFrame, remember: dt.timedelta) -> DataFrame:
     now = F.current_timestamp()
     rows = parsed.withColumn("arrived", now).withColumn("arrived_ms", F.unix_millis(now)).withWatermark("arrived", "0 seconds")
     processor = FirstDelivery(parsed.columns, int(remember.total_seconds() * 1000))
-    return rows.groupBy("checkout_request_id").transformWithState(processor, parsed.schema, "Append", "EventTime")
+    return bucketed(rows, "checkout_request_id", buckets).transformWithState(processor, parsed.schema, "Append", "EventTime")
 
 
 def run_dedup_state(spark: SparkSession, callbacks: DataFrame, slices: int = 3, remember: dt.timedelta = dt.timedelta(hours=1),
@@ -257,7 +273,8 @@ def run_dedup_state(spark: SparkSession, callbacks: DataFrame, slices: int = 3,
     from . import callbacks as SC
     base = runner.run_folder(spark, "callback_dedup_state")
     replay = SC.JsonReplay(callbacks, base, slices)
-    with rocksdb(spark, replay.rows[0].count()):
-        replay.drain(lambda: runner.run_foreach_batch(first_deliveries(SC.callback_lines(spark, replay.paths[0]).select(*SC.PARSED_COLS), remember), base,
+    n = replay.rows[0].count()
+    with rocksdb(spark, n):
+        replay.drain(lambda: runner.run_foreach_batch(first_deliveries(SC.callback_lines(spark, replay.paths[0]).select(*SC.PARSED_COLS), remember, buckets_for(n)), base,
                                                       step or SC.dedup_batches(spark, base)))
     return spark.read.parquet(f"{base}/first").drop("batch_id")
