@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import clock
 from ..columns import seconds_between
 from ..functions import phones
-from ..session import stable
+from ..session import small_tasks, stable
 from .ranking import tagged_ranges
 
 
@@ -264,10 +264,22 @@ def overlapping_sessions(sessions: DataFrame) -> DataFrame:
                     F.coalesce(F.col("started_at") < prev, F.lit(False)).alias("overlaps"))
 
 
+PAYMENTS_PER_TASK = 1_000_000
+
+
 def session_exists(payments: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Completed payments split by whether a session already exists (semi / anti join)."""
-    p = payments.where(F.col("status") == "completed").select("payment_id", "user_id", "package_id")
-    s = sessions.select("payment_id").where(F.col("payment_id").isNotNull())
+    """Completed payments split by whether a session already exists (semi / anti join).
+
+    Both inputs are derived once, in tasks of a fixed size, into checkpoints that both joins read; the
+    joins have a task for every million rows at least."""
+    spark = payments.sparkSession
+    with small_tasks(spark):
+        p = stable(payments.where(F.col("status") == "completed").select("payment_id", "user_id", "package_id"))
+        s = stable(sessions.select("payment_id").where(F.col("payment_id").isNotNull()))
+    tasks = -(-max(p.count(), s.count()) // PAYMENTS_PER_TASK)
+    if tasks > 1:  # a number given here is not merged again
+        tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        p, s = p.repartition(tasks, "payment_id"), s.repartition(tasks, "payment_id")
     has = p.join(s, "payment_id", "left_semi").withColumn("has_session", F.lit(True))
     hasnt = p.join(s, "payment_id", "left_anti").withColumn("has_session", F.lit(False))
     return has.unionByName(hasnt)

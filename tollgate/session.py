@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 
@@ -83,6 +84,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+# Shuffled bytes a task reads inside small_tasks(), the most tasks that AQE may keep apart for that, and
+# the file bytes a task scans (and aggregates before the shuffle).
+SMALL_TASKS = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": str(8 << 20),
+               "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
+               "spark.sql.files.maxPartitionBytes": str(32 << 20)}
+
+
+@contextlib.contextmanager
+def small_tasks(spark: SparkSession):
+    """What runs inside is scanned and, by AQE, shuffled in tasks of a fixed size, as many as the data needs.
+
+    For steps that sort and aggregate several large inputs by one key in the same task: with a fixed number of
+    partitions a task's memory would grow with the data."""
+    before = {c: spark.conf.get(c, None) for c in SMALL_TASKS}
+    for c, v in SMALL_TASKS.items():
+        spark.conf.set(c, v)
+    try:
+        yield
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
 def stable(df):
     """``df`` computed once and kept in the shared checkpoint folder (never on one executor)."""
     ensure_checkpoint_dir(df.sparkSession)
